@@ -1,6 +1,6 @@
 """The registered queries, each with the SQL that DuckDB runs on the same tables."""
 
-from . import base, chunks, evidence, retrieval, texts  # noqa: F401
+from . import base, catalog, chunks, evidence, retrieval, texts  # noqa: F401
 
 
 def queries() -> dict:
