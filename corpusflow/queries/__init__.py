@@ -1,6 +1,6 @@
 """The registered queries, each with the SQL that DuckDB runs on the same tables."""
 
-from . import base, catalog, chunks, citations, evidence, federation, retrieval, texts  # noqa: F401
+from . import base, catalog, chunks, citations, evidence, federation, retrieval, texts, traces  # noqa: F401
 
 
 def queries() -> dict:
