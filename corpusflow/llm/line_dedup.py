@@ -13,8 +13,12 @@ import hashlib
 from zlib import crc32
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import materialize
 
 NO_ID = -(1 << 62)
 
@@ -61,22 +65,22 @@ def agree(x: list, y: list) -> int:
 
 
 def dedup_lines(
-    docs: DataFrame, window: int = 2, ratio: int = 2, most: int = 8, chunk_words: int = 10, least_words: int = 30, text: str = "text", out: str = "n_removed"
+    docs: DataFrame, window: int = 2, ratio: int = 2, most: int = 8, chunk_words: int = 10, least_words: int = 30, reach: int = 4, text: str = "text", out: str = "n_removed"
 ) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and a column ``out``: how many lines went.
 
     A chunk is looked up if it has two lines and ``chunk_words`` words; a repeat is
-    removed if it has ``least_words`` words with the lines around it that agree.
+    removed if it has ``least_words`` words with the lines around it, ``reach`` on
+    either side at most, that agree.
     Rows are told apart by (doc_id, text): rows equal in both are one document here
     and keep what one of them would; a null doc_id comes last.  Null and empty texts
     stay as they are, and ``out`` is 0.  Chunks are first counted by a 128-bit hash;
     only those that repeat are read and moved, so texts move once for them and
     once to be rewritten.  A column of the name ``out`` is replaced.
     """
-    from pyspark.sql import types as T
-
     def long_enough(lines: list, least: int) -> bool:
-        return sum(len(x.split()) for x in lines) >= least
+        """A cheap lower count first: words are no more than blanks plus lines."""
+        return sum(x.count(" ") + 1 for x in lines) >= least and sum(len(x.split()) for x in lines) >= least
 
     def cut(batches):
         for batch in batches:
@@ -85,7 +89,7 @@ def dedup_lines(
                 lines = units(value) if value else []
                 for a, b in chunks(lines, window, ratio, most) if len(lines) > 1 else ():
                     if b - a >= 2 and long_enough(lines[a:b], chunk_words):
-                        body = "\n".join(x.strip() for x in lines[a:b]).encode("utf-8", "surrogatepass")
+                        body = "\n".join([x.strip() for x in lines[a:b]]).encode("utf-8", "surrogatepass")
                         for column, v in zip(rows, (i, k, a, hashlib.blake2b(body, digest_size=16).digest())):
                             column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -93,34 +97,40 @@ def dedup_lines(
 
     kept = [c for c in docs.columns if c != out]
     names = [f"c{n}" for n in range(len(kept))]
-    body = names[kept.index(text)]
+    at_text = kept.index(text)
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)))
     number = F.coalesce(F.col(names[kept.index("doc_id")]).cast("long"), F.lit(NO_ID))
-    keyed = plain.withColumns({"i_": number, "k_": F.xxhash64(body)})
+    keyed = plain.select(number.alias("i_"), F.xxhash64(names[at_text]).alias("k_"), F.struct(*names).alias("row_"))
 
+    texts = keyed.select("i_", "k_", f"row_.{names[at_text]}")
+    found = materialize(texts.mapInArrow(cut, "i_ long, k_ long, first int, h binary"), "chunks")
+    spot = F.xxhash64("i_", "k_", "first")
+    repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
+    seen = materialize(found.join(repeated, "h", "left_semi"), "repeats")
     place = F.struct(F.col("i_") == NO_ID, "i_", "k_", "first")
-    found = keyed.select("i_", "k_", body).mapInArrow(cut, "i_ long, k_ long, first int, h binary").distinct()
-    repeated = found.groupBy("h").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least")
-    seen = found.join(repeated, "h").select("i_", "k_", F.struct("first", "h", (place == F.col("least")).alias("is_first")).alias("at"))
-    marks = seen.groupBy("i_", "k_").agg(F.collect_list("at").alias("marks"))  # as many as the text has chunks
+    least = seen.groupBy("h").agg(F.min(place).alias("least"))
+    spots = seen.join(least, "h").select("i_", "k_", F.struct("first", "h", (place == F.col("least")).alias("is_first")).alias("at"))
+    marks = spots.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has chunks
 
     def read(batches):
         for batch in batches:
             rows = ([], [], [], [], [], [], [], [], [])
-            for i, k, value, at in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, keys = batch.column("i_").to_pylist(), batch.column("k_").to_pylist()
+            values = pc.struct_field(batch.column("row_"), [at_text]).to_pylist()
+            for i, k, value, at in zip(ids, keys, values, batch.column("marks").to_pylist()):
                 lines = units(value)
                 ends = dict(chunks(lines, window, ratio, most))
                 for m in at:
                     a, b = m["first"], ends[m["first"]]
-                    around = ("".join(lines[a:b]), lines[max(0, a - most) : a][::-1], lines[b : b + most])
+                    around = ("".join(lines[a:b]), lines[max(0, a - reach) : a][::-1], lines[b : b + reach])
                     for column, v in zip(rows, (m["h"], m["is_first"], i, k, a, b, *around)):
                         column.append(v)
             lists = pa.list_(pa.string())
             kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), lists, lists)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "is_first", "i_", "k_", "a", "b", "chunk", "before", "after"])
 
-    marked = keyed.join(marks, ["i_", "k_"]).select("i_", "k_", body, "marks")
-    occurrence = marked.mapInArrow(
+    # both uses of the texts take whole rows, so they share one exchange
+    occurrence = keyed.join(marks, ["i_", "k_"]).mapInArrow(
         read, "h binary, is_first boolean, i_ long, k_ long, a int, b int, chunk string, before array<string>, after array<string>"
     )
     first = occurrence.where("is_first").select("h", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
@@ -144,20 +154,20 @@ def dedup_lines(
 
     def rewrite(batches):
         for batch in batches:
-            at = batch.column("ranges").to_pylist()
-            texts = batch.column(body).to_pylist()
-            counts = []
-            for n, ranges in enumerate(at):
-                if ranges:
-                    lines = units(texts[n])
-                    lost = {x for r in ranges for x in range(r["a"], r["b"])}
-                    texts[n] = "".join(x for k, x in enumerate(lines) if k not in lost)
-                    counts.append(len(lost))
-                else:
-                    counts.append(0)
-            columns = [pa.array(texts, batch.column(body).type) if c == body else batch.column(c) for c in names]
+            columns = [pc.struct_field(batch.column("row_"), [n]) for n in range(len(names))]
+            counts = [0] * batch.num_rows
+            ranges = batch.column("ranges").to_pylist()
+            if any(ranges):
+                values = columns[at_text].to_pylist()
+                for n, spans in enumerate(ranges):
+                    if spans:
+                        lines = units(values[n])
+                        lost = {x for r in spans for x in range(r["a"], r["b"])}
+                        values[n] = "".join([x for k, x in enumerate(lines) if k not in lost])
+                        counts[n] = len(lost)
+                columns[at_text] = pa.array(values, columns[at_text].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, out])
 
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(kept, names)] + [T.StructField(out, T.LongType())])
-    result = keyed.join(ranges, ["i_", "k_"], "left").select(*names, "ranges").mapInArrow(rewrite, schema)
+    result = keyed.join(ranges, ["i_", "k_"], "left").select("row_", "ranges").mapInArrow(rewrite, schema)
     return result.select(*(F.col(n).alias(c) for c, n in zip(kept, names)), F.col(out))
