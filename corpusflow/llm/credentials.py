@@ -52,7 +52,7 @@ def base_spans(text: str) -> list:
 
 
 def weak_parts(text: str, base: list) -> list:
-    """Weak parts that overlap no base span, without repeats."""
+    """Weak parts that overlap no base span; of those that overlap each other the first, and the longest of equals."""
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
     found = set()
@@ -63,7 +63,11 @@ def weak_parts(text: str, base: list) -> list:
                 k = bisect_left(starts, b)
                 if not any(taken[j][1] > a for j in range(max(0, k - 3), k)):
                     found.add((kind, a, b))
-    return sorted(found, key=lambda s: s[1])
+    parts: list = []
+    for part in sorted(found, key=lambda s: (s[1], -s[2], ORDER[s[0]])):
+        if not parts or part[1] >= parts[-1][2]:
+            parts.append(part)
+    return parts
 
 
 def linked(text: str, base: list, weak: list, reach: int) -> list:

@@ -227,8 +227,6 @@ def laid_out(root: Node) -> tuple:
             page.block(True)
             continue
         if tag not in BLOCK:
-            if tag in ("td", "th"):
-                page.text(" ", False)
             todo.extend((c, pre) for c in reversed(node.children))
             continue
         inner = tag in ("ul", "ol", "menu", "dir") and lists

@@ -9,8 +9,6 @@ Texts are scored in batches by two matrix products: presence of n-grams times th
 landmarks' n-grams, then kernel values times the dual weights.
 """
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +19,10 @@ from .common import append_struct
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 SLOT_BITS = 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def gram_slots(text: str, max_n: int):
@@ -90,7 +91,7 @@ class KernelModel:
     def predict(self, texts: list) -> list:
         """A language and a score from 0 to 1 for each text; ``und`` without any letter."""
         out = [{"lang_pred": "und", "score": 0.0} for _ in texts]
-        some = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        some = [k for k, t in enumerate(texts) if has_letter(t)]
         for at in range(0, len(some), 128):
             rows = some[at : at + 128]
             margins = self.kernel([texts[k] for k in rows]) @ self.dual + self.bias
@@ -121,7 +122,7 @@ def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 192, max_n: int
     limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(scale * min(1.0, per_lang / n)))))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.element_at(limit, F.col("lang")))
     rows = sample.select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).collect()
-    rows = sorted((r for r in rows if r["text"] and LETTER.search(r["text"])), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     if not rows:
         return None
     return KernelModel([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, max_n, ridge, width, seed)

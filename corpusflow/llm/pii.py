@@ -191,7 +191,7 @@ def reconcile(found: list) -> list:
 
 
 def tagged(texts: list, tagger: Tagger, sure: float) -> list:
-    """For each text the reconciled spans of the tagger with a mean margin of at least ``sure``."""
+    """For each text the reconciled spans of the tagger with a mean probability of at least ``sure``."""
     where, parts, sizes = [], [], []
     for row, text in enumerate(texts):
         if not text:
@@ -214,7 +214,7 @@ def tagged(texts: list, tagger: Tagger, sure: float) -> list:
         joined = encode("".join(some))
         long = np.array([len(p) for p in some])
         codes[np.arange(LENGTH) < long[:, None]] = joined
-        tags, margin = tagger.decode(codes)
+        tags, odds = tagger.decode(codes)
         for r in np.flatnonzero((tags > 0).any(1)).tolist():
             row, offset = where[at + r]
             line, k = tags[r].tolist(), 0
@@ -223,7 +223,7 @@ def tagged(texts: list, tagger: Tagger, sure: float) -> list:
                     end = k + 1
                     while end < long[r] and line[end] == line[k] + 1:
                         end += 1
-                    score = float(margin[r, k:end].mean())
+                    score = float(odds[r, k:end].mean())
                     if score >= sure:
                         cut = (k == 0 and offset > 0) or (end == LENGTH and offset + end < sizes[at + r])
                         found.setdefault(row, []).append((KINDS[line[k] // 2], offset + k, offset + end, score, cut))
@@ -257,7 +257,7 @@ def scan(texts: list, tagger: Tagger, sure: float) -> list:
     return out
 
 
-def find_personal_data(docs: DataFrame, tagger: Tagger, sure: float = 2.0, text: str = "text", out: str = "found") -> DataFrame:
+def find_personal_data(docs: DataFrame, tagger: Tagger, sure: float = 0.9, text: str = "text", out: str = "found") -> DataFrame:
     """``docs`` and one struct column ``out``: counts and digest of the base spans, and all spans.
 
     Start and end are code points, the end exclusive.  A null text counts as

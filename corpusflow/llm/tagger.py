@@ -20,6 +20,11 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def log_sum(x, axis):
+    top = x.max(axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis)) + np.squeeze(top, axis)
+
+
 class Tagger:
     """Tags are 0 (outside), then for each kind its first and its inner character."""
 
@@ -74,7 +79,10 @@ class Tagger:
         return f @ self.p["o"][:h] + b @ self.p["o"][h:] + self.p["ob"]
 
     def decode(self, codes):
-        """Viterbi tags and, for each character, the margin of its tag's emission over the best other."""
+        """Viterbi tags and, for each character, the probability of its tag given the whole window.
+
+        Probabilities are only worked out for windows with any tag; elsewhere they are 1.
+        """
         e = self.emissions(codes)
         steps, n, k = e.shape
         move = self.p["t"] + self.barred
@@ -89,10 +97,22 @@ class Tagger:
         rows = np.arange(n)
         for t in range(steps - 1, 0, -1):
             tags[:, t - 1] = back[t][rows, tags[:, t]]
-        e = e.transpose(1, 0, 2).copy()
-        own = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0]
-        np.put_along_axis(e, tags[:, :, None], -np.inf, 2)
-        return tags, own - e.max(2)
+        sure = np.ones((n, steps))
+        some = np.flatnonzero((tags > 0).any(1))
+        if len(some):
+            whole = self.posterior(e[:, some].astype(np.float64), move.astype(np.float64))
+            sure[some] = np.take_along_axis(whole, tags[some].T[:, :, None], 2)[:, :, 0].T
+        return tags, sure
+
+    def posterior(self, e, move):
+        """The probability of each tag at each time: forward times backward sums."""
+        alpha, beta = np.empty_like(e), np.zeros_like(e)
+        alpha[0] = e[0] + self.barred[0]
+        for t in range(1, len(e)):
+            alpha[t] = log_sum(alpha[t - 1][:, :, None] + move, 1) + e[t]
+        for t in range(len(e) - 2, -1, -1):
+            beta[t] = log_sum(move + (e[t + 1] + beta[t + 1])[:, None, :], 2)
+        return np.exp(alpha + beta - log_sum(alpha[-1], 1)[None, :, None])
 
     def step(self, codes, tags, rate, moments, count):
         """One Adam step on the CRF's negative log-likelihood; returns the loss for each character."""
@@ -102,17 +122,13 @@ class Tagger:
         e = (f @ p["o"][:h] + b @ p["o"][h:] + p["ob"]).astype(np.float64)
         move = (p["t"] + self.barred).astype(np.float64)
 
-        def over(x, axis):
-            top = x.max(axis, keepdims=True)
-            return np.log(np.exp(x - top).sum(axis)) + np.squeeze(top, axis)
-
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[0] = e[0] + self.barred[0]
         for t in range(1, steps):
-            alpha[t] = over(alpha[t - 1][:, :, None] + move, 1) + e[t]
+            alpha[t] = log_sum(alpha[t - 1][:, :, None] + move, 1) + e[t]
         for t in range(steps - 2, -1, -1):
-            beta[t] = over(move + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        whole = over(alpha[-1], 1)
+            beta[t] = log_sum(move + (e[t + 1] + beta[t + 1])[:, None, :], 2)
+        whole = log_sum(alpha[-1], 1)
         grad_e = np.exp(alpha + beta - whole[None, :, None])
         pairs = np.exp(alpha[:-1, :, :, None] + move + (e[1:] + beta[1:])[:, :, None, :] - whole[None, :, None, None]).sum((0, 1))
         rows, times = np.arange(n), np.arange(steps)
