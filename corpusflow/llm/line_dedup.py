@@ -1,15 +1,19 @@
-"""Operator 2: removing repeated passages of several lines, cut where their content says.
-
-A text is cut into lines, and a line of several sentences into its sentences,
-which count as lines here.  A rolling hash over the hashes of the last lines ends
-a chunk wherever it meets a fixed pattern, so a passage that moves to another place
-is cut in the same way again.  Chunks of several lines that occur more than once
-in the corpus are compared byte for byte with their first occurrence (smallest
-doc_id, then first in the text), and the match is extended over the lines around
-it as far as they agree.  All but the first occurrence are removed.
+"""Operator 2: removing repeated passages of several lines, wherever they start.
+
+A text is cut into lines, a line of several sentences into its sentences, and a
+sentence of many words where the hash of two neighbouring words is the smallest of
+several; all of these count as lines here.  Nothing but the words around a cut
+decides it.  At every line a run starts that is just long enough to be looked up,
+so a passage that moves to another place has the same runs there, whatever stands
+before it.  Of these runs a sift keeps at least one in every passage of ``span``
+words.  Runs that occur more than once in the corpus are compared byte for byte
+with their first occurrence (smallest doc_id, then first in the text), and the
+match is extended over the lines around it as far as they agree.  All but the first
+occurrence are removed.
 """
 
 import hashlib
+from itertools import accumulate
 from zlib import crc32
 
 import pyarrow as pa
@@ -18,22 +22,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import drop_table, materialize
 
 NO_ID = -(1 << 62)
 
 
+class WordCodes(dict):
+    def __missing__(self, word: str) -> int:
+        value = crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 >> 13 & 0xFFFFFFFF
+        if len(self) < 1_000_000:
+            self[word] = value
+        return value
+
+
+CODES = WordCodes()
+
+
+def pieces(line: str, most: int = 24, window: int = 12) -> list:
+    """A line of more than ``most`` words in pieces, cut before the words that begin the smallest pair of any ``window`` pairs.
+
+    Where two pairs are equally small there is no cut, so a line that repeats itself
+    in a short period stays whole.
+    """
+    if line.count(" ") < most:
+        return [line]
+    words = line.split(" ")
+    codes = [CODES[w] for w in words]
+    pairs = [(x * 0x85EBCA6B ^ y * 0xC2B2AE3D) & 0xFFFFFFFF for x, y in zip(codes, codes[1:])]
+    cuts, best, twin = set(), -1, -1
+    for k in range(window - 1, len(pairs)):
+        at = k - window + 1
+        if best < at:
+            seen = pairs[at : k + 1]
+            low = min(seen)
+            same = [at + n for n, v in enumerate(seen) if v == low]
+            best, twin = same[-1], same[-2] if len(same) > 1 else -1
+        elif pairs[k] < pairs[best]:
+            best, twin = k, -1
+        elif pairs[k] == pairs[best]:
+            best, twin = k, best
+        if twin < at:
+            cuts.add(best)
+    ends = sorted(c for c in cuts if c)
+    return [" ".join(words[a:b]) + " " for a, b in zip([0, *ends], ends)] + [" ".join(words[ends[-1] if ends else 0 :])]
+
+
 def units(text: str) -> list:
-    """Lines, each with what ends it; a line ends at a line feed or after a sentence."""
+    """Lines, each with what ends it; a line ends at a line feed, after a sentence, or within one of many words."""
     out = []
     for line in text.split("\n"):
         parts = line.split(". ")
-        out.extend([p + ". " for p in parts[:-1]])
-        out.append(parts[-1] + "\n")
+        for p in parts[:-1]:
+            out.extend(pieces(p))
+            out[-1] += ". "
+        out.extend(pieces(parts[-1]))
+        out[-1] += "\n"
     out[-1] = out[-1][:-1]
     return [u for u in out if u]
 
 
+def runs(lines: list, least: int, alone: int) -> list:
+    """Ranges [first line, end line) of the shortest run at each line: two lines with ``least`` words, or one with ``alone``."""
+    words = [len(x.split()) for x in lines]
+    out, b, total = [], 0, 0
+    for a, own in enumerate(words):
+        while b < len(words) and not (own >= alone and b > a) and (b - a < 2 or total < least):
+            total += words[b]
+            b += 1
+        if (b - a >= 2 and total >= least) or (own >= alone and b > a):
+            out.append((a, b))
+        total -= own
+    return out
+
+
+def sifted(lines: list, found: list, keys: list, span: int) -> list:
+    """Of the runs ``found`` those whose key is the smallest of all that end within ``span`` words of some run's start.
+
+    Which they are depends on nothing outside these words, so a passage of ``span``
+    words or more holds at least one of them in each of its copies.
+    """
+    before = [0, *accumulate(len(x.split()) for x in lines)]
+    kept, q = set(), 0
+    for n, (a, _) in enumerate(found):
+        q = max(q, n + 1)
+        while q < len(found) and before[found[q][1]] - before[a] <= span:
+            q += 1
+        kept.add(min(range(n, q), key=lambda k: (keys[k], -k)))
+    return [(found[k], keys[k]) for k in sorted(kept)]
+
+
 def chunks(lines: list, window: int, ratio: int, most: int) -> list:
     """Ranges [first line, end line) of the chunks.
 
@@ -64,33 +141,60 @@ def agree(x: list, y: list) -> int:
     return n
 
 
-def dedup_lines(
-    docs: DataFrame, window: int = 2, ratio: int = 2, most: int = 8, chunk_words: int = 10, least_words: int = 30, reach: int = 4, text: str = "text", out: str = "n_removed"
-) -> DataFrame:
+def shared_words(x: list, y: list, n: int, step: int) -> int:
+    """How many words the lines ``n`` have in common from their start (``step`` 1) or from their end (-1)."""
+    if n >= len(x) or n >= len(y):
+        return 0
+    x, y = x[n].split()[::step], y[n].split()[::step]
+    return next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+
+def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, span: int = 24, reach: int = 4, text: str = "text", out: str = "n_removed") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and a column ``out``: how many lines went.
 
-    A chunk is looked up if it has two lines and ``chunk_words`` words; a repeat is
-    removed if it has ``least_words`` words with the lines around it, ``reach`` on
-    either side at most, that agree.
+    Runs are two lines or more with ``chunk_words`` words, or one with
+    ``least_words``; in any ``span`` words of whole lines that hold one, one is looked
+    up.  A repeat is removed if it has ``least_words`` words with
+    the lines around it that agree; of lines that agree in part the words count, but
+    stay.  ``reach`` lines on either side are compared, and more until they have
+    ``least_words`` words.
     Rows are told apart by (doc_id, text): rows equal in both are one document here
     and keep what one of them would; a null doc_id comes last.  Null and empty texts
-    stay as they are, and ``out`` is 0.  Chunks are first counted by a 128-bit hash;
-    only those that repeat are read and moved, so texts move once for them and
-    once to be rewritten.  A column of the name ``out`` is replaced.
-    """
-    def long_enough(lines: list, least: int) -> bool:
-        """A cheap lower count first: words are no more than blanks plus lines."""
-        return sum(x.count(" ") + 1 for x in lines) >= least and sum(len(x.split()) for x in lines) >= least
+    stay as they are, and ``out`` is 0.  Runs are first counted by a 128-bit hash;
+    of those that repeat side by side at the same distance from their first
+    occurrences only as many are compared as cover the passage with what is around
+    them.  Texts move once for them and once to be rewritten.  A column of the name
+    ``out`` is replaced.
+    """
 
     def cut(batches):
         for batch in batches:
-            rows = ([], [], [], [])
+            rows = ([], [], [], [], [])
             for i, k, value in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = units(value) if value else []
-                for a, b in chunks(lines, window, ratio, most) if len(lines) > 1 else ():
-                    if b - a >= 2 and long_enough(lines[a:b], chunk_words):
-                        body = "\n".join([x.strip() for x in lines[a:b]]).encode("utf-8", "surrogatepass")
-                        for column, v in zip(rows, (i, k, a, hashlib.blake2b(body, digest_size=16).digest())):
+                bare = [x.strip().encode("utf-8", "surrogatepass") for x in lines]
+                found = runs(lines, chunk_words, least_words)
+                keys = [hashlib.blake2b(b"\n".join(bare[a:b]), digest_size=16).digest() for a, b in found]
+                for (a, b), h in sifted(lines, found, keys, span):
+                    for column, v in zip(rows, (i, k, a, b, h)):
+                        column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "first", "end_", "h"])
+
+    def pick(batches):
+        """Of repeats that touch, at one distance from their first occurrences: the ends, and between them at most ``reach`` + 2 lines apart."""
+        for batch in batches:
+            rows = ([], [], [], [])
+            for i, k, at in zip(*(batch.column(c).to_pylist() for c in ("i_", "k_", "marks"))):
+                at.sort(key=lambda m: m["first"])
+                joined = [
+                    y["first"] <= x["end_"] and y["first"] - x["first"] == y["f_0"] - x["f_0"] and (x["i_0"], x["k_0"]) == (y["i_0"], y["k_0"]) for x, y in zip(at, at[1:])
+                ]
+                last = 0
+                for n, m in enumerate(at):
+                    if not (0 < n < len(at) - 1 and joined[n - 1] and joined[n] and at[n + 1]["first"] - last <= reach + 2):
+                        last = m["first"]
+                        for column, v in zip(rows, (i, k, last, m["h"])):
                             column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "first", "h"])
@@ -103,14 +207,28 @@ def dedup_lines(
     keyed = plain.select(number.alias("i_"), F.xxhash64(names[at_text]).alias("k_"), F.struct(*names).alias("row_"))
 
     texts = keyed.select("i_", "k_", f"row_.{names[at_text]}")
-    found = materialize(texts.mapInArrow(cut, "i_ long, k_ long, first int, h binary"), "chunks")
+    found = materialize(texts.mapInArrow(cut, "i_ long, k_ long, first int, end_ int, h binary"), "chunks")
     spot = F.xxhash64("i_", "k_", "first")
     repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
     seen = materialize(found.join(repeated, "h", "left_semi"), "repeats")
+    drop_table(found)
     place = F.struct(F.col("i_") == NO_ID, "i_", "k_", "first")
     least = seen.groupBy("h").agg(F.min(place).alias("least"))
-    spots = seen.join(least, "h").select("i_", "k_", F.struct("first", "h", (place == F.col("least")).alias("is_first")).alias("at"))
-    marks = spots.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has chunks
+    origin = (F.col("least.i_").alias("i_0"), F.col("least.k_").alias("k_0"), F.col("least.first").alias("f_0"))
+    again = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", *origin).alias("at"))
+    texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
+    picked = materialize(texts_again.mapInArrow(pick, "i_ long, k_ long, first int, h binary"), "picked")
+    needed = least.join(picked.select("h").distinct(), "h", "left_semi").select("least.i_", "least.k_", "least.first", "h")
+    spots = picked.withColumn("is_first", F.lit(False)).unionByName(needed.withColumn("is_first", F.lit(True)))
+    marks = spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "h", "is_first")).alias("marks"))
+
+    def side(counts: list) -> int:
+        """How many lines to compare on a side where the next ones have so many words."""
+        n = words = 0
+        while n < len(counts) and (n < reach or words < least_words):
+            words += counts[n]
+            n += 1
+        return n
 
     def read(batches):
         for batch in batches:
@@ -119,19 +237,20 @@ def dedup_lines(
             values = pc.struct_field(batch.column("row_"), [at_text]).to_pylist()
             for i, k, value, at in zip(ids, keys, values, batch.column("marks").to_pylist()):
                 lines = units(value)
-                ends = dict(chunks(lines, window, ratio, most))
+                ends, counts = dict(runs(lines, chunk_words, least_words)), [len(x.split()) for x in lines]
                 for m in at:
                     a, b = m["first"], ends[m["first"]]
-                    around = ("".join(lines[a:b]), lines[max(0, a - reach) : a][::-1], lines[b : b + reach])
+                    up, down = side(counts[:a][::-1]), side(counts[b:])
+                    around = (lines[a:b], lines[a - up : a][::-1], lines[b : b + down])
                     for column, v in zip(rows, (m["h"], m["is_first"], i, k, a, b, *around)):
                         column.append(v)
             lists = pa.list_(pa.string())
-            kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), lists, lists)
+            kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), lists, lists, lists)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "is_first", "i_", "k_", "a", "b", "chunk", "before", "after"])
 
     # both uses of the texts take whole rows, so they share one exchange
     occurrence = keyed.join(marks, ["i_", "k_"]).mapInArrow(
-        read, "h binary, is_first boolean, i_ long, k_ long, a int, b int, chunk string, before array<string>, after array<string>"
+        read, "h binary, is_first boolean, i_ long, k_ long, a int, b int, chunk array<string>, before array<string>, after array<string>"
     )
     first = occurrence.where("is_first").select("h", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
 
@@ -139,11 +258,14 @@ def dedup_lines(
         for batch in batches:
             rows = ([], [], [], [])
             for r in batch.to_pylist():
-                lines, own = units(r["chunk"]), units(r["chunk_0"])
+                lines, own = r["chunk"], r["chunk_0"]
                 if [x.strip() for x in lines] != [x.strip() for x in own]:
                     continue
                 up, down = agree(r["before"], r["before_0"]), agree(r["after"], r["after_0"])
-                if long_enough([*lines, *r["before"][:up], *r["after"][:down]], least_words):
+                words = sum(len(x.split()) for x in (*lines, *r["before"][:up], *r["after"][:down]))
+                if words < least_words:
+                    words += shared_words(r["before"], r["before_0"], up, -1) + shared_words(r["after"], r["after_0"], down, 1)
+                if words >= least_words:
                     for column, v in zip(rows, (r["i_"], r["k_"], r["a"] - up, r["b"] + down)):
                         column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())

@@ -501,3 +501,37 @@ def test_units_and_chunks():
     assert [a for a, _ in cuts] == [0, *[b for _, b in cuts[:-1]]] and cuts[-1][1] == len(lines) and all(b - a <= 8 for a, b in cuts)
     moved = line_dedup.chunks(["new. ", *lines], 2, 2, 8)
     assert len({b for _, b in cuts} & {b - 1 for _, b in moved}) > 0.7 * len(cuts)
+
+
+def words_of(text):
+    return re.findall(r"[^\s.]+", text)
+
+
+def test_line_dedup_finds_short_passages_anywhere(spark):
+    """Every passage of 3 to 6 sentences or of one long line is found, whatever stands before it, and no 50-word window repeats."""
+    rng = random.Random(21)
+    number = iter(range(10**6, 10**7))
+    word = lambda: f"p{next(number)}"
+    passages = [[" ".join(word() for _ in range(rng.randint(11, 20))) for _ in range(n)] for n in (3, 4, 5, 6) for _ in range(25)]
+    whole = [". ".join(p) for p in passages] + [" ".join(word() for _ in range(120)) for _ in range(20)]
+    rows = [(2 * k + side, sentences(rng, rng.randint(2, 7)) + "\n" + p + "\n" + sentences(rng, rng.randint(2, 7))) for k, p in enumerate(whole) for side in (0, 1)]
+    long_ = " ".join(word() for _ in range(70))
+    rows += [(1000 + k, " ".join([*(word() for _ in range(40 + 9 * k)), long_, *(word() for _ in range(50))])) for k in range(4)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before = dict(rows)
+    seen = set()
+    for k, p in enumerate(whole):
+        assert got[2 * k] == before[2 * k] and not set(words_of(p)) & set(words_of(got[2 * k + 1]))
+    for k in sorted(got):
+        words = words_of(got[k])
+        windows = {tuple(words[a : a + 50]) for a in range(len(words) - 49)}
+        assert not windows & seen
+        seen |= windows
+
+
+def test_long_lines_are_cut_by_their_words():
+    rng = random.Random(22)
+    line = [f"w{rng.randrange(1000)}" for _ in range(300)]
+    lines = line_dedup.units(" ".join(line))
+    moved = line_dedup.units(" ".join(["new", "words", *line[7:]]))
+    assert "".join(lines) == " ".join(line) and max(len(x.split()) for x in lines) <= 24 and lines[4:] == moved[-len(lines[4:]) :]
