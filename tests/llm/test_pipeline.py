@@ -37,3 +37,10 @@ def test_decontamination_stage(spark, sf):
 def test_run(spark, sf):
     got = cp.run(spark, sf)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_near_dup_takes_pairs_from_eight_tenths(spark, sf):
+    words = [[f"w{k}_{n}" for n in range(120)] for k in range(30)]
+    rows = [(2 * k + side, " ".join([*w[:100], *(w[100:110] if side else w[110:120])])) for k, w in enumerate(words) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")  # 96 of 116 shingles in common: 0.828
+    assert sorted(r["doc_id"] for r in cp.near_dup(spark, docs, sf).collect()) == [2 * k for k in range(30)]
