@@ -8,6 +8,8 @@ pair is seen twice; candidates whose whole codes are near are reranked with the
 original vectors in double precision.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +47,14 @@ def substrings(bits: np.ndarray, width: int) -> np.ndarray:
     return bits[:, : tables * width].reshape(len(bits), tables, width) @ weights
 
 
+def turns(width: int, dims: int, cosine: float, least: int, miss: float = 0.01) -> int:
+    """How many rotations give enough tables of ``width`` bits that a pair at the threshold meets in all but the share ``miss``."""
+    bit = float(np.arccos(min(1.0, max(-1.0, cosine)))) / np.pi
+    meets = (1 - bit) ** width + width * bit * (1 - bit) ** (width - 1)
+    tables = 1 if meets >= 1 else int(np.ceil(np.log(miss) / np.log1p(-meets)))
+    return max(least, -(-tables * width // dims))
+
+
 def near_vectors(
     vectors: DataFrame, cosine: float = 0.93, sample: int = 4000, rotations: int = 2, rounds: int = 30, width: int | None = None, far: float = 0.32, seed: int = 5
 ) -> DataFrame:
@@ -55,9 +65,10 @@ def near_vectors(
     links with nothing, nor do vectors of different lengths with each other.  Equal
     vectors of a label are one class, found by grouping, and count as linked with
     each other; so a vector that fills a third of the table is one row of the
-    search.  The rotation is fitted on about ``sample`` vectors (those with the
-    smallest id hash); all vectors are indexed.  ``width`` bits of a substring
-    follow the number of vectors, so that a bucket stays small at any size; codes
+    search, which runs once for each length.  Rotations are fitted on about ``sample``
+    vectors (those with the smallest id hash); all vectors are indexed.  ``width`` bits of a substring
+    follow the number of vectors, so that a bucket stays small at any size, and
+    there are ``rotations`` or as many more as find a pair at the threshold with 0.99; codes
     that differ in more than the share ``far`` of their bits are not reranked.
     Rows that share a vec_id are each judged by their own vector.
     """
@@ -69,54 +80,61 @@ def near_vectors(
     base = base.withColumn("ok", usable)
     good = base.where("ok").withColumn("norm", norm).where("norm > 0")
     classes = materialize(good.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("norm").alias("norm")), "vectors")
-    count = classes.count()
-    limit = int((1 << 30) * min(1.0, sample / max(count, 1)))
-    rows = classes.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < limit).select("id", "e", "norm").collect()
-    lengths = [len(r["e"]) for r in rows]
-    dims = max(set(lengths), key=lengths.count) if lengths else (lambda r: len(r["e"]) if r else 1)(classes.first())
-    drawn = np.array([np.array(r["e"]) / r["norm"] for r in sorted(rows, key=lambda r: r["id"]) if len(r["e"]) == dims]).reshape(-1, dims)
-    shipped = spark.sparkContext.broadcast(Quantiser(drawn, rotations, rounds, seed))
-    width = width or min(24, max(10, int(np.ceil(np.log2(max(count, 2)))) - 3))
-    width = min(width, dims * rotations)
-
-    def coded(probe):
-        def run(batches):
-            quantiser = shipped.value
+    lengths = sorted((r["dims"], r["count"]) for r in classes.groupBy(F.size("e").alias("dims")).count().where("count > 1").collect())
+
+    def search(dims: int, count: int) -> DataFrame:
+        """(label, a, b) of the candidate pairs among the ``count`` vectors of one length."""
+        these = classes.where(F.size("e") == dims)
+        limit = int((1 << 30) * min(1.0, sample / max(count, 1)))
+        rows = these.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < limit).select("id", "e", "norm").collect()
+        drawn = np.array([np.array(r["e"]) / r["norm"] for r in sorted(rows, key=lambda r: r["id"])]).reshape(-1, dims)
+        bits_ = width or min(24, max(10, int(np.ceil(np.log2(max(count, 2)))) - 3))
+        bits_ = min(bits_, dims * rotations)
+        n_turns = turns(bits_, dims, cosine, rotations)
+        shipped = spark.sparkContext.broadcast(Quantiser(drawn, n_turns, rounds, seed))
+
+        def coded(probe):
+            def run(batches):
+                quantiser = shipped.value
+                for batch in batches:
+                    e = np.array(batch.column("e").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+                    bits = quantiser.bits(e / batch.column("norm").to_numpy()[:, None])
+                    parts, packed = substrings(bits, bits_), np.packbits(bits, axis=1)
+                    n, tables = parts.shape
+                    flips = np.concatenate(([0], 1 << np.arange(bits_))) if probe else np.zeros(1, dtype=np.int64)
+                    keys = parts[:, :, None] ^ flips[None, None, :]
+                    row = np.repeat(np.arange(n), tables * len(flips))
+                    table = np.tile(np.repeat(np.arange(tables), len(flips)), n)
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("label").take(at), pa.array(table.astype(np.int32)), pa.array(keys.reshape(-1)), batch.column("id").take(at), pa.array([x.tobytes() for x in packed], pa.binary()).take(at)],
+                        ["label", "tbl", "key", "id", "code"],
+                    )
+
+            label = classes.schema["label"].dataType.simpleString()
+            return these.select("label", "id", "e", "norm").mapInArrow(run, f"label {label}, tbl int, key long, id long, code binary")
+
+        asked = coded(True).withColumnsRenamed({"id": "b", "code": "code_b"})
+        filed = coded(False).withColumnsRenamed({"id": "a", "code": "code_a"})
+        most = int(far * dims * n_turns)
+
+        def meet(batches):
             for batch in batches:
-                e = np.array(batch.column("e").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                bits = quantiser.bits(e / batch.column("norm").to_numpy()[:, None])
-                parts, packed = substrings(bits, width), np.packbits(bits, axis=1)
-                n, tables = parts.shape
-                flips = np.concatenate(([0], 1 << np.arange(width))) if probe else np.zeros(1, dtype=np.int64)
-                keys = parts[:, :, None] ^ flips[None, None, :]
-                row = np.repeat(np.arange(n), tables * len(flips))
-                table = np.tile(np.repeat(np.arange(tables), len(flips)), n)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").take(at), pa.array(table.astype(np.int32)), pa.array(keys.reshape(-1)), batch.column("id").take(at), pa.array([x.tobytes() for x in packed], pa.binary()).take(at)],
-                    ["label", "tbl", "key", "id", "code"],
-                )
+                if not batch.num_rows:
+                    continue
+                x, y = (np.unpackbits(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)[:, : dims * n_turns] for c in ("code_a", "code_b"))
+                differ = x != y
+                tables = differ.shape[1] // bits_
+                close = differ[:, : tables * bits_].reshape(len(x), tables, bits_).sum(2) <= 1
+                keep = (close.argmax(1) == batch.column("tbl").to_numpy()) & (differ.sum(1) <= most)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("label", "a", "b")], ["label", "a", "b"])
 
         label = classes.schema["label"].dataType.simpleString()
-        return classes.where(F.size("e") == dims).select("label", "id", "e", "norm").mapInArrow(run, f"label {label}, tbl int, key long, id long, code binary")
-
-    asked = coded(True).withColumnsRenamed({"id": "b", "code": "code_b"})
-    filed = coded(False).withColumnsRenamed({"id": "a", "code": "code_a"})
-    most = int(far * dims * rotations)
-
-    def meet(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.unpackbits(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)[:, : dims * rotations] for c in ("code_a", "code_b"))
-            differ = x != y
-            tables = differ.shape[1] // width
-            close = differ[:, : tables * width].reshape(len(x), tables, width).sum(2) <= 1
-            keep = (close.argmax(1) == batch.column("tbl").to_numpy()) & (differ.sum(1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("label", "a", "b")], ["label", "a", "b"])
+        return filed.join(asked, ["label", "tbl", "key"]).where("a < b").select("label", "tbl", "a", "b", "code_a", "code_b").mapInArrow(meet, f"label {label}, a long, b long")
 
     label = classes.schema["label"].dataType.simpleString()
-    met = filed.join(asked, ["label", "tbl", "key"]).where("a < b").select("label", "tbl", "a", "b", "code_a", "code_b").mapInArrow(meet, f"label {label}, a long, b long")
+    nothing = spark.createDataFrame([], f"label {label}, a long, b long")
+    met = reduce(DataFrame.union, [search(dims, count) for dims, count in lengths], nothing)
     x = classes.select("label", F.col("id").alias("a"), F.col("e").alias("x"), F.col("norm").alias("nx"), F.col("size").alias("size_a"))
     y = classes.select("label", F.col("id").alias("b"), F.col("e").alias("y"), F.col("norm").alias("ny"), F.col("size").alias("size_b"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

@@ -535,3 +535,17 @@ def test_long_lines_are_cut_by_their_words():
     lines = line_dedup.units(" ".join(line))
     moved = line_dedup.units(" ".join(["new", "words", *line[7:]]))
     assert "".join(lines) == " ".join(line) and max(len(x.split()) for x in lines) <= 24 and lines[4:] == moved[-len(lines[4:]) :]
+
+
+def test_near_vectors_of_every_length_and_width(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(300):
+        dims = 64 if k % 3 else 48
+        x, y = np.linalg.qr(rng.normal(size=(dims, 2)))[0].T
+        rows += [(2 * k, x.tolist(), 1), (2 * k + 1, (0.935 * x + np.sqrt(1 - 0.935**2) * y).tolist(), 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(vectors, width=24).collect()}
+    for dims in (0, 1):
+        found = [got[2 * k] for k in range(300) if bool(k % 3) == bool(dims)]
+        assert sum(found) >= 0.97 * len(found)
