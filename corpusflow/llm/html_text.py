@@ -43,6 +43,12 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 TEXT = T.StructType([T.StructField("content", T.StringType()), T.StructField("n_blocks", T.LongType())])
 
 
+#: Elements that a table is made of, and for each that may stand in one what it is opened in.
+TABLE = frozenset("table thead tbody tfoot tr td th caption colgroup col".split())
+SECTIONS = frozenset("table thead tbody tfoot".split())
+WITHIN = {"tr": SECTIONS, "td": frozenset(["tr"]) | SECTIONS, "th": frozenset(["tr"]) | SECTIONS, "thead": frozenset(["table"]), "tbody": frozenset(["table"]), "tfoot": frozenset(["table"]), "caption": frozenset(["table"])}
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
@@ -72,6 +78,20 @@ def parse(html: str) -> Node:
                 del stack[lowest:]
                 return
 
+    def to_table(name):
+        """End what is open between a part of a table and where it belongs; a cell outside a row starts one."""
+        for depth in range(len(stack) - 1, 0, -1):
+            tag = stack[depth].tag
+            if tag in WITHIN[name]:
+                del stack[depth + 1 :]
+                if name in ("td", "th") and tag != "tr":
+                    row = Node("tr")
+                    stack[-1].children.append(row)
+                    stack.append(row)
+                return
+            if tag in ("td", "th"):
+                return
+
     while at < size:
         m = TOKEN.search(html, at)
         if not m:
@@ -93,6 +113,8 @@ def parse(html: str) -> Node:
             end_open(frozenset(["p"]), frozenset(["table", "td", "th", "button", "object"]))
         if name in ENDS:
             end_open(*ENDS[name])
+        if name in WITHIN:
+            to_table(name)
         node = Node(name, {a.lower(): unescape(x or y or z) for a, x, y, z in ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else None)
         stack[-1].children.append(node)
         if name in RAW:
@@ -162,6 +184,22 @@ class Page:
         return "\n".join(self.lines)
 
 
+def strays(table: Node) -> list:
+    """What stands in a table outside its cells and caption; browsers show it before the table."""
+    out, todo = [], list(reversed(table.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            if SPACE.sub("", node):
+                out.append(node)
+        elif node.tag in ("tr", "thead", "tbody", "tfoot"):
+            if shown(node):
+                todo.extend(reversed(node.children))
+        elif node.tag not in TABLE or node.tag == "table":
+            out.append(node)
+    return out
+
+
 def table_lines(table: Node) -> list:
     """Rows of a table with each cell padded to its column's width; cells over several lines are joined."""
     rows: list = []
@@ -182,7 +220,7 @@ def table_lines(table: Node) -> list:
                 rows.append(cells)
         elif node.tag == "caption":
             caption = [" ".join(render(node).split())]
-        else:
+        elif node.tag in SECTIONS and node.tag != "table":
             todo.extend(reversed(node.children))
     columns = max((len(r) for r in rows), default=0)
     width = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(columns)]
@@ -220,11 +258,17 @@ def laid_out(root: Node) -> tuple:
                 page.text(alt, False)
             continue
         if tag == "table":
+
+            def lay(table=node):
+                page.block(True)
+                for line in table_lines(table):
+                    page.put(line)
+                    page.end_line()
+                page.block(True)
+
             page.block(True)
-            for line in table_lines(node):
-                page.put(line)
-                page.end_line()
-            page.block(True)
+            todo.append((lay, pre))
+            todo.extend((c, pre) for c in reversed(strays(node)))
             continue
         if tag not in BLOCK:
             todo.extend((c, pre) for c in reversed(node.children))

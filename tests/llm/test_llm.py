@@ -537,6 +537,17 @@ def test_long_lines_are_cut_by_their_words():
     assert "".join(lines) == " ".join(line) and max(len(x.split()) for x in lines) <= 24 and lines[4:] == moved[-len(lines[4:]) :]
 
 
+TABLES = [
+    ("<table><td>a<td>b</table>", "a | b"), ("<table><tbody><td>a</td></tbody></table>", "a"), ("<table><div>note</div><tr><td>a</table>", "note\n\na"),
+    ("x<table>loose<tr>text<td>a</td><b>more</b></tr></table>y", "x\n\nloosetextmore\n\na\n\ny"), ("<table><div>note<tr><td>a<table><td>b</table><tr><td>c</table>", "note\n\na b\nc"),
+]
+
+
+@pytest.mark.parametrize("html,want", TABLES)
+def test_html_tables_keep_every_text(html, want):
+    assert html_text.extract_text(html)["content"] == want
+
+
 def test_near_vectors_of_every_length_and_width(spark):
     rng = np.random.default_rng(9)
     rows = []
