@@ -25,11 +25,11 @@ ORDER = {"assign": 0, "access": 1, "hex": 2, "identifier": 3, "secret": 4, "endp
 #: Weak parts: what they are, and a text that must occur before the expression is tried.
 WEAK = [
     ("identifier", ("KIA", "SIA", "ROA", "IDA"), re.compile(r"(?<![A-Z0-9])A(?:KIA|SIA|ROA|IDA)[A-Z0-9]{6,}")),
-    ("identifier", ("=", ":"), re.compile(r"""(?<![A-Za-z])(?:client_?id|account_?id|user_?name|user|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,64}""", re.I | re.A)),
-    ("secret", ("=", ":"), re.compile(r"""(?<![A-Za-z])(?:pwd|pass|credential|auth|private_?key|signature)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=-]{6,128}""", re.I | re.A)),
+    ("identifier", ("=", ":"), re.compile(r"""(?<![A-Za-z])(?:client_?id|account_?id|user_?name|user|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)),
+    ("secret", ("=", ":"), re.compile(r"""(?<![A-Za-z])(?:pwd|pass|credential|auth|private_?key|signature)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=-]{6,}""", re.I | re.A)),
     ("secret", ("",), re.compile(r"(?<![0-9a-f])[0-9a-f]{20,31}(?![0-9a-zA-Z])")),
-    ("endpoint", ("://",), re.compile(r"(?<![a-z])(?:https?|ftp|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s\"'<>]{4,256}")),
-    ("endpoint", ("=", ":"), re.compile(r"""(?<![A-Za-z])(?:host|server|endpoint|base_?url)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,128}(?::[0-9]{2,5})?""", re.I | re.A)),
+    ("endpoint", ("://",), re.compile(r"(?<![a-z])(?:https?|ftp|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s\"'<>]{4,}")),
+    ("endpoint", ("=", ":"), re.compile(r"""(?<![A-Za-z])(?:host|server|endpoint|base_?url)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?""", re.I | re.A)),
 ]
 ROLE = {"assign": "secret", "hex": "secret", "access": "identifier"}
 MEETS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}

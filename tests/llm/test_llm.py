@@ -548,6 +548,15 @@ def test_html_tables_keep_every_text(html, want):
     assert html_text.extract_text(html)["content"] == want
 
 
+@pytest.mark.parametrize("size", [64, 400, 5000])
+def test_long_weak_values_are_whole(size):
+    value, host = "Zz" * size, "h" * size
+    text = f"auth={value} https://{host}.example user={value}"
+    want = f"secret:0:{5 + 2 * size},endpoint:{6 + 2 * size}:{22 + 3 * size},identifier:{23 + 3 * size}:{28 + 5 * size}"
+    got = credentials.scan(text, 200)
+    assert got["n_linked"] == (3 if size + 17 <= 200 else 2) and got["spans"] == (want if got["n_linked"] == 3 else want.rsplit(",", 1)[0])
+
+
 def test_near_vectors_of_every_length_and_width(spark):
     rng = np.random.default_rng(9)
     rows = []
