@@ -39,7 +39,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; rows without an id stay.
 
     Near are documents of a similarity of 0.8 or more.  A pair at 0.8 meets in a tree
-    with probability 0.58, so the stage takes ten trees, which miss one in 5,400.
+    with probability 0.58 at the first depth, so the stage takes ten trees, which miss one
+    in 5,400 of those whose nodes are small there; in nodes that branch on, more.
     """
     gone = near_duplicates(docs, percent=80, trees=10).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
