@@ -10,10 +10,14 @@ placed best fit, longest first.  Pieces of one length are interchangeable, so a
 piece finds its place from its rank among the pieces of its length.
 """
 
+import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,20 +27,59 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+#: Characters of which Python and the tokenizer agree on composition, case and class.
+PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+#: The tokenizer's own split into tokens, its normalizers and the bytes that stand for themselves.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+OWN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+
+
+def byte_names() -> dict:
+    """The character for each byte (as Latin-1): bytes without one of their own follow from 256 on."""
+    others = [b for b in range(256) if b not in OWN_BYTES]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+def splits_as_known(tokenizer_json: str) -> bool:
+    """Whether the file normalizes and splits as ``WordIds`` takes for granted."""
+    d = json.loads(tokenizer_json)
+    kinds = [x["type"] for x in (d.get("normalizer") or {}).get("normalizers", [])]
+    split = (d.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return kinds == NORMALIZERS and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": SPLIT}
+
+
 class WordIds(dict):
     """Token ids, as little-endian bytes, of stretches of text that hold no blank or line end.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are
     the ids of its stretches one after the other.  Stretches repeat, and each is
-    encoded once while the table has room.
+    encoded once while the table has room.  A stretch of plain characters is split
+    here by the tokenizer's own expression and goes to the model alone; any other
+    is encoded by the whole tokenizer.
     """
 
     def __init__(self, tokenizer, room: int = 400_000):
         super().__init__()
-        self.tokenizer, self.room = tokenizer, room
+        self.tokenizer, self.model, self.room = tokenizer, tokenizer.model, room
+        self.parts: dict = {}
+        self.split, self.names = regex.compile(SPLIT).findall, byte_names()
+
+    def part(self, piece: str) -> bytes:
+        ids = self.parts.get(piece)
+        if ids is None:
+            named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+            ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+            if len(self.parts) < self.room and len(piece) <= 64:
+                self.parts[piece] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            low = word.lower()
+            ids = self.part(low) if low.isalpha() else b"".join(map(self.part, self.split(low)))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) < self.room and len(word) <= 64:
             self[word] = ids
         return ids
@@ -53,7 +96,10 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: i
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32.
 
     A null or empty text is the end id alone.  Repeated rows give repeated pieces.
+    A vocabulary that normalizes or splits in another way is refused.
     """
+    if not splits_as_known(tokenizer_json):
+        raise ValueError("the tokenizer's normalizers or its split are not those that stretches rest on")
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     end = np.array([end_id], dtype="<u4").tobytes()
 
