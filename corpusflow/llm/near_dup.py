@@ -5,22 +5,28 @@ class representatives go on.  In each of several independent trees a node picks
 one or two places of the minwise signature (1 / threshold in the mean), and each
 member goes to the child named by its minwise token there, so that a pair at the
 threshold meets in a critical branching process.  Nodes of up to ``small`` members
-are compared exhaustively on their signatures; larger ones branch further.  A
-larger node's members are also compared with the member closest to what most of
-them hold, so a big group of copies of one original joins at once.
-
-Groups are what is asked for, so pairs inside one group need no second look: the
-candidates go out in rounds, each taking for every member its nearest node mates
-of other groups, and the last round takes all that are left.  Every candidate is
-confirmed on the full sets before it counts.
+are compared exhaustively on their signatures; larger ones branch further.
+
+A critical process dies out with depth, so members of nodes that branch on start
+further trees from the roots, as many as keep the share of missed pairs as small at
+the new depth.  Nodes still large at the last depth are compared
+exhaustively too, block by block.
+
+Groups are what is asked for, so pairs inside one group need no second look.  The
+first round deals every node into parts of bounded size and takes each member's
+nearest mates there; big groups of copies have joined after it, and a node in which
+one group is left with few others only compares those others with it.  The last
+round takes every pair between different groups.  Each candidate is confirmed on the
+full sets before it counts.
 """
 
 import hashlib
+import math
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
@@ -71,25 +77,33 @@ def place_seeds(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def class_of(grams: np.ndarray) -> tuple:
+    """The key of a shingle set (128 bits, None of an empty one) and its first 64 bits, by which classes are numbered.
+
+    Two of a thousand million different sets share a number with a chance of 1 in 37.
+    """
+    key = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+    return key, int.from_bytes(key[:8], "little", signed=True) if key else None
+
+
 def sketches(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set, null without shingles), sig."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_key, id (both null without shingles), sig."""
 
     def sketch(batches):
         words, seeds = WordHashes(), place_seeds(seed)
         for batch in batches:
-            out = ([], [], [])
-            for text in batch.column(1).to_pylist():
+            out = ([], [], [], [])
+            for text in batch.column(2).to_pylist():
                 grams = shingles(text, words, size)
-                out[0].append(len(grams))
-                out[1].append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                out[2].append(signature(grams, seeds) if len(grams) else None)
-            kinds = (pa.int64(), pa.binary(), pa.binary())
+                for column, value in zip(out, (len(grams), *class_of(grams), signature(grams, seeds) if len(grams) else None)):
+                    column.append(value)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_shingles", "set_key", "sig"]
+                [*batch.columns[:2], *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "text_key", "n_shingles", "set_key", "id", "sig"]
             )
 
-    schema = "doc_id long, n_shingles long, set_key binary, sig binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, schema)
+    schema = "doc_id long, text_key long, n_shingles long, set_key binary, id long, sig binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(sketch, schema)
 
 
 def matrix(column) -> np.ndarray:
@@ -114,15 +128,34 @@ def descend(node: np.ndarray, row: np.ndarray, sig: np.ndarray, levels: int, ext
     return node, row
 
 
-def branch(members: DataFrame, levels: int, extra: float, trees: int = 0, seed: int = 0) -> DataFrame:
-    """(node, id) of the children; from the roots of ``trees`` trees if given, else from the column node."""
+def trees_for(depth: int, percent: int, miss: float) -> int:
+    """How many trees leave at most the share ``miss`` of the pairs at the threshold without a common node at this depth.
+
+    A pair at the threshold agrees in a binomial number of the places, and all trees
+    see the same places, so the shares missed are averaged over that number.
+    """
+    t, extra = percent / 100, max(0.0, 100 / percent - 1)
+    agree = np.arange(PLACES + 1)
+    weight = np.array([math.comb(PLACES, k) * t**k * (1 - t) ** (PLACES - k) for k in agree.tolist()])
+    meets = np.ones(PLACES + 1)
+    for _ in range(depth):
+        met = agree / PLACES * meets
+        meets = 1 - (1 - extra) * (1 - met) - extra * (1 - met) ** 2
+    trees = 1
+    while float((weight * (1 - meets) ** trees).sum()) > miss:
+        trees += 1
+    return trees
+
+
+def branch(members: DataFrame, levels: int, extra: float, trees: range | None = None, seed: int = 0) -> DataFrame:
+    """(node, id) of the children; from the roots of the numbered ``trees`` if given, else from the column node."""
 
     def run(batches):
         for batch in batches:
             sig, ids = matrix(batch.column("sig")), batch.column("id").to_numpy()
             if trees:
-                roots = mixed(np.arange(1, trees + 1, dtype=np.uint64) * PRIME + np.uint64(seed))
-                node, row = np.repeat(roots, len(ids)), np.tile(np.arange(len(ids)), trees)
+                roots = mixed(np.array(trees, dtype=np.uint64) * PRIME + np.uint64(seed))
+                node, row = np.repeat(roots, len(ids)), np.tile(np.arange(len(ids)), len(roots))
             else:
                 node, row = batch.column("node").to_numpy().view(np.uint64), np.arange(len(ids))
             node, row = descend(node, row, sig, levels, extra)
@@ -148,25 +181,26 @@ def runs_of(batches, longest: int = 1 << 16):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def compare_nodes(members: DataFrame, least: int, percent: int, top: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of small nodes (node, id, n, sig, comp).
+def compare_nodes(members: DataFrame, least: int, percent: int, top: int | None) -> DataFrame:
+    """Candidate pairs (a, b, same, hub) among the rows of each node (node, side, id, n, sig, comp).
 
-    All pairs of a node are compared; of those in different groups that can reach
-    the threshold, each member keeps its ``top`` nearest mates and the node's
-    centre, the member nearest to all others.
+    Compared are rows of different groups that can reach the threshold, unless both
+    have one ``side`` other than 0.  ``same`` is how many places agree.  With ``top``
+    each member keeps only that many nearest mates, and the node's hub, which is the
+    member nearest to all others.
     """
 
     def run(batches):
         for table in runs_of(batches):
-            node, ids, n = (table.column(c).to_numpy() for c in ("node", "id", "n"))
-            comp, sig = table.column("comp").to_numpy(), matrix(table.column("sig").combine_chunks())
+            node, side, ids, n, comp = (table.column(c).to_numpy() for c in ("node", "side", "id", "n", "comp"))
+            sig = matrix(table.column("sig").combine_chunks())
             left, right, same = [], [], []
             for d in range(1, len(node)):
                 i = np.flatnonzero(node[:-d] == node[d:])
                 if not len(i):
                     break
                 j = i + d
-                fits = (comp[i] != comp[j]) & (ids[i] != ids[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                fits = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 0))
                 i, j = i[fits], j[fits]
                 equal = np.concatenate([(sig[i[k : k + 8192]] == sig[j[k : k + 8192]]).sum(1) for k in range(0, len(i), 8192)] or [np.zeros(0, np.int64)])
                 near = equal >= least
@@ -176,74 +210,60 @@ def compare_nodes(members: DataFrame, least: int, percent: int, top: int) -> Dat
             if not left or not sum(map(len, left)):
                 continue
             i, j, s = np.concatenate(left), np.concatenate(right), np.concatenate(same)
-            total = np.bincount(i, s, len(node)) + np.bincount(j, s, len(node))
-            a, b, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
-            order = np.lexsort((b, -w, a))
-            a, b = a[order], b[order]
-            first = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1))
-            place = np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate((first, [len(a)]))))
-            start = np.searchsorted(node, node)
-            by_node = np.lexsort((-total, node))
-            centre = by_node[start]
-            keep = (place < top) | (b == centre[a])
-            x, y = ids[a[keep]], ids[b[keep]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long").distinct()
-
-
-def centre_pairs(members: DataFrame, least: int, percent: int) -> DataFrame:
-    """Candidate pairs of each member of a large node (node, id, count, n, sig) with the node's centre.
-
-    Members are dealt into parts of bounded size; in each the one nearest to the
-    tokens that most of the part hold stands for it, and the nearest of those is
-    the node's centre.
-    """
-
-    def nearest(batches):
-        for table in runs_of(batches):
-            node, ids, n = (table.column(c).to_numpy() for c in ("node", "id", "n"))
-            sig = matrix(table.column("sig").combine_chunks())
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)]))
-            out = []
-            for a, b in zip(starts[:-1], starts[1:]):
-                for at in range(a, b, 256):
-                    part = sig[at : min(at + 256, b)]
-                    usual = np.zeros(PLACES, dtype=np.int64)
-                    for p in range(PLACES):
-                        values, count = np.unique(part[:, p], return_counts=True)
-                        usual[p] = values[count.argmax()]
-                    score = (part == usual).sum(1)
-                    best = at + int(score.argmax())
-                    out.append((node[best], int(score.max()), ids[best], n[best], sig[best].tobytes()))
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())],
-                ["node", "score", "c", "cn", "csig"],
-            )
-
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / 4096).cast("long"))
-    dealt = members.repartition("node", part).sortWithinPartitions("node", "id").select("node", "id", "n", "sig")
-    parts = dealt.mapInArrow(nearest, "node long, score long, c long, cn long, csig binary")
-    centres = parts.groupBy("node").agg(F.max(F.struct("score", "c", "cn", "csig")).alias("best")).select("node", "best.c", "best.cn", "best.csig")
-
-    def near(batches):
-        for batch in batches:
-            same = (matrix(batch.column("sig")) == matrix(batch.column("csig"))).sum(1)
-            id_, c, n, cn = (batch.column(k).to_numpy() for k in ("id", "c", "n", "cn"))
-            keep = (same >= least) & (100 * np.minimum(n, cn) >= percent * np.maximum(n, cn))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_, c)[keep]), pa.array(np.maximum(id_, c)[keep])], ["a", "b"])
-
-    # many nodes have the same centre; each member is compared with it once
-    asked = members.select("node", "id", "n", "sig").join(centres, "node").where("id <> c").drop("node").dropDuplicates(["id", "c"])
-    return asked.mapInArrow(near, "a long, b long").distinct()
+            hub = np.zeros(len(i), dtype=bool)
+            if top:
+                total = np.bincount(i, s, len(node)) + np.bincount(j, s, len(node))
+                a, b, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
+                order = np.lexsort((b, -w, a))
+                a, b, w = a[order], b[order], w[order]
+                first = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1))
+                place = np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate((first, [len(a)]))))
+                hubs = np.lexsort((-total, node))[np.searchsorted(node, node)]
+                hub = b == hubs[a]
+                keep = (place < top) | hub
+                i, j, s, hub = a[keep], b[keep], w[keep], hub[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s.astype(np.int32)), pa.array(hub)], ["a", "b", "same", "hub"])
+
+    return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, same int, hub boolean")
+
+
+def pairs_of(found: DataFrame, top: int | None) -> DataFrame:
+    """Distinct pairs (a, b), a < b; with ``top`` of each member over all its nodes so many nearest mates and one hub."""
+    if top:
+        best = Window.partitionBy("a", "hub").orderBy(F.desc("same"), "b")
+        each = found.groupBy("a", "b").agg(F.max("same").alias("same"), F.max("hub").alias("hub")).withColumn("place", F.row_number().over(best))
+        found = each.where(f"place <= {top} and (not hub or place = 1)")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def dealt(nodes: DataFrame, part: int) -> DataFrame:
+    """Nodes (node, id, count) in parts of about ``part`` members, each dealt in its own way."""
+    at = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("count") / part).cast("long"))
+    return nodes.select(F.when(F.col("count") > part, F.xxhash64("node", at)).otherwise(F.col("node")).alias("node"), F.lit(0).alias("side"), "id")
+
+
+def few_against_one(nodes: DataFrame, part: int) -> DataFrame:
+    """Nodes (node, id, comp, count, big) of one big group and few others: the others go to every part of the group."""
+    parts = F.ceil(F.col("count") / part).cast("long")
+    lone = F.col("comp") != F.col("big")
+    own = F.pmod(F.xxhash64("node", "id"), parts)
+    spread = nodes.withColumn("part", F.explode(F.when(lone, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))))
+    side = F.when(F.col("part") == 0, 0).when(lone, 1).otherwise(2)
+    return spread.select(F.xxhash64("node", "part").alias("node"), side.alias("side"), "id")
+
+
+def blocks(nodes: DataFrame, part: int) -> DataFrame:
+    """All pairs of a node (node, id, count) in blocks: each part meets every part of its node, itself included."""
+    parts = F.ceil(F.col("count") / part).cast("long")
+    spread = nodes.withColumn("p", F.pmod(F.xxhash64("node", "id"), parts)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    side = F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2)
+    return spread.select(F.xxhash64("node", F.least("p", "q"), F.greatest("p", "q")).alias("node"), side.alias("side"), "id")
 
 
 def marked(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
-    """Bits in which every id sets the one at its hash: about 16 for an id, never more than ``most_bits`` (8 MB)."""
+    """Bits in which every doc_id sets the one at its hash: about 16 for an id, never more than ``most_bits`` (8 MB)."""
     bits = min(most_bits, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
-    at = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
     parts = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("held"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in parts.toLocalIterator():
@@ -251,25 +271,25 @@ def marked(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
     return out
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, grams): the shingle sets of the documents that have any node mate.
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, grams): the shingle sets of the classes ``wanted`` (id, doc_id of one of its documents).
 
     Texts are sifted where they are read, by a bitmap of bounded size that holds
-    every id asked for; the join then drops what passed by chance.
+    every doc_id asked for; the join then drops what passed by chance.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(marked(ids))
+    shipped = docs.sparkSession.sparkContext.broadcast(marked(wanted))
 
     def sets(batches):
         words, held = WordHashes(), shipped.value
         for batch in batches:
-            at = batch.column(2).to_numpy() % (8 * len(held))  # of the divisor's sign, as pmod
+            at = batch.column(1).to_numpy() % (8 * len(held))  # of the divisor's sign, as pmod
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7)) & 1 == 1))
-            made = [shingles(t, words, size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "grams"])
+            made = [shingles(t, words, size) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x)[1] for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "grams"])
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    made = texts.withColumn("at", F.xxhash64("id")).mapInArrow(sets, "id long, grams binary")
-    return made.join(ids, "id", "left_semi")
+    texts = docs.where("doc_id is not null").select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("at"))
+    made = texts.mapInArrow(sets, "id long, grams binary")
+    return made.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,84 +314,98 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, small: int = 64, depth: int = 4, step: int = 8, deepest: int = 30, seed: int = 3
+    docs: DataFrame, percent: int = 85, size: int = 5, small: int = 64, part: int = 256, depth: int = 4, step: int = 8, deepest: int = 20, miss: float = 0.001, deep_miss: float = 0.01, seed: int = 3
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
-
-    A pair at the threshold meets in a tree with probability 0.64 at the first
-    depth, so eight trees miss one in 3,200; pairs over it are missed less.  Nodes
-    still large at ``deepest`` are dealt into small ones.  Rows that share a doc_id
-    are each judged by their own text.  A null doc_id, like a text that is null, empty or
-    without words, links with nothing: its component is its own doc_id and it is
-    kept.  Only doc_id and text are read.
+    """doc_id, n_shingles, component_id, kept, text_key: one row for each row of ``docs``.
+
+    ``text_key`` is the xxhash64 of the row's text.  There are so many trees that a
+    pair at the threshold has no common node with probability ``miss`` at the first
+    depth and ``deep_miss`` below it, where only large nodes lead; pairs over it are
+    missed less.  Nodes still large at ``deepest`` are compared
+    whole.  Rows that share a doc_id are each judged by their own text.  A null
+    doc_id, like a text that is null, empty or without words, links with nothing: its
+    component is its own doc_id and it is kept.  An empty table gives an empty result.
+    Only doc_id and text are read, so other columns may have any name.
     """
     spread = 4.2 * np.sqrt(percent / 100 * (1 - percent / 100) / PLACES)
     least, extra = int(PLACES * max(0.0, percent / 100 - spread)), max(0.0, 100 / percent - 1)
     drawn = materialize(sketches(docs, size, seed), "sketches")
-    linkable = drawn.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    linkable = drawn.where("id is not null and doc_id is not null")
+    classes = linkable.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     reps = classes.select("id", "n", "sig")
+    groups, tried, sets, spent = reps.select("id", F.col("id").alias("comp")), None, None, []
 
-    front, sets = materialize(branch(reps, depth, extra, trees, seed), "front"), None
-    groups, tried, held, centred, at = reps.select("id", F.col("id").alias("comp")).distinct(), None, [], [], depth
-
-    def take(found: list) -> None:
-        """Confirm the pairs that were not tried before and bring the groups up to date.
+    def take(found: DataFrame) -> bool:
+        """Confirm the pairs that were not tried before and bring the groups up to date; false without such pairs.
 
         Only links between different groups go to the search for components.
         """
-        nonlocal groups, tried
-        pairs = reduce(DataFrame.union, found).distinct()
-        new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        new = materialize(new, "pairs")
+        nonlocal groups, tried, sets
+        new = materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        spent.append(new)
         if new.isEmpty():
-            return
+            return False
         tried = new if tried is None else tried.union(new)
+        ids = new.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
+        made = materialize(full_sets(docs, classes.select("id", "doc_id").join(ids, "id"), size), "sets")
+        spent.append(made)
+        sets = made if sets is None else sets.union(made)
         linked = confirm(new, sets, percent)
         of = lambda name: groups.select(F.col("id").alias(name), F.col("comp").alias(f"{name}_comp"))
         across = linked.join(of("u"), "u").join(of("v"), "v").select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v"))
         named = components(across).withColumnsRenamed({"id": "comp", "component": "new_"})
         groups = materialize(groups.join(named, "comp", "left").select("id", F.coalesce("new_", "comp").alias("comp")), "groups")
+        spent.append(groups)
+        return True
 
-    def several(nodes: DataFrame) -> DataFrame:
-        """The rows of nodes that hold more than one group, with the members' groups."""
+    def compared(nodes: DataFrame, top: int | None) -> DataFrame:
+        """Pairs between the groups of ``nodes`` (node, side, id)."""
         named = nodes.join(groups, "id")
-        if tried is None:
-            return named
-        split = named.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        return named.join(split.select("node"), "node")
+        if tried is not None:
+            split = named.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+            named = named.join(split.select("node"), "node", "left_semi")
+        return pairs_of(compare_nodes(named.join(reps, "id").select("node", "side", "id", "n", "sig", "comp"), least, percent, top), top)
 
+    at, trees, held = depth, trees_for(depth, percent, miss), []
+    front = materialize(branch(reps, depth, extra, range(1, trees + 1), seed), "front")
     while True:
         counts = front.groupBy("node").count().where("count > 1")
-        whole = materialize(front.join(counts, "node"), "whole")
+        whole = materialize(front.join(counts, "node"), "nodes")
         drop_table(front)
-        if sets is None:  # whoever meets anyone further down meets someone here
-            sets = materialize(full_sets(docs, whole.select("id").distinct(), size), "sets")
-        held.append(whole.where(F.col("count") <= small).select("node", "id"))
+        spent.append(whole)
         large = whole.where(F.col("count") > small)
-        if large.isEmpty():
+        take(compared(dealt(whole if at == depth else large, part), 2))
+        held.append(whole.where(F.col("count") <= small).select("node", F.lit(0).alias("side"), "id"))
+        sizes = large.join(groups, "id").groupBy("node", "comp").count().groupBy("node").agg(F.sum("count").alias("all_"), F.max(F.struct("count", "comp")).alias("top"))
+        mixed_ = sizes.select("node", F.col("top.comp").alias("big"), (F.col("all_") - F.col("top.count")).alias("others")).where("others > 0")
+        open_ = materialize(large.join(mixed_, "node").join(groups, "id"), "open")
+        spent.append(open_)
+        held.append(few_against_one(open_.where(F.col("others") <= small), part))
+        heavy = open_.where(F.col("others") > small)
+        if heavy.isEmpty():
             break
-        centres = centre_pairs(large.join(reps, "id"), least, percent)
-        if at == depth:
-            take([centres])
-        else:
-            centred.append(centres)
-        open_ = several(large)
         if at >= deepest:
-            part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / small).cast("long"))
-            held.append(open_.select(F.xxhash64("node", part).alias("node"), "id"))
+            held.append(blocks(heavy, 4 * part))
             break
-        below = branch(open_.select("node", "id").join(reps, "id").select("node", "id", "sig"), step, extra)
-        front, at = materialize(below, "front"), at + step
-
-    nodes = reduce(DataFrame.union, held)
-    for top in (3, small):
-        mates = compare_nodes(several(nodes).join(reps, "id").select("node", "id", "n", "sig", "comp"), least, percent, top)
-        take([mates, *centred])
-        centred = []
-
-    owners = classes.select("set_key", "id").join(groups, "id").groupBy("set_key").agg(F.min("comp").alias("comp"))
-    joined = drawn.join(owners, "set_key", "left")
-    component = F.coalesce("comp", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        at, before = at + step, trees
+        trees = max(before, trees_for(at, percent, deep_miss))
+        below = branch(heavy.select("node", "id").join(reps, "id").select("node", "id", "sig"), step, extra)
+        members = heavy.select("id").distinct().join(reps, "id").select("id", "sig")
+        if trees > before:
+            below = below.union(branch(members, at, extra, range(before + 1, trees + 1), seed))
+        front = materialize(below, "front")
+
+    every = reduce(DataFrame.union, held)
+    if take(compared(every, 3)):  # else no two groups meet anywhere
+        take(compared(every, None))
+
+    owners = classes.join(groups, "id").select("id", "doc_id", "comp")
+    smallest = owners.groupBy("comp").agg(F.min("doc_id").alias("component"))
+    named = materialize(owners.join(smallest, "comp").select("id", "component"), "components")
+    for t in [*spent, classes]:
+        drop_table(t)
+    joined = drawn.join(named, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
