@@ -6,22 +6,26 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
     """For edges (u long, v long): one row (id, component) for each end, the component its smallest id.
 
     Every step replaces the neighbours of a node by their smallest one, counted by
     partial aggregation; a node with very many neighbours is only a frequent join
     key.  Steps run until the edges stay as they are, at most the logarithm squared
     of the longest path.  Each step's edges are a table in the shared folder.  Loops
-    and repeated edges change nothing; without edges the result is empty.
+    and repeated edges change nothing; without edges the result is empty.  After a
+    given number of ``steps`` the search ends early: rows with one component are then
+    connected, but a component may still have several names.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, seen = materialize(pairs, "edges"), None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    now, seen, done = materialize(pairs, "edges"), None, 0
+    while steps is None or done < steps:
+        done += 1
+        if steps is None:
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+            if mark == seen or not mark[0]:
+                break
+            seen = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
@@ -30,5 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_table(now)
         now = after
-    ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ends.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    ends = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return ends.distinct() if steps is None else ends.groupBy("id").agg(F.min("component").alias("component"))

@@ -9,15 +9,15 @@ are compared exhaustively on their signatures; larger ones branch further.
 
 A critical process dies out with depth, so members of nodes that branch on start
 further trees from the roots, as many as keep the share of missed pairs as small at
-the new depth.  Nodes still large at the last depth are compared
-exhaustively too, block by block.
-
-Groups are what is asked for, so pairs inside one group need no second look.  The
-first round deals every node into parts of bounded size and takes each member's
-nearest mates there; big groups of copies have joined after it, and a node in which
-one group is left with few others only compares those others with it.  The last
-round takes every pair between different groups.  Each candidate is confirmed on the
-full sets before it counts.
+the new depth.  Nodes of up to ``most`` members, and all at the last
+depth, are compared exhaustively too, block by block.
+
+Groups are what is asked for, so pairs inside one group need no second look.  An
+opening round deals the nodes of two trees into parts of bounded size and takes each
+member's nearest mates there; big groups of copies have joined after it.  Nodes
+inside one group go, and a node of one big group and few others only compares those
+others with it.  The last round takes every pair between different groups.  Each
+candidate is confirmed on the full sets before it counts.
 """
 
 import hashlib
@@ -33,6 +33,7 @@ from .common import drop_table, materialize
 from .components import components
 
 PLACES = 96
+FEW = 512
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 THIRD = np.uint64(0x165667B19E3779F9)
@@ -148,20 +149,20 @@ def trees_for(depth: int, percent: int, miss: float) -> int:
 
 
 def branch(members: DataFrame, levels: int, extra: float, trees: range | None = None, seed: int = 0) -> DataFrame:
-    """(node, id) of the children; from the roots of the numbered ``trees`` if given, else from the column node."""
+    """(node, id, comp) of the children; from the roots of the numbered ``trees`` if given, else from the column node."""
 
     def run(batches):
         for batch in batches:
-            sig, ids = matrix(batch.column("sig")), batch.column("id").to_numpy()
+            sig, ids, comp = matrix(batch.column("sig")), batch.column("id").to_numpy(), batch.column("comp").to_numpy()
             if trees:
                 roots = mixed(np.array(trees, dtype=np.uint64) * PRIME + np.uint64(seed))
                 node, row = np.repeat(roots, len(ids)), np.tile(np.arange(len(ids)), len(roots))
             else:
                 node, row = batch.column("node").to_numpy().view(np.uint64), np.arange(len(ids))
             node, row = descend(node, row, sig, levels, extra)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row])], ["node", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row]), pa.array(comp[row])], ["node", "id", "comp"])
 
-    return members.mapInArrow(run, "node long, id long")
+    return members.mapInArrow(run, "node long, id long, comp long")
 
 
 def runs_of(batches, longest: int = 1 << 16):
@@ -181,6 +182,85 @@ def runs_of(batches, longest: int = 1 << 16):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def nearest(node: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray, top: int | None) -> tuple:
+    """Pairs (i, j) of rows of one node and their score ``s``: with ``top`` each row's so many nearest mates and its node's hub."""
+    if not top:
+        return i, j, s, np.zeros(len(i), dtype=bool)
+    total = np.bincount(i, s, len(node)) + np.bincount(j, s, len(node))
+    a, b, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
+    order = np.lexsort((b, -w, a))
+    a, b, w = a[order], b[order], w[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1))
+    place = np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate((first, [len(a)]))))
+    hub = b == np.lexsort((-total, node))[np.searchsorted(node, node)][a]
+    keep = (place < top) | hub
+    return a[keep], b[keep], w[keep], hub[keep]
+
+
+def overlap(x: list, y: list) -> np.ndarray:
+    """How many values each of the sorted arrays ``x`` has in common with each of ``y``, by products of incidence matrices."""
+    every = x + y
+    values, at, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(every)), [len(v) for v in every])
+    number = np.cumsum(times > 1) - 1  # values of one array alone meet nothing
+    keep = times[at] > 1
+    row, at = row[keep], number[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at, out = row[order], at[order], np.zeros((len(x), len(y)), dtype=np.float32)
+    for start in range(0, int((times > 1).sum()), 8192):
+        a, b = np.searchsorted(at, [start, start + 8192])
+        held = np.zeros((len(every), 8192), dtype=np.float32)
+        held[row[a:b], at[a:b] - start] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out
+
+
+def within(x: list, y: list) -> np.ndarray:
+    """How many values of each of ``x`` are not over the last of each of ``y``."""
+    ends = np.array([v[-1] for v in y])
+    return np.array([np.searchsorted(v, ends, side="right") for v in x])
+
+
+def compare_sets(members: DataFrame, percent: int, top: int | None) -> DataFrame:
+    """As ``compare_nodes``, on the smallest shingles themselves (node, side, id, n, comp, few).
+
+    In a crowd of texts a little below the threshold signatures would let too many
+    pairs pass.  ``few`` holds the smallest ``FEW`` shingles; of smaller sets that is
+    all, so only pairs at the threshold pass.
+    """
+
+    def run(batches):
+        for table in runs_of(batches, 1 << 13):
+            node, side, ids, n, comp = (table.column(c).to_numpy() for c in ("node", "side", "id", "n", "comp"))
+            few = [np.frombuffer(x, dtype="<u4") for x in table.column("few").to_pylist()]
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)]))
+            left, right, same = [], [], []
+            for a, b in zip(starts[:-1], starts[1:]):
+                x, y = (np.arange(a, b),) * 2 if (side[a:b] == 0).any() else (a + np.flatnonzero(side[a:b] == k) for k in (1, 2))
+                if not len(x) or not len(y):
+                    continue
+                few_x, few_y, n_x, n_y = [few[k] for k in x], [few[k] for k in y], n[x][:, None], n[y][None, :]
+                common, whole = overlap(few_x, few_y), (n_x <= FEW) & (n_y <= FEW)
+                # of larger sets both are cut where the smallest values of one of them end
+                seen = np.where(whole, n_x, within(few_x, few_y)) + np.where(whole, n_y, within(few_y, few_x).T)
+                union = seen - common
+                slack = np.where(whole, 1.0, 4.2 * np.sqrt(union * percent / 100 * (1 - percent / 100)))
+                fits = (100 * (common + slack) >= percent * union) & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y))
+                fits &= (comp[x][:, None] != comp[y][None, :]) & (x[:, None] != y[None, :])
+                i, j = np.nonzero(fits)
+                once = i < j if x is y else np.ones(len(i), dtype=bool)
+                i, j = i[once], j[once]
+                left.append(x[i])
+                right.append(y[j])
+                same.append((1000 * common[i, j] / union[i, j]).astype(np.int64))
+            if not left or not sum(map(len, left)):
+                continue
+            i, j, s, hub = nearest(node, np.concatenate(left), np.concatenate(right), np.concatenate(same), top)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s.astype(np.int32)), pa.array(hub)], ["a", "b", "same", "hub"])
+
+    return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, same int, hub boolean")
+
+
 def compare_nodes(members: DataFrame, least: int, percent: int, top: int | None) -> DataFrame:
     """Candidate pairs (a, b, same, hub) among the rows of each node (node, side, id, n, sig, comp).
 
@@ -210,18 +290,7 @@ def compare_nodes(members: DataFrame, least: int, percent: int, top: int | None)
             if not left or not sum(map(len, left)):
                 continue
             i, j, s = np.concatenate(left), np.concatenate(right), np.concatenate(same)
-            hub = np.zeros(len(i), dtype=bool)
-            if top:
-                total = np.bincount(i, s, len(node)) + np.bincount(j, s, len(node))
-                a, b, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
-                order = np.lexsort((b, -w, a))
-                a, b, w = a[order], b[order], w[order]
-                first = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1))
-                place = np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate((first, [len(a)]))))
-                hubs = np.lexsort((-total, node))[np.searchsorted(node, node)]
-                hub = b == hubs[a]
-                keep = (place < top) | hub
-                i, j, s, hub = a[keep], b[keep], w[keep], hub[keep]
+            i, j, s, hub = nearest(node, i, j, s, top)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s.astype(np.int32)), pa.array(hub)], ["a", "b", "same", "hub"])
 
     return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, same int, hub boolean")
@@ -272,7 +341,7 @@ def marked(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, grams): the shingle sets of the classes ``wanted`` (id, doc_id of one of its documents).
+    """(id, grams, few): the shingle sets, and the upper halves of their smallest ``FEW``, of the classes ``wanted`` (id, doc_id of one of its documents).
 
     Texts are sifted where they are read, by a bitmap of bounded size that holds
     every doc_id asked for; the join then drops what passed by chance.
@@ -285,10 +354,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             at = batch.column(1).to_numpy() % (8 * len(held))  # of the divisor's sign, as pmod
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7)) & 1 == 1))
             made = [shingles(t, words, size) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x)[1] for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "grams"])
+            few = [(x[:FEW] >> np.uint64(32)).astype("<u4").tobytes() for x in made]
+            columns = ([class_of(x)[1] for x in made], [x.tobytes() for x in made], few)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["id", "grams", "few"])
 
     texts = docs.where("doc_id is not null").select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("at"))
-    made = texts.mapInArrow(sets, "id long, grams binary")
+    made = texts.mapInArrow(sets, "id long, grams binary, few binary")
     return made.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -314,15 +385,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, size: int = 5, small: int = 64, part: int = 256, depth: int = 4, step: int = 8, deepest: int = 20, miss: float = 0.001, deep_miss: float = 0.01, seed: int = 3
+    docs: DataFrame, percent: int = 85, size: int = 5, small: int = 64, part: int = 256, most: int = 4096, depth: int = 4, step: int = 8, deepest: int = 20, miss: float = 0.001, deep_miss: float = 0.01, seed: int = 3
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key: one row for each row of ``docs``.
 
     ``text_key`` is the xxhash64 of the row's text.  There are so many trees that a
     pair at the threshold has no common node with probability ``miss`` at the first
     depth and ``deep_miss`` below it, where only large nodes lead; pairs over it are
-    missed less.  Nodes still large at ``deepest`` are compared
-    whole.  Rows that share a doc_id are each judged by their own text.  A null
+    missed less.  Nodes of more than ``most`` members branch on down to ``deepest``.  Rows that share a doc_id are each judged by their own text.  A null
     doc_id, like a text that is null, empty or without words, links with nothing: its
     component is its own doc_id and it is kept.  An empty table gives an empty result.
     Only doc_id and text are read, so other columns may have any name.
@@ -334,77 +404,98 @@ def near_duplicates(
     classes = linkable.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     reps = classes.select("id", "n", "sig")
-    groups, tried, sets, spent = reps.select("id", F.col("id").alias("comp")), None, None, []
+    groups, tried, sets, links, spent = reps.select("id", F.col("id").alias("comp")), None, None, None, [classes]
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        spent.append(materialize(df, name))
+        return spent[-1]
+
+    def read(ids: DataFrame) -> None:
+        """See that the sets of these classes are there."""
+        nonlocal sets
+        ids = ids.distinct() if sets is None else ids.distinct().join(sets.select("id"), "id", "left_anti")
+        wanted = written(classes.select("id", "doc_id").join(ids, "id"), "wanted")
+        if not wanted.isEmpty():
+            made = written(full_sets(docs, wanted, size), "sets")
+            sets = made if sets is None else sets.union(made)
 
     def take(found: DataFrame) -> bool:
-        """Confirm the pairs that were not tried before and bring the groups up to date; false without such pairs.
+        """Confirm the pairs that were not tried before and join their groups; false without such pairs.
 
-        Only links between different groups go to the search for components.
+        These groups only save work, so a few steps of the search for components will do.
         """
-        nonlocal groups, tried, sets
-        new = materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        spent.append(new)
+        nonlocal groups, tried, links
+        new = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             return False
         tried = new if tried is None else tried.union(new)
-        ids = new.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
-        made = materialize(full_sets(docs, classes.select("id", "doc_id").join(ids, "id"), size), "sets")
-        spent.append(made)
-        sets = made if sets is None else sets.union(made)
-        linked = confirm(new, sets, percent)
-        of = lambda name: groups.select(F.col("id").alias(name), F.col("comp").alias(f"{name}_comp"))
-        across = linked.join(of("u"), "u").join(of("v"), "v").select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v"))
-        named = components(across).withColumnsRenamed({"id": "comp", "component": "new_"})
-        groups = materialize(groups.join(named, "comp", "left").select("id", F.coalesce("new_", "comp").alias("comp")), "groups")
-        spent.append(groups)
+        read(new.select(F.explode(F.array("a", "b")).alias("id")))
+        linked = written(confirm(new, sets, percent), "links")
+        links = linked if links is None else links.union(linked)
+        named = components(links, steps=2).withColumnRenamed("component", "comp")
+        groups = written(reps.select("id").join(named, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
         return True
 
-    def compared(nodes: DataFrame, top: int | None) -> DataFrame:
+    def compared(nodes: DataFrame, top: int | None, sharp: bool = False) -> DataFrame:
         """Pairs between the groups of ``nodes`` (node, side, id)."""
-        named = nodes.join(groups, "id")
+        named = nodes.withColumn("comp", F.col("id")) if tried is None else nodes.join(groups, "id")
         if tried is not None:
             split = named.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
             named = named.join(split.select("node"), "node", "left_semi")
-        return pairs_of(compare_nodes(named.join(reps, "id").select("node", "side", "id", "n", "sig", "comp"), least, percent, top), top)
-
-    at, trees, held = depth, trees_for(depth, percent, miss), []
-    front = materialize(branch(reps, depth, extra, range(1, trees + 1), seed), "front")
+        named = named.join(reps, "id")
+        if sharp:
+            return compare_sets(named.select("node", "side", "id", "n", "comp").join(sets.select("id", "few"), "id"), percent, top)
+        return compare_nodes(named.select("node", "side", "id", "n", "sig", "comp"), least, percent, top)
+
+    def open_nodes(front: DataFrame) -> DataFrame:
+        """The rows of nodes that hold several groups, with the node's size."""
+        sizes = front.groupBy("node").agg(F.count("*").alias("count"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        return written(front.join(sizes.select("node", "count"), "node"), "nodes")
+
+    at, trees, held, crowded = depth, trees_for(depth, percent, miss), [], []
+    opening = open_nodes(branch(reps.withColumn("comp", F.col("id")), depth, extra, range(1, 3), seed))
+    take(pairs_of(compared(dealt(opening, part), 2), 2))
+    front = branch(reps.join(groups, "id"), depth, extra, range(1, trees + 1), seed)
     while True:
-        counts = front.groupBy("node").count().where("count > 1")
-        whole = materialize(front.join(counts, "node"), "nodes")
-        drop_table(front)
-        spent.append(whole)
-        large = whole.where(F.col("count") > small)
-        take(compared(dealt(whole if at == depth else large, part), 2))
+        whole = open_nodes(written(front, "front"))
         held.append(whole.where(F.col("count") <= small).select("node", F.lit(0).alias("side"), "id"))
-        sizes = large.join(groups, "id").groupBy("node", "comp").count().groupBy("node").agg(F.sum("count").alias("all_"), F.max(F.struct("count", "comp")).alias("top"))
-        mixed_ = sizes.select("node", F.col("top.comp").alias("big"), (F.col("all_") - F.col("top.count")).alias("others")).where("others > 0")
-        open_ = materialize(large.join(mixed_, "node").join(groups, "id"), "open")
-        spent.append(open_)
-        held.append(few_against_one(open_.where(F.col("others") <= small), part))
-        heavy = open_.where(F.col("others") > small)
-        if heavy.isEmpty():
+        large = whole.where(F.col("count") > small)
+        if large.isEmpty():
             break
-        if at >= deepest:
-            held.append(blocks(heavy, 4 * part))
+        tops = large.groupBy("node", "comp").count().groupBy("node").agg(F.max(F.struct("count", "comp")).alias("top"))
+        shaped = written(large.join(tops.select("node", F.col("top.comp").alias("big"), F.col("top.count").alias("of_big")), "node"), "large")
+        few = F.col("count") - F.col("of_big") <= small
+        crowded.append(few_against_one(shaped.where(few), part))
+        heavy = shaped.where(~few)
+        further = heavy.where(F.col("count") > most) if at < deepest else heavy.limit(0)
+        crowded.append(blocks(heavy.where(F.col("count") <= most) if at < deepest else heavy, part))
+        read(shaped.select("id") if at >= deepest else shaped.where(few | (F.col("count") <= most)).select("id"))
+        if further.isEmpty():
             break
+        take(pairs_of(compared(dealt(further, part), 2), 2))
         at, before = at + step, trees
         trees = max(before, trees_for(at, percent, deep_miss))
-        below = branch(heavy.select("node", "id").join(reps, "id").select("node", "id", "sig"), step, extra)
-        members = heavy.select("id").distinct().join(reps, "id").select("id", "sig")
+        members = further.select("node", "id").join(reps, "id").join(groups, "id")
+        front = branch(members, step, extra)
         if trees > before:
-            below = below.union(branch(members, at, extra, range(before + 1, trees + 1), seed))
-        front = materialize(below, "front")
-
-    every = reduce(DataFrame.union, held)
-    if take(compared(every, 3)):  # else no two groups meet anywhere
-        take(compared(every, None))
-
-    owners = classes.join(groups, "id").select("id", "doc_id", "comp")
-    smallest = owners.groupBy("comp").agg(F.min("doc_id").alias("component"))
-    named = materialize(owners.join(smallest, "comp").select("id", "component"), "components")
-    for t in [*spent, classes]:
+            front = front.union(branch(members.dropDuplicates(["id"]), at, extra, range(before + 1, trees + 1), seed))
+
+    for top in (3, None):
+        found = compared(reduce(DataFrame.union, held), top)
+        if crowded and sets is not None:
+            found = found.union(compared(reduce(DataFrame.union, crowded), top, True))
+        if not take(pairs_of(found, top)):
+            break  # no two groups meet anywhere
+
+    owners = classes.select("id", "doc_id")
+    if links is not None:
+        owners = owners.join(components(links), "id", "left")
+        smallest = owners.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+        owners = owners.join(smallest, "component", "left").select("id", F.coalesce("least", "doc_id").alias("component"))
+    else:
+        owners = owners.withColumnRenamed("doc_id", "component")
+    named = materialize(owners, "components")
+    for t in spent:
         drop_table(t)
     joined = drawn.join(named, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

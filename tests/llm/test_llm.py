@@ -103,7 +103,7 @@ def test_pairs_in_a_crowd_below_the_threshold(spark, deepest):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_groups({i: shingle_set(t) for i, t in rows})
     assert len(set(want.values())) == 60
-    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, small=8, part=16, deepest=deepest).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, small=8, part=16, most=40, deepest=deepest).collect()}
     assert got == want
 
 
