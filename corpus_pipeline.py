@@ -7,7 +7,7 @@ stage against a plain version.
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import materialize
@@ -18,17 +18,27 @@ from corpusflow.llm.near_dup import near_duplicates
 from corpusflow.llm.packing import pack, tokenizer_json
 
 ORACLE_SQL = None
+LEAST_SCORE = 0.3
+KEY = "text_key_of_near_dup"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language stay; ``und`` (no text or no letter in it) goes."""
+    """Documents that the classifier rejects go: no letter (``und``), or a score below ``LEAST_SCORE``.
+
+    A score of 0.5 is a margin of 0, below which no language claims the text; the
+    bound lies under it, so that short or mixed texts stay.  A null text goes.  Rows are
+    judged one by one, so repeated rows share their fate; an empty table stays empty.
+    """
     told = identify(docs, train(docs), out="language_")
-    return told.where("language_.lang_pred <> 'und'").drop("language_")
+    return told.where((F.col("language_.lang_pred") != "und") & (F.col("language_.score") >= LEAST_SCORE)).drop("language_")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the texts; a text of which nothing is left goes, and n_chars follows the text."""
+    """Repeated passages leave the texts; a text of which nothing is left goes, and n_chars follows the text.
+
+    Null and empty texts stay; rows equal in id and text are one document.
+    """
     left = dedup_lines(docs, out="n_removed_").where("n_removed_ = 0 or trim(BOTH ' \\n\\t' FROM text) <> ''")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -38,24 +48,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; rows without an id stay.
 
-    Near are documents of a similarity of 0.8 or more.  A pair at 0.8 meets in a tree
-    with probability 0.58 at the first depth, so the stage takes ten trees, which miss one
-    in 5,400 of those whose nodes are small there; in nodes that branch on, more.
+    Near are documents of a similarity of 0.8 or more.  Documents are told apart by id
+    and text: different texts under one id are judged each by itself, of rows equal in
+    both one stays.  Texts that are null, empty or without words link with nothing and
+    all stay.
     """
-    gone = near_duplicates(docs, percent=80, trees=10).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = Window.partitionBy("doc_id").orderBy("text")
-    named = left.where("doc_id is not null").withColumn("row_", F.row_number().over(again)).where("row_ = 1").drop("row_")
-    return named.unionByName(left.where("doc_id is null"))
+    named = docs.withColumn(KEY, F.xxhash64("text"))
+    told = materialize(near_duplicates(docs, percent=80).withColumnRenamed("text_key", KEY).where("group_key is not null"), "told")
+    place = F.struct("doc_id", KEY)
+    first = told.groupBy("group_key").agg(F.min(place).alias("first"))
+    gone = told.join(first, "group_key").where(place != F.col("first")).select("doc_id", KEY).distinct()
+    again = told.groupBy("doc_id", KEY).count().where("count > 1").select("doc_id", KEY)
+    left = named.join(gone, ["doc_id", KEY], "left_anti")
+    once = left.join(again, ["doc_id", KEY], "left_anti")
+    several = left.join(again, ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY])
+    return once.unionByName(several).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark text go."""
+    """Documents that hold benchmark text go; null and empty texts hold none and stay, repeated rows share their fate."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, benchmark, out="found_").where("not found_.contaminated").drop("found_")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; a null or empty text is an end id alone, repeated rows repeat."""
     return pack(docs, tokenizer_json(TOKENIZER))
 
 

@@ -11,6 +11,7 @@ meets a secret.
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -54,14 +55,14 @@ def base_spans(text: str) -> list:
 def weak_parts(text: str, base: list) -> list:
     """Weak parts that overlap no base span; of those that overlap each other the first, and the longest of equals."""
     taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
+    starts, reached = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     found = set()
     for kind, needs, pattern in WEAK:
         if any(n in text for n in needs):
             for m in pattern.finditer(text):
                 a, b = m.span()
                 k = bisect_left(starts, b)
-                if not any(taken[j][1] > a for j in range(max(0, k - 3), k)):
+                if not k or reached[k - 1] <= a:
                     found.add((kind, a, b))
     parts: list = []
     for part in sorted(found, key=lambda s: (s[1], -s[2], ORDER[s[0]])):
@@ -75,7 +76,8 @@ def linked(text: str, base: list, weak: list, reach: int) -> list:
 
     Scopes are numbered by the blank lines before them.  For each role the nearest
     part on either side is enough: if that one is too far or in another scope, so
-    is every other on its side.
+    is every other on its side.  Nearest before is the one that ends last, as parts
+    may lie inside each other.
     """
     if not weak:
         return []
@@ -83,19 +85,22 @@ def linked(text: str, base: list, weak: list, reach: int) -> list:
     by_role: dict = {"secret": [], "identifier": [], "endpoint": []}
     for kind, a, b in base + weak:
         by_role[ROLE.get(kind, kind)].append((a, b))
-    for parts in by_role.values():
+    lookup = {}
+    for role, parts in by_role.items():
         parts.sort()
-    starts = {role: [a for a, _ in parts] for role, parts in by_role.items()}
+        lookup[role] = [a for a, _ in parts], list(accumulate((b for _, b in parts), max))
+
+    def near(left, right):
+        return right - left <= reach and bisect_left(breaks, right) == bisect_right(breaks, min(left, right) - 1)
 
     def meets(a, b, role):
-        parts = by_role[role]
-        at = bisect_left(starts[role], a)
-        for k in (at - 1, at, at + 1):
-            if 0 <= k < len(parts) and parts[k] != (a, b):
-                left, right = min(b, parts[k][1]), max(a, parts[k][0])
-                if right - left <= reach and bisect_left(breaks, right) == bisect_right(breaks, min(left, right) - 1):
-                    return True
-        return False
+        starts, reached = lookup[role]
+        at = bisect_left(starts, b)
+        before = bisect_left(starts, a)
+        # parts of a role never hold a weak part of another role, so those that start inside it meet it
+        if before < at:
+            return True
+        return (before > 0 and near(min(a, reached[before - 1]), a)) or (at < len(starts) and near(b, starts[at]))
 
     return [(kind, a, b) for kind, a, b in weak if any(meets(a, b, role) for role in MEETS[kind])]
 

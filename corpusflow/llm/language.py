@@ -2,7 +2,7 @@
 
 The kernel of two texts counts the blended n-grams (1 to ``max_n`` characters)
 that both hold, whatever their frequency, divided by the geometric mean of each
-text's own count.  Landmark texts stand for all training texts (Nystroem): the
+text's own count (n-grams are told apart by a hash of 20 bits).  Landmark texts stand for all training texts (Nystroem): the
 kernel to the landmarks, whitened by the landmarks' own kernel, is the feature
 vector, and one ridge regression against +1 and -1 is solved for each language.
 Texts are scored in batches by two matrix products: presence of n-grams times the
@@ -40,17 +40,23 @@ def gram_slots(text: str, max_n: int):
             yield ((rolled * MIX[1]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def presence(texts: list, slots: np.ndarray, width: int, max_n: int) -> np.ndarray:
-    """Which n-grams of the landmarks each text holds; column ``width`` takes all others."""
-    held = np.zeros((len(texts), width + 1), dtype=np.float32)
-    for row, text in zip(held, texts):
-        for grams in gram_slots(text, max_n):
-            row[slots[grams]] = 1
-    return held
+def presence(texts: list, slots: np.ndarray, width: int, max_n: int) -> tuple:
+    """Which n-grams of the landmarks each text holds (column ``width`` takes all others), and how many n-grams each has."""
+    held, own = np.zeros((len(texts), width + 1), dtype=np.float32), np.zeros(len(texts), dtype=np.float32)
+    seen = np.zeros(1 << SLOT_BITS, dtype=bool)
+    for k, text in enumerate(texts):
+        every = list(gram_slots(text, max_n))
+        for grams in every:
+            held[k, slots[grams]] = 1
+            seen[grams] = True
+        own[k] = np.count_nonzero(seen)
+        for grams in every:
+            seen[grams] = False
+    return held, own
 
 
 class KernelModel:
-    def __init__(self, texts: list, langs: list, landmarks: int, max_n: int, ridge: float, width: int, seed: int):
+    def __init__(self, texts: list, langs: list, landmarks: int, max_n: int, ridge: float, seed: int):
         self.langs = sorted(set(langs))
         self.max_n = max_n
         rng = np.random.default_rng(seed)
@@ -59,13 +65,12 @@ class KernelModel:
         count = np.zeros(1 << SLOT_BITS, dtype=np.int32)
         for s in sets:
             count[s] += 1
-        # n-grams of the landmarks, the most widely held first; ``width`` bounds the matrix
-        known = np.argsort(-count, kind="stable")[: min(width, int((count > 0).sum()))]
+        known = np.flatnonzero(count)
         self.width = len(known)
         self.slots = np.full(1 << SLOT_BITS, self.width, dtype=np.int32)
         self.slots[known] = np.arange(self.width)
-        marks = presence([texts[k] for k in chosen], self.slots, self.width, max_n)[:, : self.width]
-        self.marks, self.size = marks.T.copy(), np.sqrt(np.maximum(marks.sum(1), 1))
+        marks, size = presence([texts[k] for k in chosen], self.slots, self.width, max_n)
+        self.marks, self.size = marks[:, : self.width].T.copy(), np.sqrt(np.maximum(size, 1))
         own = self.kernel([texts[k] for k in chosen])
         values, vectors = np.linalg.eigh((own + own.T) / 2)
         keep = values > 1e-6 * max(values.max(), 1e-9)
@@ -85,8 +90,8 @@ class KernelModel:
         self.dual, self.bias = (whiten @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
 
     def kernel(self, texts: list) -> np.ndarray:
-        held = presence(texts, self.slots, self.width, self.max_n)[:, : self.width]
-        return (held @ self.marks) / self.size / np.sqrt(np.maximum(held.sum(1, keepdims=True), 1))
+        held, own = presence(texts, self.slots, self.width, self.max_n)
+        return (held[:, : self.width] @ self.marks) / self.size / np.sqrt(np.maximum(own, 1))[:, None]
 
     def predict(self, texts: list) -> list:
         """A language and a score from 0 to 1 for each text; ``und`` without any letter."""
@@ -105,34 +110,31 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 192, max_n: int = 4, ridge: float = 0.3, width: int = 12_000, seed: int = 7) -> KernelModel | None:
+def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 192, max_n: int = 4, ridge: float = 0.3, seed: int = 7) -> KernelModel | None:
     """Fit on a bounded sample of labelled documents that are not held out.
 
     The bound is about ``per_lang`` documents of each language, those with the
-    smallest hash of their id, so the sample needs no order and does not depend on
-    partitions; languages beyond the 200 most frequent are not learned.  Of a
-    training text at most 20,000 characters are used, which bounds the driver's
-    memory; prediction reads whole texts.  None without any labelled text.
+    smallest hash of id and text, so the sample needs no order and does not depend on
+    partitions; rows equal in id, language and text count once.  Every language is
+    learned, from whole texts.  None without any labelled text.
     """
     labelled = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    if not counts:
-        return None
+    counts = labelled.groupBy("lang").count()
     scale = 1 << 30
-    limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(scale * min(1.0, per_lang / n)))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.element_at(limit, F.col("lang")))
-    rows = sample.select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).collect()
-    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    limit = (scale * F.least(F.lit(1.0), per_lang / F.col("count"))).cast("long")
+    drawn = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < limit)
+    rows = drawn.select("doc_id", "lang", "text").distinct().collect()
+    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))
     if not rows:
         return None
-    return KernelModel([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, max_n, ridge, width, seed)
+    return KernelModel([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, max_n, ridge, seed)
 
 
 def identify(docs: DataFrame, model: KernelModel | None, text: str = "text", out: str = "language") -> DataFrame:
     """``docs`` and one struct column ``out``: lang_pred and score, from the whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0; without a model
-    every text is.  Each row is judged by itself, so repeated rows get equal
+    every text is.  Of languages that score alike the first by name is told.  Each row is judged by itself, so repeated rows get equal
     results; a column of the name ``out`` is replaced.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -387,9 +387,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, percent: int = 85, size: int = 5, small: int = 64, part: int = 256, most: int = 4096, depth: int = 4, step: int = 8, deepest: int = 20, miss: float = 0.001, deep_miss: float = 0.01, seed: int = 3
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_key: one row for each row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_key, group_key: one row for each row of ``docs``.
 
-    ``text_key`` is the xxhash64 of the row's text.  There are so many trees that a
+    ``text_key`` is the xxhash64 of the row's text, ``group_key`` the number of its
+    group (null where it links with nothing at all).    There are so many trees that a
     pair at the threshold has no common node with probability ``miss`` at the first
     depth and ``deep_miss`` below it, where only large nodes lead; pairs over it are
     missed less.  Nodes of more than ``most`` members branch on down to ``deepest``.  Rows that share a doc_id are each judged by their own text.  A null
@@ -488,15 +489,13 @@ def near_duplicates(
             break  # no two groups meet anywhere
 
     owners = classes.select("id", "doc_id")
-    if links is not None:
-        owners = owners.join(components(links), "id", "left")
-        smallest = owners.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-        owners = owners.join(smallest, "component", "left").select("id", F.coalesce("least", "doc_id").alias("component"))
-    else:
-        owners = owners.withColumnRenamed("doc_id", "component")
-    named = materialize(owners, "components")
+    found = components(links) if links is not None else owners.select("id", F.col("id").alias("component")).limit(0)
+    owners = owners.join(found, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("group_key"))
+    smallest = owners.groupBy("group_key").agg(F.min("doc_id").alias("component"))
+    named = materialize(owners.join(smallest, "group_key").select("id", "component", "group_key"), "components")
     for t in spent:
         drop_table(t)
     joined = drawn.join(named, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept, "text_key", F.when(F.col("doc_id").isNotNull(), F.col("group_key")).alias("group_key"))

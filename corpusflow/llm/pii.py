@@ -153,15 +153,14 @@ def examples(texts: list, size: int, seed: int) -> list:
 
 
 def train(docs: DataFrame, texts: int = 400, windows: int = 3000, hidden: int = 20, steps: int = 260, seed: int = 11) -> Tagger:
-    """Fit on labelled windows from a bounded sample of about ``texts`` documents (the smallest id hashes).
+    """Fit on labelled windows from a bounded sample of about ``texts`` whole documents.
 
-    Of a sampled text at most 20,000 characters are used; this bounds the driver's
-    memory, and searching reads whole texts.
+    They are those with the smallest hash of id and text; equal rows count once.
     """
     count = max(1, docs.count())
     scale = 1 << 30
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(scale)) < int(scale * min(1.0, texts / count)))
-    rows = [r[0] for r in sample.select(F.substring("text", 1, 20_000)).collect() if r[0]]
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(scale)) < int(scale * min(1.0, texts / count)))
+    rows = [r["text"] for r in sample.select("doc_id", "text").distinct().collect() if r["text"]]
     return fit(examples(sorted(rows), windows, seed), KINDS, hidden, LENGTH, steps, seed)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from corpusflow.llm import language
 
 
 def test_stages(spark, sf, tmp_path):
@@ -17,8 +18,35 @@ def test_stages(spark, sf, tmp_path):
         seen[name] = {r["doc_id"] for r in docs.collect()}
     assert [n for n, _ in cp.STAGES] == ["language", "line_dedup", "near_dup", "decontamination", "packing"]
     assert seen["packing"] == seen["decontamination"] <= seen["near_dup"] <= seen["line_dedup"] <= seen["language"]
-    every = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert seen["language"] == {i for i, t in every.items() if any(c.isalpha() for c in t)}
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    told = {r["doc_id"]: r["t"] for r in language.identify(source, language.train(source), out="t").collect()}
+    assert seen["language"] == {i for i, t in told.items() if t["lang_pred"] != "und" and t["score"] >= cp.LEAST_SCORE}
+
+
+ROWS = [
+    (1, "some words that stand for a text of a few lines", "en", "x", 4), (1, "some words that stand for a text of a few lines", "en", "x", 4), (2, "", "en", "y", 0), (3, None, None, None, None),
+    (4, " \t\n ", "de", "x", 4), (5, "very long " * 30_000, "en", "x", 300_000), (None, "a row without an id", "en", None, 19),
+]
+
+
+def test_stages_on_edge_cases(spark, sf, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns named as the operators' own, and an empty table."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("found", "h", "id", "count")})
+    stages = dict(cp.STAGES)
+    assert sorted(r["doc_id"] or -1 for r in stages["language"](spark, docs, sf).collect()) == [-1, 1, 1, 5]
+    assert sorted(r["doc_id"] or -1 for r in stages["near_dup"](spark, docs, sf).collect()) == [-1, 1, 2, 3, 4, 5]
+    assert {r["doc_id"] for r in stages["line_dedup"](spark, docs, sf).collect()} >= {2, 3, 4}
+    packed = stages["packing"](spark, docs, sf).collect()
+    assert sorted(r["doc_id"] or -1 for r in packed if r["piece"] == 0) == [-1, 1, 1, 2, 3, 4, 5]
+    for name, stage in cp.STAGES:
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
+
+
+def test_near_dup_tells_texts_of_one_id_apart(spark, sf):
+    a, b = "one two three four five six seven", "alpha beta gamma delta epsilon zeta"
+    docs = spark.createDataFrame([(2, a), (3, a), (3, b), (4, b)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in cp.near_dup(spark, docs, sf).collect()) == [(2, a), (3, b)]
 
 
 def test_near_dup_keeps_one_of_a_group(spark, sf):
