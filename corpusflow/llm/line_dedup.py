@@ -6,9 +6,9 @@ several; all of these count as lines here.  Nothing but the words around a cut
 decides it.  At every line a run starts that is just long enough to be looked up,
 so a passage that moves to another place has the same runs there, whatever stands
 before it.  Of these runs a sift keeps at least one in every passage of ``span``
-words.  Runs that occur more than once in the corpus are compared byte for byte
-with their first occurrence (smallest doc_id, then first in the text), and the
-match is extended over the lines around it as far as they agree.  All but the first
+words.  Runs that occur more than once in the corpus are compared byte for byte, but
+for the white space that ends a line, with their first occurrence (smallest doc_id,
+then first in the text), and the match is extended over the lines around it as far as they agree.  All but the first
 occurrence are removed.
 """
 
@@ -111,31 +111,11 @@ def sifted(lines: list, found: list, keys: list, span: int) -> list:
     return [(found[k], keys[k]) for k in sorted(kept)]
 
 
-def chunks(lines: list, window: int, ratio: int, most: int) -> list:
-    """Ranges [first line, end line) of the chunks.
-
-    A chunk of two lines or more ends where the hashes of the last ``window``
-    lines, rolled together, are 0 modulo ``ratio``, or after ``most`` lines.
-    """
-    mask, power = (1 << 64) - 1, pow(0x9E3779B97F4A7C15, window, 1 << 64)
-    hashes = [(crc32(x.strip().encode("utf-8", "surrogatepass")) + 1) * 0xC2B2AE3D27D4EB4F & mask for x in lines]
-    out, start, rolled = [], 0, 0
-    for k, h in enumerate(hashes):
-        rolled = (rolled * 0x9E3779B97F4A7C15 + h - (hashes[k - window] * power if k >= window else 0)) & mask
-        size = k + 1 - start
-        if size >= most or (size >= 2 and (rolled >> 33) % ratio == 0):
-            out.append((start, k + 1))
-            start = k + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
-
-
 def agree(x: list, y: list) -> int:
-    """How many lines from the start are equal; what stands around a line is no part of it."""
+    """How many lines from the start are equal; the white space that ends a line is no part of it."""
     n = 0
     for a, b in zip(x, y):
-        if a.strip() != b.strip():
+        if a.rstrip() != b.rstrip():
             break
         n += 1
     return n
@@ -172,7 +152,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
             rows = ([], [], [], [], [])
             for i, k, value in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = units(value) if value else []
-                bare = [x.strip().encode("utf-8", "surrogatepass") for x in lines]
+                bare = [x.rstrip().encode("utf-8", "surrogatepass") for x in lines]
                 found = runs(lines, chunk_words, least_words)
                 keys = [hashlib.blake2b(b"\n".join(bare[a:b]), digest_size=16).digest() for a, b in found]
                 for (a, b), h in sifted(lines, found, keys, span):
@@ -259,7 +239,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
             rows = ([], [], [], [])
             for r in batch.to_pylist():
                 lines, own = r["chunk"], r["chunk_0"]
-                if [x.strip() for x in lines] != [x.strip() for x in own]:
+                if [x.rstrip() for x in lines] != [x.rstrip() for x in own]:
                     continue
                 up, down = agree(r["before"], r["before_0"]), agree(r["after"], r["after_0"])
                 words = sum(len(x.split()) for x in (*lines, *r["before"][:up], *r["after"][:down]))

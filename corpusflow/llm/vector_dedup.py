@@ -70,16 +70,23 @@ def near_vectors(
     follow the number of vectors, so that a bucket stays small at any size, and
     there are ``rotations`` or as many more as find a pair at the threshold with 0.99; codes
     that differ in more than the share ``far`` of their bits are not reranked.
-    Rows that share a vec_id are each judged by their own vector.
+    Rows that share a vec_id are each judged by their own vector.  Vectors that differ
+    by a positive factor only are one class too, as their cosine is 1; classes are
+    numbered by a 64-bit hash of label and scaled vector.  Only the three columns are
+    read, so others may have any name.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # scaled by the largest component first, so that no square leaves the range of a double
+    scaled = F.transform("e", lambda x: x / F.col("top"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
     usable = F.coalesce(finite & F.exists("e", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     base = base.withColumn("ok", usable)
-    good = base.where("ok").withColumn("norm", norm).where("norm > 0")
-    classes = materialize(good.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("norm").alias("norm")), "vectors")
+    top = F.array_max(F.transform("e", F.abs))
+    good = base.where("ok").withColumn("top", top).withColumn("e", scaled).withColumn("key", F.xxhash64("label", "e"))
+    classes = good.groupBy("key").agg(F.first("label").alias("label"), F.first("e").alias("e"), F.min("vec_id").alias("vec_id"), F.count("*").alias("size"))
+    classes = materialize(classes.withColumn("norm", norm).withColumnRenamed("key", "id"), "vectors")
     lengths = sorted((r["dims"], r["count"]) for r in classes.groupBy(F.size("e").alias("dims")).count().where("count > 1").collect())
 
     def search(dims: int, count: int) -> DataFrame:
@@ -143,10 +150,9 @@ def near_vectors(
     ends = links.select("label", F.col("a").alias("id"), F.col("size_b").alias("n")).union(links.select("label", "b", "size_a"))
     degree = ends.groupBy("label", "id").agg(F.sum("n").alias("others"))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = classes.join(degree, ["label", "id"], "left").join(groups, "id", "left").select(
-        "label", "e", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
-    found = good.select("vec_id", "label", "e").join(known, ["label", "e"]).select("vec_id", "n_links", "component_id")
-    alone = base.where(~F.col("ok") | (norm == 0))
-    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    named = classes.select("id", "vec_id", "size").join(groups, "id", "left").join(degree.drop("label"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    least = named.groupBy("group").agg(F.min("vec_id").alias("component_id"))
+    known = named.join(least, "group").select(F.col("id").alias("key"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    found = good.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
+    alone = base.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

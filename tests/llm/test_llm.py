@@ -17,7 +17,7 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 EDGES = [
     (1, "Some words of a text that is long enough to hold a few shingles, and more.", "en", "x"), (1, "Some words of a text that is long enough to hold a few shingles, and more.", "en", "x"),
     (2, "", "en", "y"), (3, None, None, None), (4, " \t\n ", "de", "x"), (5, "one", "fr", "x"), (6, "one", None, "x"), (None, "a row without an id but with words", "en", None),
-    (7, "very long " * 30_000, "en", "x"), (8, "12345 !!! ???", "es", "x"), (9, "\ud83d\ude00 caf\u00e9 \u4e2d\u6587 na\u00efve", "fr", "x"),
+    (7, "very long " * 30_000, "en", "x"), (8, "12345 !!! ???", "es", "x"), (9, "\U0001F600 caf\u00e9 \u4e2d\u6587 na\u00efve", "fr", "x"),
 ]
 
 
@@ -454,6 +454,10 @@ def test_near_vector_edges(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(same).collect()}
     assert got[0] == got[49] == got[99] == (50, 0) and got[100] == (0, 100)
     assert vector_dedup.near_vectors(same.limit(0)).count() == 0
+    rows = [(1, [1.0, 0.1], 1), (1, [0.1, 1.0], 2), (2, [1.0, 0.11], 1), (3, [0.1, 1.01], 2), (4, [1e200, 1e199], 1), (5, [1e-200, 1e-201], 2)]
+    mixed = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"id": F.lit(1), "e": F.lit(2), "key": F.lit(3), "norm": F.lit(4)})
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(mixed).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1), (5, 0, 5)]
 
 
 def test_urls(spark, sf):
@@ -547,6 +551,15 @@ def test_line_dedup_removes_moved_passages(spark):
         assert got[k]["text"].startswith(own[0][:40]) and got[k]["text"].endswith(own[2][-40:])
 
 
+def test_line_dedup_compares_bytes(spark):
+    """A passage that differs in its indentation is another passage."""
+    rng = random.Random(3)
+    lines = [f"w{rng.randint(0, 10**9)} " * 9 for _ in range(6)]
+    rows = [(k, "\n".join(f"{pad}{x}" for x in lines)) for k, pad in enumerate(["", "    ", "\t", ""])]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] > 0 for k in range(4)] == [False, False, False, True]
+
+
 def test_line_dedup_edges(edges, empty):
     got = line_dedup.dedup_lines(edges)
     assert got.columns == [*edges.columns, "n_removed"]
@@ -554,16 +567,10 @@ def test_line_dedup_edges(edges, empty):
     assert got.where("text is null").count() == 1 and line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_units_and_chunks():
+def test_units_join_to_the_text():
     text = "A b. C d.\n\nE. F\nG"
     lines = line_dedup.units(text)
     assert "".join(lines) == text and line_dedup.units("") == []
-    rng = random.Random(8)
-    lines = line_dedup.units(sentences(rng, 60))
-    cuts = line_dedup.chunks(lines, 2, 2, 8)
-    assert [a for a, _ in cuts] == [0, *[b for _, b in cuts[:-1]]] and cuts[-1][1] == len(lines) and all(b - a <= 8 for a, b in cuts)
-    moved = line_dedup.chunks(["new. ", *lines], 2, 2, 8)
-    assert len({b for _, b in cuts} & {b - 1 for _, b in moved}) > 0.7 * len(cuts)
 
 
 def words_of(text):
