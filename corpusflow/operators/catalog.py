@@ -107,14 +107,18 @@ def recall_memories(memories: DataFrame, queries: DataFrame, limit: int = 5) ->
     """Memories of a query's session and the global ones, by 10 * shared words + importance; only positive scores.
 
     ``memories``: memory_id, session_id (null: global), body, importance; ``queries``:
-    query_id, session_id, text.  Global ones join no session and meet every query of
-    the (stated) query batch.
+    query_id, session_id, text.  Global ones meet a query on the words they share; of
+    those that share none only the ``limit`` most important can be among the first.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.replace(c, F.lit("\n"), F.lit(" "))), " "), lambda w: w != ""))
     body = memories.withColumn("words", words(F.col("body")))
     asked = queries.select("query_id", F.col("session_id").alias("asked_session"), words(F.col("text")).alias("asked"))
     own = body.where("session_id is not null").join(asked, F.col("session_id") == F.col("asked_session"))
-    shared = body.where("session_id is null").crossJoin(F.broadcast(asked.limit(10_000)))
+    common = body.where("session_id is null")
+    met = common.select("memory_id", F.explode("words").alias("w")).join(asked.select("query_id", F.explode("asked").alias("w")), "w").select("query_id", "memory_id").distinct()
+    first = common.orderBy(F.desc("importance"), "memory_id").limit(limit).select("memory_id")
+    met = met.union(asked.select("query_id").crossJoin(F.broadcast(first))).distinct()
+    shared = met.join(common, "memory_id").join(asked, "query_id")
     both = reduce(DataFrame.unionByName, [shared, own]).withColumn("score", (F.size(F.array_intersect("words", "asked")) * 10 + F.col("importance")).cast("long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("session_id").isNotNull(), F.desc("importance"), F.asc("memory_id"))
     return both.where("score > 0").withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < limit).select("query_id", "memory_id", "score", "rank")

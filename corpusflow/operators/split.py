@@ -118,7 +118,7 @@ def merge_short(chunks: DataFrame, size: int) -> DataFrame:
         shorter = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["section"].alias("section"), joined.alias("text"))))
         return F.when(F.size(done) == 0, F.array(new)).when(fits, shorter).otherwise(more)
 
-    return chunks.groupBy("id").agg(F.aggregate(F.slice(listed, 2, 1_000_000), F.transform(F.slice(listed, 1, 1), lambda x: F.struct(x["section"].alias("section"), x["text"].alias("text"))), add).alias("merged"))
+    return chunks.groupBy("id").agg(F.aggregate(F.slice(listed, F.lit(2), F.greatest(F.size(listed) - 1, F.lit(0))), F.transform(F.slice(listed, 1, 1), lambda x: F.struct(x["section"].alias("section"), x["text"].alias("text"))), add).alias("merged"))
 
 
 def renumber(chunks: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def spans(events: DataFrame, keys: list) -> DataFrame:
 def frames(c: Column) -> Column:
     """The data of the frames of an event stream: comments and frames without data are left out."""
     parts = F.split(F.regexp_replace(c, "\r\n", "\n"), "\n\n")
-    data = F.transform(parts, lambda p: F.trim(F.array_join(F.transform(F.filter(F.split(p, "\n"), lambda line: line.startswith("data:")), lambda line: F.trim(F.substring(line, 6, 1_000_000))), "\n")))
+    data = F.transform(parts, lambda p: F.trim(F.array_join(F.transform(F.filter(F.split(p, "\n"), lambda line: line.startswith("data:")), lambda line: F.trim(line.substr(F.lit(6), F.length(line)))), "\n")))
     return F.filter(data, lambda d: d != "")
 
 

@@ -1,5 +1,7 @@
 """Exact nearest neighbours of a stated set of query vectors."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,10 @@ METRICS = {
 def distances(base: DataFrame, queries: DataFrame, metric: str, most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, distance) of every row of ``base`` (id, v) to every query (query_id, q).
 
-    The query set is small by contract; its size is checked before it is sent to
-    all tasks.  A larger set must be searched in blocks.
+    Queries are sent to all tasks in blocks of about ``most_queries``, by a hash of
+    their id, so a block's size is bounded; each block reads ``base`` once.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search in blocks")
-    pairs = base.crossJoin(F.broadcast(queries))
-    return pairs.select("query_id", "id", METRICS[metric](F.col("v"), F.col("q")).alias("distance"))
+    blocks = max(1, -(-queries.count() // most_queries))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    pairs = (base.crossJoin(F.broadcast(queries.where(block == k))) for k in range(blocks))
+    return reduce(DataFrame.union, (p.select("query_id", "id", METRICS[metric](F.col("v"), F.col("q")).alias("distance")) for p in pairs))

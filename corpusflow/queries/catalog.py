@@ -98,14 +98,14 @@ W = "list_distinct(list_filter(string_split(lower(replace({0}, chr(10), ' ')), '
 @query(
     "memory_recall",
     f"""WITH m AS (SELECT doc_id AS memory_id, CASE WHEN doc_id % 3 > 0 THEN doc_id % 5 END AS session_id, {W.format('text')} AS w, doc_id % 4 AS importance FROM documents),
-q AS (SELECT item_id AS query_id, item_id % 5 AS session_id, {W.format('text')} AS a FROM benchmark WHERE item_id < 10),
+q AS (SELECT item_id AS query_id, item_id % 5 AS session_id, {W.format('text')} AS a FROM benchmark WHERE item_id % 20 = 0),
 s AS (SELECT query_id, memory_id, m.session_id AS ms, importance, len(list_intersect(w, a)) * 10 + importance AS score FROM m JOIN q ON m.session_id IS NULL OR m.session_id = q.session_id)
 SELECT query_id, memory_id, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ms IS NOT NULL, importance DESC, memory_id) - 1 AS rank FROM s WHERE score > 0) WHERE rank < 5""",
 )
 def memory_recall(spark, sf_dir):
     d = F.col("doc_id")
     memories = table(spark, sf_dir, "documents").select(d.alias("memory_id"), F.when(d % 3 > 0, d % 5).alias("session_id"), F.col("text").alias("body"), (d % 4).alias("importance"))
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("session_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("session_id"), "text")
     return ct.recall_memories(memories, asked)
 
 
@@ -127,10 +127,10 @@ def kv_upsert(spark, sf_dir):
 
 @query(
     "chunk_replace",
-    """SELECT l_orderkey AS document_id, l_linenumber AS chunk_index, arg_max(l_partkey, l_partkey * 10 + v) AS vector_id FROM (SELECT *, 0 AS v FROM lineitem WHERE l_orderkey < 2000 UNION ALL SELECT * REPLACE (l_partkey + 5 AS l_partkey), 1 FROM lineitem WHERE l_orderkey < 2000 AND l_orderkey % 2 = 0) GROUP BY 1, 2""",
+    """SELECT l_orderkey AS document_id, l_linenumber AS chunk_index, arg_max(l_partkey, l_partkey * 10 + v) AS vector_id FROM (SELECT *, 0 AS v FROM lineitem UNION ALL SELECT * REPLACE (l_partkey + 5 AS l_partkey), 1 FROM lineitem WHERE l_orderkey % 2 = 0) GROUP BY 1, 2""",
 )
 def chunk_replace(spark, sf_dir):
-    old = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_partkey").alias("vector_id"))
+    old = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_partkey").alias("vector_id"))
     new = old.where("document_id % 2 = 0").withColumn("vector_id", F.col("vector_id") + 5)
     return ct.upsert(ct.latest(old, ["document_id", "chunk_index"], "vector_id"), ct.latest(new, ["document_id", "chunk_index"], "vector_id"), ["document_id", "chunk_index"])
 

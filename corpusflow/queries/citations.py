@@ -34,10 +34,10 @@ def gbt7714_format(spark, sf_dir):
 @query(
     "gbt7714_catalog",
     """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '. ' || p_name || '[J]. ' || p_type || ', ' || (1990 + p_size) || ', ' || p_size || '(' || (p_partkey % 12 + 1) || '): 1-' || p_size || '.'
-ELSE p_brand || '. ' || p_name || '[M]. ' || p_type || ': Press, ' || (1990 + p_size) || '.' END AS citation FROM part WHERE p_size < 40""",
+ELSE p_brand || '. ' || p_name || '[M]. ' || p_type || ': Press, ' || (1990 + p_size) || '.' END AS citation FROM part""",
 )
 def gbt7714_catalog(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size < 40")
+    p = table(spark, sf_dir, "part")
     size, odd = F.col("p_size").cast("string"), F.col("p_partkey") % 2 == 1
     year = (F.col("p_size") + 1990).cast("string")
     cited = with_citation(
@@ -48,7 +48,7 @@ def gbt7714_catalog(spark, sf_dir):
     return cited.select(F.col("p_partkey").alias("id"), "citation")
 
 
-TAGGED = """SELECT conv_id * 1000 + turn AS answer_id, substring(text, 1, 60) || ' [@doc_' || (conv_id % 5) || ', @ext_a' || (turn % 3) || '] and [doc_' || (turn % 4) || '] end [@doc_99]' AS body FROM conversations WHERE role = 'assistant' AND NOT contains(text, '[')"""
+TAGGED = """SELECT conv_id * 1000 + turn AS answer_id, text || ' [@doc_' || (conv_id % 5) || ', @ext_a' || (turn % 3) || '] and [doc_' || (turn % 4) || '] end [@doc_99]' AS body FROM conversations WHERE role = 'assistant' AND NOT contains(text, '[')"""
 DOCS = "SELECT unnest(['doc_0', 'doc_1', 'doc_2', 'doc_3', 'doc_4', 'ext_a1', 'ext_a2']) AS source_id"
 SOURCES = ["doc_0", "doc_1", "doc_2", "doc_3", "doc_4", "ext_a1", "ext_a2"]
 
@@ -56,7 +56,7 @@ SOURCES = ["doc_0", "doc_1", "doc_2", "doc_3", "doc_4", "ext_a1", "ext_a2"]
 def tagged(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'").where(~F.col("text").contains("["))
     body = F.concat(
-        F.substring("text", 1, 60), F.lit(" [@doc_"), (F.col("conv_id") % 5).cast("string"), F.lit(", @ext_a"), (F.col("turn") % 3).cast("string"),
+        "text", F.lit(" [@doc_"), (F.col("conv_id") % 5).cast("string"), F.lit(", @ext_a"), (F.col("turn") % 3).cast("string"),
         F.lit("] and [doc_"), (F.col("turn") % 4).cast("string"), F.lit("] end [@doc_99]"),
     )
     answers = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), body.alias("body"))
@@ -120,7 +120,7 @@ def title_fuzzy_match(spark, sf_dir):
 
 
 RECORDS = "SELECT p_partkey AS id, '10.1000/' || (p_partkey % 40) AS doi, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS title, CAST(p_size AS VARCHAR) AS year, p_brand AS venue FROM part"
-REG = "SELECT 'https://doi.org/10.1000/' || s_suppkey AS doi, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN '2000' ELSE '' END AS year, 'V' || s_nationkey AS venue FROM supplier WHERE s_suppkey < 20"
+REG = "SELECT 'https://doi.org/10.1000/' || s_suppkey AS doi, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN '2000' ELSE '' END AS year, 'V' || s_nationkey AS venue FROM supplier"
 
 
 @query(
@@ -130,7 +130,7 @@ REG = "SELECT 'https://doi.org/10.1000/' || s_suppkey AS doi, s_name AS title, C
 )
 def registry_enrichment(spark, sf_dir):
     none = {c: F.lit("") for c in ("abstract", "publisher", "volume", "issue", "pages", "url")}
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier").where("s_suppkey < 20")
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     records = p.select(
         F.col("p_partkey").alias("id"), F.concat(F.lit("10.1000/"), (F.col("p_partkey") % 40).cast("string")).alias("doi"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("title"),
         F.col("p_size").cast("string").alias("year"), F.col("p_brand").alias("venue"), F.array(F.lit("local")).alias("metadata_sources"), *(v.alias(k) for k, v in none.items()),

@@ -11,13 +11,13 @@ from ..operators.vectors import distances
 from .base import Rows, query, table
 
 TOKENS = "regexp_extract_all(translate(lower({0}), '" + MARKED + "', '" + PLAIN + r"'), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
-QUESTIONS = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')}[1:8])) AS term FROM benchmark WHERE item_id < 5)"""
+QUESTIONS = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark WHERE item_id % 20 = 0)"""
 
 
-def questions(spark, sf_dir, n=5):
-    """The first eight tokens of the first benchmark items, as a batch of questions."""
-    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") < n)
-    return asked.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(tk.index_tokens(F.col("text")), 1, 8))).alias("term"))
+def questions(spark, sf_dir):
+    """The tokens of every benchmark item whose id is divisible by 20, as a batch of questions."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
+    return asked.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tk.index_tokens(F.col("text")))).alias("term"))
 
 
 def documents(spark, sf_dir):
@@ -108,17 +108,17 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tk.query_terms(F.col("text")), " ").alias("terms"))
 
 
-KNN = """SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), vec_id) - 1 AS rank FROM
-(SELECT q.vec_id AS query_id, e.vec_id, {0} AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q)) WHERE rank < 10"""
+KNN = """SELECT query_id, vec_id, rank, round(distance, 6) + 0.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), vec_id) - 1 AS rank FROM
+(SELECT q.vec_id AS query_id, e.vec_id, {0} AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE rank < 10"""
 A, B = "e.embedding::DOUBLE[]", "q.embedding::DOUBLE[]"
 
 
 def nearest(spark, sf_dir, metric):
     e = table(spark, sf_dir, "embeddings")
     base = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     best = top(distances(base, asked, metric), 10, F.round("distance", 6), F.col("id"))
-    return best.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("distance", 6).alias("distance"))
+    return best.select("query_id", F.col("id").alias("vec_id"), "rank", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query("knn_l2", KNN.format(f"pow(list_distance({A}, {B}), 2)"))
@@ -177,7 +177,7 @@ def candidates(spark, sf_dir):
     """Keyword candidates with the columns that the rule score reads; chunk_index is doc_id modulo 5."""
     docs = documents(spark, sf_dir)
     found = ranked(bm25(docs, {"chunk_text": 1.0}, questions(spark, sf_dir)))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.trim(F.substring("text", 1, 120)).alias("query"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.trim("text").alias("query"))
     joined = found.join(docs, found["doc_id"] == docs["id"]).join(asked, "query_id")
     return joined.select(
         "query_id", "query", F.expr("doc_id div 3").alias("document_id"), (F.col("doc_id") % 5).alias("chunk_index"), "doc_id", F.col("rank").alias("recall_rank"),
@@ -200,7 +200,7 @@ def phrase_sql(field):
 RULE = f"""WITH {bm25_sql({'chunk_text': 1})}, top AS ({TOP}),
 c AS (SELECT t.query_id, t.doc_id, t.doc_id // 3 AS document_id, t.doc_id % 5 AS chunk_index, t.rank AS recall_rank, title, abstract, chunk_text, d.source AS venue, lang, b.query,
  {RT.format('b.query')} AS qt, list_filter(regexp_extract_all(lower(b.query), '[a-z0-9][a-z0-9._/-]{{1,}}'), lambda w: len(w) >= 4)[1:8] AS ph
- FROM top t JOIN d ON d.id = t.doc_id JOIN (SELECT doc_id, lang FROM documents) l ON l.doc_id = t.doc_id JOIN (SELECT item_id, trim(substring(text, 1, 120)) AS query FROM benchmark) b ON b.item_id = t.query_id),
+ FROM top t JOIN d ON d.id = t.doc_id JOIN (SELECT doc_id, lang FROM documents) l ON l.doc_id = t.doc_id JOIN (SELECT item_id, trim(text) AS query FROM benchmark) b ON b.item_id = t.query_id),
 r AS (SELECT *, round(8 * {overlap_sql('title')} + 3.5 * {overlap_sql('abstract')} + 6 * {overlap_sql('chunk_text')} + 2.5 * {overlap_sql('venue')} + 2 * {overlap_sql('lang')}
  + 5 * {phrase_sql('title')} + 3.5 * {phrase_sql('chunk_text')} + 2 * {phrase_sql('abstract')}
  + CASE WHEN list_contains(regexp_extract_all(query, '\\b(19\\d{{2}}|20\\d{{2}})\\b', 1), '2020') THEN 5 ELSE 0 END

@@ -165,10 +165,10 @@ def json_list_decode(spark, sf_dir):
     return JSONS.df(spark).select("id", F.coalesce(F.array_join(listed, "|"), F.lit("")).alias("items"))
 
 
-@query("json_dict_clean", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events WHERE event_id < 500")
+@query("json_dict_clean", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
 def json_dict_clean(spark, sf_dir):
     cleaned = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: (F.trim(k) != "") & (F.trim(v) != ""))
-    return table(spark, sf_dir, "events").where("event_id < 500").select("event_id", F.coalesce(F.try_element_at(cleaned, F.lit("k")), F.lit("")).alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(cleaned, F.lit("k")), F.lit("")).alias("k"))
 
 
 INVERTED = Rows("id long, word string, pos long", [(1, "the", 0), (1, "cat", 1), (1, "saw", 2), (1, "the", 3), (1, "dog", 4), (2, "one", 0)])

@@ -114,15 +114,15 @@ def sse_parse(spark, sf_dir):
     return parsed.select("stream", F.col("pos").cast("long").alias("pos"), "j.type", "j.content", "j.answer")
 
 
-@query("delta_accumulate", "SELECT conv_id, string_agg(substring(text, 1, 20), '' ORDER BY turn) AS body FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+@query("delta_accumulate", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def delta_accumulate(spark, sf_dir):
-    deltas = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.substring("text", 1, 20).alias("body"))
+    deltas = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("body"))
     return tr.joined_chunks(deltas, ["conv_id"], "turn", "body")
 
 
-@query("group_chunks", "SELECT source, min(doc_id) AS first_seen, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents WHERE doc_id % 11 = 0 GROUP BY source")
+@query("group_chunks", "SELECT source, min(doc_id) AS first_seen, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")
 def group_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 11 = 0").groupBy("source")
+    rows = table(spark, sf_dir, "documents").groupBy("source")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")
     return rows.agg(F.min("doc_id").alias("first_seen"), F.count("*").alias("n"), ids.alias("ids"))
 
@@ -142,12 +142,12 @@ def job_states(spark, sf_dir):
     return joined.select("job_id", F.when((F.col("status") == "running") & F.col("live").isNull(), "failed").otherwise(F.col("status")).alias("status"))
 
 
-@query("sync_progress", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS current_index, count(*) OVER (PARTITION BY l_orderkey) AS total_count FROM lineitem WHERE l_orderkey < 3000")
+@query("sync_progress", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS current_index, count(*) OVER (PARTITION BY l_orderkey) AS total_count FROM lineitem")
 def sync_progress(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey")
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return rows.select("l_orderkey", "l_linenumber", F.row_number().over(w.orderBy("l_linenumber", "l_partkey")).cast("long").alias("current_index"), F.count("*").over(w).alias("total_count"))
 
 

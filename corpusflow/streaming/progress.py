@@ -1,5 +1,7 @@
 """The same counters and folds over a stream of events."""
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,12 +53,31 @@ def folded_steps(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is there now, through the stream, into a table of that name."""
+    """All that is there now, through the stream, as Parquet files in the shared folder; state lies beside them.
+
+    Every micro-batch is a folder of its own, so one that is done again replaces
+    itself.  In the mode ``complete`` the last one is the result, else all are.
+    """
     spark = stream.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/{name}{uuid.uuid4().hex}"
+    batches: list = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch-{batch}")
+        batches.append(f"{folder}/rows/batch-{batch}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    empty = spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(batches[-1:] if mode == "complete" else batches)) if batches else empty
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share; where it is unset, as in tests, one of our own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusflow-"))
+    return sc.getCheckpointDir()
 
 
 def each_batch(stream: DataFrame, checkpoint: str, action) -> None:

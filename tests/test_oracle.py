@@ -21,7 +21,7 @@ def plain(v):
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, float):
-        return None if v != v else round(v, 6)
+        return None if v != v else round(v, 6) + 0.0
     return v
 
 

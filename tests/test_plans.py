@@ -17,7 +17,7 @@ def test_hybrid_and_context(spark, sf):
     found = hy.hybrid(chunks, vectors, asked)
     counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
     assert set(counts) == {0, 1, 2} and all(0 < n <= 10 for n in counts.values())
-    external = asked.select("query_id", F.explode(F.array(*(F.lit(k) for k in range(1000, 1020)))).cast("long").alias("id")).withColumn("order", F.col("id"))
+    external = asked.select("query_id", F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(1019).cast("long"))).alias("id")).withColumn("order", F.col("id"))
     context = hy.answer_context(found, None, external).collect()
     assert all(sum(r["query_id"] == q for r in context) == 10 for q in range(3))
     first = [r for r in context if r["query_id"] == 0 and r["origin"] == 0]
