@@ -393,7 +393,8 @@ def near_duplicates(
     group (null where it links with nothing at all).    There are so many trees that a
     pair at the threshold has no common node with probability ``miss`` at the first
     depth and ``deep_miss`` below it, where only large nodes lead; pairs over it are
-    missed less.  Nodes of more than ``most`` members branch on down to ``deepest``.  Rows that share a doc_id are each judged by their own text.  A null
+    missed less.  Nodes of more than ``most`` members branch on down to ``deepest``.
+    Rows that share a doc_id are each judged by their own text.  A null
     doc_id, like a text that is null, empty or without words, links with nothing: its
     component is its own doc_id and it is kept.  An empty table gives an empty result.
     Only doc_id and text are read, so other columns may have any name.
@@ -455,7 +456,7 @@ def near_duplicates(
 
     at, trees, held, crowded = depth, trees_for(depth, percent, miss), [], []
     opening = open_nodes(branch(reps.withColumn("comp", F.col("id")), depth, extra, range(1, 3), seed))
-    take(pairs_of(compared(dealt(opening, part), 2), 2))
+    take(pairs_of(compared(dealt(opening, small), 2), 2))
     front = branch(reps.join(groups, "id"), depth, extra, range(1, trees + 1), seed)
     while True:
         whole = open_nodes(written(front, "front"))
@@ -473,7 +474,7 @@ def near_duplicates(
         read(shaped.select("id") if at >= deepest else shaped.where(few | (F.col("count") <= most)).select("id"))
         if further.isEmpty():
             break
-        take(pairs_of(compared(dealt(further, part), 2), 2))
+        take(pairs_of(compared(dealt(further, small), 2), 2))
         at, before = at + step, trees
         trees = max(before, trees_for(at, percent, deep_miss))
         members = further.select("node", "id").join(reps, "id").join(groups, "id")
@@ -481,10 +482,11 @@ def near_duplicates(
         if trees > before:
             front = front.union(branch(members.dropDuplicates(["id"]), at, extra, range(before + 1, trees + 1), seed))
 
+    crowd = written(reduce(DataFrame.union, crowded), "crowd") if crowded and sets is not None else None
     for top in (3, None):
         found = compared(reduce(DataFrame.union, held), top)
-        if crowded and sets is not None:
-            found = found.union(compared(reduce(DataFrame.union, crowded), top, True))
+        if crowd is not None:  # a table of its own, as its nodes are so much larger than the others
+            found = found.union(written(compared(crowd, top, True), "of-crowd"))
         if not take(pairs_of(found, top)):
             break  # no two groups meet anywhere
 
