@@ -47,6 +47,12 @@ def query_terms(c: Column, most: int = 32) -> Column:
     return F.slice(F.array_distinct(F.concat(words, cjk_grams(c))), 1, most)
 
 
+def phrase_terms(c: Column, most: int = 32) -> Column:
+    """The query terms as the index knows them: a term of several index tokens is a phrase, with a blank between each two."""
+    phrases = F.transform(query_terms(c, most), lambda t: F.array_join(index_tokens(t), " "))
+    return F.array_distinct(F.filter(phrases, lambda p: p != ""))
+
+
 def rule_tokens(c: Column) -> Column:
     """The token set of the rule score: words in lower case, CJK runs of up to 8 and their 2- and 3-grams."""
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9][a-z0-9._/-]{1,}"), 0)

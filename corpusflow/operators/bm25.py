@@ -12,28 +12,39 @@ from ..config import Retrieval
 from ..functions.tokens import index_tokens
 
 
-def postings(docs: DataFrame, fields: dict, terms: DataFrame) -> DataFrame:
-    """(id, term, f): the weighted count of each asked term in the fields of each row."""
+def postings(docs: DataFrame, fields: dict, terms: DataFrame, phrases: bool = False) -> DataFrame:
+    """(id, term, f): the weighted count of each asked term in the fields of each row.
 
-    def weigh(name: str, weight: float) -> Column:
-        return F.transform(index_tokens(F.col(name)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+    With ``phrases`` a term may be several tokens with blanks between them; it counts
+    where they stand side by side in one field.
+    """
+
+    def weigh(number: int, name: str, weight: float) -> Column:
+        return F.transform(index_tokens(F.col(name)), lambda t, at: F.struct(t.alias("token"), F.lit(float(weight)).alias("w"), F.lit(number).alias("field"), at.alias("at")))
 
-    weighted = F.concat(*(weigh(name, weight) for name, weight in fields.items()))
-    tokens = docs.select("id", F.explode(weighted).alias("p")).select("id", "p.term", "p.w")
+    weighted = F.concat(*(weigh(n, name, weight) for n, (name, weight) in enumerate(fields.items())))
+    tokens = docs.select("id", F.explode(weighted).alias("p")).select("id", "p.*")
     asked = terms.select("term").distinct()
-    return tokens.join(asked, "term").groupBy("id", "term").agg(F.sum("w").alias("f"))
+    if not phrases:
+        return tokens.select("id", F.col("token").alias("term"), "w").join(asked, "term").groupBy("id", "term").agg(F.sum("w").alias("f"))
+    parts = F.split("term", " ")
+    places = asked.select("term", F.size(parts).alias("n"), F.posexplode(parts).alias("k", "token"))
+    started = tokens.join(places, "token").groupBy("id", "term", "field", "n", (F.col("at") - F.col("k")).alias("start"))
+    whole = started.agg(F.count("*").alias("held"), F.first("w").alias("w")).where("held = n")
+    return whole.groupBy("id", "term").agg(F.sum("w").alias("f"))
 
 
-def bm25(docs: DataFrame, fields: dict, terms: DataFrame, allowed: Column | None = None, conf: Retrieval = Retrieval()) -> DataFrame:
+def bm25(docs: DataFrame, fields: dict, terms: DataFrame, allowed: Column | None = None, conf: Retrieval = Retrieval(), phrases: bool = False) -> DataFrame:
     """(query_id, id, score) of all rows that hold a term; a smaller score is better.
 
-    ``docs`` has id and the fields, ``terms`` (query_id, term).  ``allowed`` limits the
+    ``docs`` has id and the fields, ``terms`` (query_id, term), of several tokens each if
+    ``phrases``.  ``allowed`` limits the
     rows that are returned but not the statistics.
     """
     length = sum((F.size(index_tokens(F.col(name))) for name in fields), F.lit(0))
     sized = docs.select("id", length.alias("dl"), (F.lit(True) if allowed is None else allowed).alias("allowed"))
     corpus = sized.agg(F.count("*").alias("rows"), F.avg("dl").alias("mean"))
-    held = postings(docs, fields, terms)
+    held = postings(docs, fields, terms, phrases)
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = df.crossJoin(corpus).select("term", "mean", F.when(idf <= 0, F.lit(conf.least_idf)).otherwise(idf).alias("idf"))  # corpus is one row

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIELD_WEIGHTS, Retrieval
-from ..functions.tokens import query_terms
+from ..functions.tokens import phrase_terms
 from ..operators.bm25 import bm25, top
 from ..operators.evidence import keep_useful, local_first, merge_adjacent
 from ..operators.fusion import fuse
@@ -13,9 +13,12 @@ from ..operators.vectors import distances
 
 
 def keyword_recall(chunks: DataFrame, queries: DataFrame, fields: dict | None = None, allowed: Column | None = None, conf: Retrieval = Retrieval()) -> DataFrame:
-    """(query_id, id, rank) by weighted BM25; ``chunks`` has id and the fields, ``queries`` query_id and text."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("text")), F.lower))).alias("term"))
-    scored = bm25(chunks, fields or {k: w for k, w in FIELD_WEIGHTS.items() if k in chunks.columns}, terms, allowed, conf)
+    """(query_id, id, rank) by weighted BM25; ``chunks`` has id and the fields, ``queries`` query_id and text.
+
+    A term like ``gpt-4`` is a phrase: its tokens must stand side by side.
+    """
+    terms = queries.select("query_id", F.explode(phrase_terms(F.col("text"))).alias("term"))
+    scored = bm25(chunks, fields or {k: w for k, w in FIELD_WEIGHTS.items() if k in chunks.columns}, terms, allowed, conf, phrases=True)
     return top(scored, conf.recall_k, F.round("score", 9), F.col("id")).select("query_id", "id", "rank")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.tokens import MARKED, PLAIN, STOP_WORDS
-from ..operators.bm25 import bm25, phrase_rows, top
+from ..operators.bm25 import bm25, phrase_rows, postings, top
 from ..operators.fusion import fuse
 from ..operators.rerank import rerank
 from ..operators.vectors import distances
@@ -80,6 +80,21 @@ def phrase_match(spark, sf_dir):
     return phrase_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "With-the").select("doc_id", "n_phrase")
 
 
+@query(
+    "fts_phrase_terms",
+    f"""WITH p AS (SELECT DISTINCT query_id, a, b FROM (SELECT item_id AS query_id, unnest(t[1:len(t) - 1]) AS a, unnest(t[2:]) AS b FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark WHERE item_id % 20 = 0))),
+d AS (SELECT doc_id, unnest(t[1:len(t) - 1]) AS a, unnest(t[2:]) AS b FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents WHERE text IS NOT NULL))
+SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS n_held FROM d JOIN p USING (a, b) GROUP BY 1, 2""",
+)
+def fts_phrase_terms(spark, sf_dir):
+    """How often the documents hold any two neighbouring tokens of a question, as phrases of the keyword index."""
+    t = tk.index_tokens(F.col("text"))
+    pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(pairs)).alias("term"))
+    held = postings(documents(spark, sf_dir), {"chunk_text": 1.0}, asked, phrases=True)
+    return held.join(asked, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum("f").alias("n_held"))
+
+
 CJK = Rows("id long, text string", [(1, "强化学习方法 in deep-learning"), (2, "研究一个图"), (3, "abc"), (4, ""), (5, "中的应用与关于图神经网络 GPT-4 a/b GPT-4"), (6, None)])
 STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 GRAMS = f"""SELECT id, text, (SELECT coalesce(string_agg(substring(r, i, n), ' ' ORDER BY ri, n, i), '') FROM

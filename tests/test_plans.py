@@ -24,6 +24,13 @@ def test_hybrid_and_context(spark, sf):
     assert len(first) == counts[0] and max(r["position"] for r in first) == counts[0]
 
 
+def test_terms_of_several_tokens_are_phrases(spark):
+    chunks = spark.createDataFrame([(1, "on deep-learning and GPT-4"), (2, "learning deep things, 4 GPT"), (3, "Deep Learning"), (4, "caf\u00e9 study"), (5, "another text")], "id long, chunk_text string")
+    asked = spark.createDataFrame([(1, "deep-learning"), (2, "gpt-4"), (3, "study"), (4, "no_such-term")], "query_id long, text string")
+    got = hy.keyword_recall(chunks, asked, {"chunk_text": 1.0}).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(1, 1), (1, 3), (2, 1), (3, 4)]
+
+
 def test_ingest_is_incremental(spark, tmp_path):
     body = "A study of many things in graphs\nJournal of Graphs 2019\nAbstract: all of it. " + "word " * 200
     (tmp_path / "a.pdf").write_bytes(body.encode())
