@@ -18,6 +18,8 @@ from .common import append_struct
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 SLOT_BITS = 20
+#: The world has some 7,000 languages.
+MOST_LANGS = 10_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -116,13 +118,19 @@ def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 192, max_n: int
     The bound is about ``per_lang`` documents of each language, those with the
     smallest hash of id and text, so the sample needs no order and does not depend on
     partitions; rows equal in id, language and text count once.  Every language is
-    learned, from whole texts.  None without any labelled text.
+    learned, from whole texts; more than ``MOST_LANGS`` of them are an error.  None
+    without any labelled text.
     """
     labelled = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count()
+    counts = labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} different values of lang: these are no languages")
+    if not counts:
+        return None
     scale = 1 << 30
-    limit = (scale * F.least(F.lit(1.0), per_lang / F.col("count"))).cast("long")
-    drawn = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < limit)
+    limits = [(r["lang"], int(scale * min(1.0, per_lang / r["count"]))) for r in counts]
+    known = docs.sparkSession.createDataFrame(limits, "lang string, limit_ long")
+    drawn = labelled.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < F.col("limit_"))
     rows = drawn.select("doc_id", "lang", "text").distinct().collect()
     rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))
     if not rows:
