@@ -12,10 +12,7 @@ then first in the text), and the match is extended over the lines around it as f
 occurrence are removed.
 """
 
-import hashlib
-from itertools import accumulate
-from zlib import crc32
-
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -25,90 +22,171 @@ from pyspark.sql import types as T
 from .common import drop_table, materialize
 
 NO_ID = -(1 << 62)
+BLOCK = 1 << 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+BYTES = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * BASE
+    return (x ^ (x >> np.uint64(29))) * OTHER
+
+
+def powers(base: np.uint64, count: int) -> np.ndarray:
+    out = np.full(count, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+UP, DOWN = powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
 
 
-class WordCodes(dict):
-    def __missing__(self, word: str) -> int:
-        value = crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 >> 13 & 0xFFFFFFFF
-        if len(self) < 1_000_000:
-            self[word] = value
-        return value
+def grown(count: int) -> tuple:
+    """Powers of ``BASE`` and of its inverse, ``count`` at least; those of a block are kept for the next one."""
+    global UP, DOWN
+    if count <= len(UP):
+        return UP, DOWN
+    up, down = powers(BASE, 2 * count), powers(INVERSE, 2 * count)
+    if count <= 4 * BLOCK:
+        UP, DOWN = up, down
+    return up, down
 
 
-CODES = WordCodes()
+def codes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes in each of the ranges [a, b), none of them empty, in their order."""
+    out, k = np.zeros(len(a), dtype=np.uint64), 0
+    while k < len(a):
+        n = max(k + 1, int(np.searchsorted(b, a[k] + BLOCK, side="right")))
+        low, high = int(a[k]), int(b[n - 1])
+        up, down = grown(high - low)
+        value = BYTES[data[low:high]] * up[: high - low]
+        at = np.empty(2 * (n - k), dtype=np.int64)
+        at[::2], at[1::2] = a[k:n] - low, b[k:n] - low
+        out[k:n] = np.add.reduceat(value, at[:-1])[::2] * down[at[::2]]
+        k = n
+    return mixed(out)
 
 
-def pieces(line: str, most: int = 24, window: int = 12) -> list:
-    """A line of more than ``most`` words in pieces, cut before the words that begin the smallest pair of any ``window`` pairs.
+def sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``values`` in each of the ranges [a, b), which may overlap or be empty."""
+    up, down = grown(len(values) + 1)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    return mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+
+
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        values, size = np.minimum(values[:-size], values[size:]), 2 * size
+    rest = width - size
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
+
+
+def inner_cuts(sentence: np.ndarray, words: np.ndarray, most: int, window: int) -> np.ndarray:
+    """The words before which a sentence of more than ``most`` words is cut: they begin the smallest pair of any ``window`` pairs.
 
     Where two pairs are equally small there is no cut, so a line that repeats itself
     in a short period stays whole.
     """
-    if line.count(" ") < most:
-        return [line]
-    words = line.split(" ")
-    codes = [CODES[w] for w in words]
-    pairs = [(x * 0x85EBCA6B ^ y * 0xC2B2AE3D) & 0xFFFFFFFF for x, y in zip(codes, codes[1:])]
-    cuts, best, twin = set(), -1, -1
-    for k in range(window - 1, len(pairs)):
-        at = k - window + 1
-        if best < at:
-            seen = pairs[at : k + 1]
-            low = min(seen)
-            same = [at + n for n, v in enumerate(seen) if v == low]
-            best, twin = same[-1], same[-2] if len(same) > 1 else -1
-        elif pairs[k] < pairs[best]:
-            best, twin = k, -1
-        elif pairs[k] == pairs[best]:
-            best, twin = k, best
-        if twin < at:
-            cuts.add(best)
-    ends = sorted(c for c in cuts if c)
-    return [" ".join(words[a:b]) + " " for a, b in zip([0, *ends], ends)] + [" ".join(words[ends[-1] if ends else 0 :])]
+    at = np.flatnonzero(np.bincount(sentence)[sentence] > most) if len(sentence) else sentence
+    if len(at) <= window:
+        return at[:0]
+    own, place = sentence[at], np.arange(len(at) - 1, dtype=np.uint64)
+    pair = mixed(words[at[:-1]] * OTHER ^ words[at[1:]]) & np.uint64(0xFFFFFFFF00000000)
+    low = np.uint64(0xFFFFFFFF)
+    left, right = (least_of(x, window) & low for x in (pair | place, pair | (low - place)))
+    ok = (left == low - right) & (own[: len(left)] == own[window:])
+    cut = np.unique(left[ok].astype(np.int64))
+    return at[cut[(cut > 0) & (own[cut] == own[cut - 1])]]
+
+
+class Lines:
+    """The lines of several texts: where each starts and ends, how many words it has, its hash, and each text's first line."""
+
+    def __init__(self, texts: list, most: int = 24, window: int = 12):
+        self.raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join([*self.raw, b""]), dtype=np.uint8)
+        self.offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in self.raw])))
+        space = SPACE[data]
+        edges = np.flatnonzero(np.concatenate(([~space[0]], space[1:] != space[:-1])))
+        begin, end = edges[::2], edges[1::2]
+        stops = np.flatnonzero((data[:-1] == 46) & (data[1:] == 32)) + 2
+        starts = np.sort(np.concatenate(([0], np.flatnonzero(data == 10)[:-1] + 1, stops)))
+        words = codes(data, begin, end)
+        cuts = inner_cuts(np.searchsorted(starts, begin, side="right") - 1, words, most, window)
+        starts = np.sort(np.concatenate((starts, begin[cuts])))
+        ends = np.concatenate((starts[1:], [len(data)]))
+        last = self.offsets[1:] - 1  # the line feed that was put behind each text is no part of it
+        text = np.searchsorted(self.offsets, starts, side="right") - 1
+        real = starts < last[text]
+        self.starts, self.ends = starts[real], np.minimum(ends, last[text])[real]
+        self.firsts = np.searchsorted(self.starts, self.offsets)
+        self.text = text[real]
+
+        line = np.searchsorted(self.starts, begin, side="right") - 1
+        gap = np.maximum(self.starts[line], np.concatenate(([0], end[:-1]))) if len(begin) else begin
+        width = begin - gap
+        before = np.where(width > 0, data[np.minimum(gap, len(data) - 1)], 0).astype(np.uint64)
+        wide = np.flatnonzero(width > 1)
+        before[wide] = codes(data, gap[wide], begin[wide])
+        tokens = mixed(words + before * OTHER)
+        word_at = np.searchsorted(begin, np.concatenate((self.starts, [len(data)])))
+        self.words = np.diff(word_at)
+        self.before = np.concatenate(([0], np.cumsum(self.words)))
+        self.hash = sums(tokens, word_at[:-1], word_at[1:])
+
+    def of(self, n: int) -> list:
+        """The lines of the text ``n``, each with what ends it."""
+        low, high = self.firsts[n], self.firsts[n + 1]
+        spans = zip((self.starts[low:high] - self.offsets[n]).tolist(), (self.ends[low:high] - self.offsets[n]).tolist())
+        return [self.raw[n][a:b].decode("utf-8", "surrogatepass") for a, b in spans]
+
+    def runs(self, least: int, alone: int) -> tuple:
+        """Ranges [first line, end line) of the shortest run at each line: two lines with ``least`` words, or one with ``alone``."""
+        a = np.arange(len(self.starts))
+        b = np.maximum(a + 2, np.searchsorted(self.before, self.before[:-1] + least))
+        b = np.where(self.words >= alone, a + 1, b)
+        ok = b <= self.firsts[self.text + 1]
+        return a[ok], b[ok]
+
+    def sifted(self, a: np.ndarray, b: np.ndarray, keys: np.ndarray, span: int) -> np.ndarray:
+        """Which of the runs [a, b) have the smallest key of all that end within ``span`` words of some run's start.
+
+        They depend on nothing outside these words, so a passage of ``span`` words or
+        more holds at least one of them in each of its copies.
+        """
+        n = np.arange(len(a))
+        last = np.searchsorted(a, self.firsts[self.text[a] + 1])
+        q = np.minimum(last, np.maximum(n + 1, np.searchsorted(self.before[b], self.before[a] + span, side="right")))
+        bits = np.uint64(int(len(a)).bit_length())
+        table = (keys >> bits << bits) | (np.uint64(len(a)) - n.astype(np.uint64))  # of equal keys the last
+        level, best = np.frexp(q - n)[1] - 1, np.zeros(len(a), dtype=np.uint64)
+        for k in range(int(level.max(initial=-1)) + 1):
+            if k:
+                table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
+            at = np.flatnonzero(level == k)
+            best[at] = np.minimum(table[at], table[q[at] - (1 << k)])
+        return np.unique(len(a) - (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+
+
+def in_blocks(texts: list):
+    """(number of the first text, ``Lines`` of the texts) for texts of about ``BLOCK`` characters together; null is empty."""
+    held, size, first = [], 0, 0
+    for n, t in enumerate(texts):
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= BLOCK or n == len(texts) - 1:
+            yield first, Lines(held)
+            held, size, first = [], 0, n + 1
 
 
 def units(text: str) -> list:
     """Lines, each with what ends it; a line ends at a line feed, after a sentence, or within one of many words."""
-    out = []
-    for line in text.split("\n"):
-        parts = line.split(". ")
-        for p in parts[:-1]:
-            out.extend(pieces(p))
-            out[-1] += ". "
-        out.extend(pieces(parts[-1]))
-        out[-1] += "\n"
-    out[-1] = out[-1][:-1]
-    return [u for u in out if u]
-
-
-def runs(lines: list, least: int, alone: int) -> list:
-    """Ranges [first line, end line) of the shortest run at each line: two lines with ``least`` words, or one with ``alone``."""
-    words = [len(x.split()) for x in lines]
-    out, b, total = [], 0, 0
-    for a, own in enumerate(words):
-        while b < len(words) and not (own >= alone and b > a) and (b - a < 2 or total < least):
-            total += words[b]
-            b += 1
-        if (b - a >= 2 and total >= least) or (own >= alone and b > a):
-            out.append((a, b))
-        total -= own
-    return out
-
-
-def sifted(lines: list, found: list, keys: list, span: int) -> list:
-    """Of the runs ``found`` those whose key is the smallest of all that end within ``span`` words of some run's start.
-
-    Which they are depends on nothing outside these words, so a passage of ``span``
-    words or more holds at least one of them in each of its copies.
-    """
-    before = [0, *accumulate(len(x.split()) for x in lines)]
-    kept, q = set(), 0
-    for n, (a, _) in enumerate(found):
-        q = max(q, n + 1)
-        while q < len(found) and before[found[q][1]] - before[a] <= span:
-            q += 1
-        kept.add(min(range(n, q), key=lambda k: (keys[k], -k)))
-    return [(found[k], keys[k]) for k in sorted(kept)]
+    return Lines([text]).of(0)
 
 
 def agree(x: list, y: list) -> int:
@@ -140,7 +218,9 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     ``least_words`` words.
     Rows are told apart by (doc_id, text): rows equal in both are one document here
     and keep what one of them would; a null doc_id comes last.  Null and empty texts
-    stay as they are, and ``out`` is 0.  Runs are first counted by a 128-bit hash;
+    stay as they are, and ``out`` is 0.  Runs are first counted by a 64-bit hash
+    (of a million million different runs some 30000 share theirs with another one, and
+    a repeat of the later one of two that do stays);
     of those that repeat side by side at the same distance from their first
     occurrences only as many are compared as cover the passage with what is around
     them.  Texts move once for them and once to be rewritten.  A column of the name
@@ -149,17 +229,15 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
 
     def cut(batches):
         for batch in batches:
-            rows = ([], [], [], [], [])
-            for i, k, value in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = units(value) if value else []
-                bare = [x.rstrip().encode("utf-8", "surrogatepass") for x in lines]
-                found = runs(lines, chunk_words, least_words)
-                keys = [hashlib.blake2b(b"\n".join(bare[a:b]), digest_size=16).digest() for a, b in found]
-                for (a, b), h in sifted(lines, found, keys, span):
-                    for column, v in zip(rows, (i, k, a, b, h)):
-                        column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "first", "end_", "h"])
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, lines in in_blocks(batch.column(2).to_pylist()):
+                a, b = lines.runs(chunk_words, least_words)
+                h = sums(lines.hash, a, b)
+                held = lines.sifted(a, b, h, span)
+                a, b, h = a[held], b[held], h[held]
+                low, row = lines.firsts[lines.text[a]], at + lines.text[a]
+                columns = (ids[row], keys[row], (a - low).astype(np.int32), (b - low).astype(np.int32), h.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i_", "k_", "first", "end_", "h"])
 
     def pick(batches):
         """Of repeats that touch, at one distance from their first occurrences: the ends, and between them at most ``reach`` + 2 lines apart."""
@@ -176,7 +254,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                         last = m["first"]
                         for column, v in zip(rows, (i, k, last, m["h"])):
                             column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "first", "h"])
 
     kept = [c for c in docs.columns if c != out]
@@ -187,7 +265,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     keyed = plain.select(number.alias("i_"), F.xxhash64(names[at_text]).alias("k_"), F.struct(*names).alias("row_"))
 
     texts = keyed.select("i_", "k_", f"row_.{names[at_text]}")
-    found = materialize(texts.mapInArrow(cut, "i_ long, k_ long, first int, end_ int, h binary"), "chunks")
+    found = materialize(texts.mapInArrow(cut, "i_ long, k_ long, first int, end_ int, h long"), "chunks")
     spot = F.xxhash64("i_", "k_", "first")
     repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
     seen = materialize(found.join(repeated, "h", "left_semi"), "repeats")
@@ -197,7 +275,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     origin = (F.col("least.i_").alias("i_0"), F.col("least.k_").alias("k_0"), F.col("least.first").alias("f_0"))
     again = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", *origin).alias("at"))
     texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
-    picked = materialize(texts_again.mapInArrow(pick, "i_ long, k_ long, first int, h binary"), "picked")
+    picked = materialize(texts_again.mapInArrow(pick, "i_ long, k_ long, first int, h long"), "picked")
     needed = least.join(picked.select("h").distinct(), "h", "left_semi").select("least.i_", "least.k_", "least.first", "h")
     spots = picked.withColumn("is_first", F.lit(False)).unionByName(needed.withColumn("is_first", F.lit(True)))
     marks = spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "h", "is_first")).alias("marks"))
@@ -210,27 +288,34 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
             n += 1
         return n
 
+    def laid_out(values: list):
+        """Of each text its lines, their words, and where the run at each line ends."""
+        for _, lines in in_blocks(values):
+            a, b = lines.runs(chunk_words, least_words)
+            ends = dict(zip(a.tolist(), b.tolist()))
+            for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
+                yield lines.of(n), lines.words[low:high].tolist(), {x - low: ends[x] - low for x in range(low, high) if x in ends}
+
     def read(batches):
         for batch in batches:
             rows = ([], [], [], [], [], [], [], [], [])
             ids, keys = batch.column("i_").to_pylist(), batch.column("k_").to_pylist()
             values = pc.struct_field(batch.column("row_"), [at_text]).to_pylist()
-            for i, k, value, at in zip(ids, keys, values, batch.column("marks").to_pylist()):
-                lines = units(value)
-                ends, counts = dict(runs(lines, chunk_words, least_words)), [len(x.split()) for x in lines]
+            marks = batch.column("marks").to_pylist()
+            for i, k, at, lines, words, ends in ((ids[n], keys[n], marks[n], *t) for n, t in enumerate(laid_out(values))):
                 for m in at:
                     a, b = m["first"], ends[m["first"]]
-                    up, down = side(counts[:a][::-1]), side(counts[b:])
+                    up, down = side(words[:a][::-1]), side(words[b:])
                     around = (lines[a:b], lines[a - up : a][::-1], lines[b : b + down])
                     for column, v in zip(rows, (m["h"], m["is_first"], i, k, a, b, *around)):
                         column.append(v)
             lists = pa.list_(pa.string())
-            kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), lists, lists, lists)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), lists, lists, lists)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "is_first", "i_", "k_", "a", "b", "chunk", "before", "after"])
 
     # both uses of the texts take whole rows, so they share one exchange
     occurrence = keyed.join(marks, ["i_", "k_"]).mapInArrow(
-        read, "h binary, is_first boolean, i_ long, k_ long, a int, b int, chunk array<string>, before array<string>, after array<string>"
+        read, "h long, is_first boolean, i_ long, k_ long, a int, b int, chunk array<string>, before array<string>, after array<string>"
     )
     first = occurrence.where("is_first").select("h", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
 
