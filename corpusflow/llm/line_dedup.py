@@ -190,10 +190,10 @@ def units(text: str) -> list:
 
 
 def agree(x: list, y: list) -> int:
-    """How many lines from the start are equal; the white space that ends a line is no part of it."""
+    """How many lines from the start are equal."""
     n = 0
     for a, b in zip(x, y):
-        if a.rstrip() != b.rstrip():
+        if a != b:
             break
         n += 1
     return n
@@ -268,17 +268,18 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     found = materialize(texts.mapInArrow(cut, "i_ long, k_ long, first int, end_ int, h long"), "chunks")
     spot = F.xxhash64("i_", "k_", "first")
     repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
+    repeated = materialize(repeated, "repeated")  # a table, so that the join can split a hot hash
     seen = materialize(found.join(repeated, "h", "left_semi"), "repeats")
     drop_table(found)
+    drop_table(repeated)
     place = F.struct(F.col("i_") == NO_ID, "i_", "k_", "first")
-    least = seen.groupBy("h").agg(F.min(place).alias("least"))
+    least = materialize(seen.groupBy("h").agg(F.min(place).alias("least")), "least")
     origin = (F.col("least.i_").alias("i_0"), F.col("least.k_").alias("k_0"), F.col("least.first").alias("f_0"))
     again = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", *origin).alias("at"))
     texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
     picked = materialize(texts_again.mapInArrow(pick, "i_ long, k_ long, first int, h long"), "picked")
+    drop_table(seen)
     needed = least.join(picked.select("h").distinct(), "h", "left_semi").select("least.i_", "least.k_", "least.first", "h")
-    spots = picked.withColumn("is_first", F.lit(False)).unionByName(needed.withColumn("is_first", F.lit(True)))
-    marks = spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "h", "is_first")).alias("marks"))
 
     def side(counts: list) -> int:
         """How many lines to compare on a side where the next ones have so many words."""
@@ -288,6 +289,10 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
             n += 1
         return n
 
+    def joined(lines: list) -> str:
+        """Lines in one string, each without the white space that ends it and with a line feed, which no line holds elsewhere."""
+        return "".join([x.rstrip() + "\n" for x in lines])
+
     def laid_out(values: list):
         """Of each text its lines, their words, and where the run at each line ends."""
         for _, lines in in_blocks(values):
@@ -298,7 +303,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
 
     def read(batches):
         for batch in batches:
-            rows = ([], [], [], [], [], [], [], [], [])
+            rows = ([], [], [], [], [], [], [], [])
             ids, keys = batch.column("i_").to_pylist(), batch.column("k_").to_pylist()
             values = pc.struct_field(batch.column("row_"), [at_text]).to_pylist()
             marks = batch.column("marks").to_pylist()
@@ -306,37 +311,38 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                 for m in at:
                     a, b = m["first"], ends[m["first"]]
                     up, down = side(words[:a][::-1]), side(words[b:])
-                    around = (lines[a:b], lines[a - up : a][::-1], lines[b : b + down])
-                    for column, v in zip(rows, (m["h"], m["is_first"], i, k, a, b, *around)):
+                    around = (joined(lines[a:b]), joined(lines[a - up : a][::-1]), joined(lines[b : b + down]))
+                    for column, v in zip(rows, (m["h"], i, k, a, b, *around)):
                         column.append(v)
-            lists = pa.list_(pa.string())
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), lists, lists, lists)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "is_first", "i_", "k_", "a", "b", "chunk", "before", "after"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "i_", "k_", "a", "b", "chunk", "before", "after"])
+
+    def occurrences(spots: DataFrame) -> DataFrame:
+        """The lines at and around ``spots`` (i_, k_, first, h); all uses of the texts take whole rows, so they share one exchange."""
+        marks = spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "h")).alias("marks"))
+        return keyed.join(marks, ["i_", "k_"]).mapInArrow(read, "h long, i_ long, k_ long, a int, b int, chunk string, before string, after string")
 
-    # both uses of the texts take whole rows, so they share one exchange
-    occurrence = keyed.join(marks, ["i_", "k_"]).mapInArrow(
-        read, "h long, is_first boolean, i_ long, k_ long, a int, b int, chunk array<string>, before array<string>, after array<string>"
-    )
-    first = occurrence.where("is_first").select("h", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
+    first = occurrences(needed).select("h", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
 
     def compare(batches):
         for batch in batches:
             rows = ([], [], [], [])
-            for r in batch.to_pylist():
-                lines, own = r["chunk"], r["chunk_0"]
-                if [x.rstrip() for x in lines] != [x.rstrip() for x in own]:
+            names_in = ("i_", "k_", "a", "b", "chunk", "chunk_0", "before", "before_0", "after", "after_0")
+            for i, k, a, b, own, other, *around in zip(*(batch.column(c).to_pylist() for c in names_in)):
+                if own != other:
                     continue
-                up, down = agree(r["before"], r["before_0"]), agree(r["after"], r["after_0"])
-                words = sum(len(x.split()) for x in (*lines, *r["before"][:up], *r["after"][:down]))
+                before, before_0, after, after_0 = (x.split("\n")[:-1] for x in around)
+                up, down = agree(before, before_0), agree(after, after_0)
+                words = len(own.split()) + sum(len(x.split()) for x in (*before[:up], *after[:down]))
                 if words < least_words:
-                    words += shared_words(r["before"], r["before_0"], up, -1) + shared_words(r["after"], r["after_0"], down, 1)
+                    words += shared_words(before, before_0, up, -1) + shared_words(after, after_0, down, 1)
                 if words >= least_words:
-                    for column, v in zip(rows, (r["i_"], r["k_"], r["a"] - up, r["b"] + down)):
+                    for column, v in zip(rows, (i, k, a - up, b + down)):
                         column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "a", "b"])
 
-    gone = occurrence.where("not is_first").join(first, "h").mapInArrow(compare, "i_ long, k_ long, a int, b int")
+    gone = occurrences(picked).join(first, "h").mapInArrow(compare, "i_ long, k_ long, a int, b int")
     ranges = gone.groupBy("i_", "k_").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
     def rewrite(batches):
