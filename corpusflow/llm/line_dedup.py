@@ -9,7 +9,7 @@ before it.  Of these runs a sift keeps at least one in every passage of ``span``
 words.  Runs that occur more than once in the corpus are compared byte for byte, but
 for the white space that ends a line, with their first occurrence (smallest doc_id,
 then first in the text), and the match is extended over the lines around it as far as they agree.  All but the first
-occurrence are removed.
+occurrence are removed.  Runs and cuts count words between ASCII white space.
 """
 
 import numpy as np
