@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 
-def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
-    """For edges (u long, v long): one row (id, component) for each end, the component its smallest id.
+def contracted(edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, of the same components as ``edges`` (u long, v long), pulled towards the smallest ids.
 
     Every step replaces the neighbours of a node by their smallest one, counted by
     partial aggregation; a node with very many neighbours is only a frequent join
     key.  Steps run until the edges stay as they are, at most the logarithm squared
-    of the longest path.  Each step's edges are a table in the shared folder.  Loops
-    and repeated edges change nothing; without edges the result is empty.  After a
-    given number of ``steps`` the search ends early: rows with one component are then
-    connected, but a component may still have several names.
+    of the longest path; each node then has one edge, to the smallest id of its
+    component.  A given number of ``steps`` ends the search early, and a later call
+    goes on from its result.  Each step's edges are a table in the shared folder.
+    Loops and repeated edges change nothing.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, seen, done = materialize(pairs, "edges"), None, 0
@@ -28,11 +28,25 @@ def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
             seen = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_table(now)
         now = after
-    ends = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
-    return ends.distinct() if steps is None else ends.groupBy("id").agg(F.min("component").alias("component"))
+    return now
+
+
+def named(edges: DataFrame) -> DataFrame:
+    """(id, component) of contracted edges: of each node its smallest neighbour, itself included.
+
+    Rows with one component are connected; while the edges are not contracted to the
+    end, a component may have several names.
+    """
+    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return ends.groupBy("id").agg(F.min("component").alias("component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """For edges (u long, v long): one row (id, component) for each end, the component its smallest id; empty without edges."""
+    return named(contracted(edges))

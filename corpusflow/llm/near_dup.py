@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
-from .components import components
+from .components import components, contracted, named
 
 PLACES = 96
 FEW = 512
@@ -335,7 +335,7 @@ def marked(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
     parts = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("held"))
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most 2048 rows of 4 KB, and one job instead of one for each partition
         out[(row["part"] - 1) * 4096 :][:4096] = np.frombuffer(row["held"], np.uint8)
     return out
 
@@ -425,6 +425,7 @@ def near_duplicates(
         """Confirm the pairs that were not tried before and join their groups; false without such pairs.
 
         These groups only save work, so a few steps of the search for components will do.
+        The next call goes on from the edges they leave, which connect the same classes.
         """
         nonlocal groups, tried, links
         new = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -433,21 +434,22 @@ def near_duplicates(
         tried = new if tried is None else tried.union(new)
         read(new.select(F.explode(F.array("a", "b")).alias("id")))
         linked = written(confirm(new, sets, percent), "links")
-        links = linked if links is None else links.union(linked)
-        named = components(links, steps=2).withColumnRenamed("component", "comp")
-        groups = written(reps.select("id").join(named, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
+        links = contracted(linked if links is None else links.union(linked), steps=2)
+        spent.append(links)
+        names = named(links).withColumnRenamed("component", "comp")
+        groups = written(reps.select("id").join(names, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
         return True
 
     def compared(nodes: DataFrame, top: int | None, sharp: bool = False) -> DataFrame:
         """Pairs between the groups of ``nodes`` (node, side, id)."""
-        named = nodes.withColumn("comp", F.col("id")) if tried is None else nodes.join(groups, "id")
+        marks = nodes.withColumn("comp", F.col("id")) if tried is None else nodes.join(groups, "id")
         if tried is not None:
-            split = named.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-            named = named.join(split.select("node"), "node", "left_semi")
-        named = named.join(reps, "id")
+            split = marks.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+            marks = marks.join(split.select("node"), "node", "left_semi")
+        marks = marks.join(reps, "id")
         if sharp:
-            return compare_sets(named.select("node", "side", "id", "n", "comp").join(sets.select("id", "few"), "id"), percent, top)
-        return compare_nodes(named.select("node", "side", "id", "n", "sig", "comp"), least, percent, top)
+            return compare_sets(marks.select("node", "side", "id", "n", "comp").join(sets.select("id", "few"), "id"), percent, top)
+        return compare_nodes(marks.select("node", "side", "id", "n", "sig", "comp"), least, percent, top)
 
     def open_nodes(front: DataFrame) -> DataFrame:
         """The rows of nodes that hold several groups, with the node's size."""
@@ -494,10 +496,10 @@ def near_duplicates(
     found = components(links) if links is not None else owners.select("id", F.col("id").alias("component")).limit(0)
     owners = owners.join(found, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("group_key"))
     smallest = owners.groupBy("group_key").agg(F.min("doc_id").alias("component"))
-    named = materialize(owners.join(smallest, "group_key").select("id", "component", "group_key"), "components")
+    owned = materialize(owners.join(smallest, "group_key").select("id", "component", "group_key"), "components")
     for t in spent:
         drop_table(t)
-    joined = drawn.join(named, "id", "left")
+    joined = drawn.join(owned, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept, "text_key", F.when(F.col("doc_id").isNotNull(), F.col("group_key")).alias("group_key"))
