@@ -6,8 +6,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TAG = r"\[((?:@?(?:doc|ext)_[A-Za-z0-9_\-]+)(?:\s*[,，;；]\s*@?(?:doc|ext)_[A-Za-z0-9_\-]+)*)\]"
-SOURCE = r"(?:doc|ext)_[A-Za-z0-9_\-]+"
+#: A tag of sources in an answer, one source inside it, and the line that opens the list of references.
+TAG = r"\[\s*((?:@?(?:doc|ext)_[A-Za-z0-9_.-]+)(?:\s*[,;，；、]\s*@?(?:doc|ext)_[A-Za-z0-9_.-]+)*)\s*\]"
+SOURCE = r"(?:doc|ext)_[A-Za-z0-9_.-]+"
+HEADING = r"(?i)^(?:参考文献|references)\s*[:：]?$"
+
+
+def without_references(body: Column) -> Column:
+    """The text before the first line that says only that references follow; blanks at the ends go."""
+    lines = F.split(F.coalesce(body, F.lit("")), r"\r\n|\n|\r")
+    at = F.array_position(F.transform(lines, lambda x: F.trim(x, F.lit(" \t")).rlike(HEADING)), True)
+    return F.regexp_replace(F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(F.coalesce(body, F.lit(""))), r"^\s+|\s+$", "")
 
 
 def source_ids(body: Column) -> Column:
@@ -18,21 +27,22 @@ def source_ids(body: Column) -> Column:
 def numbered(answers: DataFrame, documents: DataFrame) -> DataFrame:
     """(answer_id, source_id, number): numbers from 1 by first appearance; ids without a document have none.
 
-    ``answers`` (answer_id, body), ``documents`` (answer_id, source_id, ...).
+    ``answers`` (answer_id, body), ``documents`` (answer_id, source_id, ...).  A list of
+    references that an answer brings along is not read.
     """
-    tags = answers.select("answer_id", F.posexplode(source_ids(F.col("body"))).alias("pos", "source_id"))
+    tags = answers.select("answer_id", F.posexplode(source_ids(without_references(F.col("body")))).alias("pos", "source_id"))
     first = tags.join(documents.select("answer_id", "source_id").distinct(), ["answer_id", "source_id"]).groupBy("answer_id", "source_id").agg(F.min("pos").alias("pos"))
     return first.select("answer_id", "source_id", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos")).cast("long").alias("number"))
 
 
 def render(answers: DataFrame, bound: DataFrame, references: DataFrame) -> DataFrame:
-    """Answers with numbers for tags, and the list of references behind them.
+    """Answers with numbers for tags, and the list of references behind them; a list of their own goes.
 
     ``references`` (answer_id, source_id, citation).
     """
     listed = F.array_sort(F.collect_list(F.struct("number", "source_id", "citation")))
     lists = bound.join(references, ["answer_id", "source_id"]).groupBy("answer_id").agg(listed.alias("refs"))
-    joined = answers.join(lists, "answer_id", "left").withColumn("tags", F.array_distinct(F.regexp_extract_all("body", F.lit(TAG), 0)))
+    joined = answers.withColumn("body", without_references(F.col("body"))).join(lists, "answer_id", "left").withColumn("tags", F.array_distinct(F.regexp_extract_all("body", F.lit(TAG), 0)))
     number_of = F.coalesce(F.map_from_entries(F.transform("refs", lambda r: F.struct(r["source_id"], r["number"]))), F.expr("cast(map() as map<string,bigint>)"))
 
     def replacement(tag: Column) -> Column:
@@ -40,7 +50,7 @@ def render(answers: DataFrame, bound: DataFrame, references: DataFrame) -> DataF
         return F.when(F.size(numbers) == 0, "").otherwise(F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda n: n.cast("string")), ","), F.lit("]")))
 
     body = F.aggregate("tags", F.col("body"), lambda text, tag: F.replace(text, tag, replacement(tag)))
-    tidy = F.regexp_replace(F.regexp_replace(F.trim(body), "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
+    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"^\s+|\s+$", ""), "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
     lines = F.array_join(F.transform("refs", lambda r: F.concat(F.lit("["), r["number"].cast("string"), F.lit("] "), r["citation"])), "\n")
     out = joined.withColumn("numbers", number_of).withColumn("plain", tidy)
     return out.select("answer_id", F.when(F.col("refs").isNull(), F.col("plain")).otherwise(F.concat("plain", F.lit("\n\n参考文献\n"), lines)).alias("answer"))

@@ -1,8 +1,11 @@
 """Cutting texts into chunks: by separators, by pages and by sections."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import Chunking
 
@@ -100,25 +103,36 @@ def merge_sections(sections: DataFrame, keys: list) -> DataFrame:
     return runs.groupBy("id", "run", *keys).agg(F.min("pos").alias("pos"), F.count("*").alias("n_merged"), F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def merge_short(chunks: DataFrame, size: int) -> DataFrame:
-    """Neighbours of one section joined while the joined text fits ``size``: one row for each document.
+def merge_short(chunks: DataFrame, size: int, keys: list) -> DataFrame:
+    """Neighbours (by pos) with equal keys joined while the joined text fits ``size``: (id, chunk_index, keys, text).
 
-    The fold is sequential within a document, so it runs over the document's list.
+    Rows of a document come to one task in order and are folded as they stream by, so
+    the cost is linear in their number and one open chunk is held at a time.
     """
-    item = F.struct("pos", "section", "text")
-    listed = F.array_sort(F.collect_list(item))
-    none = F.expr("cast(array() as array<struct<section: string, text: string>>)")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(last["text"], F.lit("\n\n"), x["text"])
-        fits = (last["section"] == x["section"]) & (F.length(joined) <= size)
-        new = F.struct(x["section"].alias("section"), x["text"].alias("text"))
-        more = F.concat(done, F.array(new))
-        shorter = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["section"].alias("section"), joined.alias("text"))))
-        return F.when(F.size(done) == 0, F.array(new)).when(fits, shorter).otherwise(more)
-
-    return chunks.groupBy("id").agg(F.aggregate(F.slice(listed, F.lit(2), F.greatest(F.size(listed) - 1, F.lit(0))), F.transform(F.slice(listed, 1, 1), lambda x: F.struct(x["section"].alias("section"), x["text"].alias("text"))), add).alias("merged"))
+    ordered = chunks.select("id", *keys, "text", "pos").repartition("id").sortWithinPartitions("id", "pos").select("id", *keys, "text")
+    schema = T.StructType([ordered.schema["id"], T.StructField("chunk_index", T.LongType()), *(ordered.schema[k] for k in keys), T.StructField("text", T.StringType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def fold(batches):
+        group, texts, length, index, begun = None, [], 0, 0, False
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                own, text = row[:-1], row[-1] or ""
+                if begun and own == group and length + 2 + len(text) <= size:
+                    texts.append(text)
+                    length += 2 + len(text)
+                    continue
+                if begun:
+                    done.append((group[0], index, *group[1:], "\n\n".join(texts)))
+                index = index + 1 if begun and own[0] == group[0] else 0
+                group, texts, length, begun = own, [text], len(text), True
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [()] * len(kinds), kinds)], schema.names)
+        if begun:
+            last = (group[0], index, *group[1:], "\n\n".join(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last, kinds)], schema.names)
+
+    return ordered.mapInArrow(fold, schema)
 
 
 def renumber(chunks: DataFrame) -> DataFrame:
@@ -134,18 +148,10 @@ def find_anchor(text: Column, anchor: Column, start: Column) -> Column:
 
     def loose(a: Column) -> Column:
         escaped = F.regexp_replace(a, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-        pattern = F.concat(F.lit("(?i)"), F.regexp_replace(escaped, r"\s+", r"\\s+"))
-        return F.regexp_instr(rest, pattern) - 1 + start
-
-    direct = F.locate(clean, text, 1) if not isinstance(start, Column) else F.instr(rest, clean) - 1 + start
-    return (
-        F.when(clean == "", -1)
-        .when(F.instr(rest, clean) > 0, direct)
-        .when(loose(clean) >= start, loose(clean))
-        .when(loose(F.trim(F.substring(clean, 1, 30))) >= start, loose(F.trim(F.substring(clean, 1, 30))))
-        .otherwise(-1)
-        .cast("long")
-    )
+        return F.concat(F.lit("(?i)"), F.regexp_replace(escaped, r"\s+", r"\\s+"))
+
+    tries = (F.instr(rest, clean), F.regexp_instr(rest, loose(clean)), F.regexp_instr(rest, loose(F.trim(F.substring(clean, 1, 30)))))
+    return F.when(clean == "", -1).otherwise(F.coalesce(*(F.nullif(t, F.lit(0)) for t in tries), -start) - 1 + start).cast("long")
 
 
 def abstract_window(pages: Column, pattern: str = r"(?i)\babstract\b|摘\s*要", most: int = 18_000) -> Column:

@@ -1,33 +1,104 @@
-"""Exact nearest neighbours of a stated set of query vectors."""
+"""Nearest neighbours of a stated set of query vectors: blocks of queries against Arrow batches of vectors.
+
+A task holds one batch of vectors and one block of queries and multiplies the two as
+matrices.  Of each batch only what can be among the first k goes on, with all ties, so
+the exchange before the final ranks moves about k rows for each query and task.
+"""
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
+def matrix(column: pa.Array) -> tuple:
+    """(row numbers, matrix) of the vectors of each length; nulls and vectors with null entries are left out."""
+    column = column.cast(pa.list_(pa.float64()))
+    lengths = np.array([-1 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()])
+    found = {}
+    for dims in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == dims)
+        m = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        whole = ~np.isnan(m).any(1)
+        found[int(dims)] = rows[whole], m[whole]
+    return found
+
 
+def measured(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a to all rows of b."""
+    inner = a @ b.T
+    if metric == "inner":
+        return -inner
+    aa, bb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1.0 - inner / (np.sqrt(aa) * np.sqrt(bb))
+    if metric == "l2":
+        return np.maximum(aa + bb - 2 * inner, 0.0)
+    raise ValueError(f"unknown metric {metric}")
 
-METRICS = {
-    "l2": squared_distance,
-    "cosine": lambda a, b: 1.0 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))),
-    "inner": lambda a, b: -dot(a, b),
-}
 
+def blocks_of(queries: DataFrame, most_bytes: int) -> list:
+    """The queries in blocks of about ``most_bytes``, by a hash of their id; their number comes from one count."""
+    told = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    count = max(1, -(-told[0] * (told[1] + 1) * 8 // most_bytes))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == k) for k in range(count)]
 
-def distances(base: DataFrame, queries: DataFrame, metric: str, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, distance) of every row of ``base`` (id, v) to every query (query_id, q).
 
-    Queries are sent to all tasks in blocks of about ``most_queries``, by a hash of
-    their id, so a block's size is bounded; each block reads ``base`` once.
+def nearest(base: DataFrame, queries: DataFrame, metric: str, k: int, cells: bool = False, digits: int = 9, most_bytes: int = 32_000_000) -> DataFrame:
+    """(query_id, id, distance): of ``base`` (id, v) for each query (query_id, q) at least all that are among its first k.
+
+    Distances that agree to ``digits`` decimals tie, and ties are all kept, so a window
+    over the result gives the exact first k in any order of ids.  With ``cells`` a query
+    meets only the rows whose ``cell`` is in its array ``cells``.  Queries go to
+    the tasks in blocks of a bounded size; each block reads ``base`` once.  Vectors that
+    are null or empty or hold nulls, and those of another length than the query's, are not met.
     """
-    blocks = max(1, -(-queries.count() // most_queries))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    pairs = (base.crossJoin(F.broadcast(queries.where(block == k))) for k in range(blocks))
-    return reduce(DataFrame.union, (p.select("query_id", "id", METRICS[metric](F.col("v"), F.col("q")).alias("distance")) for p in pairs))
+
+    def against(block: DataFrame) -> DataFrame:
+        rows = block.select("query_id", F.col("q").cast("array<double>").alias("q"), *(["cells"] if cells else [])).toArrow()
+        ids = rows.column("query_id")
+        asked = {d: (at, m) for d, (at, m) in matrix(rows.column("q").combine_chunks()).items()}
+        probed = rows.column("cells").to_pylist() if cells else None
+        names = ids.to_pylist()
+        shipped = base.sparkSession.sparkContext.broadcast((asked, names, probed))
+
+        def run(batches):
+            asked, names, probed = shipped.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_pylist()
+                out = ([], [], [])
+                cell = batch.column(2).to_numpy(zero_copy_only=False) if cells else None
+                for dims, (at, m) in matrix(batch.column(1)).items():
+                    if dims not in asked:
+                        continue
+                    q_at, q = asked[dims]
+                    far = measured(metric, m, q)
+                    if cells:
+                        near = np.stack([np.isin(cell[at], probed[j]) for j in q_at], 1) if len(q_at) else np.zeros((len(at), 0), bool)
+                        far = np.where(near, far, np.inf)
+                    kept = np.round(far, digits)
+                    limit = np.partition(kept, k - 1, axis=0)[k - 1] if len(kept) > k else np.full(len(q), np.inf)
+                    take = (kept <= limit) & (far < np.inf)
+                    r, c = np.nonzero(take)
+                    out[0].extend(names[j] for j in q_at[c].tolist())
+                    out[1].extend(own[i] for i in at[r].tolist())
+                    out[2].extend(far[r, c].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1]), pa.array(out[2], pa.float64())], ["query_id", "id", "distance"])
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        schema = T.StructType([queries.schema["query_id"], base.schema["id"], T.StructField("distance", T.DoubleType())])
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+        return base.select("id", F.col("v").cast("array<double>").alias("v"), *(["cell"] if cells else [])).mapInArrow(run, schema)
+
+    return reduce(DataFrame.union, map(against, blocks_of(queries, most_bytes)))

@@ -9,7 +9,7 @@ from ..operators.bm25 import bm25, top
 from ..operators.evidence import keep_useful, local_first, merge_adjacent
 from ..operators.fusion import fuse
 from ..operators.rerank import rerank
-from ..operators.vectors import distances
+from ..operators.vectors import nearest
 
 
 def keyword_recall(chunks: DataFrame, queries: DataFrame, fields: dict | None = None, allowed: Column | None = None, conf: Retrieval = Retrieval()) -> DataFrame:
@@ -24,7 +24,7 @@ def keyword_recall(chunks: DataFrame, queries: DataFrame, fields: dict | None =
 
 def vector_recall(vectors: DataFrame, queries: DataFrame, metric: str = "l2", conf: Retrieval = Retrieval()) -> DataFrame:
     """(query_id, id, rank) by distance; ``vectors`` has id and v, ``queries`` query_id and q."""
-    return top(distances(vectors, queries, metric), conf.recall_k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank")
+    return top(nearest(vectors, queries, metric, conf.recall_k), conf.recall_k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank")
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, conf: Retrieval = Retrieval()) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import split as sp
+from ..plans.sections import section_chunks, split_documents
 from .base import Rows, query, table
 
 PAGE = """(SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents)"""
@@ -69,8 +70,29 @@ def section_renumber(spark, sf_dir):
 def size_bounded_merge(spark, sf_dir):
     """Sequential within a document, so SQL has no plain form; tests hold it against a loop."""
     rows = sectioned(spark, sf_dir).select("id", "pos", F.col("kind").cast("string").alias("section"), "text")
-    merged = sp.merge_short(rows, 600)
-    return merged.select("id", F.posexplode("merged").alias("chunk_index", "c")).select("id", "chunk_index", "c.section", "c.text")
+    return sp.merge_short(rows, 600, ["section"])
+
+
+def detect_by_rule(batches):
+    """Sections for the tests: pages of 60 characters or more begin one, named by its first three words; long ones are not indexed, a few anchors are captions."""
+    page = F.filter(F.split("text", "\n\n"), lambda p: F.length(p) >= 60)
+    start = lambda p, n: F.array_join(F.slice(F.split(F.trim(p), r"\s+"), 1, n), " ")
+    kind = lambda p: F.when(F.length(p) % 5 == 0, F.lit(None)).when(F.length(p) < 200, "introduction").otherwise("method")
+    told = F.transform(page, lambda p: F.struct(kind(p).alias("section_type"), start(p, 3).alias("title"), F.when(F.length(p) % 7 == 0, "Table 1").otherwise(start(p, 6)).alias("start_anchor"), F.when(F.length(p) % 4 == 0, "No").otherwise("yes").alias("indexable")))
+    return batches.withColumn("sections", told)
+
+
+@query("section_pipeline")
+def section_pipeline(spark, sf_dir):
+    """Pages to batches, sections, chunks; the tests hold it against a loop over each document."""
+    return section_chunks(pages(spark, sf_dir), detect_by_rule, 400)
+
+
+@query("split_dispatch")
+def split_dispatch(spark, sf_dir):
+    """Documents of one language along their sections, all others by separators."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("lang") == "en", "semantic").otherwise("recursive").alias("chunk_mode"))
+    return split_documents(docs, pages(spark, sf_dir), detect_by_rule, 400)
 
 
 @query("recursive_split")

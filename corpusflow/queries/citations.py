@@ -25,12 +25,37 @@ def entries(spark):
     return spark.createDataFrame([tuple([e["id"], *(e.get(f, "") for f in FIELDS)]) for e in ENTRIES], schema)
 
 
-@query("gbt7714_format")
-def gbt7714_format(spark, sf_dir):
-    """Golden rows in the tests; the SQL form of the main branch is the query after this one."""
+def golden(spark):
+    """References of the literal entries, which the tests hold against golden texts."""
     return with_citation(entries(spark), "2026-01-01", **{f: F.col(f) for f in FIELDS}).select("id", "citation")
 
 
+KINDS = ["journal-article", "proceedings-article", "thesis", "book", "preprint", "standard"]
+YEAR = "(1990 + p_size)"
+
+
+@query(
+    "gbt7714_format",
+    f"""SELECT p_partkey AS id, CASE k WHEN 0 THEN p_brand || ', ' || p_type || '. ' || p_name || '[J]. ' || p_type || ', ' || {YEAR} || ', (' || p_size || '): e' || p_partkey || '.'
+ WHEN 1 THEN p_brand || ', ' || p_type || '. ' || p_name || '[C]//' || p_type || '. ' || 'House ' || p_size || ', ' || {YEAR} || ': e' || p_partkey || '.'
+ WHEN 2 THEN p_brand || ', ' || p_type || '. ' || p_name || '[D]. ' || 'House ' || p_size || ', ' || {YEAR} || '.'
+ WHEN 3 THEN p_brand || ', ' || p_type || '. ' || p_name || '[M]. ' || 'House ' || p_size || ', ' || {YEAR} || ': e' || p_partkey || '.'
+ WHEN 4 THEN p_brand || ', ' || p_type || '. ' || p_name || '[EB/OL]. ' || p_type || ', ' || {YEAR} || '. [2026-01-01]. DOI: 10.1000/' || p_partkey || '.'
+ ELSE p_brand || ', ' || p_type || '. ' || p_name || '[S]. ' || 'House ' || p_size || ', ' || {YEAR} || ': e' || p_partkey || '. DOI: 10.1000/' || p_partkey || '.' END AS citation FROM (SELECT *, p_partkey % 6 AS k FROM part)""",
+)
+def gbt7714_format(spark, sf_dir):
+    """Six types of works; authors come with repeats and different marks, the address is the DOI's own."""
+    p = table(spark, sf_dir, "part")
+    k, key = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    doi = F.when(k >= 4, F.concat(F.lit("doi:10.1000/"), key, F.lit("."))).otherwise("")
+    cited = with_citation(
+        p, "2026-01-01", authors=F.concat("p_brand", F.lit(" and "), "p_type", F.lit("；"), F.lower("p_brand"), F.lit(",")), title=F.concat("p_name", F.lit(". ")), year=F.concat(F.lit("in "), (F.col("p_size") + 1990).cast("string")),
+        document_type=F.get(F.array(*map(F.lit, KINDS)), k.cast("int")), venue=F.when(k.isin(2, 3, 5), "").otherwise(F.col("p_type")), publisher=F.when(k.isin(0, 4), "").otherwise(F.concat(F.lit("House "), F.col("p_size").cast("string"))),
+        issue=F.col("p_size").cast("string"), article_number=F.concat(F.lit("e"), key), doi=doi, url=F.when(k >= 4, F.concat(F.lit("https://DOI.org/10.1000/"), key)).otherwise(""),
+    )
+    return cited.select(F.col("p_partkey").alias("id"), "citation")
+
+
 @query(
     "gbt7714_catalog",
     """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '. ' || p_name || '[J]. ' || p_type || ', ' || (1990 + p_size) || ', ' || p_size || '(' || (p_partkey % 12 + 1) || '): 1-' || p_size || '.'
@@ -48,24 +73,30 @@ def gbt7714_catalog(spark, sf_dir):
     return cited.select(F.col("p_partkey").alias("id"), "citation")
 
 
-TAGGED = """SELECT conv_id * 1000 + turn AS answer_id, text || ' [@doc_' || (conv_id % 5) || ', @ext_a' || (turn % 3) || '] and [doc_' || (turn % 4) || '] end [@doc_99]' AS body FROM conversations WHERE role = 'assistant' AND NOT contains(text, '[')"""
-DOCS = "SELECT unnest(['doc_0', 'doc_1', 'doc_2', 'doc_3', 'doc_4', 'ext_a1', 'ext_a2']) AS source_id"
-SOURCES = ["doc_0", "doc_1", "doc_2", "doc_3", "doc_4", "ext_a1", "ext_a2"]
+TAGGED = """SELECT conv_id * 1000 + turn AS answer_id, text || ' [@doc_' || (conv_id % 5) || ', @ext_a' || (turn % 3) || '] and [ doc_' || (turn % 4) || '、ext_2101.0' || (conv_id % 3) || 'v2 ] end [@doc_99]' ||
+ CASE WHEN conv_id % 3 = 0 THEN chr(10) || ' References： ' || chr(10) || '[doc_4] own list' ELSE '' END AS body FROM conversations WHERE role = 'assistant'"""
+SOURCES = ["doc_0", "doc_1", "doc_2", "doc_3", "doc_4", "ext_a1", "ext_a2", "ext_2101.00v2", "ext_2101.02v2"]
+DOCS = f"SELECT unnest({SOURCES}) AS source_id"
 
 
 def tagged(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").where(~F.col("text").contains("["))
+    """Every turn of the assistant with tags at its end, some with a list of references of their own."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     body = F.concat(
         "text", F.lit(" [@doc_"), (F.col("conv_id") % 5).cast("string"), F.lit(", @ext_a"), (F.col("turn") % 3).cast("string"),
-        F.lit("] and [doc_"), (F.col("turn") % 4).cast("string"), F.lit("] end [@doc_99]"),
+        F.lit("] and [ doc_"), (F.col("turn") % 4).cast("string"), F.lit("、ext_2101.0"), (F.col("conv_id") % 3).cast("string"), F.lit("v2 ] end [@doc_99]"),
+        F.when(F.col("conv_id") % 3 == 0, "\n References： \n[doc_4] own list").otherwise(""),
     )
     answers = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), body.alias("body"))
     docs = answers.select("answer_id", F.explode(F.array(*map(F.lit, SOURCES))).alias("source_id"))
     return answers, docs
 
 
-NUMBERED = f"""WITH a AS ({TAGGED}), t AS (SELECT answer_id, unnest(regexp_extract_all(body, '(?:doc|ext)_[A-Za-z0-9_\\-]+')) AS source_id, generate_subscripts(regexp_extract_all(body, '(?:doc|ext)_[A-Za-z0-9_\\-]+'), 1) AS pos FROM a),
-f AS (SELECT answer_id, source_id, min(pos) AS pos FROM t WHERE source_id IN ({DOCS}) GROUP BY 1, 2), n AS (SELECT answer_id, source_id, row_number() OVER (PARTITION BY answer_id ORDER BY pos) AS number FROM f)"""
+TAG_SQL, SOURCE_SQL = r"\[\s*(?:@?(?:doc|ext)_[A-Za-z0-9_.-]+)(?:\s*[,;，；、]\s*@?(?:doc|ext)_[A-Za-z0-9_.-]+)*\s*\]", r"(?:doc|ext)_[A-Za-z0-9_.-]+"
+NUMBERED = f"""WITH b AS ({TAGGED}), a AS (SELECT answer_id, regexp_replace(regexp_replace(body, '(?is)(^|\n)[ \t]*(参考文献|references)\\s*[:：]?[ \t]*(\n.*)?$', ''), '^\\s+|\\s+$', '', 'g') AS body FROM b WHERE body IS NOT NULL),
+t AS (SELECT answer_id, unnest(regexp_extract_all(body, '{TAG_SQL}')) AS tag, generate_subscripts(regexp_extract_all(body, '{TAG_SQL}'), 1) AS k FROM a),
+i AS (SELECT answer_id, k, tag, unnest(regexp_extract_all(tag, '{SOURCE_SQL}')) AS source_id, generate_subscripts(regexp_extract_all(tag, '{SOURCE_SQL}'), 1) AS j FROM t),
+f AS (SELECT answer_id, source_id, min(k * 1000 + j) AS pos FROM i WHERE source_id IN ({DOCS}) GROUP BY 1, 2), n AS (SELECT answer_id, source_id, row_number() OVER (PARTITION BY answer_id ORDER BY pos) AS number FROM f)"""
 
 
 @query("citation_numbering", f"{NUMBERED} SELECT * FROM n")
@@ -75,9 +106,11 @@ def citation_numbering(spark, sf_dir):
 
 @query(
     "citation_render",
-    f"""{NUMBERED}, g AS (SELECT a.answer_id, a.body, max(number) FILTER (WHERE source_id = regexp_extract(body, '@(doc_[0-9]+), ', 1)) AS n1, max(number) FILTER (WHERE source_id = regexp_extract(body, '@(ext_a[0-9])\\]', 1)) AS n2,
- max(number) FILTER (WHERE source_id = regexp_extract(body, 'and \\[(doc_[0-9])', 1)) AS n3, string_agg('[' || number || '] ref ' || source_id, chr(10) ORDER BY number) AS refs FROM a LEFT JOIN n USING (answer_id) GROUP BY 1, 2)
-SELECT answer_id, ltrim(regexp_replace(body, ' \\[@doc_[0-9]+, @ext_a[0-9]\\] and .*$', '', 's')) || ' [' || concat_ws(',', n1, n2) || '] and [' || n3 || '] end' || chr(10) || chr(10) || '参考文献' || chr(10) || refs AS answer FROM g""",
+    f"""{NUMBERED}, r AS (SELECT answer_id, k, CASE WHEN count(number) = 0 THEN '' ELSE '[' || string_agg(number, ',' ORDER BY j) || ']' END AS new FROM i LEFT JOIN n USING (answer_id, source_id) GROUP BY 1, 2),
+p AS (SELECT answer_id, unnest(regexp_split_to_array(body, '{TAG_SQL}')) AS piece, generate_subscripts(regexp_split_to_array(body, '{TAG_SQL}'), 1) AS k FROM a),
+w AS (SELECT p.answer_id, regexp_replace(regexp_replace(regexp_replace(string_agg(piece || coalesce(new, ''), '' ORDER BY p.k), '^\\s+|\\s+$', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS plain FROM p LEFT JOIN r USING (answer_id, k) GROUP BY 1),
+l AS (SELECT answer_id, string_agg('[' || number || '] ref ' || source_id, chr(10) ORDER BY number) AS refs FROM n GROUP BY 1)
+SELECT answer_id, plain || coalesce(chr(10) || chr(10) || '参考文献' || chr(10) || refs, '') AS answer FROM w LEFT JOIN l USING (answer_id)""",
 )
 def citation_render(spark, sf_dir):
     answers, docs = tagged(spark, sf_dir)

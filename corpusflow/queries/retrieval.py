@@ -1,13 +1,20 @@
 """Keyword and vector recall, fusion and reranking."""
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import tokens as tk
 from ..functions.tokens import MARKED, PLAIN, STOP_WORDS
-from ..operators.bm25 import bm25, phrase_rows, postings, top
+from ..operators.bm25 import top
 from ..operators.fusion import fuse
 from ..operators.rerank import rerank
-from ..operators.vectors import distances
+from ..operators.keyword_index import KeywordIndex, indexable_rows
+from ..operators.vector_store import Collection
+from ..operators.vectors import nearest as nearest_rows
+from ..sources.shared import shared_folder
 from .base import Rows, query, table
 
 TOKENS = "regexp_extract_all(translate(lower({0}), '" + MARKED + "', '" + PLAIN + r"'), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
@@ -28,6 +35,19 @@ def documents(spark, sf_dir):
     )
 
 
+ATTRIBUTES = T.StructType().add("source", "string")
+
+
+def keyword_index(spark, sf_dir):
+    """The persisted index of ``documents``; one that is missing or does not fit the table is built anew."""
+    docs = documents(spark, sf_dir)
+    name = hashlib.sha256(" ".join(sorted(docs.inputFiles())).encode()).hexdigest()[:16]
+    index = KeywordIndex(spark, f"{shared_folder(spark)}/keyword-index-{name}", ("title", "abstract", "chunk_text"), ATTRIBUTES)
+    if not index.consistent_with(docs):
+        index.rebuild(docs)
+    return index
+
+
 def bm25_sql(fields: dict, where: str = "") -> str:
     """CTEs ending in ``s(query_id, id, score)``."""
     parts = " UNION ALL ".join(f"SELECT id, unnest({TOKENS.format(f)}) AS term, CAST({w} AS DOUBLE) AS w FROM d" for f, w in fields.items())
@@ -54,7 +74,7 @@ def ranked(scored):
 
 @query("bm25_topk", f"WITH {bm25_sql({'chunk_text': 1})} {TOP}")
 def bm25_topk(spark, sf_dir):
-    return ranked(bm25(documents(spark, sf_dir), {"chunk_text": 1.0}, questions(spark, sf_dir)))
+    return ranked(keyword_index(spark, sf_dir).bm25(questions(spark, sf_dir), {"chunk_text": 1.0}))
 
 
 FIELDS = {"title": 8, "abstract": 3, "chunk_text": 1}
@@ -62,13 +82,13 @@ FIELDS = {"title": 8, "abstract": 3, "chunk_text": 1}
 
 @query("bm25_field_weighted", f"WITH {bm25_sql(FIELDS)} {TOP}")
 def bm25_field_weighted(spark, sf_dir):
-    return ranked(bm25(documents(spark, sf_dir), FIELDS, questions(spark, sf_dir)))
+    return ranked(keyword_index(spark, sf_dir).bm25(questions(spark, sf_dir), FIELDS))
 
 
 @query("bm25_library_filtered", f"""WITH {bm25_sql(FIELDS, "WHERE dl.source = 'src1'")} {TOP}""")
 def bm25_library_filtered(spark, sf_dir):
     """The filter limits the rows returned; the statistics stay those of all rows."""
-    return ranked(bm25(documents(spark, sf_dir), FIELDS, questions(spark, sf_dir), allowed=F.col("source") == "src1"))
+    return ranked(keyword_index(spark, sf_dir).bm25(questions(spark, sf_dir), FIELDS, F.col("source") == "src1"))
 
 
 @query(
@@ -77,7 +97,8 @@ def bm25_library_filtered(spark, sf_dir):
 (SELECT doc_id, ' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ' AS j FROM documents) WHERE contains(j, ' with the ')""",
 )
 def phrase_match(spark, sf_dir):
-    return phrase_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "With-the").select("doc_id", "n_phrase")
+    asked = spark.range(1).select(F.array_join(tk.index_tokens(F.lit("With-the")), " ").alias("term"))
+    return keyword_index(spark, sf_dir).counted(asked, {"chunk_text": 1.0}).select(F.col("id").alias("doc_id"), F.col("f").cast("long").alias("n_phrase"))
 
 
 @query(
@@ -91,7 +112,7 @@ def fts_phrase_terms(spark, sf_dir):
     t = tk.index_tokens(F.col("text"))
     pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(pairs)).alias("term"))
-    held = postings(documents(spark, sf_dir), {"chunk_text": 1.0}, asked, phrases=True)
+    held = keyword_index(spark, sf_dir).counted(asked, {"chunk_text": 1.0})
     return held.join(asked, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum("f").alias("n_held"))
 
 
@@ -123,6 +144,65 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tk.query_terms(F.col("text")), " ").alias("terms"))
 
 
+CHUNKS = """c AS (SELECT doc_id AS id, doc_id % 150 + 1 AS document_id, doc_id % 5 AS library_id, lang AS section_title, CASE WHEN doc_id % 4 = 1 THEN reverse(text) ELSE text END AS chunk_text FROM documents WHERE doc_id % 7 <> 0 AND trim(text, ' ') <> '')"""
+INDEXED = f"""{CHUNKS}, p AS (SELECT p_partkey AS document_id, p_name AS title, p_type AS abstract, p_brand AS keywords FROM part),
+d AS (SELECT c.id, library_id, title, abstract, keywords, coalesce(section_title, '') AS section_title, chunk_text FROM c JOIN p USING (document_id) @WHERE@), {QUESTIONS},
+tok AS ({" UNION ALL ".join(f"SELECT id, unnest({TOKENS.format(f)}) AS term, CAST({w} AS DOUBLE) AS w FROM d" for f, w in (("title", 8), ("abstract", 3), ("keywords", 6), ("section_title", 4), ("chunk_text", 1), ("title || chr(10) || abstract || chr(10) || keywords || CASE WHEN trim(section_title) <> '' THEN chr(10) || section_title ELSE '' END || chr(10) || chunk_text", 0.6)))}),
+dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
+f AS (SELECT id, term, sum(w) AS f FROM tok WHERE term IN (SELECT term FROM q) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS (SELECT term, mean, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, st),
+s AS (SELECT q.query_id, f.id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM f JOIN w USING (term) JOIN q USING (term) JOIN dl ON dl.id = f.id GROUP BY 1, 2)"""
+CHUNK_FIELDS = ("title", "abstract", "keywords", "section_title", "chunk_text", "search_text")
+WEIGHTS = dict(zip(CHUNK_FIELDS, (8.0, 3.0, 6.0, 4.0, 1.0, 0.6)))
+
+
+def chunk_rows(spark, sf_dir):
+    """documents as chunks of papers: parts give title, abstract and keywords; every seventh is not indexable."""
+    chunks = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 5).alias("library_id"), (F.col("doc_id") % 150 + 1).alias("document_id"), F.lit(0).alias("chunk_index"),
+        F.col("lang").alias("section_title"), F.when(F.col("doc_id") % 4 == 1, F.reverse("text")).otherwise(F.col("text")).alias("chunk_text"), (F.col("doc_id") % 7 != 0).alias("indexable"),
+    )
+    papers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), F.col("p_brand").alias("keywords"))
+    return indexable_rows(chunks, papers)
+
+
+def chunk_index(spark):
+    kinds = T.StructType().add("library_id", "long").add("document_id", "long")
+    return KeywordIndex(spark, f"{shared_folder(spark)}/chunk-index-{uuid.uuid4().hex}", CHUNK_FIELDS, kinds, buckets=16)
+
+
+@query("fts_rebuild", f"WITH {INDEXED.replace('@WHERE@', '')} {TOP}")
+def fts_rebuild(spark, sf_dir):
+    """The index rebuilt from the join of chunks and documents, after it held other rows."""
+    rows, index = chunk_rows(spark, sf_dir), chunk_index(spark)
+    index.upsert(rows.where("id % 3 = 0").withColumn("id", F.col("id") + 10_000_000))
+    if not index.consistent_with(rows):
+        index.rebuild(rows)
+    return ranked(index.bm25(questions(spark, sf_dir), WEIGHTS))
+
+
+@query("fts_upsert", f"WITH {INDEXED.replace('@WHERE@', '')} {TOP}")
+def fts_upsert(spark, sf_dir):
+    """Rows with old texts, then two batches that replace and add: scores are those of a rebuild."""
+    rows, index = chunk_rows(spark, sf_dir), chunk_index(spark)
+    index.upsert(rows.where("id % 3 <> 1").withColumn("chunk_text", F.concat(F.lit("old words of "), F.upper("chunk_text"))))
+    index.upsert(rows.where("id % 2 = 0"))
+    index.upsert(rows.where("id % 2 <> 0"))
+    return ranked(index.bm25(questions(spark, sf_dir), WEIGHTS))
+
+
+@query("fts_delete", f"WITH {INDEXED.replace('@WHERE@', 'WHERE library_id <> 3 AND document_id % 4 <> 0')} {TOP}")
+def fts_delete(spark, sf_dir):
+    """A library and a quarter of the documents go, then the index is compacted."""
+    rows, index = chunk_rows(spark, sf_dir), chunk_index(spark)
+    index.rebuild(rows)
+    index.delete(rows.where("library_id = 3").select("id"))
+    index.delete(rows.where("document_id % 4 = 0").select("id"))
+    index.compact()
+    index.vacuum()
+    return ranked(index.bm25(questions(spark, sf_dir), WEIGHTS))
+
+
 KNN = """SELECT query_id, vec_id, rank, round(distance, 6) + 0.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), vec_id) - 1 AS rank FROM
 (SELECT q.vec_id AS query_id, e.vec_id, {0} AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE rank < 10"""
 A, B = "e.embedding::DOUBLE[]", "q.embedding::DOUBLE[]"
@@ -132,7 +212,7 @@ def nearest(spark, sf_dir, metric):
     e = table(spark, sf_dir, "embeddings")
     base = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    best = top(distances(base, asked, metric), 10, F.round("distance", 6), F.col("id"))
+    best = top(nearest_rows(base, asked, metric, 10, digits=6), 10, F.round("distance", 6), F.col("id"))
     return best.select("query_id", F.col("id").alias("vec_id"), "rank", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
@@ -151,6 +231,60 @@ def knn_inner(spark, sf_dir):
     return nearest(spark, sf_dir, "inner")
 
 
+def collection(spark, sf_dir, kept):
+    """The embeddings that ``kept`` chooses as a collection, written in two batches, with their label as library and their id modulo 9 as document."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("library_id"), (F.col("vec_id") % 9).alias("document_id"))
+    store = Collection(spark, f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}", T.StructType().add("library_id", "long").add("document_id", "long"), T.LongType())
+    store.create(e)
+    for half in (0, 1):
+        store.add(e.where(kept).where(F.col("id") % 2 == half))
+    return store, e
+
+
+def asked_vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def found_vectors(found):
+    return found.select("query_id", F.col("id").alias("vec_id"), "rank", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+STORED = KNN.replace("FROM embeddings e,", "FROM (SELECT * FROM embeddings {1}) e,").format(f"pow(list_distance({A}, {B}), 2)", "{0}")
+
+
+@query("vector_upsert", STORED.format(""))
+def vector_upsert(spark, sf_dir):
+    """Batches that add and replace; the exact search over all cells sees the newest version of each id alone."""
+    store, e = collection(spark, sf_dir, F.col("id") % 3 != 0)
+    store.add(e.where("id % 3 <> 1").withColumn("v", F.transform("v", lambda x: -x)))
+    store.add(e.where("id % 3 <> 1"))
+    return found_vectors(store.search(asked_vectors(spark, sf_dir), 10, digits=6))
+
+
+@query("vector_delete", STORED.format("WHERE vec_id % 9 <> 4"))
+def vector_delete(spark, sf_dir):
+    """The vectors of a document are deleted by its id, then the collection is compacted."""
+    store, _ = collection(spark, sf_dir, F.lit(True))
+    store.delete(F.col("document_id") == 4)
+    store.compact()
+    return found_vectors(store.search(asked_vectors(spark, sf_dir), 10, digits=6))
+
+
+@query("vector_library_guard", STORED.format("WHERE label = 2"))
+def vector_library_guard(spark, sf_dir):
+    """Hits are of the asked library only, whatever lies nearer."""
+    store, _ = collection(spark, sf_dir, F.lit(True))
+    return found_vectors(store.search(asked_vectors(spark, sf_dir), 10, guard=F.col("library_id") == 2, digits=6))
+
+
+@query("vector_cells")
+def vector_cells(spark, sf_dir):
+    """The search in the nearest half of all cells; the tests measure its recall against the exact one."""
+    store, _ = collection(spark, sf_dir, F.lit(True))
+    cells = len(store.snapshots.read()[1]["centroids"])
+    return found_vectors(store.search(asked_vectors(spark, sf_dir), 10, probes=max(1, cells // 2), digits=6))
+
+
 FUSE = """u AS ({lists}),
 fu AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank + 1)) AS hybrid_score, min(rank) AS best_recall_rank,
  array_to_string(list_sort(list_distinct(list(source))), '+') AS recall_source FROM u GROUP BY 1, 2),
@@ -184,14 +318,14 @@ HYBRID = f"""WITH {bm25_sql(FIELDS)},
 @query("hybrid_search", HYBRID + FUSED)
 def hybrid_search(spark, sf_dir):
     """Vector and keyword recall of the same batch, fused; documents and vectors share ids here."""
-    keyword = ranked(bm25(documents(spark, sf_dir), FIELDS, questions(spark, sf_dir)))
+    keyword = ranked(keyword_index(spark, sf_dir).bm25(questions(spark, sf_dir), FIELDS))
     return fused({"vector": nearest(spark, sf_dir, "l2").withColumnRenamed("vec_id", "id"), "keyword": keyword.withColumnRenamed("doc_id", "id")})
 
 
 def candidates(spark, sf_dir):
     """Keyword candidates with the columns that the rule score reads; chunk_index is doc_id modulo 5."""
     docs = documents(spark, sf_dir)
-    found = ranked(bm25(docs, {"chunk_text": 1.0}, questions(spark, sf_dir)))
+    found = ranked(keyword_index(spark, sf_dir).bm25(questions(spark, sf_dir), {"chunk_text": 1.0}))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.trim("text").alias("query"))
     joined = found.join(docs, found["doc_id"] == docs["id"]).join(asked, "query_id")
     return joined.select(

@@ -1,6 +1,5 @@
 """The same counters and folds over a stream of events."""
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -8,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
     """Events as they arrive as files; event time is a timestamp with time zone, as watermarks ask."""
@@ -72,14 +73,6 @@ def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*(batches[-1:] if mode == "complete" else batches)) if batches else empty
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share; where it is unset, as in tests, one of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusflow-"))
-    return sc.getCheckpointDir()
-
-
 def each_batch(stream: DataFrame, checkpoint: str, action) -> None:
     """Run ``action(rows, batch id)`` for each micro-batch; with the checkpoint a batch that was done is not done again."""
     query = stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
