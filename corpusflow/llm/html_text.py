@@ -8,6 +8,7 @@ column; white space collapses except in preformatted blocks.
 """
 
 import re
+import unicodedata
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -18,8 +19,9 @@ from .common import append_struct
 #: Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title textarea select option datalist object audio video canvas svg math dialog area base link meta param source track".split())
-BLOCK = frozenset("html body address article aside blockquote center details dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist area base link meta param source track".split())
+DRAWING = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
+BLOCK = frozenset("html body address article aside blockquote center details dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu option optgroup dialog nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 MARGIN = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
 #: An open element that a new element of this name ends, and the elements that stop the search for it.
@@ -38,7 +40,8 @@ ENDS = {
 }
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 TEXT = T.StructType([T.StructField("content", T.StringType()), T.StructField("n_blocks", T.LongType())])
 
@@ -60,6 +63,7 @@ def parse(html: str) -> Node:
     """The element tree.  Wrong end tags are ignored; what is left open ends with the text."""
     root = Node("#root")
     stack = [root]
+    depths: dict = {}  # of the open elements of each name
     at, size = 0, len(html)
     lowered = None
 
@@ -67,30 +71,33 @@ def parse(html: str) -> Node:
         if raw:
             stack[-1].children.append(raw)
 
+    def push(node):
+        depths.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(depth):
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
+
+    def nearest(names):
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
     def end_open(names, stops):
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in stops:
-                return
-            if stack[depth].tag in names:
-                lowest = depth
-                while lowest - 1 > 0 and stack[lowest - 1].tag in names:
-                    lowest -= 1
-                del stack[lowest:]
-                return
+        depth = nearest(names)
+        if depth > nearest(stops):
+            while depth - 1 > 0 and stack[depth - 1].tag in names:
+                depth -= 1
+            cut(depth)
 
     def to_table(name):
         """End what is open between a part of a table and where it belongs; a cell outside a row starts one."""
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = stack[depth].tag
-            if tag in WITHIN[name]:
-                del stack[depth + 1 :]
-                if name in ("td", "th") and tag != "tr":
-                    row = Node("tr")
-                    stack[-1].children.append(row)
-                    stack.append(row)
-                return
-            if tag in ("td", "th"):
-                return
+        depth = nearest(WITHIN[name])
+        if depth and depth > nearest(("td", "th")):
+            cut(depth + 1)
+            if name in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr")
+                stack[-1].children.append(row)
+                push(row)
 
     while at < size:
         m = TOKEN.search(html, at)
@@ -104,10 +111,8 @@ def parse(html: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    del stack[depth:]
-                    break
+            if depths.get(name):
+                cut(depths[name][-1])
             continue
         if name in CLOSES_P:
             end_open(frozenset(["p"]), frozenset(["table", "td", "th", "button", "object"]))
@@ -122,16 +127,38 @@ def parse(html: str) -> Node:
                 lowered = html.lower() if html.isascii() else re.sub("[A-Z]+", lambda x: x[0].lower(), html)
             end = lowered.find(f"</{name}", at)
             close = html.find(">", end) if end >= 0 else -1
-            node.children.append(html[at : end if end >= 0 else size])
+            raw = html[at : end if end >= 0 else size]
+            node.children.append(unescape(raw) if name in ("textarea", "title") else raw)
             at = close + 1 if close >= 0 else size
         elif name not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            push(node)
     return root
 
 
 def shown(node: Node) -> bool:
+    """Whether the element is displayed.  What needs a player or a plug-in shows its fallback, as in any rendering as text."""
     a = node.attributes
-    return node.tag not in HIDDEN and not (a and ("hidden" in a or UNSEEN.search(a.get("style", "")) or (node.tag == "input" and a.get("type", "").lower() == "hidden")))
+    if node.tag in HIDDEN or (node.tag == "dialog" and "open" not in a):
+        return False
+    return not (a and ("hidden" in a or UNSEEN.search(a.get("style", "")) or (node.tag == "input" and a.get("type", "").lower() == "hidden")))
+
+
+def seen(node: Node, before: bool) -> bool:
+    """Whether text in the element is visible: as its own style says, else as around it."""
+    found = node.attributes and VISIBILITY.search(node.attributes.get("style", ""))
+    return found[1].lower() == "visible" if found else before
+
+
+def width_of(text: str) -> int:
+    """Columns that a text fills: two for wide characters, none for marks that combine."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def number_in(node: Node, name: str, most: int) -> int:
+    value = node.attributes.get(name, "1")
+    return min(int(value), most) if value.isdecimal() and len(value) < 6 else 1
 
 
 class Page:
@@ -200,53 +227,93 @@ def strays(table: Node) -> list:
     return out
 
 
-def table_lines(table: Node) -> list:
-    """Rows of a table with each cell padded to its column's width; cells over several lines are joined."""
+def table_lines(table: Node, visible: bool):
+    """Rows of a table with each cell padded to its column's width; cells over several lines are joined.
+
+    A generator: it yields what to render and is sent the text.  A cell over several
+    rows or columns leaves empty cells in the others.
+    """
     rows: list = []
-    todo = list(reversed(table.children))
-    caption = []
+    todo = [(c, visible) for c in reversed(table.children)]
+    caption, held = [], {}  # held: rows that a column is still filled for
     while todo:
-        node = todo.pop()
+        node, visible = todo.pop()
         if isinstance(node, str) or not shown(node):
             continue
+        visible = seen(node, visible)
         if node.tag == "tr":
-            cells = []
+            cells: list = []
             for cell in node.children:
                 if isinstance(cell, Node) and cell.tag in ("td", "th") and shown(cell):
-                    span = cell.attributes.get("colspan", "1")
-                    cells.append(" ".join(render(cell).split()))
-                    cells += [""] * (min(int(span), 100) - 1 if span.isdecimal() and len(span) < 4 else 0)
-            if cells:
+                    while held.get(len(cells)):
+                        held[len(cells)] -= 1
+                        cells.append("")
+                    text = (yield cell, seen(cell, visible))[0]
+                    down = number_in(cell, "rowspan", 65534) - 1 if cell.attributes.get("rowspan") != "0" else 65534
+                    for k in range(max(1, number_in(cell, "colspan", 1000))):
+                        if down > 0:
+                            held[len(cells)] = down
+                        cells.append("" if k else " ".join(text.split()))
+            for k in sorted(k for k, n in held.items() if n and k >= len(cells)):
+                cells += [""] * (k + 1 - len(cells))
+                held[k] -= 1
+            if any(isinstance(c, Node) for c in node.children):
                 rows.append(cells)
         elif node.tag == "caption":
-            caption = [" ".join(render(node).split())]
+            caption = [" ".join((yield node, visible)[0].split())]
         elif node.tag in SECTIONS and node.tag != "table":
-            todo.extend(reversed(node.children))
-    columns = max((len(r) for r in rows), default=0)
-    width = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(columns)]
-    return [c for c in caption if c] + [" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
-
-
-def render(root: Node) -> str:
-    return laid_out(root)[0]
+            held = {}
+            todo.extend((c, visible) for c in reversed(node.children))
+    width: list = []
+    for row in rows:
+        width += [0] * (len(row) - len(width))
+        for k, cell in enumerate(row):
+            width[k] = max(width[k], width_of(cell))
+    return [c for c in caption if c] + [" | ".join(c + " " * (w - width_of(c)) for c, w in zip(r, width)).rstrip() for r in rows if r]
 
 
 def laid_out(root: Node) -> tuple:
+    """The text and the number of its blocks.  Tables within cells wait on a stack of our own, so depth is bounded by memory alone."""
+    waiting, answer = [flow(root, True)], None
+    while True:
+        try:
+            node, visible = waiting[-1].send(answer)
+        except StopIteration as done:
+            waiting.pop()
+            answer = done.value
+            if not waiting:
+                return answer
+        else:
+            waiting.append(flow(node, visible))
+            answer = None
+
+
+def flow(root: Node, visible: bool):
+    """Lay out the content of one element; a generator that yields what is to be laid out by itself and is sent the result."""
     page = Page()
-    # entries: a node or text to open, or a function to run when its content is done
-    todo = [(c, False) for c in reversed(root.children)]
+    # entries: a node or text to open, or a function to run when its content is done; then preformatted, visible, inside a drawing
+    todo = [(c, False, visible, False) for c in reversed(root.children)]
     lists: list = []
     while todo:
-        node, pre = todo.pop()
+        node, pre, visible, drawing = todo.pop()
         if callable(node):
-            node()
+            rest = node()
+            if rest is not None:
+                page.block(True)
+                for line in (yield from rest):
+                    page.put(line)
+                    page.end_line()
+                page.block(True)
             continue
         if isinstance(node, str):
-            page.text(node, pre)
+            if visible and not drawing:
+                page.text(node, pre)
             continue
-        if not shown(node):
+        if not shown(node) or (drawing and node.tag in DRAWING):
             continue
-        tag = node.tag
+        tag, visible = node.tag, seen(node, visible)
+        if tag in ("svg", "text", "foreignobject"):
+            drawing = tag == "svg"
         if tag == "br":
             page.end_line() if page.line else page.lines and page.lines[-1] and page.gap < 2 and page.block(False)
             continue
@@ -254,24 +321,17 @@ def laid_out(root: Node) -> tuple:
             page.block(True)
             continue
         if tag == "img":
-            if alt := node.attributes.get("alt", "").strip():
+            if visible and (alt := node.attributes.get("alt", "").strip()):
                 page.text(alt, False)
             continue
         if tag == "table":
-
-            def lay(table=node):
-                page.block(True)
-                for line in table_lines(table):
-                    page.put(line)
-                    page.end_line()
-                page.block(True)
-
             page.block(True)
-            todo.append((lay, pre))
-            todo.extend((c, pre) for c in reversed(strays(node)))
+            todo.append((lambda table=node, visible=visible: table_lines(table, visible), pre, visible, drawing))
+            todo.extend((c, pre, visible, drawing) for c in reversed(strays(node)))
             continue
         if tag not in BLOCK:
-            todo.extend((c, pre) for c in reversed(node.children))
+            pre = pre or tag == "textarea"
+            todo.extend((c, pre, visible, drawing) for c in reversed(node.children))
             continue
         inner = tag in ("ul", "ol", "menu", "dir") and lists
         page.block(tag in MARGIN and not inner)
@@ -287,6 +347,8 @@ def laid_out(root: Node) -> tuple:
             page.indent, page.mark = page.indent + " " * len(mark), mark
         elif tag in ("blockquote", "dd"):
             page.indent += "  "
+        elif tag == "optgroup" and visible:
+            page.text(node.attributes.get("label", ""), False)
 
         def close(tag=tag, before=before, inner=inner):
             page.block(tag in MARGIN and not inner)
@@ -294,8 +356,8 @@ def laid_out(root: Node) -> tuple:
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
 
-        todo.append((close, pre))
-        todo.extend((c, pre or tag == "pre") for c in reversed(node.children))
+        todo.append((close, pre, visible, drawing))
+        todo.extend((c, pre or tag == "pre", visible, drawing) for c in reversed(node.children))
     return page.result(), page.blocks
 
 
