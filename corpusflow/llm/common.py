@@ -1,31 +1,19 @@
 """Helpers that several operators share: materialised tables, seeds, span strings."""
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It comes from ``spark.checkpoint.dir``; only a session without one (a local
-    test) gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusflow-"))
-    return sc.getCheckpointDir()
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back.
 
@@ -33,7 +21,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     an executor costs a reread and never a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -207,7 +207,7 @@ def shared_words(x: list, y: list, n: int, step: int) -> int:
     return next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
 
 
-def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, span: int = 24, reach: int = 4, text: str = "text", out: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, span: int = 24, reach: int = 4, copies: int = 2000, text: str = "text", out: str = "n_removed") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and a column ``out``: how many lines went.
 
     Runs are two lines or more with ``chunk_words`` words, or one with
@@ -223,8 +223,11 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     a repeat of the later one of two that do stays);
     of those that repeat side by side at the same distance from their first
     occurrences only as many are compared as cover the passage with what is around
-    them.  Texts move once for them and once to be rewritten.  A column of the name
-    ``out`` is replaced.
+    them.  A run that agrees with its first occurrence in too few words is looked up
+    again with the windows of ``least_words`` words around it, each of which has a first
+    occurrence of its own: so a passage is found whose runs all occur elsewhere
+    before.  Copies of one run go to the tasks in parts of about ``copies``.  A column of
+    the name ``out`` is replaced.
     """
 
     def cut(batches):
@@ -242,7 +245,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     def pick(batches):
         """Of repeats that touch, at one distance from their first occurrences: the ends, and between them at most ``reach`` + 2 lines apart."""
         for batch in batches:
-            rows = ([], [], [], [])
+            rows = ([], [], [], [], [], [])
             for i, k, at in zip(*(batch.column(c).to_pylist() for c in ("i_", "k_", "marks"))):
                 at.sort(key=lambda m: m["first"])
                 joined = [
@@ -252,10 +255,10 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                 for n, m in enumerate(at):
                     if not (0 < n < len(at) - 1 and joined[n - 1] and joined[n] and at[n + 1]["first"] - last <= reach + 2):
                         last = m["first"]
-                        for column, v in zip(rows, (i, k, last, m["h"])):
+                        for column, v in zip(rows, (i, k, last, m["end_"], m["h"], m["parts"])):
                             column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "first", "h"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "first", "end_", "h", "parts"])
 
     kept = [c for c in docs.columns if c != out]
     names = [f"c{n}" for n in range(len(kept))]
@@ -264,22 +267,27 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     number = F.coalesce(F.col(names[kept.index("doc_id")]).cast("long"), F.lit(NO_ID))
     keyed = plain.select(number.alias("i_"), F.xxhash64(names[at_text]).alias("k_"), F.struct(*names).alias("row_"))
 
+    SPOT = "i_ long, k_ long, first int, end_ int, h long"
+    place = F.struct(F.col("i_") == NO_ID, "i_", "k_", "first", "end_")
+
+    def repeats(found: DataFrame) -> tuple:
+        """Of runs at ``SPOT``s those whose hash occurs at two spots or more; and for each hash the first spot and into how many parts its copies are dealt."""
+        spot = F.xxhash64("i_", "k_", "first")
+        repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
+        repeated = materialize(repeated, "repeated")  # a table, so that the join can split a hot hash
+        seen = materialize(found.join(repeated, "h", "left_semi"), "repeats")
+        drop_table(repeated)
+        parts = F.ceil(F.count("*") / copies).cast("int").alias("parts")
+        return seen, materialize(seen.groupBy("h").agg(F.min(place).alias("least"), parts), "least")
+
     texts = keyed.select("i_", "k_", f"row_.{names[at_text]}")
-    found = materialize(texts.mapInArrow(cut, "i_ long, k_ long, first int, end_ int, h long"), "chunks")
-    spot = F.xxhash64("i_", "k_", "first")
-    repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
-    repeated = materialize(repeated, "repeated")  # a table, so that the join can split a hot hash
-    seen = materialize(found.join(repeated, "h", "left_semi"), "repeats")
+    found = materialize(texts.mapInArrow(cut, SPOT), "chunks")
+    seen, least = repeats(found)
     drop_table(found)
-    drop_table(repeated)
-    place = F.struct(F.col("i_") == NO_ID, "i_", "k_", "first")
-    least = materialize(seen.groupBy("h").agg(F.min(place).alias("least")), "least")
     origin = (F.col("least.i_").alias("i_0"), F.col("least.k_").alias("k_0"), F.col("least.first").alias("f_0"))
-    again = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", *origin).alias("at"))
+    again = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", "parts", *origin).alias("at"))
     texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
-    picked = materialize(texts_again.mapInArrow(pick, "i_ long, k_ long, first int, h long"), "picked")
-    drop_table(seen)
-    needed = least.join(picked.select("h").distinct(), "h", "left_semi").select("least.i_", "least.k_", "least.first", "h")
+    picked = materialize(texts_again.mapInArrow(pick, SPOT + ", parts int"), "picked")
 
     def side(counts: list) -> int:
         """How many lines to compare on a side where the next ones have so many words."""
@@ -294,41 +302,63 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         return "".join([x.rstrip() + "\n" for x in lines])
 
     def laid_out(values: list):
-        """Of each text its lines, their words, and where the run at each line ends."""
+        """Of each text its lines and their words."""
         for _, lines in in_blocks(values):
-            a, b = lines.runs(chunk_words, least_words)
-            ends = dict(zip(a.tolist(), b.tolist()))
             for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
-                yield lines.of(n), lines.words[low:high].tolist(), {x - low: ends[x] - low for x in range(low, high) if x in ends}
+                yield lines.of(n), lines.words[low:high].tolist()
+
+    def windows(batches):
+        """The shortest windows of ``least_words`` words around each marked run, one for each line where they may end."""
+        for batch in batches:
+            ids, keys = batch.column("i_").to_numpy(), batch.column("k_").to_numpy()
+            marks = batch.column("marks").to_pylist()
+            for first, lines in in_blocks(pc.struct_field(batch.column("row_"), [at_text]).to_pylist()):
+                begin, end, row = [], [], []
+                for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
+                    for m in marks[first + n]:
+                        a, b = low + m["first"], low + m["end_"]
+                        far = min(high, max(b, int(np.searchsorted(lines.before, lines.before[a] + least_words))))
+                        ends = np.arange(b, far + 1)
+                        starts = np.minimum(a, np.searchsorted(lines.before, lines.before[ends] - least_words, side="right") - 1)
+                        begin.append(starts[starts >= low])
+                        end.append(ends[starts >= low])
+                        row.append(np.full(len(end[-1]), first + n))
+                if not begin:
+                    continue
+                a, b, n = (np.concatenate(x) for x in (begin, end, row))
+                low = lines.firsts[n - first]
+                columns = (ids[n], keys[n], (a - low).astype(np.int32), (b - low).astype(np.int32), sums(lines.hash, a, b).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i_", "k_", "first", "end_", "h"])
 
     def read(batches):
         for batch in batches:
-            rows = ([], [], [], [], [], [], [], [])
+            rows = ([], [], [], [], [], [], [], [], [])
             ids, keys = batch.column("i_").to_pylist(), batch.column("k_").to_pylist()
             values = pc.struct_field(batch.column("row_"), [at_text]).to_pylist()
             marks = batch.column("marks").to_pylist()
-            for i, k, at, lines, words, ends in ((ids[n], keys[n], marks[n], *t) for n, t in enumerate(laid_out(values))):
+            for i, k, at, lines, words in ((ids[n], keys[n], marks[n], *t) for n, t in enumerate(laid_out(values))):
                 for m in at:
-                    a, b = m["first"], ends[m["first"]]
+                    a, b = m["first"], m["end_"]
                     up, down = side(words[:a][::-1]), side(words[b:])
                     around = (joined(lines[a:b]), joined(lines[a - up : a][::-1]), joined(lines[b : b + down]))
-                    for column, v in zip(rows, (m["h"], i, k, a, b, *around)):
+                    for column, v in zip(rows, (m["h"], m["parts"], i, k, a, b, *around)):
                         column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "i_", "k_", "a", "b", "chunk", "before", "after"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "parts", "i_", "k_", "a", "b", "chunk", "before", "after"])
 
-    def occurrences(spots: DataFrame) -> DataFrame:
-        """The lines at and around ``spots`` (i_, k_, first, h); all uses of the texts take whole rows, so they share one exchange."""
-        marks = spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "h")).alias("marks"))
-        return keyed.join(marks, ["i_", "k_"]).mapInArrow(read, "h long, i_ long, k_ long, a int, b int, chunk string, before string, after string")
+    def marked(spots: DataFrame, *more: str) -> DataFrame:
+        """The texts at ``spots`` with a list of these; all uses of the texts take whole rows, so they share one exchange."""
+        return keyed.join(spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "end_", "h", *more)).alias("marks")), ["i_", "k_"])
 
-    first = occurrences(needed).select("h", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
+    def occurrences(spots: DataFrame) -> DataFrame:
+        """The lines at and around ``spots``."""
+        return marked(spots, "parts").mapInArrow(read, "h long, parts int, i_ long, k_ long, a int, b int, chunk string, before string, after string")
 
     def compare(batches):
         for batch in batches:
-            rows = ([], [], [], [])
-            names_in = ("i_", "k_", "a", "b", "chunk", "chunk_0", "before", "before_0", "after", "after_0")
-            for i, k, a, b, own, other, *around in zip(*(batch.column(c).to_pylist() for c in names_in)):
+            rows = ([], [], [], [], [], [])
+            names_in = ("h", "i_", "k_", "a", "b", "chunk", "chunk_0", "before", "before_0", "after", "after_0")
+            for h, i, k, a, b, own, other, *around in zip(*(batch.column(c).to_pylist() for c in names_in)):
                 if own != other:
                     continue
                 before, before_0, after, after_0 = (x.split("\n")[:-1] for x in around)
@@ -336,13 +366,33 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                 words = len(own.split()) + sum(len(x.split()) for x in (*before[:up], *after[:down]))
                 if words < least_words:
                     words += shared_words(before, before_0, up, -1) + shared_words(after, after_0, down, 1)
-                if words >= least_words:
-                    for column, v in zip(rows, (i, k, a - up, b + down)):
-                        column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "a", "b"])
-
-    gone = occurrences(picked).join(first, "h").mapInArrow(compare, "i_ long, k_ long, a int, b int")
+                for column, v in zip(rows, (h, i, k, a - up, b + down, words >= least_words)):
+                    column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "i_", "k_", "a", "b", "enough"])
+
+    def compared(spots: DataFrame, least: DataFrame, name: str) -> DataFrame:
+        """How far the lines at and around ``spots`` agree with the first occurrence of each hash, of whose copies a part goes to each task."""
+        needed = least.join(spots.select("h").distinct(), "h", "left_semi").select("least.i_", "least.k_", "least.first", "least.end_", "h", "parts")
+        first = occurrences(needed).select("h", "parts", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
+        first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        dealt = occurrences(spots).withColumn("part", F.pmod(F.xxhash64("i_", "k_"), F.col("parts")).cast("int"))
+        return materialize(dealt.join(first, ["h", "part"]).mapInArrow(compare, "h long, i_ long, k_ long, a int, b int, enough boolean"), name)
+
+    near = compared(picked, least, "near")
+    for done in (picked, least):
+        drop_table(done)
+    # a run that agrees with too little around its first occurrence may belong to a passage that first occurs elsewhere
+    short = materialize(near.where("not enough").select("h").distinct(), "short")
+    around = materialize(marked(seen.join(short, "h", "left_semi")).mapInArrow(windows, SPOT), "windows")
+    for done in (seen, short):
+        drop_table(done)
+    seen, least = repeats(around)
+    later = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", "first", "end_", "h", "parts")
+    far = compared(later, least, "far")
+    for done in (around, seen, least):
+        drop_table(done)
+    gone = near.unionByName(far).where("enough")
     ranges = gone.groupBy("i_", "k_").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
     def rewrite(batches):

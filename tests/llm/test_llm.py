@@ -531,6 +531,31 @@ def test_html_deep_and_broken(spark):
     assert [r["rendered"]["content"] for r in html_text.html_to_text(pages).orderBy("page_id").collect()] == ["a", "a", ""]
 
 
+SEEN = [
+    ("<textarea>a &amp; b\nc</textarea>", "a & b\nc"), ("<select><option>one<option>two</select>", "one\ntwo"), ("<dialog open>yes</dialog><dialog>no</dialog>", "yes"),
+    ("<svg><title>no</title><desc>no</desc>no<text x=1>yes <tspan>too</tspan></text></svg>", "yes too"), ("<object>fallback</object> <video>film</video>", "fallback film"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"), ("<div style='display:none'><p style='visibility:visible'>no</p></div>a", "a"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a | b\n  | c"), ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>d</table>", "a |  | b\n  |  | c\nd"),
+    ("<table><tr><td>中文<td>x<tr><td>a<td>y</table>", "中文 | x\na    | y"), ("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c</table>", "a | b\nc"),
+]
+
+
+@pytest.mark.parametrize("html,want", SEEN)
+def test_html_shows_what_is_visible(html, want):
+    assert html_text.extract_text(html)["content"] == want
+
+
+def test_html_takes_linear_time_at_any_depth():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.extract_text("<table><tr><td>" * 20_000 + "x")["content"] == "x"
+    assert html_text.extract_text("<b>" * 100_000 + "x" + "</i>" * 100_000)["content"] == "x"
+    assert html_text.extract_text("<p><object>" + "<div>" * 50_000 + "x")["content"] == "x"
+    assert html_text.extract_text("<table>" * 20_000 + "<tr><td>x")["content"] == "x"
+    assert time.perf_counter() - began < 60
+
+
 def sentences(rng, n):
     return ". ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(6, 14))) for _ in range(n)) + "."
 
@@ -573,6 +598,26 @@ def test_units_join_to_the_text():
     assert "".join(lines) == text and line_dedup.units("") == []
 
 
+def test_line_dedup_finds_passages_whose_parts_occur_before(spark):
+    """Earlier documents hold two neighbouring lines of a passage each; the passage is still removed where it is whole again."""
+    rng = random.Random(31)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(14))
+    rows, number = [], 0
+    wholes = []
+    for _ in range(12):
+        lines = [line() for _ in range(4)]
+        for a in range(3):
+            rows.append((number, "\n".join([line(), *lines[a : a + 2], line()])))
+            number += 1
+        wholes.append(number)
+        for _ in range(3):
+            rows.append((number, "\n".join([line(), *lines, line()])))
+            number += 1
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, r in got.items() if r["n_removed"]}
+    assert gone == {w + k for w in wholes for k in (1, 2)} and all(got[i]["n_removed"] == 4 for i in gone)
+
+
 def words_of(text):
     return re.findall(r"[^\s.]+", text)
 
