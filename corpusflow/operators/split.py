@@ -148,7 +148,7 @@ def find_anchor(text: Column, anchor: Column, start: Column) -> Column:
 
     def loose(a: Column) -> Column:
         escaped = F.regexp_replace(a, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-        return F.concat(F.lit("(?i)"), F.regexp_replace(escaped, r"\s+", r"\\s+"))
+        return F.concat(F.lit("(?iu)"), F.regexp_replace(escaped, r"\s+", r"\\s+"))
 
     tries = (F.instr(rest, clean), F.regexp_instr(rest, loose(clean)), F.regexp_instr(rest, loose(F.trim(F.substring(clean, 1, 30)))))
     return F.when(clean == "", -1).otherwise(F.coalesce(*(F.nullif(t, F.lit(0)) for t in tries), -start) - 1 + start).cast("long")

@@ -60,15 +60,16 @@ def located(named: DataFrame) -> DataFrame:
     indexable; null is none.  An anchor counts where it begins inside its batch, also if it
     runs over into the next one.  Of sections equal in place, type and title one stays.
     """
-    each = named.select("id", "batch", "start_char", "end_char", "text", "following", F.posexplode("sections").alias("n", "s"))
-    title = collapse(F.col("s.title"))
-    anchor = collapse(F.col("s.start_anchor"))
-    told = each.select(
-        "id", "batch", "n", "start_char", "end_char", "text", "following", title.alias("title"), F.when(anchor == "", title).otherwise(anchor).alias("anchor"),
-        F.coalesce(F.nullif(collapse(F.col("s.section_type")), F.lit("")), F.lit("other")).alias("section_type"), truth(F.col("s.indexable"), True).alias("indexable"),
-    ).where("anchor <> ''")
-    told = told.withColumn("section_title", F.when(F.col("title") == "", F.concat(F.lit("section_"), F.col("n").cast("string"))).otherwise(F.col("title")))
-    told = told.where(is_section(F.col("section_title"), F.col("anchor")))
+    read = F.transform("sections", lambda s: F.struct(*(collapse(s[c]).alias(c) for c in ("title", "start_anchor", "section_type")), truth(s["indexable"], True).alias("indexable")))
+
+    def told(x: Column, n: Column) -> Column:
+        title = F.when(x["title"] == "", F.concat(F.lit("section_"), n.cast("string"))).otherwise(x["title"])
+        anchor = F.coalesce(F.nullif(x["start_anchor"], F.lit("")), x["title"])
+        kind = F.coalesce(F.nullif(x["section_type"], F.lit("")), F.lit("other"))
+        return F.struct(n.alias("n"), kind.alias("section_type"), title.alias("section_title"), anchor.alias("anchor"), x["indexable"].alias("indexable"))
+
+    kept = F.filter(F.transform(read, told), lambda x: (x["anchor"] != "") & is_section(x["section_title"], x["anchor"]))
+    told = named.select("id", "batch", "start_char", "end_char", "text", "following", F.explode(kept).alias("s")).select("id", "batch", "start_char", "end_char", "text", "following", "s.*")
     zero, both = F.lit(0), F.concat("text", F.lit("\n\n"), "following")
     inside = told.withColumn("at", sp.find_anchor(F.col("text"), F.col("anchor"), zero))
     over = F.when(F.col("at") >= 0, F.col("at")).otherwise(sp.find_anchor(both, F.col("anchor"), zero))

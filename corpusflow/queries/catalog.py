@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog as ct
-from .base import Rows, query, table
+from .base import Made, query, table
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -191,13 +191,13 @@ def index_consistency(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_documents"), ok.alias("n_indexable"), (F.count("*") != ok).alias("rebuild"))
 
 
-OWN = Rows("key string, value string", [("llm_model", "a"), ("api_key", " "), ("recall_k", None), ("extra", "z")])
-BASE = Rows("key string, value string", [("llm_model", "base"), ("api_key", "k0"), ("recall_k", "5"), ("timeout", "30")])
+OWN = Made("SELECT 's' || s_suppkey AS key, CASE s_suppkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'own ' || s_name END AS value FROM @supplier WHERE s_suppkey % 3 <> 0")
+BASE = Made("SELECT 's' || s_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END AS value FROM @supplier WHERE s_suppkey % 7 <> 0")
 
 
 @query("config_layering", f"SELECT key, coalesce(nullif(trim(o.value), ''), b.value) AS value FROM (SELECT * FROM {BASE.sql}) b FULL JOIN (SELECT * FROM {OWN.sql}) o USING (key)")
 def config_layering(spark, sf_dir):
-    return ct.layered(OWN.df(spark), BASE.df(spark), "key")
+    return ct.layered(OWN.df(spark, sf_dir), BASE.df(spark, sf_dir), "key")
 
 
 @query("migration_backfill", "SELECT o_orderkey AS id, coalesce(c_nationkey, -1) AS library_id, 'recursive' AS chunk_mode FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -207,7 +207,9 @@ def migration_backfill(spark, sf_dir):
     return ct.migrate(filled.select(F.col("o_orderkey").alias("id"), F.coalesce("c_nationkey", F.lit(-1)).alias("library_id")), {"chunk_mode": "recursive"})
 
 
-FORM = Rows("id long, name string, folder string, tokens string", [(1, " Papers ", "/a", "10"), (2, "papers", "", "0"), (3, "", "/b", "x"), (4, "Other", "/c", "2048")])
+FORM = Made(
+    "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN ' ' || upper(c_name) WHEN 1 THEN '' WHEN 2 THEN c_mktsegment || ' ' || c_nationkey ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE '/' || c_custkey END AS folder, CASE c_custkey % 3 WHEN 0 THEN '' || c_nationkey WHEN 1 THEN 'x' ELSE '2048' END AS tokens FROM @customer"
+)
 
 
 @query(
@@ -218,7 +220,7 @@ def form_validation(spark, sf_dir):
     from pyspark.sql import Window
 
     same = F.count("*").over(Window.partitionBy(tx.key(F.col("name"))))
-    return FORM.df(spark).select(
+    return FORM.df(spark, sf_dir).select(
         "id", (F.trim("name") == "").alias("name_missing"), ((same > 1) & (F.trim("name") != "")).alias("name_taken"),
         (F.trim("folder") == "").alias("folder_missing"), (F.coalesce(F.col("tokens").try_cast("int"), F.lit(0)) <= 0).alias("tokens_bad"),
     )

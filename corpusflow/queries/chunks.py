@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import split as sp
 from ..plans.sections import section_chunks, split_documents
-from .base import Rows, query, table
+from .base import Made, query, table
 
 PAGE = """(SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents)"""
 
@@ -101,13 +101,11 @@ def recursive_split(spark, sf_dir):
     return sp.recursive_split(docs, 512)
 
 
-ANCHORS = Rows(
-    "id long, text string, anchor string, start long",
-    [
-        (1, "Intro.  Deep   Learning for graphs. Method", "Deep Learning", 0), (2, "abc (x+y)* here", "(x+y)*", 0), (3, "nothing here", "absent", 0), (4, "a b a b", "a b", 2),
-        (5, "the very long heading of a section that was changed later", "the very long heading of a sec OTHER ENDING", 0), (6, "text", "", 0),
-    ],
-)
+ANCHORS = Made(
+    """SELECT doc_id AS id, text, CASE doc_id % 6 WHEN 0 THEN substring(text, 31, 25) WHEN 1 THEN upper(replace(trim(substring(text, 8, 20)), ' ', '   ')) WHEN 2 THEN substring(text, 11, 32) || ' OTHER ENDING' WHEN 3 THEN 'absent ' || doc_id WHEN 4 THEN ' ' ELSE substring(text, 2, 7) END AS anchor,
+CASE WHEN doc_id % 7 < 3 THEN 5 ELSE 0 END AS start FROM @documents"""
+)
+SPECIAL = "'([\\\\.\\[\\]{}()*+?^$|])', '\\\\\\1', 'g'"
 
 
 @query(
@@ -115,11 +113,11 @@ ANCHORS = Rows(
     f"""SELECT id, CASE WHEN a = '' THEN -1 WHEN instr(r, a) > 0 THEN instr(r, a) - 1 + start ELSE CASE WHEN w > 0 THEN w - 1 + start WHEN f > 0 THEN f - 1 + start ELSE -1 END END AS at FROM
 (SELECT *, instr(lower(regexp_replace(r, '\\s+', ' ', 'g')), lower(regexp_replace(a, '\\s+', ' ', 'g'))) AS w0, CASE WHEN regexp_extract(lower(r), q) <> '' THEN instr(lower(r), regexp_extract(lower(r), q)) ELSE 0 END AS w,
  CASE WHEN regexp_extract(lower(r), q30) <> '' THEN instr(lower(r), regexp_extract(lower(r), q30)) ELSE 0 END AS f FROM
-(SELECT *, regexp_replace(regexp_replace(lower(a), '([().*+?])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g') AS q, regexp_replace(regexp_replace(lower(trim(substring(a, 1, 30))), '([().*+?])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g') AS q30 FROM
+(SELECT *, regexp_replace(regexp_replace(lower(a), {SPECIAL}), '\\s+', '\\\\s+', 'g') AS q, regexp_replace(regexp_replace(lower(trim(substring(a, 1, 30))), {SPECIAL}), '\\s+', '\\\\s+', 'g') AS q30 FROM
 (SELECT id, trim(anchor) AS a, start, substring(text, start + 1) AS r FROM {ANCHORS.sql})))""",
 )
 def anchor_locate(spark, sf_dir):
-    return ANCHORS.df(spark).select("id", sp.find_anchor(F.col("text"), F.col("anchor"), F.col("start").cast("int")).alias("at"))
+    return ANCHORS.df(spark, sf_dir).select("id", sp.find_anchor(F.col("text"), F.col("anchor"), F.col("start").cast("int")).alias("at"))
 
 
 @query(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.citation import FIELDS, with_citation
 from ..operators import cite
-from .base import Rows, query, table
+from .base import Made, query, table
 
 ENTRIES = [
     dict(id=1, authors="Ada Lovelace, Alan Turing and ada lovelace", title="On Machines.", year="1950", venue="Mind", volume="59", issue="236", pages="433--460", document_type="journal-article"),
@@ -118,16 +118,11 @@ def citation_render(spark, sf_dir):
     return cite.render(answers, cite.numbered(answers, docs), refs)
 
 
-REFS = Rows(
-    "answer_id long, ref long, text string",
-    [
-        (1, 1, "[1] Lovelace A. On Machines[J]. Mind, 1950. DOI: 10.1000/M1."), (1, 2, "Turing A. Deep Graphs: a study[C]//Conf. 2020."), (1, 3, "Completely other"),
-        (2, 1, "On Machines"), (2, 2, "[2] https://doi.org/10.1000/m2)"),
-    ],
-)
-HELD = Rows(
-    "answer_id long, document_id long, pos long, doi string, citation string, title string",
-    [(1, 10, 1, "10.1000/m1", "", "Other title"), (1, 11, 2, "", "", "Deep graphs, a study"), (1, 12, 3, "", "Lovelace A. On Machines[J]. Mind, 1950.", "x"), (2, 20, 1, "", "", "On machines"), (2, 21, 2, "https://doi.org/10.1000/M2", "", "")],
+REFS = Made(
+    """SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS answer_id, p_partkey AS ref, CASE p_partkey % 4 WHEN 0 THEN '[1] X. ' || p_name || ' ' || p_partkey || '[J]. DOI: 10.1000/M' || p_partkey || '.' WHEN 1 THEN upper(p_name) || ', no. ' || p_partkey WHEN 2 THEN 'https://doi.org/10.1000/m' || p_partkey || ')' ELSE 'Other ' || p_partkey END AS text FROM @part"""
+)
+HELD = Made(
+    """SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS answer_id, p_partkey + 1000000 AS document_id, p_partkey AS pos, CASE p_partkey % 3 WHEN 0 THEN 'https://doi.org/10.1000/M' || p_partkey ELSE '' END AS doi, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' no ' || p_partkey ELSE '' END AS citation, p_name AS title FROM @part"""
 )
 MATCH = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '\\[[^\\]]+\\]', '', 'g'), 'https?://[^\\s]+', '', 'g'), '\\s+', '', 'g'), '[^\\pL\\pN]', '', 'g')"
 DKEY = "regexp_replace(regexp_extract(lower(coalesce({0}, '')), '10\\.\\d{{4,9}}/[-._;()/:a-z0-9]+'), '[.,;:!?()]+$', '')"
@@ -138,10 +133,10 @@ DKEY = "regexp_replace(regexp_extract(lower(coalesce({0}, '')), '10\\.\\d{{4,9}}
     f"""WITH b AS (SELECT r.answer_id, ref, document_id, pos, {MATCH.format('r.text')} AS rt, {DKEY.format('r.text')} AS rd, {DKEY.format('h.doi')} AS dd, {MATCH.format('h.citation')} AS c, {MATCH.format('h.title')} AS tt
  FROM (SELECT * FROM {REFS.sql}) r JOIN (SELECT * FROM {HELD.sql}) h ON h.answer_id = r.answer_id),
 k AS (SELECT *, CASE WHEN rd <> '' AND rd = dd THEN 1 WHEN c <> '' AND (contains(rt, c) OR contains(c, rt)) THEN 2 WHEN tt <> '' AND (contains(rt, tt) OR contains(tt, rt)) THEN 3 END AS tier FROM b)
-SELECT answer_id, ref, arg_min(document_id, tier * 1000 + pos) AS document_id, CAST(min(tier) AS INTEGER) AS tier FROM k WHERE tier IS NOT NULL GROUP BY 1, 2""",
+SELECT answer_id, ref, arg_min(document_id, CAST(tier AS BIGINT) * 1000000000 + pos) AS document_id, CAST(min(tier) AS INTEGER) AS tier FROM k WHERE tier IS NOT NULL GROUP BY 1, 2""",
 )
 def reference_match_cascade(spark, sf_dir):
-    return cite.match_references(REFS.df(spark), HELD.df(spark))
+    return cite.match_references(REFS.df(spark, sf_dir), HELD.df(spark, sf_dir))
 
 
 @query("title_fuzzy_match")
@@ -176,7 +171,10 @@ def registry_enrichment(spark, sf_dir):
     return out.select("id", "doi", "year", "venue", "title", "matched", F.array_join("metadata_sources", "+").alias("sources"))
 
 
-DATES = Rows("id long, online string, printed string, issued string", [(1, "[[2020,1,5]]", None, "[[2019]]"), (2, None, "[[2018,12]]", None), (3, None, None, "[[1999]]"), (4, None, None, "[[]]")])
+DATES = Made(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '[[' || year(o_orderdate) || ',' || month(o_orderdate) || ',' || day(o_orderdate) || ']]' END AS online,
+CASE WHEN o_orderkey % 4 < 2 THEN '[[' || year(o_orderdate) || ',' || month(o_orderdate) || ']]' END AS printed, CASE WHEN o_orderkey % 5 = 0 THEN '[[]]' WHEN o_orderkey % 5 < 4 THEN '[[' || year(o_orderdate) || ']]' END AS issued FROM @orders"""
+)
 
 
 @query(
@@ -191,4 +189,4 @@ def date_parts(spark, sf_dir):
         year, month, date = (F.get(p, F.lit(k)) for k in range(3))
         return F.when(F.size(p) >= 3, F.format_string("%04d-%02d-%02d", year, month, date)).when(F.size(p) == 2, F.format_string("%04d-%02d", year, month)).when(F.size(p) == 1, F.format_string("%04d", year))
 
-    return DATES.df(spark).select("id", F.coalesce(*(day(F.col(c)) for c in ("online", "printed", "issued")), F.lit("")).alias("published"))
+    return DATES.df(spark, sf_dir).select("id", F.coalesce(*(day(F.col(c)) for c in ("online", "printed", "issued")), F.lit("")).alias("published"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import federate as fd
 from ..sources import papers
 from ..sources.registry import Sources
-from .base import Rows, query, table
+from .base import Made, query, table
 
 TITLE = "trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))"
 
@@ -49,16 +49,24 @@ def source_expand_cap(spark, sf_dir):
     return fd.subtasks(plans).select("plan_id", "pos", "source")
 
 
-PLANS = [
-    (1, 1, "graph neural networks", "arxiv, open-alex", "2020", "9"), (1, 2, "Graph  Neural networks", "arXiv", "20200230", "x"), (1, 3, 'all:"pruning" AND sparsity', "unknown", "2021-05-06", "0"),
-    (1, 4, "third", "", None, "3"), (1, 5, "fourth is cut", "arxiv", "", "3"), (2, 1, "", "arxiv", "", "1"),
-]
+PLANS = Made(
+    """SELECT item_id % 25 AS plan_id, item_id AS pos, CASE item_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'ti:' || text WHEN 2 THEN 'Graph  neural NETS' WHEN 3 THEN 'graph neural nets' ELSE text END AS query,
+CASE item_id % 4 WHEN 0 THEN 'arxiv, open-alex' WHEN 1 THEN 'arXiv' WHEN 2 THEN 'unknown' END AS sources, CASE item_id % 5 WHEN 0 THEN '2020' WHEN 1 THEN '20200230' WHEN 2 THEN '2021-05-06' WHEN 3 THEN '' END AS date_from, CASE item_id % 3 WHEN 0 THEN '9' WHEN 1 THEN 'x' ELSE '0' END AS most FROM @benchmark"""
+)
+WORDS = "trim(regexp_replace(x, '\\s+', ' ', 'g'))"
+KEYWORDS = f"""(SELECT string_agg(w, '|' ORDER BY n) FROM (SELECT w, min(n) AS n FROM (SELECT {WORDS} AS w, n FROM (SELECT unnest(q) AS x, generate_subscripts(q, 1) AS n)) WHERE w <> '' GROUP BY w ORDER BY 2 LIMIT 4))"""
 
 
-@query("plan_normalize")
+@query(
+    "plan_normalize",
+    f"""WITH p AS (SELECT *, regexp_split_to_array(translate(regexp_replace(regexp_replace(translate(query, '“”‘’„‟«»', '{2 * '"' + 4 * "'" + 4 * '"'}'), '(all|ti|abs|au):', '', 'g'), '(?i)\\b(AND|OR|NOT)\\b', '|', 'g'), '()"', '   '), '[|,;，；、]') AS q FROM {PLANS.sql}),
+k AS (SELECT plan_id, pos, {KEYWORDS} AS keywords, CASE sources WHEN 'arxiv, open-alex' THEN 'arxiv|open_alex' WHEN 'arXiv' THEN 'arxiv' ELSE 'arxiv|openalex|open_alex' END AS sources,
+ CASE date_from WHEN '2020' THEN '20200101' WHEN '2021-05-06' THEN '20210506' END AS date_from, CASE most WHEN '0' THEN 1 ELSE 5 END AS "limit" FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY plan_id, lower(replace(keywords, '|', ' ')) ORDER BY pos) AS n FROM k WHERE keywords IS NOT NULL)
+SELECT plan_id, pos, keywords, sources, date_from, "limit" FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pos) AS m FROM o WHERE n = 1) WHERE m <= 3""",
+)
 def plan_normalize(spark, sf_dir):
-    rows = spark.createDataFrame(PLANS, "plan_id long, pos long, query string, sources string, date_from string, limit string")
-    out = fd.normal_plans(rows, ["arxiv", "openalex", "open_alex"])
+    out = fd.normal_plans(PLANS.df(spark, sf_dir).withColumnRenamed("most", "limit"), ["arxiv", "openalex", "open_alex"])
     return out.select("plan_id", "pos", F.array_join("keywords", "|").alias("keywords"), F.array_join("sources", "|").alias("sources"), "date_from", "limit")
 
 
@@ -71,19 +79,18 @@ def date_floor_filter(spark, sf_dir):
     return fd.from_day(orders, F.col("published"), F.lit("19980301")).select("o_orderkey", F.to_date("published").alias("day"))
 
 
-PAPERS = Rows(
-    "external_id string, source string, url string, pdf_url string",
-    [("2101.00001v2", "arxiv", "x", None), ("W1", "openalex", "https://e.org/1", "https://e.org/1.pdf"), ("W2", "openalex", "https://e.org/2", None)],
+PAPERS = Made(
+    """SELECT CASE WHEN page_id % 3 = 0 THEN '2101.' || page_id || 'v2' ELSE 'W' || page_id END AS external_id, CASE WHEN page_id % 3 = 0 THEN 'arxiv' ELSE 'openalex' END AS source, url, CASE WHEN page_id % 3 = 1 THEN url || '.pdf' END AS pdf_url FROM @pages"""
 )
 
 
 @query(
     "fulltext_resolution",
     f"""SELECT external_id, pdf AS pdf_url, coalesce(nullif(pdf, ''), land) AS download_url, land AS landing_url, source = 'arxiv' OR pdf <> '' AS is_open_access, CASE WHEN pdf <> '' THEN 'queue_ingest' ELSE 'answer_only' END AS decision FROM
-(SELECT *, CASE WHEN source = 'arxiv' THEN 'https://arxiv.org/pdf/' || external_id ELSE coalesce(pdf_url, '') END AS pdf, CASE WHEN source = 'arxiv' THEN 'https://arxiv.org/abs/' || external_id ELSE url END AS land FROM {PAPERS.sql})""",
+(SELECT *, CASE WHEN source = 'arxiv' THEN 'https://arxiv.org/pdf/' || external_id ELSE coalesce(pdf_url, '') END AS pdf, CASE WHEN source = 'arxiv' THEN 'https://arxiv.org/abs/' || external_id ELSE coalesce(url, '') END AS land FROM {PAPERS.sql})""",
 )
 def fulltext_resolution(spark, sf_dir):
-    return fd.ingest_decision(fd.fulltext(PAPERS.df(spark)))
+    return fd.ingest_decision(fd.fulltext(PAPERS.df(spark, sf_dir)))
 
 
 @query(
@@ -110,31 +117,35 @@ def external_rerank_guard(spark, sf_dir):
     return fd.rerank_or_pass(ranked, (F.col("n_chars") % 97).cast("double"), 5).drop("n_chars")
 
 
-FEED = """<feed><entry><id>http://arxiv.org/abs/2101.00001v2</id><title>On  Graphs
- again</title><summary> About graphs. </summary><published>2021-01-02T00:00:00Z</published><author><name>A B</name></author><author><name>C D</name></author><link href="http://arxiv.org/abs/2101.00001v2"/><link title="pdf" href="http://arxiv.org/pdf/2101.00001v2" type="application/pdf"/></entry>
-<entry><id>http://arxiv.org/abs/2102.00002</id><title>Second</title><summary>S</summary><published>2020-05-05T00:00:00Z</published><author><name>E</name></author></entry><entry><id>bad</id><title></title></entry></feed>"""
-WORKS = """{"id": "https://openalex.org/W1", "doi": "https://doi.org/10.5/abc", "title": "Work one", "publication_year": 2019, "authorships": [{"author": {"display_name": "X Y"}}], "primary_location": {"source": {"display_name": "Journal"}, "landing_page_url": "https://j.org/1", "pdf_url": null}, "abstract_inverted_index": {"two": [1, 3], "one": [0], "three": [2]}}"""
-
-
-def literal_records(spark):
-    feed = papers.from_entries(papers.entries_of(spark.createDataFrame([(FEED,)], "x string"), "x"))
-    works = papers.from_works(spark.createDataFrame([(WORKS,)], "j string").select(F.from_json("j", papers.WORK).alias("w")).select("w.*"))
-    return feed, works
-
-
-GOLD = Rows(
-    "source string, external_id string, title string, authors string, year string, doi string, abstract string, pdf_url string",
-    [
-        ("arxiv", "2101.00001v2", "On Graphs again", "A B; C D", "2021", "", "About graphs.", "http://arxiv.org/pdf/2101.00001v2"), ("arxiv", "2102.00002", "Second", "E", "2020", "", "S", ""),
-        ("openalex", "W1", "Work one", "X Y", "2019", "10.5/abc", "one two three two", ""),
-    ],
-)
+def feed_and_works(spark, sf_dir):
+    """Parts as entries of Atom feeds, ten or so in each, and suppliers as JSON works, as catalogues send them."""
+    key = F.col("p_partkey").cast("string")
+    tag = lambda name, *c: F.concat(F.lit(f"<{name}>"), *c, F.lit(f"</{name}>"))
+    link = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<link title="pdf" href="http://arxiv.org/pdf/'), key, F.lit('" type="application/pdf"/>'))).otherwise(F.lit('<link href="http://arxiv.org/"/>'))
+    entry = tag(
+        "entry", tag("id", F.when(F.col("p_partkey") % 7 == 0, "bad").otherwise(F.concat(F.lit("http://arxiv.org/abs/"), key, F.lit("v2")))), tag("title", F.lit(" "), "p_name", F.lit("\n   again")), tag("summary", F.lit(" "), "p_type", F.lit(" ")),
+        tag("published", (F.col("p_size") + 1990).cast("string"), F.lit("-01-02T00:00:00Z")), tag("author", tag("name", F.col("p_brand"))), tag("author", tag("name", F.lit("A  B"))), link,
+    )
+    sent = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 10").alias("page")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</feed>")).alias("x"))
+    word = F.split("s_name", "#")[0]
+    work = F.to_json(
+        F.struct(
+            F.concat(F.lit("https://openalex.org/W"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("https://doi.org/10.5/"), F.col("s_suppkey").cast("string")).alias("doi"), F.col("s_name").alias("title"), (F.col("s_nationkey") + 1990).alias("publication_year"),
+            F.array(F.struct(F.struct(word.alias("display_name")).alias("author"))).alias("authorships"), F.create_map(word, F.array(F.lit(1), F.lit(3)), F.lit("the"), F.array(F.lit(0), F.lit(2))).alias("abstract_inverted_index"),
+        )
+    )
+    works = table(spark, sf_dir, "supplier").select(F.from_json(work, papers.WORK).alias("w")).select("w.*")
+    return papers.from_entries(papers.entries_of(sent, "x")), papers.from_works(works)
 
 
-@query("source_records", f"SELECT * FROM {GOLD.sql}")
+@query(
+    "source_records",
+    """SELECT 'arxiv' AS source, p_partkey || 'v2' AS external_id, p_name || ' again' AS title, p_brand || '; A B' AS authors, CAST(1990 + p_size AS VARCHAR) AS year, '' AS doi, p_type AS abstract, CASE WHEN p_partkey % 2 = 0 THEN 'http://arxiv.org/pdf/' || p_partkey ELSE '' END AS pdf_url FROM part WHERE p_partkey % 7 <> 0
+UNION ALL SELECT 'openalex', 'W' || s_suppkey, s_name, string_split(s_name, '#')[1], CAST(1990 + s_nationkey AS VARCHAR), '10.5/' || s_suppkey, 'the ' || string_split(s_name, '#')[1] || ' the ' || string_split(s_name, '#')[1], '' FROM supplier""",
+)
 def source_records(spark, sf_dir):
-    """A feed and a work in their wire formats, through the registry of sources; an unknown source only adds an error row."""
-    feed, works = literal_records(spark)
+    """Feeds and works in their wire formats, through the registry of sources; an unknown source only adds an error row."""
+    feed, works = feed_and_works(spark, sf_dir)
     sources = Sources(spark)
     sources.add("arxiv", lambda args: feed)
     sources.add("openalex", lambda args: works)

@@ -15,7 +15,7 @@ from ..operators.keyword_index import KeywordIndex, indexable_rows
 from ..operators.vector_store import Collection
 from ..operators.vectors import nearest as nearest_rows
 from ..sources.shared import shared_folder
-from .base import Rows, query, table
+from .base import Made, query, table
 
 TOKENS = "regexp_extract_all(translate(lower({0}), '" + MARKED + "', '" + PLAIN + r"'), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 QUESTIONS = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark WHERE item_id % 20 = 0)"""
@@ -116,7 +116,10 @@ def fts_phrase_terms(spark, sf_dir):
     return held.join(asked, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum("f").alias("n_held"))
 
 
-CJK = Rows("id long, text string", [(1, "强化学习方法 in deep-learning"), (2, "研究一个图"), (3, "abc"), (4, ""), (5, "中的应用与关于图神经网络 GPT-4 a/b GPT-4"), (6, None)])
+DIGITS = "translate('' || doc_id, '0123456789', '零一二三四五六七八九')"
+CJK = Made(
+    f"""SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN '强化学习方法 in deep-learning ' || text WHEN 1 THEN '研究一个图' || {DIGITS} WHEN 2 THEN text WHEN 3 THEN '' WHEN 4 THEN '中的应用与关于图神经网络 GPT-4 a/b ' || {DIGITS} || ' GPT-4' END AS text FROM @documents"""
+)
 STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 GRAMS = f"""SELECT id, text, (SELECT coalesce(string_agg(substring(r, i, n), ' ' ORDER BY ri, n, i), '') FROM
  (SELECT unnest(regexp_extract_all(text, '[一-鿿]+')) AS r, generate_subscripts(regexp_extract_all(text, '[一-鿿]+'), 1) AS ri) a,
@@ -126,12 +129,12 @@ GRAMS = f"""SELECT id, text, (SELECT coalesce(string_agg(substring(r, i, n), ' '
 
 @query("cjk_ngrams", f"SELECT id, grams FROM ({GRAMS})")
 def cjk_ngrams(spark, sf_dir):
-    return CJK.df(spark).select("id", F.array_join(tk.cjk_grams(F.col("text")), " ").alias("grams"))
+    return CJK.df(spark, sf_dir).select("id", F.array_join(tk.cjk_grams(F.col("text")), " ").alias("grams"))
 
 
 @query("index_text", f"SELECT id, CASE WHEN grams <> '' THEN coalesce(text, '') || chr(10) || grams ELSE coalesce(text, '') END AS search_text FROM ({GRAMS})")
 def index_text(spark, sf_dir):
-    return CJK.df(spark).select("id", tk.index_text(F.coalesce("text", F.lit(""))).alias("search_text"))
+    return CJK.df(spark, sf_dir).select("id", tk.index_text(F.coalesce("text", F.lit(""))).alias("search_text"))
 
 
 @query(

@@ -3,17 +3,17 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .base import Rows, query, table
+from .base import Made, Texts, query, table
 
-MESSY = Rows(
-    "id long, s string",
+MESSY = Texts(
     [
-        (1, "  A  study\u3000of   things. "), (2, "doi: 10.1145/3368089.3409740."), (3, "https://doi.org/10.1000/xyz.123, see also"),
-        (4, "10.1234/xxxx"), (5, ""), (6, None), (7, "\u201cQuoted text\u201d and \u2018more\u2019 on deep-learning AND graphs"),
-        (8, "visit https://orcid.org/0000-0001 then https://example.org/a/b). Published 2019-7-3"), (9, "in 2021.12 and 1999"),
-        (10, "pp. 12--34."), (11, "Title:  Mixed   CASE--Name"), (12, "ti:neural (networks) OR all:\"graph\"; pruning, pruning"),
-        (13, "C:/papers/one two.pdf/"), (14, "rate limited: HTTP 429 Too Many Requests"), (15, "\u6df1\u5ea6\u5b66\u4e60\u7684 survey of 2020 methods"),
-    ],
+        ("", True, ""), ("  A  study\u3000of   things. ", True, ""), ("doi: 10.1145/#.3409740.", False, ""), ("https://doi.org/10.1000/xyz.#, see also ", True, ""),
+        ("10.1234/xxxx", False, ""), ("", False, ""), None, ("\u201cQuoted text\u201d and \u2018more\u2019 on deep-learning AND graphs; ", True, " or nets"),
+        ("visit https://orcid.org/0000-# then https://example.org/a/#). Published 2019-7-3 ", True, ""), ("in 2021.12 and 1999 ", True, ""),
+        ("pp. #--34.", False, ""), ("Title:  Mixed   CASE--Name # ", True, " DOI 10.1000/a(#)b."), ("ti:neural (networks) OR all:\"graph #\"; pruning, pruning", False, ""),
+        ("C:/papers/one # two.pdf/", False, ""), ("rate limited: HTTP 429 Too Many Requests ", True, " http://x.org/#."), ("\u6df1\u5ea6\u5b66\u4e60\u7684 survey of 20# methods ", True, ""),
+        ("2020-02-30", False, ""), ("20#", False, ""), ("20200229", False, ""),
+    ]
 )
 WS = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
 COL = f"trim(regexp_replace(coalesce(s, ''), '{WS}', ' ', 'g'))"
@@ -23,7 +23,7 @@ DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
 
 def on(function, *names):
     def run(spark, sf_dir):
-        return MESSY.df(spark).select("id", *(f(F.col("s")).alias(n) for n, f in zip(names, function)))
+        return MESSY.df(spark, sf_dir).select("id", *(f(F.col("s")).alias(n) for n, f in zip(names, function)))
 
     return run
 
@@ -68,14 +68,12 @@ query(
 (SELECT id, CASE WHEN len(d) = 4 THEN d || '0101' ELSE d END AS f FROM (SELECT id, regexp_replace(coalesce(s, ''), '[^0-9]', '', 'g') AS d FROM {MESSY.sql})))""",
 )(on([tx.day_number], "day"))
 
-TYPED = Rows(
-    "id long, kind string, title string, venue string, url string",
-    [
-        (1, "journal-article", "t", "v", ""), (2, "[C]", "a", "", ""), (3, "Thesis", "b", "", ""), (4, "", "A dissertation on x", "", ""), (5, "unknown-kind", "c", "Proceedings of Y", ""),
-        (6, None, "d", "arXiv preprint", ""), (7, None, "e", "", "http://x.org"), (8, None, "f", "Nature", ""), (9, None, "online talk", "", ""), (10, "Preprint", "g", "", ""),
-    ],
-)
-CODES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.TYPE_CODES.items())
+TYPED = Made(
+    """SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'journal-article' WHEN 1 THEN '[C]' WHEN 2 THEN 'Thesis' WHEN 3 THEN '' WHEN 4 THEN 'unknown-kind' WHEN 5 THEN 'Preprint' WHEN 6 THEN ' Book ' WHEN 7 THEN 'eb/ol' WHEN 8 THEN 'degree thesis' END AS kind,
+CASE p_size % 9 WHEN 0 THEN 'A dissertation on ' WHEN 1 THEN 'online ' ELSE '' END || p_name AS title, CASE p_partkey % 7 WHEN 0 THEN 'Proceedings of ' || p_brand WHEN 1 THEN 'arXiv preprint' WHEN 2 THEN p_type ELSE '' END AS venue,
+CASE WHEN p_partkey % 5 < 2 THEN 'http://x.org/' || p_partkey ELSE '' END AS url FROM @part"""
+)
+CODES = "WHEN 'journal-article' THEN 'J' WHEN 'thesis' THEN 'D' WHEN 'degree thesis' THEN 'D' WHEN 'preprint' THEN 'EB/OL' WHEN 'book' THEN 'M'"
 
 
 @query(
@@ -86,7 +84,7 @@ CASE WHEN regexp_matches(s, '(学位论文|博士论文|硕士论文|dissertatio
 FROM (SELECT *, trim(lower(trim(coalesce(kind, ''))), '[]') AS r, lower(title || ' ' || venue || ' ' || url) AS s FROM {TYPED.sql})""",
 )
 def doc_type_infer(spark, sf_dir):
-    return TYPED.df(spark).select("id", tx.type_code(F.col("kind")).alias("given"), tx.infer_type(F.col("title"), F.col("venue"), F.col("url")).alias("inferred"))
+    return TYPED.df(spark, sf_dir).select("id", tx.type_code(F.col("kind")).alias("given"), tx.infer_type(F.col("title"), F.col("venue"), F.col("url")).alias("inferred"))
 
 
 @query(
@@ -122,7 +120,9 @@ def url_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(u, "/+$", "").alias("key"), F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]+)", 1).alias("host"))
 
 
-PARTS = Rows("id long, s string", [(1, "graph; Graph, neural nets，优化、 ;x"), (2, ""), (3, None), (4, "a,b,c,d,e,f,g,h,i,j,k,l")])
+PARTS = Made(
+    """SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 11 = 1 THEN '' WHEN event_id % 11 = 2 THEN 'a,b,c,d,e,f,g,h,i,j,k,l' || event_id ELSE event_type || '; ' || upper(event_type) || ', k ' || user_id || '，' || props || '、 ;x' END AS s FROM @events"""
+)
 
 
 def split_sql(pattern: str, cut: str, most: int, column: str) -> str:
@@ -133,18 +133,27 @@ FROM (SELECT id, regexp_split_to_array(coalesce(s, ''), '{pattern}') AS p FROM {
 
 @query("keywords_split", split_sql("[,;，；、]", " ,;，；", 10, "keywords"))
 def keywords_split(spark, sf_dir):
-    return PARTS.df(spark).select("id", F.array_join(tx.split_keywords(F.col("s")), "|").alias("keywords"))
+    return PARTS.df(spark, sf_dir).select("id", F.array_join(tx.split_keywords(F.col("s")), "|").alias("keywords"))
 
 
-NAMES = Rows("id long, s string", [(1, "1. Ada Lovelace*, Alan Turing and ada lovelace; 王小明"), (2, ""), (3, "Solo Name 3")])
+NAMES = Made(
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 9 = 1 THEN '' ELSE c_custkey || '. ' || c_name || '*, Ada ' || c_mktsegment || ' and ' || lower(c_name) || 'AND  ada ' || lower(c_mktsegment) || '; 王小明' || c_nationkey END AS s FROM @customer"""
+)
+PERSON = f"regexp_replace({COL.replace('coalesce(s', 'coalesce(x')}, '^[^\\pL]+|[^\\pL]+$', '', 'g')"
 
 
-@query("authors_split")
+@query(
+    "authors_split",
+    f"""SELECT id, coalesce((SELECT string_agg(w, '|' ORDER BY n) FROM (SELECT arg_min(w, n) AS w, min(n) AS n FROM (SELECT {PERSON} AS w, n FROM (SELECT unnest(p) AS x, generate_subscripts(p, 1) AS n)) WHERE w <> '' GROUP BY lower(w) ORDER BY 2 LIMIT 12)), '') AS authors
+FROM (SELECT id, regexp_split_to_array(regexp_replace(coalesce(s, ''), '\\s+(and|AND)\\s+', ',', 'g'), '[,;，；、]') AS p FROM {NAMES.sql})""",
+)
 def authors_split(spark, sf_dir):
-    return NAMES.df(spark).select("id", F.array_join(tx.split_people(F.col("s")), "|").alias("authors"))
+    return NAMES.df(spark, sf_dir).select("id", F.array_join(tx.split_people(F.col("s")), "|").alias("authors"))
 
 
-JSONS = Rows("id long, s string", [(1, 'Sure: {"a": ["x", " ", "y"], "n": "3"} done'), (2, "no object"), (3, '["p", "", "q"]'), (4, "[bad"), (5, None)])
+JSONS = Made(
+    """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'Sure: {"a": ["x", " "], "n": "' || user_id || '"} done' WHEN 1 THEN event_type WHEN 2 THEN '["' || event_type || '", "", " ", "q' || event_id || '"]' WHEN 3 THEN '[bad ' || event_id WHEN 4 THEN props END AS s FROM @events"""
+)
 
 
 @query(
@@ -153,7 +162,7 @@ JSONS = Rows("id long, s string", [(1, 'Sure: {"a": ["x", " ", "y"], "n": "3"} d
 )
 def json_salvage(spark, sf_dir):
     body = tx.json_object_in(F.col("s"))
-    return JSONS.df(spark).select("id", body.alias("body"), F.get_json_object(body, "$.n").alias("n"))
+    return JSONS.df(spark, sf_dir).select("id", body.alias("body"), F.get_json_object(body, "$.n").alias("n"))
 
 
 @query(
@@ -162,7 +171,7 @@ def json_salvage(spark, sf_dir):
 )
 def json_list_decode(spark, sf_dir):
     listed = F.filter(F.from_json("s", "array<string>"), lambda x: F.trim(x) != "")
-    return JSONS.df(spark).select("id", F.coalesce(F.array_join(listed, "|"), F.lit("")).alias("items"))
+    return JSONS.df(spark, sf_dir).select("id", F.coalesce(F.array_join(listed, "|"), F.lit("")).alias("items"))
 
 
 @query("json_dict_clean", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
@@ -171,13 +180,11 @@ def json_dict_clean(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(cleaned, F.lit("k")), F.lit("")).alias("k"))
 
 
-INVERTED = Rows("id long, word string, pos long", [(1, "the", 0), (1, "cat", 1), (1, "saw", 2), (1, "the", 3), (1, "dog", 4), (2, "one", 0)])
-
-
-@query("inverted_abstract_restore", f"SELECT id, string_agg(word, ' ' ORDER BY pos) AS abstract FROM {INVERTED.sql} GROUP BY id")
+@query("inverted_abstract_restore", "SELECT item_id AS id, text AS abstract FROM benchmark")
 def inverted_abstract_restore(spark, sf_dir):
     """From a map of words to positions, as catalogues send abstracts."""
-    grouped = INVERTED.df(spark).groupBy("id", "word").agg(F.collect_list("pos").alias("at")).groupBy("id")
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    grouped = words.groupBy("id", "word").agg(F.collect_list("pos").alias("at")).groupBy("id")
     maps = grouped.agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("words"))
     return maps.select("id", restore_abstract(F.col("words")).alias("abstract"))
 
@@ -200,16 +207,18 @@ def title_hint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", best["s"].alias("title")).where("title is not null")
 
 
-ABSTRACTS = Rows("id long, s string", [(1, "Title here\nAbstract: We study\n things.\nKeywords: a, b"), (2, "nothing"), (3, "ABSTRACT\nOnly this until the end")])
+ABSTRACTS = Made(
+    """SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Title here' || chr(10) || 'Abstract: ' || text || chr(10) || 'Keywords: a, b' WHEN 1 THEN text ELSE 'ABSTRACT' || chr(10) || text END AS s FROM @documents"""
+)
 
 
 @query(
     "abstract_hint",
-    f"SELECT id, substring(trim(regexp_replace(regexp_extract(s, '(?is)\\babstract\\b\\s*:?\\s*(.*?)(?:\\bkeywords\\b|$)', 1), '\\s+', ' ', 'g')), 1, 3000) AS abstract FROM {ABSTRACTS.sql}",
+    f"SELECT id, substring(trim(regexp_replace(regexp_extract(s, '(?is)\\babstract\\b\\s*:?\\s*(.*?)(?:\\bkeywords\\b|$)', 1), '{WS}', ' ', 'g')), 1, 3000) AS abstract FROM {ABSTRACTS.sql}",
 )
 def abstract_hint(spark, sf_dir):
     found = F.regexp_extract("s", r"(?is)\babstract\b\s*:?\s*(.*?)(?:\bkeywords\b|$)", 1)
-    return ABSTRACTS.df(spark).select("id", F.substring(tx.collapse(found), 1, 3000).alias("abstract"))
+    return ABSTRACTS.df(spark, sf_dir).select("id", F.substring(tx.collapse(found), 1, 3000).alias("abstract"))
 
 
 VENUES = "journal|conference|proceedings|transactions|symposium|license|press"

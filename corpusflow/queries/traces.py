@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trace as tr
 from ..streaming import progress as pg
-from .base import Rows, query, table
+from .base import query, table
 
 KIND = "CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'planned' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'other' END"
 PROGRESS = f"SELECT event_id, user_id % 50 AS session, {KIND} AS kind, event_id % 7 AS results FROM events"
@@ -98,17 +98,16 @@ def failure_messages(spark, sf_dir):
     return errors.groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_set("m")), "|").alias("messages"))
 
 
-CHUNKS = [
-    (1, 1, 'data: {"type":"delta","con'), (1, 2, 'tent":"hé"}\n\ndata: {"type":"do'), (1, 3, 'ne","answer":"hé!"}'),
-    (2, 1, ": keep-alive\n\n"), (2, 2, "data:\n\n"), (2, 3, 'data: {"type":"delta","content":"ok"}\n\n'),
-]
-FRAMES = Rows("stream long, pos long, type string, content string, answer string", [(1, 0, "delta", "hé", None), (1, 1, "done", None, "hé!"), (2, 0, "delta", "ok", None)])
-
-
-@query("sse_parse", f"SELECT * FROM {FRAMES.sql}")
+@query("sse_parse", "SELECT conv_id AS stream, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, CASE WHEN turn % 3 = 2 THEN 'done' ELSE 'delta' END AS type, CASE WHEN turn % 3 <> 2 THEN text END AS content, CASE WHEN turn % 3 = 2 THEN text END AS answer FROM conversations")
 def sse_parse(spark, sf_dir):
-    """Frames cut anywhere, comments and empty frames; the last frame need not end."""
-    whole = tr.joined_chunks(spark.createDataFrame(CHUNKS, "stream long, seq long, body string"), ["stream"], "seq", "body")
+    """Turns as frames of an event stream that was cut anywhere, with comments and empty frames between them."""
+    last = F.col("turn") % 3 == 2
+    event = F.when(last, F.to_json(F.struct(F.lit("done").alias("type"), F.col("text").alias("answer")))).otherwise(F.to_json(F.struct(F.lit("delta").alias("type"), F.col("text").alias("content"))))
+    frame = F.concat(F.when(F.col("turn") % 2 == 0, ": keep-alive\n\ndata:\n\n").otherwise(""), F.lit("data: "), event, F.lit("\r\n\r\n"))
+    listed = F.array_sort(F.collect_list(F.struct("turn", frame.alias("f"))))
+    sent = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("stream")).agg(F.array_join(F.transform(listed, lambda x: x["f"]), "").alias("body"))
+    chunks = sent.select("stream", F.posexplode(F.regexp_extract_all("body", F.lit("(?s).{1,37}"), 0)).alias("seq", "body"))
+    whole = tr.joined_chunks(chunks, ["stream"], "seq", "body")
     data = whole.select("stream", F.posexplode(tr.frames(F.col("body"))).alias("pos", "data"))
     parsed = data.withColumn("j", F.from_json("data", "type string, content string, answer string"))
     return parsed.select("stream", F.col("pos").cast("long").alias("pos"), "j.type", "j.content", "j.answer")
