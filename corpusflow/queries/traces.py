@@ -1,9 +1,13 @@
 """Traces, progress and streams on the events table."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import trace as tr
+from ..sources.shared import shared_folder
 from ..streaming import progress as pg
+from ..streaming import spans as sn
 from .base import query, table
 
 KIND = "CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'planned' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'other' END"
@@ -181,3 +185,37 @@ def stream_step_fold(spark, sf_dir):
     out = pg.run_to_end(pg.folded_steps(rows), "stream_step_fold_", "update")
     newest = out.groupBy("step_id").agg(F.max_by("status", "n_updates").alias("status"), F.max("n_updates").alias("n_updates"), F.max_by("last_seq", "n_updates").alias("last_seq"))
     return newest.where("status is not null")
+
+
+NAMES = ["memory_recall", "coverage_assessment", "search_plan_generation", "external_search.arxiv", "external_search.openalex", "vector_recall", "keyword_recall", "hybrid_rrf", "local_retrieval", "prompt_build"]
+SPAN_SQL = f"""WITH e AS (SELECT user_id AS session, event_id AS seq, ({NAMES!r})[CAST(1 + event_id * 7 % 10 AS INTEGER)] AS name, CASE WHEN event_id % 4 > 0 THEN event_type END AS status FROM events),
+f AS (SELECT session, name, min(seq) AS seq, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status FROM e GROUP BY 1, 2),
+a AS (SELECT session, min(seq) AS stage FROM f WHERE name IN ('coverage_assessment', 'search_plan_generation') OR starts_with(name, 'external_search.') GROUP BY 1),
+l AS (SELECT f.*, stage, name IN ('vector_recall', 'keyword_recall', 'hybrid_rrf', 'local_retrieval') AND coalesce(seq > stage, false) AS late FROM f LEFT JOIN a USING (session))
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN late THEN stage ELSE seq END, NOT late, seq) - 1 AS position, name, status FROM l"""
+
+
+def span_events(events):
+    e = F.col("event_id")
+    name = F.get(F.array(*map(F.lit, NAMES)), (e * 7 % 10).cast("int"))
+    return events.select(F.col("user_id").alias("session"), e.alias("seq"), F.col("ts").cast("timestamp").alias("at"), name.alias("name"), F.when(e % 4 > 0, F.col("event_type")).alias("status"))
+
+
+@query("late_span_order", SPAN_SQL)
+def late_span_order(spark, sf_dir):
+    return sn.ordered_spans(span_events(table(spark, sf_dir, "events")))
+
+
+@query("stream_span_order", SPAN_SQL)
+def stream_span_order(spark, sf_dir):
+    """The same over a stream of four files and as many batches, with state between them."""
+    events = table(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    for k in range(4):  # the files follow each other in time
+        part = F.floor((F.col("event_id") - low) * 4 / (high - low + 1))
+        events.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = span_events(pg.event_stream(spark, folder, events.schema, "*.parquet"))
+    with pg.state_in_rocksdb(spark):
+        versions = pg.run_to_end(sn.span_versions(stream, 10 * 365 * 86_400_000), "stream_span_order_", "update")
+    return sn.newest(versions).select("session", "position", "name", "status")

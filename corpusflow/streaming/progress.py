@@ -1,5 +1,6 @@
 """The same counters and folds over a stream of events."""
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -73,7 +74,22 @@ def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*(batches[-1:] if mode == "complete" else batches)) if batches else empty
 
 
-def each_batch(stream: DataFrame, checkpoint: str, action) -> None:
+def each_batch(stream: DataFrame, checkpoint: str, action, mode: str = "append") -> None:
     """Run ``action(rows, batch id)`` for each micro-batch; with the checkpoint a batch that was done is not done again."""
-    query = stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+@contextlib.contextmanager
+def state_in_rocksdb(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, as state of several variables asks."""
+    key, name = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, name)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
