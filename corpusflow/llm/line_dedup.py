@@ -326,6 +326,8 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                 if not begin:
                     continue
                 a, b, n = (np.concatenate(x) for x in (begin, end, row))
+                once = np.unique(a * (len(lines.starts) + 1) + b, return_index=True)[1]  # marks near each other share windows
+                a, b, n = a[once], b[once], n[once]
                 low = lines.firsts[n - first]
                 columns = (ids[n], keys[n], (a - low).astype(np.int32), (b - low).astype(np.int32), sums(lines.hash, a, b).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i_", "k_", "first", "end_", "h"])
@@ -373,13 +375,13 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
 
     def compared(spots: DataFrame, least: DataFrame, name: str) -> DataFrame:
         """How far the lines at and around ``spots`` agree with the first occurrence of each hash, of whose copies a part goes to each task."""
-        needed = least.join(spots.select("h").distinct(), "h", "left_semi").select("least.i_", "least.k_", "least.first", "least.end_", "h", "parts")
+        needed = least.select("least.i_", "least.k_", "least.first", "least.end_", "h", "parts")
         first = occurrences(needed).select("h", "parts", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
         first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         dealt = occurrences(spots).withColumn("part", F.pmod(F.xxhash64("i_", "k_"), F.col("parts")).cast("int"))
         return materialize(dealt.join(first, ["h", "part"]).mapInArrow(compare, "h long, i_ long, k_ long, a int, b int, enough boolean"), name)
 
-    near = compared(picked, least, "near")
+    near = compared(picked, least.join(picked.select("h").distinct(), "h", "left_semi"), "near")
     for done in (picked, least):
         drop_table(done)
     # a run that agrees with too little around its first occurrence may belong to a passage that first occurs elsewhere
@@ -388,9 +390,9 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     for done in (seen, short):
         drop_table(done)
     seen, least = repeats(around)
-    later = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", "first", "end_", "h", "parts")
+    later = materialize(seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", "first", "end_", "h", "parts"), "later")
     far = compared(later, least, "far")
-    for done in (around, seen, least):
+    for done in (around, seen, least, later):
         drop_table(done)
     gone = near.unionByName(far).where("enough")
     ranges = gone.groupBy("i_", "k_").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
