@@ -5,11 +5,14 @@ new base.  Keys are unique in a base; of a change with one key twice the later r
 (by its order column) counts.
 """
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def latest(change: DataFrame, keys: list, order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
@@ -34,14 +37,56 @@ def set_where(base: DataFrame, condition: Column, **values: Column) -> DataFrame
     return base.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def insert(base: DataFrame, rows: DataFrame, key: str, order: list) -> DataFrame:
-    """New rows get the next numbers after the largest one, in the given order.
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` and their numbers from 1 in the given order, counted in ranges.
 
-    Numbering is one sequence, as a sequence of ids is; ``rows`` is one batch of inserts.
+    Rows are sorted into ranges and written with their place in their range; the sizes
+    of the ranges, one number for each, say where a range begins.  No task sees all
+    rows.
     """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    part = F.spark_partition_id()
+    placed = sorted_.withColumns({"part_": part, "place_": F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)})
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    sizes = {r["part_"]: r["count"] for r in placed.groupBy("part_").count().collect()}
+    begins, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        begins.append(total)
+        total += sizes.get(k, 0)
+    begin = F.get(F.array(*map(F.lit, begins)), F.col("part_")) if begins else F.lit(0)
+    return placed.withColumn(name, (begin + F.col("place_") + 1).cast("long")).drop("part_", "place_")
+
+
+def insert(base: DataFrame, rows: DataFrame, key: str, order: list) -> DataFrame:
+    """New rows get the next numbers after the largest one, in the given order."""
     first = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("last_"))
-    numbered = rows.withColumn("n_", F.row_number().over(Window.orderBy(*order)))
-    return base.unionByName(numbered.crossJoin(first).withColumn(key, (F.col("last_") + F.col("n_")).cast("long")).select(*base.columns))
+    counted = numbered(rows, order, "n_").crossJoin(first)  # one row
+    return base.unionByName(counted.withColumn(key, (F.col("last_") + F.col("n_")).cast("long")).select(*base.columns))
+
+
+def insert_checked(base: DataFrame, rows: DataFrame, key: str, order: list, required: list = (), unique: list = (), foreign: list = ()) -> tuple:
+    """(the next base, rejected rows with a reason): rows that break a constraint are not inserted, the others are numbered.
+
+    ``required`` columns must not be blank; ``unique`` ones (texts, whatever their case)
+    must be new in the base and the first in ``rows`` by ``order``; ``foreign``: (column, parents, their
+    key), where a null refers to nothing.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    told = rows.withColumn("reason", F.lit(None).cast("string"))
+    for c in required:
+        told = told.withColumn("reason", F.coalesce("reason", F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"{c} is required")))
+    for c, parents, parent_key in foreign:
+        known = parents.select(F.col(parent_key).alias(c), F.lit(True).alias("known_")).distinct()
+        told = told.join(known, c, "left").withColumn("reason", F.coalesce("reason", F.when(F.col(c).isNotNull() & F.col("known_").isNull(), f"{c} refers to nothing"))).drop("known_")
+    for c in unique:
+        taken = base.select(low(c).alias("low_"), F.lit(True).alias("taken_")).distinct()
+        w = Window.partitionBy("low_", F.col("reason").isNull()).orderBy(*order)
+        told = told.withColumn("low_", low(c)).join(taken, "low_", "left").withColumn("n_", F.row_number().over(w))
+        told = told.withColumn("reason", F.coalesce("reason", F.when(F.col("taken_") | (F.col("n_") > 1), f"{c} is taken"))).drop("low_", "taken_", "n_")
+    return insert(base, told.where("reason is null").drop("reason"), key, order), told.where("reason is not null").select(*rows.columns, "reason")
 
 
 def delete_cascade(tables: dict, links: list, root: str, doomed: DataFrame) -> dict:

@@ -1,10 +1,13 @@
 """Federated search over paper catalogues: plans, subtasks, deduplication, quota."""
 
-import pandas as pd
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import shared_folder
 
 
 def subtasks(plans: DataFrame, per_source: int = 3) -> DataFrame:
@@ -46,28 +49,37 @@ def record_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("keys", F.array_compact(F.array(*parts)))
 
 
-def keep_first_by_keys(df: DataFrame, group: str, order: str, max_rows: int = 100_000) -> DataFrame:
+def keep_first_by_keys(df: DataFrame, group: str, order: str) -> DataFrame:
     """Rows kept in order if none of their keys belongs to a row kept before; rows without keys go.
 
     A dropped row claims no keys, so this is neither a distinct nor connected
-    components, and it is sequential within a group.  A group is the result of one
-    search, a few hundred rows; a larger one than ``max_rows`` is an error.
+    components.  It goes in rounds: a row that is the first of those left on all its
+    keys is kept, rows that share a key with a kept one go, and the rest is looked at
+    again.  Rounds are as many as the longest chain of rows each of which decides the
+    next; each ends in a table in the shared folder.  ``order`` must not repeat in a group.
     """
-    sized = df.withColumn("size_", F.count("*").over(Window.partitionBy(group)))
-    checked = sized.withColumn("size_", F.when(F.col("size_") > max_rows, F.raise_error(F.lit("a search result is too large to deduplicate in order"))).otherwise(F.col("size_")))
-
-    def first(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        seen: set = set()
-        keep = []
-        for keys in rows["keys"]:
-            new = len(keys) > 0 and seen.isdisjoint(keys)
-            if new:
-                seen.update(keys)
-            keep.append(new)
-        return rows[keep].drop(columns="size_")
-
-    return checked.groupBy(group).applyInPandas(first, df.schema)
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/first-{uuid.uuid4().hex}"
+
+    def table(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    each = df.select(group, F.col(order).alias("at_"), F.explode("keys").alias("key_")).distinct()
+    left = table(each, "left-0")
+    kept = [table(left.select(group, "at_").limit(0), "kept-0")]
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        leader = left.groupBy(group, "key_").agg(F.min("at_").alias("first_"))
+        seen = left.join(leader, [group, "key_"])
+        first = table(seen.groupBy(group, "at_").agg(F.bool_and(F.col("at_") == F.col("first_")).alias("ok_")).where("ok_").select(group, "at_"), f"kept-{turn}")
+        kept.append(first)
+        claimed = left.join(first, [group, "at_"], "left_semi").select(group, "key_").distinct()
+        gone = left.join(claimed, [group, "key_"], "left_semi").select(group, "at_").distinct()
+        left = table(left.join(gone, [group, "at_"], "left_anti"), f"left-{turn}")
+    every = reduce(DataFrame.union, kept)
+    return df.join(every.withColumnRenamed("at_", order), [group, order], "left_semi").select(*df.columns)
 
 
 def without_local(external: DataFrame, local: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.nested import variant_in, without_private
 from ..operators import catalog as ct
+from ..operators.messages import mapped_messages
 from .base import Made, query, table
 
 
@@ -234,3 +236,65 @@ def selection_cascade(spark, sf_dir):
     own, active = there.withColumnRenamed("c_custkey", "own"), there.withColumnRenamed("c_custkey", "active")
     joined = s.join(own, F.col("o_custkey") == F.col("own"), "left").join(active, F.col("o_custkey") + 1 == F.col("active"), "left")
     return joined.select(F.col("o_orderkey").alias("session_id"), F.coalesce("own", "active").alias("library_id"))
+
+
+NEW = Made("SELECT CASE c_custkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN upper(s_name) ELSE c_name END AS name, CASE c_custkey % 5 WHEN 0 THEN 99 WHEN 1 THEN NULL ELSE c_nationkey END AS nation, c_custkey AS pos FROM @customer LEFT JOIN @supplier ON s_suppkey = c_custkey")
+JUDGED = f"""n AS (SELECT * FROM {NEW.sql}), a AS (SELECT *, CASE WHEN coalesce(trim(name), '') = '' THEN 'name is required' WHEN nation IS NOT NULL AND nation NOT IN (SELECT n_nationkey FROM nation) THEN 'nation refers to nothing' END AS r FROM n),
+j AS (SELECT *, coalesce(r, CASE WHEN lower(trim(name)) IN (SELECT lower(s_name) FROM supplier) OR row_number() OVER (PARTITION BY lower(trim(name)), r IS NULL ORDER BY pos) > 1 THEN 'name is taken' END) AS reason FROM a)"""
+
+
+@query(
+    "insert_checked",
+    f"""WITH {JUDGED} SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS INTEGER) AS nation, 'there' AS state FROM supplier
+UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY pos), name, nation, 'new' FROM j WHERE reason IS NULL UNION ALL SELECT NULL, name, nation, reason FROM j WHERE reason IS NOT NULL""",
+)
+def insert_checked(spark, sf_dir):
+    """Customers as new suppliers: blank and taken names and unknown nations are rejected with the reason."""
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("int").alias("nation"), F.lit(-1).cast("long").alias("pos"))
+    rows = NEW.df(spark, sf_dir).withColumn("nation", F.col("nation").cast("int")).withColumn("pos", F.col("pos").cast("long"))
+    after, rejected = ct.insert_checked(base, rows, "id", ["pos"], required=["name"], unique=["name"], foreign=[("nation", table(spark, sf_dir, "nation"), "n_nationkey")])
+    state = F.when(F.col("pos") < 0, "there").otherwise("new")
+    return after.select("id", "name", "nation", state.alias("state")).unionByName(rejected.select(F.lit(None).cast("long").alias("id"), "name", "nation", F.col("reason").alias("state")))
+
+
+@query(
+    "double_json",
+    "SELECT event_id, CASE event_id % 5 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 5 IN (2, 4) THEN NULL WHEN event_id % 5 = 3 THEN 'VOID' ELSE 'OBJECT' END AS kind FROM events",
+)
+def double_json(spark, sf_dir):
+    """Properties as they are, encoded twice, broken, null, and as a text that is not to be read again."""
+    e, quoted = F.col("event_id") % 5, lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    sent = F.when(e == 0, F.col("props")).when(e == 1, quoted(F.concat(F.lit(" "), "props"))).when(e == 2, F.concat(F.lit("{"), "props")).when(e == 3, "null").otherwise(F.concat(F.lit('{"k": "'), F.get_json_object("props", "$.k"), F.lit('", "_x": 1}')))
+    v = variant_in(sent)
+    kind = F.when(e < 4, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), kind.alias("kind"))
+
+
+@query("private_keys", "SELECT event_id, '{\"a\":[{\"b\":' || event_id || '},null],\"k\":' || json_extract_string(props, '$.k') || '}' AS body FROM events")
+def private_keys(spark, sf_dir):
+    """Members whose name begins with an underscore go, at any depth."""
+    key, number = F.get_json_object("props", "$.k"), F.col("event_id").cast("string")
+    sent = F.concat(F.lit('{"_p": {"x": 1}, "k": '), key, F.lit(', "a": [{"_q": [1], "b": '), number, F.lit("}, null]}"))
+    return table(spark, sf_dir, "events").select("event_id", without_private(sent).alias("body"))
+
+
+MESSAGE = """CASE turn % 6 WHEN 0 THEN NULL WHEN 1 THEN 'no json {' WHEN 2 THEN '{"documents": [{"id": ' || conv_id || '}, {"id": 2}], "memories": "x", "preparation": {"elapsed_seconds": ' || turn || '.5, "steps": [{"query": "q' || conv_id || '", "status": "odd"}, {"id": "s", "source": "openalex", "status": "error", "result_count": ' || turn || '}, 7]}}'
+ WHEN 3 THEN '{"agent_trace": {"trace_id": ' || conv_id || ', "elapsed_ms": "' || (turn * 1000) || '", "spans": [{"name": "n' || turn || '", "elapsed_ms": null, "input": {"a": 1}, "output": [1]}, "bad", {}]}, "citations": [1, 2, 3]}'
+ WHEN 4 THEN '[1]' ELSE '{"preparation": [], "agent_trace": {"status": "", "elapsed_ms": true}}' END"""
+STORED = Made(f"SELECT conv_id, turn, {MESSAGE} AS retrieval_context_json FROM @conversations")
+
+
+@query(
+    "message_mapper",
+    """SELECT conv_id, turn, CAST(CASE turn % 6 WHEN 2 THEN 2 ELSE 0 END AS INTEGER) AS n_documents, CAST(CASE turn % 6 WHEN 3 THEN 3 ELSE 0 END AS INTEGER) AS n_citations, CASE turn % 6 WHEN 2 THEN turn + 0.5::DOUBLE WHEN 3 THEN turn::DOUBLE WHEN 5 THEN 0.001::DOUBLE END AS seconds,
+CASE turn % 6 WHEN 2 THEN 'arxiv-q' || conv_id || ':success:arxiv:|s:error:openalex:' || turn WHEN 3 THEN '' WHEN 5 THEN '' END AS steps, CASE turn % 6 WHEN 3 THEN conv_id || ':success' WHEN 5 THEN ':success' END AS trace,
+CASE turn % 6 WHEN 3 THEN 'n' || turn || ':n' || turn || ':0.0:{"a":1}:{}|:agent_step::{}:{}' WHEN 5 THEN '' END AS spans FROM conversations""",
+)
+def message_mapper(spark, sf_dir):
+    """Contexts that are missing, broken, half filled and full, as typed columns with defaults."""
+    m = mapped_messages(STORED.df(spark, sf_dir))
+    text = lambda *c: F.concat_ws(":", *(F.coalesce(x.cast("string"), F.lit("")) for x in c))
+    steps = F.array_join(F.transform("preparation.steps", lambda s: text(s["id"], s["status"], s["source"], s["result_count"])), "|")
+    spans = F.array_join(F.transform("trace.spans", lambda s: text(s["span_id"], s["name"], s["elapsed_ms"], s["input"], s["output"])), "|")
+    trace = F.when(F.col("trace").isNotNull(), text(F.col("trace.trace_id"), F.col("trace.status")))
+    return m.select("conv_id", "turn", F.size("documents").alias("n_documents"), F.size("citations").alias("n_citations"), F.col("preparation.elapsed_seconds").alias("seconds"), steps.alias("steps"), trace.alias("trace"), spans.alias("spans"))

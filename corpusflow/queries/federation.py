@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import federate as fd
 from ..sources import papers
-from ..sources.registry import Sources
+from ..sources.registry import Sources, TableSource
+from ..sources.remote import RemoteSource
 from .base import Made, query, table
 
 TITLE = "trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))"
@@ -30,11 +31,11 @@ def external_anti_join(spark, sf_dir):
 
 @query("external_greedy_dedupe")
 def external_greedy_dedupe(spark, sf_dir):
-    """Order-dependent, so tests hold it against a loop.  Ids, titles and hosts of pages are made to collide."""
+    """Order-dependent, so tests hold it against a loop.  Addresses and DOIs of pages are made to collide, whole titles as they are."""
     r = records(spark, sf_dir)
     rows = r.select(
-        (F.col("id") % 20).alias("query_id"), F.col("id").alias("pos"), F.substring("title", 1, 6).alias("title"), F.when(F.col("id") % 6 == 0, F.concat(F.lit("https://doi.org/10.5/"), (F.col("id") % 36).cast("string"))).otherwise("").alias("doi"),
-        F.regexp_extract("url", "^[^#?]*", 0).alias("url"), F.lit("").alias("pdf_url"), F.lit("web").alias("source"), (F.col("id") % 200).cast("string").alias("external_id"),
+        (F.col("id") % 20).alias("query_id"), F.col("id").alias("pos"), "title", F.when(F.col("id") % 6 == 0, F.concat(F.lit("https://doi.org/10.5/"), (F.col("id") % 36).cast("string"))).otherwise("").alias("doi"),
+        F.regexp_extract("url", "^[a-z]+://[^/?#]*/[^/?#]*", 0).alias("url"), F.lit("").alias("pdf_url"), F.lit("web").alias("source"), (F.col("id") % 200).cast("string").alias("external_id"),
     )
     return fd.keep_first_by_keys(fd.record_keys(rows), "query_id", "pos").select("query_id", "pos", "title", F.array_join("keys", " ").alias("keys"))
 
@@ -153,11 +154,67 @@ def source_records(spark, sf_dir):
     return found.select("source", "external_id", "title", F.array_join("authors", "; ").alias("authors"), "year", "doi", "abstract", "pdf_url")
 
 
-@query("source_errors", "SELECT 'broken' AS source, 'no answer' AS message UNION ALL SELECT 'nowhere', 'unknown source'")
+class Flaky:
+    """A provider that cannot answer for words of an even length."""
+
+    def search(self, words, limit, date_from, sort, order):
+        if len(words[0]) % 2 == 0:
+            raise RuntimeError(f"no answer for {words[0]}")
+        return [{"external_id": f"{words[0]}-{k}", "title": words[0]} for k in range(limit)]
+
+    def detail(self, external_id):
+        return {"external_id": external_id, "title": external_id.split("-")[0]}
+
+    def fulltext(self, record):
+        return {"pdf_url": f"https://f.org/{record['external_id']}.pdf", "is_open_access": True}
+
+
+FIRST = "SELECT DISTINCT lower(string_split(replace(text, chr(10), ' '), ' ')[1]) AS w FROM benchmark"
+
+
+def flaky_search(spark, sf_dir):
+    """The first words of all benchmark items as requests to a remote source; they are the plan, so the driver holds them."""
+    sources = Sources(spark)
+    sources.add("flaky", RemoteSource(spark, "flaky", Flaky()))
+    words = [r[0] for r in table(spark, sf_dir, "benchmark").select(F.lower(F.split("text", "[ \n]")[0])).distinct().collect()]
+    return sources.search(["Flaky", "nowhere"], [{"words": [w], "limit": 2} for w in words])
+
+
+@query("source_errors", f"SELECT 'flaky' AS source, 'no answer for ' || w AS message FROM ({FIRST}) WHERE len(w) % 2 = 0 UNION ALL SELECT 'nowhere', 'unknown source'")
 def source_errors(spark, sf_dir):
-    def broken(args):
-        raise RuntimeError("no answer")
+    """Requests that fail are rows with their message, and the others answer."""
+    return flaky_search(spark, sf_dir)[1]
+
 
+@query("remote_search", f"SELECT 'flaky' AS source, w || '-' || k AS external_id, w AS title FROM ({FIRST}), range(2) r(k) WHERE len(w) % 2 = 1")
+def remote_search(spark, sf_dir):
+    return flaky_search(spark, sf_dir)[0].select("source", "external_id", "title")
+
+
+def page_source(spark, sf_dir):
+    """pages as a catalogue: their titles, addresses and years by id."""
+    title = F.trim(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
+    blank = F.lit("")
+    rows = table(spark, sf_dir, "pages").select(
+        F.lit("pages").alias("source"), F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("external_id"), title.alias("title"), F.array().cast("array<string>").alias("authors"), (F.col("page_id") % 30 + 1990).cast("string").alias("year"),
+        blank.alias("venue"), blank.alias("doi"), "url", blank.alias("abstract"), F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(".pdf"))).otherwise("").alias("pdf_url"),
+    )
+    return TableSource(rows)
+
+
+@query("source_detail", f"SELECT 'P' || page_id AS external_id, {TITLE} AS title, url, CAST(1990 + page_id % 30 AS VARCHAR) AS year FROM pages WHERE page_id % 20 = 0")
+def source_detail(spark, sf_dir):
+    """Details by id, for all ids divisible by 20."""
+    ids = table(spark, sf_dir, "pages").where("page_id % 20 = 0").select(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("external_id"))
+    return page_source(spark, sf_dir).details(ids).select("external_id", "title", "url", "year")
+
+
+@query(
+    "source_fulltext",
+    "SELECT 'P' || page_id AS external_id, pdf AS pdf_url, coalesce(nullif(pdf, ''), url, '') AS download_url, coalesce(url, '') AS landing_url, pdf <> '' AS is_open_access FROM (SELECT *, CASE WHEN page_id % 3 = 0 THEN coalesce(url || '.pdf', '') ELSE '' END AS pdf FROM pages)",
+)
+def source_fulltext(spark, sf_dir):
     sources = Sources(spark)
-    sources.add("broken", broken)
-    return sources.search(["broken", "nowhere"], {})[1]
+    sources.add("pages", page_source(spark, sf_dir))
+    source = sources.of("pages")
+    return source.fulltext(source.records).drop("message")
