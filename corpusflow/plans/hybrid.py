@@ -1,6 +1,6 @@
 """Hybrid retrieval for a batch of queries: two recalls, fusion, reranking, evidence."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FIELD_WEIGHTS, Retrieval
@@ -27,17 +27,36 @@ def vector_recall(vectors: DataFrame, queries: DataFrame, metric: str = "l2", co
     return top(nearest(vectors, queries, metric, conf.recall_k), conf.recall_k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank")
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, conf: Retrieval = Retrieval()) -> DataFrame:
+class Trace:
+    """How many rows each stage of a plan gave, counted while the plan runs."""
+
+    def __init__(self):
+        self.stages: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        self.stages[name] = Observation(name)
+        return df.observe(self.stages[name], F.count(F.lit(1)).alias("result_count"))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(pos, stage, result_count), once an action has run the plan; waits for it."""
+        return spark.createDataFrame([(k, n, o.get["result_count"]) for k, (n, o) in enumerate(self.stages.items())], "pos int, stage string, result_count long")
+
+
+def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, conf: Retrieval = Retrieval(), trace: Trace | None = None) -> DataFrame:
     """Reranked candidates of each question (query_id, text, q), with the attributes of their chunks.
 
     Only ids and ranks go through recall and fusion; attributes are joined to the few
-    candidates that are left.
+    candidates that are left.  ``trace`` counts the rows of the stages.
     """
-    lists = {"keyword": keyword_recall(chunks, questions.select("query_id", "text"), conf=conf), "vector": vector_recall(vectors, questions.select("query_id", "q"), conf=conf)}
-    fused = fuse(lists, conf.rrf_k, conf.fusion_limit)
+    watch = trace.watch if trace else lambda name, df: df
+    lists = {
+        "vector": watch("vector_recall", vector_recall(vectors, questions.select("query_id", "q"), conf=conf)),
+        "keyword": watch("keyword_recall", keyword_recall(chunks, questions.select("query_id", "text"), conf=conf)),
+    }
+    fused = watch("hybrid_rrf", fuse(lists, conf.rrf_k, conf.fusion_limit))
     asked = questions.select("query_id", F.col("text").alias("query"))
     wide = fused.withColumnRenamed("rank", "recall_rank").join(chunks, "id").join(asked, "query_id")
-    return rerank(wide.where(F.col("recall_rank") < conf.rerank_documents), conf.final_limit)
+    return watch("local_retrieval", rerank(wide.where(F.col("recall_rank") < conf.rerank_documents), conf.final_limit))
 
 
 def answer_context(candidates: DataFrame, verdicts: DataFrame | None, external: DataFrame, conf: Retrieval = Retrieval()) -> DataFrame:

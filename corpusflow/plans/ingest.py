@@ -5,20 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_lines, doi_in, infer_type, language_of, url_in, year_in
+from ..functions.text import doi_in, infer_type, language_of, url_in, year_in
 from ..functions.tokens import index_text
 from ..operators.catalog import classify_files, job_summary
+from ..operators.hints import with_hints
 from ..operators.split import recursive_split
 from ..sources.files import full_text, parse_files, scan_files
 
 
 def metadata(docs: DataFrame) -> DataFrame:
     """Bibliographic hints by rule for ``docs`` (id, text)."""
-    lines = F.slice(clean_lines(F.col("text")), 1, 10)
-    fit = F.filter(lines, lambda s: (F.length(s) >= 8) & ~s.contains("@") & ~F.lower(s).rlike("doi|https?://|abstract|keywords"))
-    best = F.array_max(F.transform(fit, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))
-    venue = F.coalesce(F.get(F.filter(F.slice(clean_lines(F.col("text")), 1, 40), lambda s: F.lower(s).rlike("journal|conference|proceedings|transactions")), F.lit(0)), F.lit(""))
-    hints = docs.withColumns({"title": F.coalesce(best["s"], F.lit("")), "venue": F.substring(venue, 1, 240), "doi": doi_in(F.col("text")), "url": url_in(F.col("text")), "year": year_in(F.substring("text", 1, 4000))})
+    hints = with_hints(docs).withColumns({"doi": doi_in(F.col("text")), "url": url_in(F.col("text")), "year": year_in(F.substring("text", 1, 4000))})
     return hints.withColumns({"document_type": infer_type(F.col("title"), F.col("venue"), F.col("url")), "language": language_of(F.col("text"))})
 
 

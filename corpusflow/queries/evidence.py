@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
-from .base import query, table
+from ..operators import planning as pl
+from .base import Made, query, table
 
 LINES = """SELECT d.doc_id AS document_id, l.i AS chunk_index, l.line AS chunk_text, d.doc_id % 3 AS query_id, (d.doc_id * 7 + l.i * 3) % 11 AS rank, CAST((d.doc_id * 13 + l.i * 5) % 17 AS DOUBLE) AS score,
  d.doc_id * 1000 + l.i AS "order" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) l JOIN documents d ON d.doc_id = l.doc_id WHERE (l.i * 7 + d.doc_id) % 4 <> 0"""
@@ -104,3 +105,39 @@ def evidence_ids(spark, sf_dir):
 def retrieval_modes(spark, sf_dir):
     counts = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 100).alias("query_id")).agg(F.count_if(F.col("lang") == "en").alias("l"), F.count_if(F.col("lang") == "es").alias("e"))
     return counts.select("query_id", ev.retrieval_mode(F.col("query_id") % 4 != 0, F.col("l"), F.col("e")).alias("mode"))
+
+
+ANSWERS = Made(
+    """SELECT item_id AS query_id, CASE item_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '{"sufficient": true, "reason_codes": ["a", " ", "b", "a"], "useful_local_evidence_ids": "doc_' || item_id || '"}'
+WHEN 3 THEN '{"sufficient": "否", "recommended_external_limit": "3", "rationale": " r' || item_id || ' "}' WHEN 4 THEN '{"sufficient": 1, "reason_codes": "x", "recommended_external_limit": 99, "freshness_gap_detected": "YES", "useful_local_source_ids": ["s1", null, "s2"]}'
+WHEN 5 THEN '[1]' ELSE '{"discarded_local_evidence_ids": [], "discarded_local_source_ids": ["d' || item_id || '"], "recommended_external_limit": 0}' END AS answer, CAST(item_id % 3 AS INTEGER) AS n_local, CAST(5 + item_id % 9 AS INTEGER) AS top_k FROM @benchmark"""
+)
+
+
+@query(
+    "coverage_normalize",
+    f"""SELECT query_id, enough AS sufficient, NOT enough AS should_search_external, CASE WHEN k IN (0, 1, 5) THEN CASE WHEN n_local > 0 THEN 'llm_coverage_assessment_failed' ELSE 'llm_coverage_assessment_failed|no_local_evidence' END WHEN k = 2 THEN 'a|b' WHEN k = 4 THEN 'x' ELSE 'llm_judged_insufficient' END AS reason_codes,
+CAST(CASE WHEN enough THEN 0 WHEN k = 3 THEN 3 WHEN k = 6 THEN 1 ELSE 10 END AS INTEGER) AS recommended_external_limit, CASE k WHEN 2 THEN 'doc_' || query_id WHEN 4 THEN 's1|s2' ELSE '' END AS useful_ids, CASE k WHEN 6 THEN 'd' || query_id ELSE '' END AS discarded_ids,
+k = 4 AS freshness_gap, CASE k WHEN 3 THEN 'r' || query_id ELSE '' END AS rationale, CASE WHEN k IN (0, 1, 5) THEN 'fallback' ELSE 'llm' END AS evaluator FROM (SELECT *, query_id % 7 AS k, CASE WHEN query_id % 7 IN (0, 1, 5) THEN n_local > 0 ELSE query_id % 7 = 2 END AS enough FROM {ANSWERS.sql})""",
+)
+def coverage_normalize(spark, sf_dir):
+    """Answers of a judge: none, broken, with words and numbers for truth values, with ids under either name."""
+    told = pl.coverage(ANSWERS.df(spark, sf_dir))
+    joined = {c: F.array_join(c, "|") for c in ("reason_codes", "useful_ids", "discarded_ids")}
+    return told.withColumns(joined)
+
+
+PLANNED = Made(
+    """SELECT item_id AS query_id, 'about "quoted words" and graphs ' || item_id AS question, CASE item_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '{"queries": ["Graph  nets", "graph nets", " ", "x"], "limit": "2", "sortby": "submittedDate", "orderby": "ascending", "date_from": "2020"}'
+WHEN 2 THEN '{"query": "ti:deep learning ' || item_id || ' AND (vision)", "keywords": ["unread"], "sortby": "odd", "date_from": "soon"}' WHEN 3 THEN '{"keywords": [], "limit": 99}' WHEN 4 THEN 'broken' ELSE '{"search_query": "one; two", "limit": -4}' END AS answer, item_id % 4 = 0 AS fresh FROM @benchmark"""
+)
+
+
+@query(
+    "search_plan_fallback",
+    f"""SELECT query_id, CASE k WHEN 1 THEN 'Graph nets|graph nets|x' WHEN 2 THEN 'deep learning ' || query_id || '|vision' WHEN 5 THEN 'one|two' ELSE 'quoted words|about|and graphs ' || query_id END AS words, CASE WHEN k = 1 THEN '20200101' WHEN fresh THEN '20240101' END AS date_from,
+CASE WHEN k = 1 OR fresh THEN 'submittedDate' ELSE 'relevance' END AS sort, CASE WHEN k = 1 THEN 'ascending' ELSE 'descending' END AS "order", CAST(CASE k WHEN 1 THEN 2 WHEN 5 THEN 1 ELSE 5 END AS INTEGER) AS "limit", k IN (1, 2, 5) AS by_model FROM (SELECT *, query_id % 6 AS k FROM {PLANNED.sql})""",
+)
+def search_plan_fallback(spark, sf_dir):
+    """Plans of a model under any of their names, and the plan of the question where there is none."""
+    return pl.one_plan(PLANNED.df(spark, sf_dir), 2026).withColumn("words", F.array_join("words", "|"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.hints import first_lines, is_person, title_of, venue_of, with_hints
 from .base import Made, Texts, query, table
 
 MESSY = Texts(
@@ -197,14 +198,12 @@ def restore_abstract(words):
 @query(
     "title_hint",
     """SELECT doc_id, coalesce(arg_max(line, len(line) * 1000 - n), '') AS title FROM (SELECT doc_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE trim(line) <> '') WHERE n <= 10 AND len(line) >= 8 AND NOT contains(line, '@') AND NOT regexp_matches(lower(line), 'doi|https?://|abstract|keywords|university|institute|department') GROUP BY doc_id""",
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE trim(line) <> '') WHERE n <= 10 AND len(line) >= 8 AND NOT regexp_matches(lower(line), '^(abstract|keywords?)|@|doi|https?://|university|college|school|department|institute|lab|academy|correspondence|research center|email') GROUP BY doc_id""",
 )
 def title_hint(spark, sf_dir):
     """The longest of the first ten lines that may be a title; the first of equals.  Documents without one are left out."""
-    lines = F.slice(tx.clean_lines(F.col("text")), 1, 10)
-    fit = F.filter(lines, lambda s: (F.length(s) >= 8) & ~s.contains("@") & ~F.lower(s).rlike("doi|https?://|abstract|keywords|university|institute|department"))
-    best = F.array_max(F.transform(fit, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))
-    return table(spark, sf_dir, "documents").select("doc_id", best["s"].alias("title")).where("title is not null")
+    lines = first_lines(F.col("text"), 10)
+    return table(spark, sf_dir, "documents").select("doc_id", title_of(lines).alias("title")).where("title <> ''")
 
 
 ABSTRACTS = Made(
@@ -221,20 +220,7 @@ def abstract_hint(spark, sf_dir):
     return ABSTRACTS.df(spark, sf_dir).select("id", F.substring(tx.collapse(found), 1, 3000).alias("abstract"))
 
 
-VENUES = "journal|conference|proceedings|transactions|symposium|license|press"
-
-
-@query(
-    "venue_hint",
-    f"""SELECT doc_id, arg_min(line, n) AS venue FROM (SELECT doc_id, substring(line, 1, 240) AS line, n FROM (SELECT doc_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE trim(line) <> '') WHERE n <= 40 AND regexp_matches(lower(line), '{VENUES}')) GROUP BY doc_id""",
-)
-def venue_hint(spark, sf_dir):
-    lines = F.filter(F.slice(tx.clean_lines(F.col("text")), 1, 40), lambda s: F.lower(s).rlike(VENUES))
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.get(lines, F.lit(0)), 1, 240).alias("venue")).where("venue is not null")
-
-
-@query("stream_rechunk", "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[^，。！？；,.!?;\\n]{0,23}[，。！？；,.!?;\\n]|(?s:.{1,24})')) AS BIGINT) AS n, regexp_extract_all(text, '[^，。！？；,.!?;\\n]{0,23}[，。！？；,.!?;\\n]|(?s:.{1,24})')[1] AS first FROM conversations")
+@query("stream_rechunk", "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[^，。；：,.!?;:\\n]{0,23}[，。；：,.!?;:\\n]|(?s:.{1,24})')) AS BIGINT) AS n, regexp_extract_all(text, '[^，。；：,.!?;:\\n]{0,23}[，。；：,.!?;:\\n]|(?s:.{1,24})')[1] AS first FROM conversations")
 def stream_rechunk(spark, sf_dir):
     pieces = tx.pieces_at_marks(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(pieces).cast("long").alias("n"), F.get(pieces, F.lit(0)).alias("first"))
@@ -250,3 +236,56 @@ def year_mode(spark, sf_dir):
     """The most frequent year of a source, the earliest of equals."""
     counts = table(spark, sf_dir, "documents").groupBy("source", (2000 + F.col("n_chars") % 7).alias("y")).count()
     return counts.groupBy("source").agg(F.max_by("y", F.struct("count", -F.col("y"))).alias("year"))
+
+
+SHEETS = Texts(
+    [
+        ("A Study of Many Things #\nAda Lovelace*, Alan Turing 2 and Wang Xiaoming\nSome University\nAbstract: ", True, "\nKeywords: graphs; nets/Graphs,  trees #"),
+        ("", True, ""),
+        ("Journal of Graphs, Vol. 3\n\nOn Deep Networks for Text # and More\nB. O'Neil AND Ann-Marie Stone; b@x.org\nC. Day, School of Things\nE. Fox, G. Hill and\nabstract\n", True, "\n关键词：\n图神经网络、优化"),
+        ("图神经网络研究综述第#\n王小明，李雷\n摘要: ", True, ""),
+        ("short\n2019 Ada Lovelace, Bob Stone\nGrace Hopper 3 Barbara Liskov\n", True, "\nkeyword"),
+        None,
+        ("A Title About Letters of the ACM\nAdele Goldberg\n张三 李四光\nsee https://doi.org/10.1/#\n", True, ""),
+    ]
+)
+AFFILIATED = "university|college|school|department|institute|laboratory|lab|academy|correspondence|research center|email|工程|学院|大学|研究所|实验室|通信作者|作者单位"
+VENUE_WORDS = "journal|transactions|proceedings|conference|symposium|letters|ieee|acm|springer|elsevier|arxiv|学报|期刊|会议|大学学报|交通运输|铁道"
+OPENS, KEYS, ENGLISH = "(?i)^(abstract|摘要)([^\\pL\\pN_]|$)", "(?i)^(?:keywords?|keyword|关键词)\\s*[:：]?", "[A-Z][A-Za-z''.-]+(?:\\s+[A-Z][A-Za-z''.-]+){{0,3}}".replace("{{", "{").replace("}}", "}")
+PLAIN_LINE = f"trim(regexp_replace(regexp_replace(x, '[*†‡§]+|\\b\\d+\\b', ' ', 'g'), '{WS}', ' ', 'g'))"
+HINTS = f"""WITH r AS (SELECT id, s, k, trim(regexp_replace(x, '{WS}', ' ', 'g')) AS x FROM (SELECT id, s, unnest(string_split(coalesce(s, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(s, ''), chr(10)), 1) AS k FROM {SHEETS.sql})),
+l AS (SELECT id, s, x, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM r WHERE x <> ''),
+t AS (SELECT id, arg_max(x, len(x) * 1000 - n) AS title FROM l WHERE n <= 10 AND len(x) >= 8 AND NOT regexp_matches(x, '{OPENS}') AND NOT regexp_matches(x, '{KEYS}') AND NOT regexp_matches(lower(x), 'doi|https?://|@|{AFFILIATED}') GROUP BY id),
+v AS (SELECT id, substring(arg_min(x, n), 1, 240) AS venue FROM l WHERE n <= 40 AND regexp_matches(lower(x), '{VENUE_WORDS}') GROUP BY id),
+e AS (SELECT id, coalesce(min(n) FILTER (WHERE n <= 40 AND regexp_matches(x, '{OPENS}')), least(count(*), 12) + 1) AS stop FROM l GROUP BY id),
+w AS (SELECT l.id, n, {PLAIN_LINE} AS p FROM l JOIN e USING (id) WHERE n BETWEEN 2 AND 9 AND n < stop AND len(x) <= 120 AND NOT contains(x, '@') AND NOT regexp_matches(lower(x), '{AFFILIATED}') AND NOT regexp_matches(x, '\\b(19\\d{{2}}|20\\d{{2}})\\b')),
+c AS (SELECT id, n, p, 1 AS how, unnest(regexp_split_to_array(p, '\\s*(?:,|，|、|;|；| and | AND )\\s*')) AS x, generate_subscripts(regexp_split_to_array(p, '\\s*(?:,|，|、|;|；| and | AND )\\s*'), 1) AS i FROM w WHERE regexp_matches(p, ',|，|、|;|；| and | AND ')
+ UNION ALL SELECT id, n, p, 2, unnest(regexp_extract_all(p, '{ENGLISH}')), generate_subscripts(regexp_extract_all(p, '{ENGLISH}'), 1) FROM w UNION ALL SELECT id, n, p, 3, unnest(regexp_extract_all(p, '[一-鿿]{{2,4}}')), generate_subscripts(regexp_extract_all(p, '[一-鿿]{{2,4}}'), 1) FROM w),
+q AS (SELECT id, n, p, how, name, min(i) AS i FROM (SELECT *, {PERSON} AS name FROM c) WHERE len(name) <= 80 AND NOT regexp_matches(lower(name), '{AFFILIATED}|http|@|[0-9]') AND regexp_full_match(name, '{ENGLISH}|[一-鿿]{{2,4}}') GROUP BY 1, 2, 3, 4, 5),
+z AS (SELECT id, n, how, count(*) AS m, string_agg(name, '|' ORDER BY i) AS names, any_value(p) AS p FROM q GROUP BY 1, 2, 3 HAVING how = 1 OR (how = 2 AND count(*) >= 2) OR (how = 3 AND count(*) <= 10 AND len(any_value(p)) <= 40)),
+a AS (SELECT id, arg_min(names, n) AS authors FROM (SELECT id, n, arg_min(names, how) AS names, arg_min(m, how) AS m FROM z GROUP BY 1, 2) WHERE m <= 10 GROUP BY id),
+k AS (SELECT id, n, trim(regexp_replace(x, '{KEYS}', ''), ' :：') AS own, lead(x) OVER (PARTITION BY id ORDER BY n) AS below, regexp_matches(x, '{KEYS}') AS marked FROM l),
+f AS (SELECT id, arg_min(y, n) AS y FROM (SELECT id, n, CASE WHEN own <> '' THEN own WHEN below IS NOT NULL AND NOT regexp_matches(below, '{OPENS}') THEN trim(below, ' :：') ELSE '' END AS y FROM k WHERE marked) WHERE y <> '' GROUP BY id),
+g AS (SELECT id, unnest(regexp_split_to_array(y, '\\s*(?:,|，|、|;|；|/|\\|)\\s*')) AS x, generate_subscripts(regexp_split_to_array(y, '\\s*(?:,|，|、|;|；|/|\\|)\\s*'), 1) AS i FROM f),
+h AS (SELECT id, string_agg(x, '|' ORDER BY i) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS m FROM (SELECT id, arg_min(x, i) AS x, min(i) AS i FROM (SELECT id, i, trim({COL.replace('coalesce(s', 'coalesce(x')}, ' ,;，；') AS x FROM g) WHERE x <> '' GROUP BY id, lower(x))) WHERE m <= 10 GROUP BY id)
+SELECT d.id, coalesce(title, '') AS title, coalesce(authors, '') AS authors, coalesce(keywords, '') AS keywords, coalesce(venue, '') AS venue FROM {SHEETS.sql} d LEFT JOIN t USING (id) LEFT JOIN a USING (id) LEFT JOIN h USING (id) LEFT JOIN v USING (id)"""
+
+
+@query("metadata_hints", HINTS)
+def metadata_hints(spark, sf_dir):
+    """Documents under the heads of papers: titles, names, keywords and venues by rule."""
+    told = with_hints(SHEETS.df(spark, sf_dir), "s")
+    return told.select("id", "title", F.array_join("authors", "|").alias("authors"), F.array_join("keywords", "|").alias("keywords"), "venue")
+
+
+@query("person_names", f"SELECT c_custkey AS id, n AS name FROM (SELECT c_custkey, unnest([c_mktsegment, upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) || ' Smith', c_name, '王小' || chr(19968 + c_nationkey), 'Lab ' || c_mktsegment, lower(c_mktsegment), 'http Jones']) AS n FROM customer) WHERE regexp_full_match(n, '{ENGLISH}|[一-鿿]{{2,4}}') AND NOT regexp_matches(lower(n), '{AFFILIATED}|http|[0-9]')")
+def person_names(spark, sf_dir):
+    m = F.col("c_mktsegment")
+    listed = F.array(m, F.concat(F.upper(F.substring(m, 1, 1)), F.lower(F.substring(m, 2, 100)), F.lit(" Smith")), F.col("c_name"), F.concat(F.lit("王小"), F.decode(F.unhex(F.hex(F.col("c_nationkey") + 19968)), "UTF-16BE")), F.concat(F.lit("Lab "), m), F.lower(m), F.lit("http Jones"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.filter(listed, is_person)).alias("name"))
+
+
+@query("venue_hint", f"SELECT id, venue FROM ({HINTS}) WHERE venue <> ''")
+def venue_hint(spark, sf_dir):
+    sheets = SHEETS.df(spark, sf_dir)
+    return sheets.select("id", venue_of(first_lines(F.coalesce("s", F.lit("")), 40)).alias("venue")).where("venue <> ''")

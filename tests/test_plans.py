@@ -14,7 +14,12 @@ def test_hybrid_and_context(spark, sf):
     )
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = vectors.where("id < 3").select(F.col("id").alias("query_id"), F.lit("the reder of license").alias("text"), F.col("v").alias("q"))
-    found = hy.hybrid(chunks, vectors, asked)
+    trace = hy.Trace()
+    found = hy.hybrid(chunks, vectors, asked, trace=trace)
+    rows = found.collect()
+    seen = {r["stage"]: r["result_count"] for r in trace.rows(spark).orderBy("pos").collect()}
+    assert list(seen) == ["vector_recall", "keyword_recall", "hybrid_rrf", "local_retrieval"]
+    assert seen["vector_recall"] == 30 and seen["local_retrieval"] == len(rows) and 0 < seen["keyword_recall"] <= 30 and seen["hybrid_rrf"] == 30
     counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
     assert set(counts) == {0, 1, 2} and all(0 < n <= 10 for n in counts.values())
     external = asked.select("query_id", F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(1019).cast("long"))).alias("id")).withColumn("order", F.col("id"))
