@@ -96,15 +96,15 @@ def lang_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.language_of(F.col("text")).alias("language"))
 
 
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+MARKED_UP = Made("""SELECT page_id, html || '<p>&eacute;&amp;lt; &hellip;&unknown; caf&#233; &#x4E2D;&#65' || CAST(page_id % 10 AS STRING) || ';&#0;</p>' AS html FROM @pages""")
 STRIP = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-for _e, _s in ENTITIES:
+for _e, _s in [("&#0;", "\ufffd"), ("&#233;", "é"), ("&#x4E2D;", "中"), *((f"&#65{k};", chr(650 + k)) for k in range(10)), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&hellip;", "…"), ("&amp;", "&")]:
     STRIP = f"replace({STRIP}, '{_e}', '{_s}')"
 
 
-@query("html_strip", f"SELECT page_id, trim(regexp_replace({STRIP}, '{WS}', ' ', 'g')) AS content FROM pages")
+@query("html_strip", f"SELECT page_id, trim(regexp_replace({STRIP}, '{WS}', ' ', 'g')) AS content FROM {MARKED_UP.sql}")
 def html_strip(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.strip_markup(F.col("html")).alias("content"))
+    return MARKED_UP.df(spark, sf_dir).select("page_id", tx.strip_markup(F.col("html")).alias("content"))
 
 
 @query("html_title", "SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages")
