@@ -167,3 +167,20 @@ def recall_memories(memories: DataFrame, queries: DataFrame, limit: int = 5) ->
     both = reduce(DataFrame.unionByName, [shared, own]).withColumn("score", (F.size(F.array_intersect("words", "asked")) * 10 + F.col("importance")).cast("long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("session_id").isNotNull(), F.desc("importance"), F.asc("memory_id"))
     return both.where("score > 0").withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < limit).select("query_id", "memory_id", "score", "rank")
+
+
+def where_given(df: DataFrame, **values) -> DataFrame:
+    """Rows that equal every value that is given; None asks for nothing."""
+    for name, value in values.items():
+        df = df if value is None else df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def memories(df: DataFrame, scope: str | None = None, session_id: int | None = None) -> DataFrame:
+    """``df`` (memory_id, scope, session_id, importance, created_at): what is asked for with its place, the most important and then the newest first, of equals the smallest id.
+
+    Places are counted in ranges, so no task holds all rows.
+    """
+    found = where_given(df, scope=scope, session_id=session_id)
+    told = found.withColumns({"down_": -F.col("importance"), "age_": -F.unix_micros(F.col("created_at").cast("timestamp"))})
+    return numbered(told, ["down_", "age_", "memory_id"], "place").drop("down_", "age_")

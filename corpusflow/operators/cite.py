@@ -121,3 +121,53 @@ def enrich(records: DataFrame, registry: DataFrame) -> DataFrame:
     matched = F.col("r_title").isNotNull()
     sources = F.when(matched, F.array_union(F.coalesce("metadata_sources", F.array()), F.array(F.lit("crossref")))).otherwise(F.col("metadata_sources"))
     return joined.select("id", "doi", *(v.alias(c) for c, v in values.items()), sources.alias("metadata_sources"), matched.alias("matched"))
+
+
+#: The registry's types of works by their code; all other types are of code Z.
+REGISTRY_TYPES = {
+    "J": "journal-article journal journal-volume journal-issue", "C": "proceedings-article proceedings proceedings-series", "M": "book book-chapter book-section book-part book-series book-set book-track monograph reference-book edited-book",
+    "D": "dissertation", "R": "report report-series", "S": "standard standard-series", "DB": "dataset", "EB/OL": "posted-content preprint",
+}
+ENRICHED = 10
+
+
+def registry_code(c: Column) -> Column:
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.coalesce(*(F.when(low.isin(*names.split()), code) for code, names in REGISTRY_TYPES.items()), F.lit("Z"))
+
+
+def may_enrich(position: Column, source_type: Column, source_id: Column, doi: Column, title: Column, include_local: bool = False) -> Column:
+    """Whether a document is looked up in the registry: among the first ten, external (or local if asked for), with a DOI or a title."""
+    kind, name = (F.lower(F.coalesce(c, F.lit(""))) for c in (source_type, source_id))
+    whence = (kind == "external") | name.startswith("ext_")
+    if include_local:
+        whence = whence | kind.isin("local", "local_folder") | name.startswith("doc_")
+    named = F.trim(F.concat(F.coalesce(doi, F.lit("")), F.coalesce(title, F.lit("")))) != ""
+    return (position < ENRICHED) & whence & named
+
+
+def reference_entries(answers: DataFrame, citations: DataFrame, documents: DataFrame) -> DataFrame:
+    """(answer_id, number, text, document_id): the entries under an answer, from the first of three sources that has any.
+
+    ``answers`` (answer_id, role, content, pending), ``citations`` (answer_id, number, text,
+    document_id), ``documents`` (answer_id, document_id, pos, doi, citation, title).  First the citations
+    that are bound; else the numbered lines of the answer's own list, each with the document that it matches; else,
+    unless the answer is still being written, its documents, each once.
+    """
+    shown = answers.where((F.col("role") == "assistant") & (F.trim(F.coalesce("content", F.lit(""))) != ""))
+    bound = citations.join(shown.select("answer_id"), "answer_id", "left_semi").select("answer_id", "number", "text", "document_id")
+    rest = shown.join(bound.select("answer_id").distinct(), "answer_id", "left_anti")
+    lines = F.split("content", r"\r\n|\n|\r")
+    at = F.array_position(F.transform(lines, lambda x: F.trim(x, F.lit(" \t")).rlike(HEADING)), True)
+    own = F.when(at > 0, F.slice(lines, (at + 1).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+    marked = rest.select("answer_id", F.explode(own).alias("line")).withColumn("number", F.regexp_extract("line", r"^\s*\[(\d{1,9})\]\s*\S", 1).try_cast("long")).where("number is not null")
+    listed = marked.select("answer_id", "number", F.trim(F.regexp_replace("line", r"^\s*\[\d+\]", "")).alias("text"))
+    first = Window.partitionBy("answer_id", "document_id").orderBy("pos")
+    once = documents.withColumn("n_", F.row_number().over(first)).where("n_ = 1").drop("n_")
+    matched = match_references(listed.select("answer_id", F.col("number").alias("ref"), "text"), once)
+    parsed = listed.join(matched.select("answer_id", F.col("ref").alias("number"), "document_id"), ["answer_id", "number"], "left")
+    left = rest.where(~F.col("pending")).join(listed.select("answer_id").distinct(), "answer_id", "left_anti").select("answer_id")
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("pos")).cast("long")
+    text = F.coalesce(F.nullif(F.col("citation"), F.lit("")), F.col("title"))
+    plain = once.join(left, "answer_id", "left_semi").select("answer_id", place.alias("number"), text.alias("text"), "document_id")
+    return bound.unionByName(parsed.select(*bound.columns)).unionByName(plain)

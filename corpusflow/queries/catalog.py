@@ -298,3 +298,16 @@ def message_mapper(spark, sf_dir):
     spans = F.array_join(F.transform("trace.spans", lambda s: text(s["span_id"], s["name"], s["elapsed_ms"], s["input"], s["output"])), "|")
     trace = F.when(F.col("trace").isNotNull(), text(F.col("trace.trace_id"), F.col("trace.status")))
     return m.select("conv_id", "turn", F.size("documents").alias("n_documents"), F.size("citations").alias("n_citations"), F.col("preparation.elapsed_seconds").alias("seconds"), steps.alias("steps"), trace.alias("trace"), spans.alias("spans"))
+
+
+@query("memories_filtered", "SELECT event_id AS memory_id, row_number() OVER (ORDER BY event_id % 10 DESC, ts DESC, event_id) AS place FROM events WHERE event_type = 'view'")
+def memories_filtered(spark, sf_dir):
+    """Of two filters one is given."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("memory_id"), F.col("event_type").alias("scope"), F.col("user_id").alias("session_id"), (F.col("event_id") % 10).alias("importance"), F.col("ts").alias("created_at"))
+    return ct.memories(rows, scope="view").select("memory_id", "place")
+
+
+@query("libraries_by_time", "SELECT o_orderkey AS library_id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
+def libraries_by_time(spark, sf_dir):
+    newest = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("library_id"), (-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("age"))
+    return ct.numbered(newest, ["age", "library_id"], "place").select("library_id", "place")

@@ -190,3 +190,49 @@ def date_parts(spark, sf_dir):
         return F.when(F.size(p) >= 3, F.format_string("%04d-%02d-%02d", year, month, date)).when(F.size(p) == 2, F.format_string("%04d-%02d", year, month)).when(F.size(p) == 1, F.format_string("%04d", year))
 
     return DATES.df(spark, sf_dir).select("id", F.coalesce(*(day(F.col(c)) for c in ("online", "printed", "issued")), F.lit("")).alias("published"))
+
+
+@query(
+    "registry_types",
+    "SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'J' WHEN 1 THEN 'C' WHEN 2 THEN 'M' WHEN 3 THEN 'D' WHEN 4 THEN 'R' WHEN 5 THEN 'S' WHEN 6 THEN 'DB' WHEN 7 THEN 'EB/OL' ELSE 'Z' END AS code FROM part",
+)
+def registry_types(spark, sf_dir):
+    kinds = ["Journal-Issue ", "proceedings", "edited-book", "dissertation", "report-series", " standard", "dataset", "posted-content", "peer-review"]
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.col("p_partkey") % 9).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cite.registry_code(kind).alias("code"))
+
+
+ELIGIBLE = Made("SELECT doc_id, doc_id % 20 AS pos, CASE doc_id % 3 WHEN 0 THEN 'External' WHEN 1 THEN 'local' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'EXT_' || doc_id WHEN 1 THEN 'doc_' || doc_id END AS name, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE lang END AS title FROM @documents")
+
+
+@query(
+    "enrichment_eligible",
+    f"SELECT doc_id, pos < 10 AND coalesce(trim(title), '') <> '' AND (coalesce(kind, '') = 'External' OR coalesce(name, '') LIKE 'EXT%') AS external, pos < 10 AND coalesce(trim(title), '') <> '' AND (kind IS NOT NULL OR name IS NOT NULL) AS every FROM {ELIGIBLE.sql}",
+)
+def enrichment_eligible(spark, sf_dir):
+    parts = [F.col(c) for c in ("pos", "kind", "name")] + [F.lit(None).cast("string"), F.col("title")]
+    return ELIGIBLE.df(spark, sf_dir).select("doc_id", cite.may_enrich(*parts).alias("external"), cite.may_enrich(*parts, include_local=True).alias("every"))
+
+
+SAID = """SELECT conv_id * 1000 + turn AS answer_id, role, turn % 5 = 3 AS pending, conv_id, turn, CASE WHEN turn % 7 = 5 THEN ' ' WHEN conv_id % 3 = 1 THEN text || chr(10) || '参考文献：' || chr(10) || '[1] Paper ' || conv_id || ' of things' || chr(10) || 'not numbered' || chr(10) || ' [2]  Other' ELSE text END AS content FROM @conversations"""
+ANSWERED = Made(SAID)
+
+
+@query(
+    "reference_entries",
+    f"""WITH a AS (SELECT * FROM {ANSWERED.sql} WHERE role = 'assistant' AND trim(coalesce(content, '')) <> ''), own AS (SELECT * FROM a WHERE conv_id % 3 <> 0 AND conv_id % 3 = 1)
+SELECT answer_id, CAST(k AS BIGINT) AS number, 'bound ' || k AS text, CAST(NULL AS BIGINT) AS document_id FROM a, (SELECT unnest([1, 2]) AS k) WHERE conv_id % 3 = 0
+UNION ALL SELECT answer_id, 1, 'Paper ' || conv_id || ' of things', conv_id FROM own UNION ALL SELECT answer_id, 2, 'Other', NULL FROM own
+UNION ALL SELECT answer_id, k, CASE k WHEN 1 THEN 'Paper ' || conv_id ELSE 'cited ' || conv_id END, CASE k WHEN 1 THEN conv_id ELSE conv_id + 1000000 END FROM a, (SELECT unnest([1, 2]) AS k) WHERE conv_id % 3 = 2 AND NOT pending""",
+)
+def reference_entries(spark, sf_dir):
+    """Bound citations, else the answer's own list, else its documents; documents come in several chunks."""
+    a = ANSWERED.df(spark, sf_dir)
+    number = F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>"))
+    bound = a.where("conv_id % 3 = 0").select("answer_id", number.alias("number"), F.lit(None).cast("long").alias("document_id")).withColumn("text", F.concat(F.lit("bound "), F.col("number").cast("string")))
+    conv, none = F.col("conv_id"), F.lit("")
+    paper = F.struct(conv.alias("document_id"), F.lit(1).alias("pos"), none.alias("citation"), F.concat(F.lit("Paper "), conv.cast("string")).alias("title"))
+    again = F.struct(conv.alias("document_id"), F.lit(3).alias("pos"), none.alias("citation"), F.lit("later chunk").alias("title"))
+    other = F.struct((conv + 1000000).alias("document_id"), F.lit(2).alias("pos"), F.concat(F.lit("cited "), conv.cast("string")).alias("citation"), F.lit("zz").alias("title"))
+    docs = a.select("answer_id", F.explode(F.array(paper, other, again)).alias("d")).select("answer_id", "d.*", none.alias("doi"))
+    return cite.reference_entries(a, bound, docs)

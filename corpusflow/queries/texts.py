@@ -289,3 +289,25 @@ def person_names(spark, sf_dir):
 def venue_hint(spark, sf_dir):
     sheets = SHEETS.df(spark, sf_dir)
     return sheets.select("id", venue_of(first_lines(F.coalesce("s", F.lit("")), 40)).alias("venue")).where("venue <> ''")
+
+
+LINED = Made("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(10) || ' ' || chr(10) || text || chr(10) || chr(10) || '  ' || chr(10) || chr(10) || '  end  of it ' || chr(10) WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 2 THEN text END AS s, CASE doc_id % 3 WHEN 0 THEN 'a.b.' || doc_id || '.pdf' WHEN 1 THEN 'plain ' || doc_id ELSE '.hidden' || doc_id END AS f FROM @documents")
+
+
+@query(
+    "paragraph_lines",
+    f"SELECT doc_id, trim(regexp_replace((SELECT coalesce(string_agg(trim(regexp_replace(x, '{WS}', ' ', 'g')), chr(10) ORDER BY n), '') FROM (SELECT unnest(string_split(replace(coalesce(s, ''), chr(13) || chr(10), chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(coalesce(s, ''), chr(13) || chr(10), chr(10)), chr(10)), 1) AS n)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS body, CASE WHEN contains(f, '.') THEN regexp_extract(f, '^(.*)\\.[^.]*$', 1) ELSE f END AS stem FROM {LINED.sql}",
+)
+def paragraph_lines(spark, sf_dir):
+    """Lines in normal form with their paragraphs, and names without their suffix."""
+    return LINED.df(spark, sf_dir).select("doc_id", tx.normal_lines(F.col("s")).alias("body"), tx.stem(F.col("f")).alias("stem"))
+
+
+@query(
+    "labelled_parts",
+    "SELECT p_partkey AS id, coalesce(nullif(concat_ws('，', CASE WHEN p_partkey % 2 = 0 THEN '卷 ' || p_size END, CASE WHEN p_partkey % 3 = 0 THEN '期 ' || p_brand END, CASE WHEN p_partkey % 5 = 0 THEN '页 ' || p_type END), ''), '暂无') AS place, 'brand：' || p_brand || '；size：' || p_size AS extra FROM part",
+)
+def labelled_parts(spark, sf_dir):
+    some = lambda n, c: F.when(F.col("p_partkey") % n == 0, F.col(c).cast("string")).otherwise("")
+    held = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.labelled({"卷": some(2, "p_size"), "期": some(3, "p_brand"), "页": some(5, "p_type"), "文章号": F.lit(None).cast("string")}, "暂无").alias("place"), tx.pairs(held).alias("extra"))

@@ -51,6 +51,12 @@ def search_args(args: dict) -> dict:
     }
 
 
+def sort_expression(sort: str | None, order: str | None) -> str:
+    """How a catalogue of works is asked to sort: by date where that is wanted, else by relevance."""
+    by_date = (sort or "").strip() in ("submittedDate", "publication_date", "publicationDate")
+    return f"{'publication_date' if by_date else 'relevance_score'}:{'asc' if (order or '').strip() == 'ascending' else 'desc'}"
+
+
 def data_source(source: str, provider: Provider) -> type:
     """The data source class of one catalogue, to be registered with a session."""
 

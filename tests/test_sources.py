@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.queries import federation as fq
 from corpusflow.sources.registry import Sources
-from corpusflow.sources.remote import RemoteSource, search_args
+from corpusflow.sources.remote import RemoteSource, search_args, sort_expression
 
 
 def test_arguments_have_safe_values():
@@ -48,3 +48,7 @@ def test_a_point_read_asks_for_one_record(spark):
     assert source.detail("x").count() == 1 and source.detail("y").count() == 0
     assert [r["message"] for r in source.fulltext(source.detail("x")).collect()] == ["gone"]
     assert source.detail("x").where(F.col("title") == "other").count() == 0
+
+
+def test_sort_expressions():
+    assert [sort_expression(*x) for x in ((None, None), ("publicationDate", "ascending"), (" submittedDate ", "x"), ("odd", "ascending"))] == ["relevance_score:desc", "publication_date:asc", "publication_date:desc", "relevance_score:asc"]
