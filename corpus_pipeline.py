@@ -18,21 +18,27 @@ from corpusflow.llm.near_dup import near_duplicates
 from corpusflow.llm.packing import pack, tokenizer_json
 
 ORACLE_SQL = None
-LEAST_SCORE = 0.42
+#: How far a score must be above that of a text which shares nothing with what was learned, and such a text.
+LEAST_ABOVE, STRANGE = 0.002, "\ua66e" * 40
 KEY = "text_key_of_near_dup"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def bound(spark: SparkSession, model) -> float:
+    """The score under which a text is in no learned language: that of a text without any learned n-gram, and a little more."""
+    return identify(spark.createDataFrame([(STRANGE,)], "text string"), model, out="told").first()["told"]["score"] + LEAST_ABOVE
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go: no letter (``und``), or a score below ``LEAST_SCORE``.
+    """Documents that the classifier rejects go: no letter (``und``), or a score that is not above ``bound``.
 
-    Texts of a language that was not learned, and noise, share hardly an n-gram with the
-    landmarks and score 0.32 to 0.41; the least score among the documents of the small
-    tables is 0.44.  The bound lies between, so that short and mixed texts stay.  A null text goes.  Rows are
+    So texts of other scripts and noise without a learned n-gram go, and short or mixed
+    texts of the learned languages stay.  A null text goes.  Rows are
     judged one by one, so repeated rows share their fate; an empty table stays empty.
     """
-    told = identify(docs, train(docs), out="language_")
-    return told.where((F.col("language_.lang_pred") != "und") & (F.col("language_.score") >= LEAST_SCORE)).drop("language_")
+    model = train(docs)
+    told = identify(docs, model, out="language_")
+    return told.where((F.col("language_.lang_pred") != "und") & (F.col("language_.score") > bound(spark, model))).drop("language_")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

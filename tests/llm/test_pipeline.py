@@ -19,8 +19,18 @@ def test_stages(spark, sf, tmp_path):
     assert [n for n, _ in cp.STAGES] == ["language", "line_dedup", "near_dup", "decontamination", "packing"]
     assert seen["packing"] == seen["decontamination"] <= seen["near_dup"] <= seen["line_dedup"] <= seen["language"]
     source = spark.read.parquet(f"{sf}/documents.parquet")
-    told = {r["doc_id"]: r["t"] for r in language.identify(source, language.train(source), out="t").collect()}
-    assert seen["language"] == {i for i, t in told.items() if t["lang_pred"] != "und" and t["score"] >= cp.LEAST_SCORE}
+    model = language.train(source)
+    told = {r["doc_id"]: r["t"] for r in language.identify(source, model, out="t").collect()}
+    assert seen["language"] == {i for i, t in told.items() if t["lang_pred"] != "und" and t["score"] > cp.bound(spark, model)}
+
+
+def test_the_language_stage_rejects_what_it_does_not_know(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = [(-1, "\u041c\u043e\u0441\u043a\u0432\u0430 \u0441\u0442\u043e\u043b\u0438\u0446\u0430"), (-2, "\u4eca\u65e5\u306f\u826f\u3044\u5929\u6c17\u3067\u3059\u306d"), (-3, "123 !!"), (-4, None)]
+    more = spark.createDataFrame([(i, t, None, "s", 1) for i, t in strange], docs.schema)
+    left = {r["doc_id"] for r in cp.language(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert not left & {-1, -2, -3, -4} and left == {r["doc_id"] for r in cp.language(spark, docs, sf).select("doc_id").collect()}
+    assert len(left) == docs.count()
 
 
 ROWS = [
