@@ -102,7 +102,7 @@ def recursive_split(spark, sf_dir):
 
 
 ANCHORS = Made(
-    """SELECT doc_id AS id, text, CASE doc_id % 6 WHEN 0 THEN substring(text, 31, 25) WHEN 1 THEN upper(replace(trim(substring(text, 8, 20)), ' ', '   ')) WHEN 2 THEN substring(text, 11, 32) || ' OTHER ENDING' WHEN 3 THEN 'absent ' || doc_id WHEN 4 THEN ' ' ELSE substring(text, 2, 7) END AS anchor,
+    """SELECT doc_id AS id, text, CASE doc_id % 6 WHEN 0 THEN substring(text, 31, 25) WHEN 1 THEN translate(replace(trim(substring(text, 8, 20)), ' ', '   '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN substring(text, 11, 32) || ' OTHER ENDING' WHEN 3 THEN 'absent ' || doc_id WHEN 4 THEN ' ' ELSE substring(text, 2, 7) END AS anchor,
 CASE WHEN doc_id % 7 < 3 THEN 5 ELSE 0 END AS start FROM @documents"""
 )
 SPECIAL = "'([\\\\.\\[\\]{}()*+?^$|])', '\\\\\\1', 'g'"
