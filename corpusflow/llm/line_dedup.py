@@ -289,18 +289,15 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
     picked = materialize(texts_again.mapInArrow(pick, SPOT + ", parts int"), "picked")
 
-    def side(counts: list) -> int:
-        """How many lines to compare on a side where the next ones have so many words."""
+    def side(counts: list, at: int, step: int) -> int:
+        """How many lines to compare from the line ``at`` on, downwards (``step`` 1) or upwards (-1)."""
         n = words = 0
-        while n < len(counts) and (n < reach or words < least_words):
-            words += counts[n]
+        while 0 <= at < len(counts) and (n < reach or words < least_words):
+            words += counts[at]
+            at += step
             n += 1
         return n
 
-    def joined(lines: list) -> str:
-        """Lines in one string, each without the white space that ends it and with a line feed, which no line holds elsewhere."""
-        return "".join([x.rstrip() + "\n" for x in lines])
-
     def laid_out(values: list):
         """Of each text its lines and their words."""
         for _, lines in in_blocks(values):
@@ -312,7 +309,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         for batch in batches:
             ids, keys = batch.column("i_").to_numpy(), batch.column("k_").to_numpy()
             marks = batch.column("marks").to_pylist()
-            for first, lines in in_blocks(pc.struct_field(batch.column("row_"), [at_text]).to_pylist()):
+            for first, lines in in_blocks(batch.column("t_").to_pylist()):
                 begin, end, row = [], [], []
                 for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
                     for m in marks[first + n]:
@@ -333,53 +330,63 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i_", "k_", "first", "end_", "h"])
 
     def read(batches):
+        """The lines at and around each mark, each line without the white space that ends it and with a line feed, which no line holds elsewhere."""
         for batch in batches:
-            rows = ([], [], [], [], [], [], [], [], [])
+            rows = ([], [], [], [], [], [], [], [], [], [], [])
             ids, keys = batch.column("i_").to_pylist(), batch.column("k_").to_pylist()
-            values = pc.struct_field(batch.column("row_"), [at_text]).to_pylist()
             marks = batch.column("marks").to_pylist()
-            for i, k, at, lines, words in ((ids[n], keys[n], marks[n], *t) for n, t in enumerate(laid_out(values))):
-                for m in at:
+            for n, (lines, words) in enumerate(laid_out(batch.column("t_").to_pylist())):
+                lines = [x.rstrip() + "\n" for x in lines]
+                for m in marks[n]:
                     a, b = m["first"], m["end_"]
-                    up, down = side(words[:a][::-1]), side(words[b:])
-                    around = (joined(lines[a:b]), joined(lines[a - up : a][::-1]), joined(lines[b : b + down]))
-                    for column, v in zip(rows, (m["h"], m["parts"], i, k, a, b, *around)):
+                    up, down = side(words, a - 1, -1), side(words, b, 1)
+                    around = ("".join(lines[a:b]), "".join(lines[a - up : a][::-1]), "".join(lines[b : b + down]))
+                    for column, v in zip(rows, (m["h"], m["low"], m["high"], m["lead"], ids[n], keys[n], a, b, *around)):
                         column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "parts", "i_", "k_", "a", "b", "chunk", "before", "after"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            heads = ["h", "low", "high", "lead", "i_", "k_", "a", "b", "chunk", "before", "after"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], heads)
 
     def marked(spots: DataFrame, *more: str) -> DataFrame:
-        """The texts at ``spots`` with a list of these; all uses of the texts take whole rows, so they share one exchange."""
-        return keyed.join(spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "end_", "h", *more)).alias("marks")), ["i_", "k_"])
-
-    def occurrences(spots: DataFrame) -> DataFrame:
-        """The lines at and around ``spots``."""
-        return marked(spots, "parts").mapInArrow(read, "h long, parts int, i_ long, k_ long, a int, b int, chunk string, before string, after string")
+        """The texts at ``spots`` with a list of these."""
+        marks = spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "end_", "h", *more)).alias("marks"))
+        return texts.withColumnRenamed(names[at_text], "t_").join(marks, ["i_", "k_"])
 
     def compare(batches):
+        """Copies against the first occurrence that leads them: rows come by hash and part, the lead before its copies."""
+        names_in = ("lead", "h", "part", "i_", "k_", "a", "b", "chunk", "before", "after")
+        led, held = None, ()
         for batch in batches:
             rows = ([], [], [], [], [], [])
-            names_in = ("h", "i_", "k_", "a", "b", "chunk", "chunk_0", "before", "before_0", "after", "after_0")
-            for h, i, k, a, b, own, other, *around in zip(*(batch.column(c).to_pylist() for c in names_in)):
-                if own != other:
+            for lead, h, part, i, k, a, b, own, before, after in zip(*(batch.column(c).to_pylist() for c in names_in)):
+                if lead:
+                    led, held = (h, part), (own, before, after)
+                    continue
+                if led != (h, part) or own != held[0]:
                     continue
-                before, before_0, after, after_0 = (x.split("\n")[:-1] for x in around)
-                up, down = agree(before, before_0), agree(after, after_0)
-                words = len(own.split()) + sum(len(x.split()) for x in (*before[:up], *after[:down]))
+                (x, y), (x_0, y_0) = ([z.split("\n")[:-1] for z in pair] for pair in ((before, after), held[1:]))
+                up, down = agree(x, x_0), agree(y, y_0)
+                words = len(own.split()) + sum(len(z.split()) for z in (*x[:up], *y[:down]))
                 if words < least_words:
-                    words += shared_words(before, before_0, up, -1) + shared_words(after, after_0, down, 1)
+                    words += shared_words(x, x_0, up, -1) + shared_words(y, y_0, down, 1)
                 for column, v in zip(rows, (h, i, k, a - up, b + down, words >= least_words)):
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "i_", "k_", "a", "b", "enough"])
 
     def compared(spots: DataFrame, least: DataFrame, name: str) -> DataFrame:
-        """How far the lines at and around ``spots`` agree with the first occurrence of each hash, of whose copies a part goes to each task."""
-        needed = least.select("least.i_", "least.k_", "least.first", "least.end_", "h", "parts")
-        first = occurrences(needed).select("h", "parts", *(F.col(c).alias(f"{c}_0") for c in ("chunk", "before", "after"))).dropDuplicates(["h"])
-        first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        dealt = occurrences(spots).withColumn("part", F.pmod(F.xxhash64("i_", "k_"), F.col("parts")).cast("int"))
-        return materialize(dealt.join(first, ["h", "part"]).mapInArrow(compare, "h long, i_ long, k_ long, a int, b int, enough boolean"), name)
+        """How far the lines at and around ``spots`` agree with the first occurrence of each hash, of whose copies a part goes to each task.
+
+        Copies and first occurrences are read from the texts in one pass and meet in one shuffle.
+        """
+        part = F.pmod(F.xxhash64("i_", "k_"), F.col("parts")).cast("int")
+        dealt = spots.select("i_", "k_", "first", "end_", "h", part.alias("low"), (part + 1).alias("high"), F.lit(False).alias("lead"))
+        needed = least.select("least.i_", "least.k_", "least.first", "least.end_", "h", F.lit(0).alias("low"), F.col("parts").alias("high"), F.lit(True).alias("lead"))
+        schema = "h long, low int, high int, lead boolean, i_ long, k_ long, a int, b int, chunk string, before string, after string"
+        lines = marked(dealt.unionByName(needed), "low", "high", "lead").mapInArrow(read, schema)
+        lines = lines.withColumn("part", F.explode(F.sequence("low", F.col("high") - 1))).drop("low", "high")
+        met = lines.repartition("h", "part").sortWithinPartitions("h", "part", F.desc("lead"))
+        return materialize(met.mapInArrow(compare, "h long, i_ long, k_ long, a int, b int, enough boolean"), name)
 
     near = compared(picked, least.join(picked.select("h").distinct(), "h", "left_semi"), "near")
     for done in (picked, least):
@@ -404,12 +411,11 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
             ranges = batch.column("ranges").to_pylist()
             if any(ranges):
                 values = columns[at_text].to_pylist()
-                for n, spans in enumerate(ranges):
-                    if spans:
-                        lines = units(values[n])
-                        lost = {x for r in spans for x in range(r["a"], r["b"])}
-                        values[n] = "".join([x for k, x in enumerate(lines) if k not in lost])
-                        counts[n] = len(lost)
+                changed = [n for n, spans in enumerate(ranges) if spans]
+                for n, (lines, _) in zip(changed, laid_out([values[n] for n in changed])):
+                    lost = {x for r in ranges[n] for x in range(r["a"], r["b"])}
+                    values[n] = "".join([x for k, x in enumerate(lines) if k not in lost])
+                    counts[n] = len(lost)
                 columns[at_text] = pa.array(values, columns[at_text].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, out])
 
