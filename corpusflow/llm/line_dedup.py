@@ -12,6 +12,8 @@ then first in the text), and the match is extended over the lines around it as f
 occurrence are removed.  Runs and cuts count words between ASCII white space.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,17 +88,16 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def inner_cuts(sentence: np.ndarray, words: np.ndarray, most: int, window: int) -> np.ndarray:
-    """The words before which a sentence of more than ``most`` words is cut: they begin the smallest pair of any ``window`` pairs.
+def inner_cuts(sentence: np.ndarray, at: np.ndarray, words: np.ndarray, window: int) -> np.ndarray:
+    """Which of the words ``at`` begin the smallest pair of any ``window`` pairs of their sentence: it is cut before them.
 
-    Where two pairs are equally small there is no cut, so a line that repeats itself
-    in a short period stays whole.
+    ``words`` are their hashes.  Where two pairs are equally small there is no cut, so
+    a line that repeats itself in a short period stays whole.
     """
-    at = np.flatnonzero(np.bincount(sentence)[sentence] > most) if len(sentence) else sentence
     if len(at) <= window:
         return at[:0]
     own, place = sentence[at], np.arange(len(at) - 1, dtype=np.uint64)
-    pair = mixed(words[at[:-1]] * OTHER ^ words[at[1:]]) & np.uint64(0xFFFFFFFF00000000)
+    pair = mixed(words[:-1] * OTHER ^ words[1:]) & np.uint64(0xFFFFFFFF00000000)
     low = np.uint64(0xFFFFFFFF)
     left, right = (least_of(x, window) & low for x in (pair | place, pair | (low - place)))
     ok = (left == low - right) & (own[: len(left)] == own[window:])
@@ -105,9 +106,9 @@ def inner_cuts(sentence: np.ndarray, words: np.ndarray, most: int, window: int)
 
 
 class Lines:
-    """The lines of several texts: where each starts and ends, how many words it has, its hash, and each text's first line."""
+    """The lines of several texts: where each starts and ends, how many words it has, its hash if asked for, and each text's first line."""
 
-    def __init__(self, texts: list, most: int = 24, window: int = 12):
+    def __init__(self, texts: list, hashed: bool = True, most: int = 24, window: int = 12):
         self.raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b"\n".join([*self.raw, b""]), dtype=np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in self.raw])))
@@ -116,8 +117,11 @@ class Lines:
         begin, end = edges[::2], edges[1::2]
         stops = np.flatnonzero((data[:-1] == 46) & (data[1:] == 32)) + 2
         starts = np.sort(np.concatenate(([0], np.flatnonzero(data == 10)[:-1] + 1, stops)))
-        words = codes(data, begin, end)
-        cuts = inner_cuts(np.searchsorted(starts, begin, side="right") - 1, words, most, window)
+        counts = np.diff(np.searchsorted(begin, np.concatenate((starts, [len(data)]))))
+        sentence = np.repeat(np.arange(len(starts)), counts)
+        at = np.flatnonzero(np.repeat(counts > most, counts))
+        words = codes(data, begin, end) if hashed else None
+        cuts = inner_cuts(sentence, at, words[at] if hashed else codes(data, begin[at], end[at]), window)
         starts = np.sort(np.concatenate((starts, begin[cuts])))
         ends = np.concatenate((starts[1:], [len(data)]))
         last = self.offsets[1:] - 1  # the line feed that was put behind each text is no part of it
@@ -127,17 +131,28 @@ class Lines:
         self.firsts = np.searchsorted(self.starts, self.offsets)
         self.text = text[real]
 
-        line = np.searchsorted(self.starts, begin, side="right") - 1
+        word_at = np.searchsorted(begin, np.concatenate((self.starts, [len(data)])))
+        self.words = np.diff(word_at)
+        self.before = np.concatenate(([0], np.cumsum(self.words)))
+        if not hashed:
+            return
+        line = np.repeat(np.arange(len(self.starts)), self.words)
         gap = np.maximum(self.starts[line], np.concatenate(([0], end[:-1]))) if len(begin) else begin
         width = begin - gap
         before = np.where(width > 0, data[np.minimum(gap, len(data) - 1)], 0).astype(np.uint64)
         wide = np.flatnonzero(width > 1)
         before[wide] = codes(data, gap[wide], begin[wide])
-        tokens = mixed(words + before * OTHER)
-        word_at = np.searchsorted(begin, np.concatenate((self.starts, [len(data)])))
-        self.words = np.diff(word_at)
-        self.before = np.concatenate(([0], np.cumsum(self.words)))
-        self.hash = sums(tokens, word_at[:-1], word_at[1:])
+        self.hash = sums(mixed(words + before * OTHER), word_at[:-1], word_at[1:])
+
+    def without(self, n: int, a: np.ndarray, b: np.ndarray) -> tuple:
+        """The text ``n`` without its lines in the ranges [a, b), and how many lines these are."""
+        low, high = self.firsts[n], self.firsts[n + 1]
+        depth = np.bincount(a, minlength=high - low + 1) - np.bincount(b, minlength=high - low + 1)
+        stays = np.concatenate(([False], np.cumsum(depth[:-1]) == 0, [False]))
+        turns = np.flatnonzero(stays[1:] != stays[:-1])
+        spans = zip((self.starts[low + turns[::2]] - self.offsets[n]).tolist(), (self.ends[low + turns[1::2] - 1] - self.offsets[n]).tolist())
+        text = b"".join([self.raw[n][x:y] for x, y in spans])
+        return text.decode("utf-8", "surrogatepass"), int(high - low - stays.sum())
 
     def of(self, n: int) -> list:
         """The lines of the text ``n``, each with what ends it."""
@@ -173,17 +188,25 @@ class Lines:
         return np.unique(len(a) - (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
 
 
-def in_blocks(texts: list):
+def in_blocks(texts: list, hashed: bool = True):
     """(number of the first text, ``Lines`` of the texts) for texts of about ``BLOCK`` characters together; null is empty."""
     held, size, first = [], 0, 0
     for n, t in enumerate(texts):
         held.append(t or "")
         size += len(held[-1])
         if size >= BLOCK or n == len(texts) - 1:
-            yield first, Lines(held)
+            yield first, Lines(held, hashed)
             held, size, first = [], 0, n + 1
 
 
+def flat(marks: pa.Array) -> tuple:
+    """Of a column of lists of structs where each row's list starts and ends, and the structs' fields by name; null is an empty list."""
+    marks = pc.if_else(pc.is_null(marks), pa.scalar([], marks.type), marks) if marks.null_count else marks
+    items = marks.flatten()
+    bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(marks).to_numpy(zero_copy_only=False))))
+    return bounds.astype(np.int64), {f.name: pc.struct_field(items, [f.name]) for f in items.type}
+
+
 def units(text: str) -> list:
     """Lines, each with what ends it; a line ends at a line feed, after a sentence, or within one of many words."""
     return Lines([text]).of(0)
@@ -207,7 +230,7 @@ def shared_words(x: list, y: list, n: int, step: int) -> int:
     return next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
 
 
-def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, span: int = 24, reach: int = 4, copies: int = 2000, text: str = "text", out: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, span: int = 24, reach: int = 4, copies: int = 256, text: str = "text", out: str = "n_removed") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and a column ``out``: how many lines went.
 
     Runs are two lines or more with ``chunk_words`` words, or one with
@@ -300,7 +323,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
 
     def laid_out(values: list):
         """Of each text its lines and their words."""
-        for _, lines in in_blocks(values):
+        for _, lines in in_blocks(values, False):
             for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
                 yield lines.of(n), lines.words[low:high].tolist()
 
@@ -308,12 +331,13 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         """The shortest windows of ``least_words`` words around each marked run, one for each line where they may end."""
         for batch in batches:
             ids, keys = batch.column("i_").to_numpy(), batch.column("k_").to_numpy()
-            marks = batch.column("marks").to_pylist()
+            bounds, marks = flat(batch.column("marks"))
+            m_first, m_end = (marks[c].to_pylist() for c in ("first", "end_"))
             for first, lines in in_blocks(batch.column("t_").to_pylist()):
                 begin, end, row = [], [], []
                 for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
-                    for m in marks[first + n]:
-                        a, b = low + m["first"], low + m["end_"]
+                    for m in range(bounds[first + n], bounds[first + n + 1]):
+                        a, b = low + m_first[m], low + m_end[m]
                         far = min(high, max(b, int(np.searchsorted(lines.before, lines.before[a] + least_words))))
                         ends = np.arange(b, far + 1)
                         starts = np.minimum(a, np.searchsorted(lines.before, lines.before[ends] - least_words, side="right") - 1)
@@ -332,20 +356,21 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     def read(batches):
         """The lines at and around each mark, each line without the white space that ends it and with a line feed, which no line holds elsewhere."""
         for batch in batches:
-            rows = ([], [], [], [], [], [], [], [], [], [], [])
-            ids, keys = batch.column("i_").to_pylist(), batch.column("k_").to_pylist()
-            marks = batch.column("marks").to_pylist()
+            bounds, marks = flat(batch.column("marks"))
+            firsts, ends = (marks[c].to_pylist() for c in ("first", "end_"))
+            chunks, befores, afters = [], [], []
             for n, (lines, words) in enumerate(laid_out(batch.column("t_").to_pylist())):
                 lines = [x.rstrip() + "\n" for x in lines]
-                for m in marks[n]:
-                    a, b = m["first"], m["end_"]
+                for m in range(bounds[n], bounds[n + 1]):
+                    a, b = firsts[m], ends[m]
                     up, down = side(words, a - 1, -1), side(words, b, 1)
-                    around = ("".join(lines[a:b]), "".join(lines[a - up : a][::-1]), "".join(lines[b : b + down]))
-                    for column, v in zip(rows, (m["h"], m["low"], m["high"], m["lead"], ids[n], keys[n], a, b, *around)):
-                        column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+                    chunks.append("".join(lines[a:b]))
+                    befores.append("".join(lines[a - up : a][::-1]))
+                    afters.append("".join(lines[b : b + down]))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+            spots = (*(marks[c] for c in ("h", "low", "high", "lead")), *(batch.column(c).take(row) for c in ("i_", "k_")), marks["first"], marks["end_"])
             heads = ["h", "low", "high", "lead", "i_", "k_", "a", "b", "chunk", "before", "after"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], heads)
+            yield pa.RecordBatch.from_arrays([*spots, *(pa.array(c, pa.string()) for c in (chunks, befores, afters))], heads)
 
     def marked(spots: DataFrame, *more: str) -> DataFrame:
         """The texts at ``spots`` with a list of these."""
@@ -356,17 +381,24 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         """Copies against the first occurrence that leads them: rows come by hash and part, the lead before its copies."""
         names_in = ("lead", "h", "part", "i_", "k_", "a", "b", "chunk", "before", "after")
         led, held = None, ()
+
+        def counted(text: str) -> tuple:
+            """Lines, and how many words the first so many of them have."""
+            lines = text.split("\n")[:-1]
+            return lines, list(itertools.accumulate((len(x.split()) for x in lines), initial=0))
+
         for batch in batches:
             rows = ([], [], [], [], [], [])
             for lead, h, part, i, k, a, b, own, before, after in zip(*(batch.column(c).to_pylist() for c in names_in)):
                 if lead:
-                    led, held = (h, part), (own, before, after)
+                    led, held = (h, part), (own, len(own.split()), before, *counted(before), after, *counted(after))
                     continue
                 if led != (h, part) or own != held[0]:
                     continue
-                (x, y), (x_0, y_0) = ([z.split("\n")[:-1] for z in pair] for pair in ((before, after), held[1:]))
+                _, words, before_0, x_0, of_x, after_0, y_0, of_y = held
+                x, y = (x_0 if before == before_0 else before.split("\n")[:-1]), (y_0 if after == after_0 else after.split("\n")[:-1])
                 up, down = agree(x, x_0), agree(y, y_0)
-                words = len(own.split()) + sum(len(z.split()) for z in (*x[:up], *y[:down]))
+                words += of_x[up] + of_y[down]
                 if words < least_words:
                     words += shared_words(x, x_0, up, -1) + shared_words(y, y_0, down, 1)
                 for column, v in zip(rows, (h, i, k, a - up, b + down, words >= least_words)):
@@ -408,14 +440,15 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         for batch in batches:
             columns = [pc.struct_field(batch.column("row_"), [n]) for n in range(len(names))]
             counts = [0] * batch.num_rows
-            ranges = batch.column("ranges").to_pylist()
-            if any(ranges):
+            bounds, ranges = flat(batch.column("ranges"))
+            if bounds[-1]:
                 values = columns[at_text].to_pylist()
-                changed = [n for n, spans in enumerate(ranges) if spans]
-                for n, (lines, _) in zip(changed, laid_out([values[n] for n in changed])):
-                    lost = {x for r in ranges[n] for x in range(r["a"], r["b"])}
-                    values[n] = "".join([x for k, x in enumerate(lines) if k not in lost])
-                    counts[n] = len(lost)
+                a, b = (ranges[c].to_numpy() for c in ("a", "b"))
+                changed = np.flatnonzero(np.diff(bounds)).tolist()
+                for first, lines in in_blocks([values[n] for n in changed], False):
+                    for k in range(len(lines.raw)):
+                        n = changed[first + k]
+                        values[n], counts[n] = lines.without(k, a[bounds[n] : bounds[n + 1]], b[bounds[n] : bounds[n + 1]])
                 columns[at_text] = pa.array(values, columns[at_text].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, out])
 
