@@ -268,20 +268,23 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     def pick(batches):
         """Of repeats that touch, at one distance from their first occurrences: the ends, and between them at most ``reach`` + 2 lines apart."""
         for batch in batches:
-            rows = ([], [], [], [], [], [])
-            for i, k, at in zip(*(batch.column(c).to_pylist() for c in ("i_", "k_", "marks"))):
-                at.sort(key=lambda m: m["first"])
-                joined = [
-                    y["first"] <= x["end_"] and y["first"] - x["first"] == y["f_0"] - x["f_0"] and (x["i_0"], x["k_0"]) == (y["i_0"], y["k_0"]) for x, y in zip(at, at[1:])
-                ]
-                last = 0
-                for n, m in enumerate(at):
-                    if not (0 < n < len(at) - 1 and joined[n - 1] and joined[n] and at[n + 1]["first"] - last <= reach + 2):
-                        last = m["first"]
-                        for column, v in zip(rows, (i, k, last, m["end_"], m["h"], m["parts"])):
-                            column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["i_", "k_", "first", "end_", "h", "parts"])
+            bounds, marks = flat(batch.column("marks"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            order = np.lexsort((marks["first"].to_numpy(), row))
+            row = row[order]
+            first, end, i_0, k_0, f_0 = (marks[c].to_numpy()[order] for c in ("first", "end_", "i_0", "k_0", "f_0"))
+            touch = (row[1:] == row[:-1]) & (first[1:] <= end[:-1]) & (np.diff(first) == np.diff(f_0))
+            touch &= (i_0[1:] == i_0[:-1]) & (k_0[1:] == k_0[:-1])
+            inner = np.concatenate((touch, [False])) & np.concatenate(([False], touch))
+            held, last, at = [], 0, first.tolist()
+            for n, within in enumerate(inner[: len(at)].tolist()):
+                if not (within and at[n + 1] - last <= reach + 2):
+                    last = at[n]
+                    held.append(n)
+            spots = pa.array(order[held] if held else order[:0])
+            own = [batch.column(c).take(pa.array(row[held] if held else row[:0])) for c in ("i_", "k_")]
+            columns = [*own, *(marks[c].take(spots) for c in ("first", "end_", "h", "parts"))]
+            yield pa.RecordBatch.from_arrays(columns, ["i_", "k_", "first", "end_", "h", "parts"])
 
     kept = [c for c in docs.columns if c != out]
     names = [f"c{n}" for n in range(len(kept))]
