@@ -68,6 +68,36 @@ def test_search_reads_the_asked_buckets_only(spark, texts, tmp_path):
     assert filters and all("bucket" in line.split("PartitionFilters")[1].split("]")[0] for line in filters)
 
 
+def shuffled(spark, action):
+    """Records that the stages of an action write for exchanges."""
+    gateway = spark.sparkContext._gateway
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    count = lambda found: sum(found.apply(k).shuffleWriteRecords() for k in range(found.size()))
+    before = count(stages())
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return count(stages()) - before
+
+
+def test_writing_an_index_shuffles_no_tokens(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path / "i"), ("text",), buckets=4)
+    rows = spark.range(50).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.concat(F.lit("w"), k.cast("string"))), " ").alias("text"))
+    assert shuffled(spark, lambda: index.rebuild(rows)) < 50 * 100
+    asked = spark.createDataFrame([(1, "w7"), (1, "w7 w8"), (2, "w8 w7")], "query_id long, term string")
+    got = {(r["id"], r["term"], r["f"]) for r in index.counted(asked, {"text": 1.0}).collect()}
+    assert got == {(k, t, 1.0) for k in range(50) for t in ("w7", "w7 w8")}
+
+
+def test_a_token_of_many_phrases_meets_them_as_pairs(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path / "i"), ("text",), buckets=4)
+    index.rebuild(spark.range(20).select("id", F.concat(F.repeat(F.lit("the x "), 100), F.lit("the w3 end")).alias("text")))
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("the w"), F.col("id").cast("string"), F.lit(" end")).alias("term"))
+    found = index.counted(asked, {"text": 2.0})
+    rows = []
+    assert shuffled(spark, lambda: rows.extend(found.collect())) < 20 * 101 * 10
+    assert {(r["id"], r["term"], r["f"]) for r in rows} == {(k, "the w3 end", 2.0) for k in range(20)}
+
+
 def test_one_writer_commits(spark, tmp_path):
     log = Snapshots(spark, str(tmp_path / "s"))
     log.commit(0, {"a": 1})
