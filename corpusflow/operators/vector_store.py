@@ -154,13 +154,13 @@ class Collection:
         asked, cells = queries.select("query_id", "q"), probes is not None and len(state["centroids"]) > 0
         if cells:
             centroids = self.spark.createDataFrame(list(enumerate(state["centroids"])), T.StructType().add("id", "integer").add("v", T.ArrayType(T.DoubleType())))
-            met = nearest(centroids, asked, "l2", probes)
+            met = nearest(centroids, asked, "l2", probes, first=True)
             first = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, probes)
             asked = asked.join(met.groupBy("query_id").agg(F.transform(first, lambda x: x["id"]).alias("cells")), "query_id")
             # cells that are asked for: at most as many numbers as there are centroids
             wanted = [r[0] for r in asked.select(F.explode("cells")).distinct().collect()]
             rows = rows.where(F.col("cell").isin(wanted))
-        found = nearest(rows.select("id", "v", "cell"), asked, metric, k, cells, digits)
+        found = nearest(rows.select("id", "v", "cell"), asked, metric, k, cells, digits, first=True)
         order = "row_number() over (partition by query_id order by round(distance, {}), id) - 1".format(digits)
         return found.withColumn("rank", F.expr(order).cast("long")).where(F.col("rank") < k).select("query_id", "id", "rank", "distance")
 

@@ -24,7 +24,7 @@ def keyword_recall(chunks: DataFrame, queries: DataFrame, fields: dict | None =
 
 def vector_recall(vectors: DataFrame, queries: DataFrame, metric: str = "l2", conf: Retrieval = Retrieval()) -> DataFrame:
     """(query_id, id, rank) by distance; ``vectors`` has id and v, ``queries`` query_id and q."""
-    return top(nearest(vectors, queries, metric, conf.recall_k), conf.recall_k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank")
+    return top(nearest(vectors, queries, metric, conf.recall_k, first=True), conf.recall_k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank")
 
 
 class Trace:

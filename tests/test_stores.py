@@ -172,6 +172,26 @@ def test_nearest_edges(spark):
     assert nearest(base, queries.limit(0), "l2", 1).count() == 0 and nearest(base.limit(0), queries, "l2", 1).count() == 0
 
 
+def test_a_task_tells_the_nearest_of_all_its_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        base = spark.range(0, 2000, 1, 1).select("id", F.array((F.col("id") % 500).cast("double"), F.lit(1.0)).alias("v"))
+        queries = base.where("id % 400 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+        every = nearest(base, queries, "l2", 3).collect()
+        best = nearest(base, queries, "l2", 3, first=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # four copies of each vector: all ties at first place, of which the smallest three ids are enough
+    assert len(every) == 5 * 4 and len(best) == 5 * 3
+    assert {(r["query_id"], r["id"]) for r in best} == {(q, q % 500 + k) for q in range(0, 2000, 400) for k in (0, 500, 1000)}
+
+
+def test_vectors_without_a_direction_hide_no_others(spark):
+    base = spark.createDataFrame([(k, [0.0, 0.0]) for k in range(5)] + [(9, [1.0, 1.0])], "id long, v array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
+    assert [r["id"] for r in nearest(base, queries, "cosine", 3).collect()] == [9]
+
+
 def test_recall_of_cells(spark, sf):
     exact = {(r["query_id"], r["vec_id"]) for r in retrieval.knn_l2(spark, sf).collect()}
     near = {(r["query_id"], r["vec_id"]) for r in retrieval.vector_cells(spark, sf).collect()}
