@@ -158,3 +158,27 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_equal_titles_are_matched_by_equality(spark):
+    from corpusflow.operators.cite import fuzzy_titles
+
+    left = spark.range(600).select("id", F.when(F.col("id") < 599, "A common first line of copies").otherwise("A common first line of copied").alias("title"))
+    right = spark.range(1000, 1600).select("id", F.lit("a common, first line: of copies").alias("title"))
+    found = fuzzy_titles(left, right, 0.88)
+    got = {r["id"]: (r["ref"], r["ratio"]) for r in found.collect()}
+    assert {got[k] for k in range(599)} == {(1000, 1.0)} and got[599][0] == 1000 and 0.88 <= got[599][1] < 1.0
+    rows = []
+
+    def walk(plan):
+        metrics = plan.metrics()
+        if metrics.contains("numOutputRows"):
+            rows.append(metrics.apply("numOutputRows").value())
+        inner = plan.children() if not plan.nodeName().startswith("AdaptiveSparkPlan") else None
+        for child in [plan.executedPlan()] if inner is None else [inner.apply(k) for k in range(inner.size())]:
+            walk(child)
+        if "QueryStage" in plan.nodeName():
+            walk(plan.plan())
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert max(rows) <= 2 * 600  # all pairs of equal titles would be 359,400
