@@ -83,12 +83,22 @@ def page_batches(spans: DataFrame, size: int = Chunking.pages_per_batch) -> Data
     )
 
 
-def section_texts(sections: DataFrame) -> DataFrame:
-    """``sections`` (id, start_char, type, title, text of the document): each runs to the next one's start."""
-    w = Window.partitionBy("id").orderBy("start_char")
-    ends = F.coalesce(F.lead("start_char").over(w), F.length("text"))
-    marked = sections.withColumn("end_char", ends.cast("long"))
-    return marked.withColumn("section_text", F.expr("trim(substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int)))"))
+def section_texts(sections: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, start_char, end_char, section_text) of ``sections`` (id, start_char) in ``docs`` (id, text): each runs to the next one's start.
+
+    Sections that begin behind the text are left out.  The starts of a document meet its
+    text as one list, and texts stream past these lists: none is sorted or repeated.
+    """
+    starts = sections.groupBy("id").agg(F.array_sort(F.collect_list("start_char")).alias("starts"))
+    sized = docs.select("id", "text", F.length("text").cast("long").alias("size")).join(starts.hint("shuffle_hash"), "id")
+    inside = sized.withColumn("starts", F.filter("starts", lambda s: s < F.col("size")))
+
+    def cut(start: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("starts", n + 1), "size")
+        text = F.trim(F.substring(F.col("text"), (start + 1).cast("int"), (end - start).cast("int")))
+        return F.struct(start.alias("start_char"), end.alias("end_char"), text.alias("section_text"))
+
+    return inside.select("id", F.explode_outer(F.transform("starts", cut)).alias("s")).where("s is not null").select("id", "s.*")
 
 
 def merge_sections(sections: DataFrame, keys: list) -> DataFrame:

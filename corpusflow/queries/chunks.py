@@ -39,8 +39,7 @@ SELECT id, start_char, CAST(end_char AS BIGINT) AS end_char, CAST(len(trim(subst
 def section_ends(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text"))
     starts = sp.page_spans(pages(spark, sf_dir)).where("page % 3 = 0").select("id", "start_char")
-    sections = starts.join(docs, "id").where(F.col("start_char") < F.length("text"))
-    return sp.section_texts(sections).select("id", "start_char", "end_char", F.length("section_text").cast("long").alias("n"))
+    return sp.section_texts(starts, docs).select("id", "start_char", "end_char", F.length("section_text").cast("long").alias("n"))
 
 
 SECTIONED = f"SELECT id, page AS pos, text, len(text) // 150 AS kind FROM {PAGE}"
