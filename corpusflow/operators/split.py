@@ -74,12 +74,13 @@ def page_spans(pages: DataFrame) -> DataFrame:
     return held.withColumn("start_char", before.cast("long")).withColumn("end_char", F.col("start_char") + F.length("text"))
 
 
-def page_batches(spans: DataFrame, size: int = Chunking.pages_per_batch) -> DataFrame:
-    """Batches of consecutive pages: first and last page, and the joined text."""
+def page_batches(pages: DataFrame, size: int = Chunking.pages_per_batch, spans: bool = False) -> DataFrame:
+    """Batches of consecutive pages: first and last page, and the joined text; with ``spans`` also where it begins and ends."""
     number = F.row_number().over(Window.partitionBy("id").orderBy("page")) - 1
     listed = F.array_sort(F.collect_list(F.struct("page", "text")))
-    return spans.withColumn("batch", F.floor(number / size).cast("long")).groupBy("id", "batch").agg(
-        F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.array_join(F.transform(listed, lambda p: p["text"]), "\n\n").alias("text")
+    ends = [F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")] if spans else []
+    return pages.withColumn("batch", F.floor(number / size).cast("long")).groupBy("id", "batch").agg(
+        F.min("page").alias("first_page"), F.max("page").alias("last_page"), *ends, F.array_join(F.transform(listed, lambda p: p["text"]), "\n\n").alias("text")
     )
 
 
@@ -101,16 +102,16 @@ def section_texts(sections: DataFrame, docs: DataFrame) -> DataFrame:
     return inside.select("id", F.explode_outer(F.transform("starts", cut)).alias("s")).where("s is not null").select("id", "s.*")
 
 
-def merge_sections(sections: DataFrame, keys: list) -> DataFrame:
-    """Neighbours (by pos) with equal keys become one section; texts are joined in order."""
+def merge_sections(sections: DataFrame, keys: list, first: tuple | list = ()) -> DataFrame:
+    """Neighbours (by pos) with equal keys become one section; texts are joined in order, and of the columns ``first`` the first value stays."""
     w = Window.partitionBy("id").orderBy("pos")
     changed = F.lit(False)
     for k in keys:
         changed = changed | ~F.col(k).eqNullSafe(F.lag(k).over(w))
-    first = F.lag("pos").over(w).isNull()
-    runs = sections.withColumn("starts", F.when(first | changed, 1).otherwise(0)).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = F.lag("pos").over(w).isNull()
+    runs = sections.withColumn("starts", F.when(opens | changed, 1).otherwise(0)).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     listed = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return runs.groupBy("id", "run", *keys).agg(F.min("pos").alias("pos"), F.count("*").alias("n_merged"), F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("text"))
+    return runs.groupBy("id", "run", *keys).agg(F.min("pos").alias("pos"), F.count("*").alias("n_merged"), *(F.min_by(c, "pos").alias(c) for c in first), F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def merge_short(chunks: DataFrame, size: int, keys: list) -> DataFrame:

@@ -75,7 +75,7 @@ def size_bounded_merge(spark, sf_dir):
 def detect_by_rule(batches):
     """Sections for the tests: pages of 60 characters or more begin one, named by its first three words; long ones are not indexed, a few anchors are captions."""
     page = F.filter(F.split("text", "\n\n"), lambda p: F.length(p) >= 60)
-    start = lambda p, n: F.array_join(F.slice(F.split(F.trim(p), r"\s+"), 1, n), " ")
+    start = lambda p, n: F.array_join(F.slice(F.split(F.trim(p), r"\s+", n + 1), 1, n), " ")
     kind = lambda p: F.when(F.length(p) % 5 == 0, F.lit(None)).when(F.length(p) < 200, "introduction").otherwise("method")
     told = F.transform(page, lambda p: F.struct(kind(p).alias("section_type"), start(p, 3).alias("title"), F.when(F.length(p) % 7 == 0, "Table 1").otherwise(start(p, 6)).alias("start_anchor"), F.when(F.length(p) % 4 == 0, "No").otherwise("yes").alias("indexable")))
     return batches.withColumn("sections", told)

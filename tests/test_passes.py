@@ -11,6 +11,26 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sections_are_located_and_cut_once(spark, sf):
+    from corpusflow.queries import chunks as ch
+
+    text = optimized(ch.section_pipeline(spark, sf))
+    assert text.count("MapInArrow") == 1 and text.count("ArrowEvalPython") == 1
+
+
+def test_documents_without_indexable_sections_are_cut_whole(spark):
+    from corpusflow.plans.sections import section_chunks
+
+    rows = [(1, 0, "a page of no section"), (1, 1, "and one more"), (2, 0, "alpha begins"), (2, 1, "x" * 30), (3, 0, "alpha hides"), (4, 0, " 　"), (5, 0, "\x1c"), (5, 1, "alpha")]
+    pages = spark.createDataFrame(rows, "id long, page long, text string")
+    told = F.struct(F.lit("method").alias("section_type"), F.lit("Alpha").alias("title"), F.lit("alpha").alias("start_anchor"), F.when(F.col("id") == 3, "no").otherwise("yes").alias("indexable"))
+    got = {}
+    for r in section_chunks(pages, lambda b: b.withColumn("sections", F.array(told)), 20).orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append((r["section_type"], r["section_chunk_index"], r["chunk_text"]))
+    assert [k[0] for k in got[1]] == ["recursive"] * len(got[1]) and [k[1] for k in got[1]] == list(range(len(got[1])))
+    assert {k[0] for k in got[2]} == {"method"} and [k[:2] for k in got[3]] == [("recursive", 0)] and 4 not in got and got[5] == [("method", 0, "alpha")]
+
+
 def test_texts_are_not_sorted_for_their_sections(spark, sf):
     from corpusflow.operators import split as sp
     from corpusflow.queries import chunks as ch
