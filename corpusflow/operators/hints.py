@@ -1,5 +1,8 @@
 """Bibliographic hints by rule from the first lines of a paper: title, authors, keywords, abstract, venue, year."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +21,17 @@ TITLE_LINES, VENUE_LINES, NAME_LINES, LONGEST_NAME, LONGEST_LINE = 10, 40, 8, 80
 
 
 def first_lines(text: Column, n: int) -> Column:
-    """The first ``n`` lines that are not blank, collapsed.  Only the head of a text is read, unless it has too few such lines."""
+    """The first ``n`` lines that are not blank, collapsed.  Only the head of a text is read, unless it has too few such lines; no line is collapsed that is not wanted."""
     head = F.substring_index(text, "\n", 4 * n)
-    lines = tx.clean_lines(head)
-    return F.slice(F.when((F.size(lines) >= n) | (F.length(head) == F.length(text)), lines).otherwise(tx.clean_lines(text)), 1, n)
+    held = lambda c: F.slice(F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: x.rlike(tx.VISIBLE)), 1, n)
+    # an array of one, so that the lines of the head are cut once
+    chosen = F.transform(F.array(held(head)), lambda x: F.when((F.size(x) >= n) | (F.length(head) == F.length(text)), x).otherwise(held(text)))
+    return F.transform(F.get(chosen, F.lit(0)), tx.collapse)
 
 
 def holds_any(line: Column, words: tuple) -> Column:
-    return F.lower(line).rlike("|".join(words))
+    """Whether a line holds one of the words, which are in lower case, whatever its own case."""
+    return F.exists(F.array(F.lower(line)), lambda low: reduce(or_, (low.contains(w) for w in words)))
 
 
 def is_person(name: Column) -> Column:
@@ -50,7 +56,7 @@ def names_in(line: Column) -> Column:
 
 def title_of(lines: Column) -> Column:
     """The longest of the first lines that may be a title, the first of equals."""
-    apart = lambda s: s.rlike(ABSTRACT_LINE) | s.rlike(KEYWORDS_LINE) | F.lower(s).rlike("doi|https?://") | s.contains("@") | holds_any(s, AFFILIATION)
+    apart = lambda s: s.rlike(ABSTRACT_LINE) | s.rlike(KEYWORDS_LINE) | s.contains("@") | holds_any(s, ("doi", "http://", "https://", *AFFILIATION))
     fit = F.filter(F.slice(lines, 1, TITLE_LINES), lambda s: (F.length(s) >= 8) & ~apart(s))
     return F.coalesce(F.array_max(F.transform(fit, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"], F.lit(""))
 

@@ -203,7 +203,8 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 def title_hint(spark, sf_dir):
     """The longest of the first ten lines that may be a title; the first of equals.  Documents without one are left out."""
     lines = first_lines(F.col("text"), 10)
-    return table(spark, sf_dir, "documents").select("doc_id", title_of(lines).alias("title")).where("title <> ''")
+    # a row for each title, so that the condition reads the title that was found and does not look for it again
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.array(title_of(lines))).alias("title")).where("title <> ''")
 
 
 ABSTRACTS = Made(
@@ -288,7 +289,7 @@ def person_names(spark, sf_dir):
 @query("venue_hint", f"SELECT id, venue FROM ({HINTS}) WHERE venue <> ''")
 def venue_hint(spark, sf_dir):
     sheets = SHEETS.df(spark, sf_dir)
-    return sheets.select("id", venue_of(first_lines(F.coalesce("s", F.lit("")), 40)).alias("venue")).where("venue <> ''")
+    return sheets.select("id", F.explode_outer(F.array(venue_of(first_lines(F.coalesce("s", F.lit("")), 40)))).alias("venue")).where("venue <> ''")
 
 
 LINED = Made("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(10) || ' ' || chr(10) || text || chr(10) || chr(10) || '  ' || chr(10) || chr(10) || '  end  of it ' || chr(10) WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 2 THEN text END AS s, CASE doc_id % 3 WHEN 0 THEN 'a.b.' || doc_id || '.pdf' WHEN 1 THEN 'plain ' || doc_id ELSE '.hidden' || doc_id END AS f FROM @documents")

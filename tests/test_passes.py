@@ -31,6 +31,13 @@ def test_documents_without_indexable_sections_are_cut_whole(spark):
     assert {k[0] for k in got[2]} == {"method"} and [k[:2] for k in got[3]] == [("recursive", 0)] and 4 not in got and got[5] == [("method", 0, "alpha")]
 
 
+def test_titles_are_looked_for_once(spark, sf):
+    from corpusflow.queries import texts as te
+
+    assert optimized(te.title_hint(spark, sf)).count("array_max") == 1
+    assert optimized(te.venue_hint(spark, sf)).count("exists(") == 1
+
+
 def test_texts_are_not_sorted_for_their_sections(spark, sf):
     from corpusflow.operators import split as sp
     from corpusflow.queries import chunks as ch
