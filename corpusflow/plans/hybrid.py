@@ -12,6 +12,10 @@ from ..operators.rerank import rerank
 from ..operators.vectors import nearest
 
 
+#: Fixed value: the candidates of up to so many questions are broadcast.
+FEW_QUESTIONS = 10_000
+
+
 def keyword_recall(chunks: DataFrame, queries: DataFrame, fields: dict | None = None, allowed: Column | None = None, conf: Retrieval = Retrieval()) -> DataFrame:
     """(query_id, id, rank) by weighted BM25; ``chunks`` has id and the fields, ``queries`` query_id and text.
 
@@ -46,7 +50,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, conf: Re
     """Reranked candidates of each question (query_id, text, q), with the attributes of their chunks.
 
     Only ids and ranks go through recall and fusion; attributes are joined to the few
-    candidates that are left.  ``trace`` counts the rows of the stages.
+    candidates that are left, which go to the chunks if there are few.  ``trace`` counts the rows of the stages.
     """
     watch = trace.watch if trace else lambda name, df: df
     lists = {
@@ -55,7 +59,9 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, conf: Re
     }
     fused = watch("hybrid_rrf", fuse(lists, conf.rrf_k, conf.fusion_limit))
     asked = questions.select("query_id", F.col("text").alias("query"))
-    wide = fused.withColumnRenamed("rank", "recall_rank").join(chunks, "id").join(asked, "query_id")
+    few = asked.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS  # of each so many candidates as the fusion leaves
+    ranked = fused.withColumnRenamed("rank", "recall_rank")
+    wide = chunks.join(F.broadcast(ranked) if few else ranked, "id").join(asked, "query_id")
     return watch("local_retrieval", rerank(wide.where(F.col("recall_rank") < conf.rerank_documents), conf.final_limit))
 
 

@@ -47,3 +47,14 @@ def test_texts_are_not_sorted_for_their_sections(spark, sf):
     docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "abc")], "id long, text string")
     starts = spark.createDataFrame([(1, 4), (1, 0), (1, 40), (2, 0), (3, 3)], "id long, start_char long")
     assert sorted(map(tuple, sp.section_texts(starts, docs).collect())) == [(1, 0, 4, "one"), (1, 4, 13, "two three")]
+
+
+def test_asked_tokens_are_met_where_rows_are_read(spark):
+    from corpusflow.operators.bm25 import bm25
+
+    docs = spark.createDataFrame([(1, "the the gpt 4"), (2, "4 gpt the"), (3, "none")], "id long, body string")
+    asked = spark.createDataFrame([(1, "the"), (1, "gpt 4")], "query_id long, term string")
+    scored = bm25(docs, {"body": 2.0}, asked, phrases=True)
+    assert optimized(scored).count("rightHint=(strategy=broadcast)") + optimized(scored).count("leftHint=(strategy=broadcast)") >= 1
+    assert optimized(scored).count("regexp_extract_all") == 3  # once for the statistics, and for each use of the postings, which share one shuffle
+    assert {r["id"] for r in scored.collect()} == {1, 2}
