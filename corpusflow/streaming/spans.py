@@ -34,49 +34,56 @@ def ordered_spans(events: DataFrame) -> DataFrame:
 
 
 class SpanOrder(StatefulProcessor):
-    """Keeps a session's spans as a list and the names that it has as a map; ``idle`` milliseconds after its last event a session ends."""
+    """Keeps a session's spans, names in order and their states, as one value; ``idle`` milliseconds after its last event a session ends.
+
+    The value is read and written once in a batch, however many events come: every call to the state is a message to the JVM.
+    A session has one timer, which is set again when it runs out and the session has gone on.
+    """
 
     def __init__(self, idle: int):
         self.idle = idle
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.spans = handle.getListState("spans", "name string, status string")
-        self.known = handle.getMapState("known", "name string", "seq long")
-        self.clock = handle.getValueState("clock", "version long, ends long")
+        self.held = handle.getValueState("held", "version long, ends long, names array<string>, states array<string>")
 
-    def rows(self, session: int, spans: list, version: int, closed: bool) -> pd.DataFrame:
-        names, states = ([s[k] for s in spans] for k in (0, 1))
-        return pd.DataFrame({"session": session, "version": version, "position": range(len(spans)), "name": names, "status": states, "closed": closed})
+    def rows(self, session: int, names: list, states: list, version: int, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"session": session, "version": version, "position": range(len(names)), "name": names, "status": states, "closed": closed})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, ends = self.clock.get() if self.clock.exists() else (0, 0)
-        spans = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
-        events = pd.concat(list(rows)).sort_values("seq")
-        for seq, name, status in zip(events["seq"], events["name"], events["status"]):
-            status = None if pd.isna(status) else status
-            if self.known.containsKey((name,)):
-                at = next(k for k, s in enumerate(spans) if s[0] == name)
-                spans[at] = (name, status if status is not None else spans[at][1])
+        version, ends, names, states = self.held.get() or (0, 0, [], [])
+        names, known = list(names), dict(zip(names, states))
+        stage = next((k for k, n in enumerate(names) if n in STAGES or n.startswith(EXTERNAL)), None)
+        events, last = [], 0
+        for frame in rows:
+            events += zip(frame["seq"].tolist(), frame["name"].tolist(), frame["status"].tolist())
+            last = max(last, int(frame["at"].max().timestamp() * 1000) + self.idle)
+        for _, name, status in sorted(events, key=lambda e: e[0]):
+            status = status if isinstance(status, str) else None
+            if name in known:
+                known[name] = known[name] if status is None else status
+                continue
+            known[name] = status
+            if stage is not None and name in RETRIEVAL:
+                names.insert(stage, name)
+                stage += 1
                 continue
-            self.known.updateValue((name,), (int(seq),))
-            stage = next((k for k, s in enumerate(spans) if s[0] in STAGES or s[0].startswith(EXTERNAL)), len(spans))
-            spans.insert(stage if name in RETRIEVAL else len(spans), (name, status))
-        self.spans.put(spans)
-        last = int(events["at"].max().timestamp() * 1000) + self.idle
-        if last > ends:
-            if ends:
-                self.handle.deleteTimer(ends)
+            if stage is None and (name in STAGES or name.startswith(EXTERNAL)):
+                stage = len(names)
+            names.append(name)
+        if not ends:
             self.handle.registerTimer(last)
-        self.clock.update((version + 1, max(last, ends)))
-        yield self.rows(int(key[0]), spans, version + 1, False)
+        states = [known[n] for n in names]
+        self.held.update((version + 1, max(last, ends), names, states))
+        yield self.rows(int(key[0]), names, states, version + 1, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        version, _ = self.clock.get()
-        spans = [tuple(s) for s in self.spans.get()]
-        for state in (self.spans, self.known, self.clock):
-            state.clear()
-        yield self.rows(int(key[0]), spans, version + 1, True)
+        version, ends, names, states = self.held.get()
+        if ends > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)
+            return
+        self.held.clear()
+        yield self.rows(int(key[0]), list(names), list(states), version + 1, True)
 
     def close(self) -> None:
         pass

@@ -58,3 +58,43 @@ def test_asked_tokens_are_met_where_rows_are_read(spark):
     assert optimized(scored).count("rightHint=(strategy=broadcast)") + optimized(scored).count("leftHint=(strategy=broadcast)") >= 1
     assert optimized(scored).count("regexp_extract_all") == 3  # once for the statistics, and for each use of the postings, which share one shuffle
     assert {r["id"] for r in scored.collect()} == {1, 2}
+
+
+def test_state_is_called_once_for_all_events_of_a_batch():
+    from datetime import datetime
+
+    import pandas as pd
+
+    from corpusflow.streaming import spans as sn
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), []
+
+        def getValueState(self, *_):
+            return self.held
+
+        getListState = getMapState = getValueState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.append(-at)
+
+    handle, order = Handle(), sn.SpanOrder(1000)
+    order.init(handle)
+    for k in range(2):
+        frame = pd.DataFrame({"seq": range(100 * k, 100 * k + 100), "at": pd.to_datetime([datetime(2024, 1, 1 + k)] * 100), "name": [f"n{i % 7}" for i in range(99)] + ["vector_recall"], "status": ["s"] * 100})
+        out = list(order.handleInputRows((1,), iter([frame]), None))
+    assert len(out[0]) == 8 and handle.held.calls == 4 and len(handle.timers) == 1
