@@ -10,7 +10,7 @@ are compared exhaustively on their signatures; larger ones branch further.
 A critical process dies out with depth, so members of nodes that branch on start
 further trees from the roots, as many as keep the share of missed pairs as small at
 the new depth.  Nodes of up to ``most`` members, and all at the last
-depth, are compared exhaustively too, block by block.
+depth, are compared exhaustively too, a stripe of a node at a time.
 
 Groups are what is asked for, so pairs inside one group need no second look.  An
 opening round deals the nodes of two trees into parts of bounded size and takes each
@@ -221,9 +221,19 @@ def within(x: list, y: list) -> np.ndarray:
     return np.array([np.searchsorted(v, ends, side="right") for v in x])
 
 
+def stripes(side: np.ndarray, first: int, width: int = 256) -> list:
+    """What to compare of a node whose rows begin at ``first``: (rows, rows, whether a pair counts in one order only), ``width`` rows at a time against all they may meet."""
+    at = first + np.arange(len(side))
+    if (side == 0).any():
+        return [(at[k : k + width], at[k:], True) for k in range(0, len(at), width)]
+    x, y = at[side == 1], at[side == 2]
+    return [(x[k : k + width], y, False) for k in range(0, len(x), width) if len(y)]
+
+
 def compare_sets(members: DataFrame, percent: int, top: int | None) -> DataFrame:
     """As ``compare_nodes``, on the smallest shingles themselves (node, side, id, n, comp, few).
 
+    A node stays in one task, which holds a stripe of its pairs at a time, so no row is copied.
     In a crowd of texts a little below the threshold signatures would let too many
     pairs pass.  ``few`` holds the smallest ``FEW`` shingles; of smaller sets that is
     all, so only pairs at the threshold pass.
@@ -235,10 +245,12 @@ def compare_sets(members: DataFrame, percent: int, top: int | None) -> DataFrame
             few = [np.frombuffer(x, dtype="<u4") for x in table.column("few").to_pylist()]
             starts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)]))
             left, right, same = [], [], []
-            for a, b in zip(starts[:-1], starts[1:]):
-                x, y = (np.arange(a, b),) * 2 if (side[a:b] == 0).any() else (a + np.flatnonzero(side[a:b] == k) for k in (1, 2))
-                if not len(x) or not len(y):
-                    continue
+
+            def told():
+                i, j, s, hub = nearest(node, np.concatenate(left), np.concatenate(right), np.concatenate(same), top)
+                return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s.astype(np.int32)), pa.array(hub)], ["a", "b", "same", "hub"])
+
+            for x, y, once in (t for a, b in zip(starts[:-1], starts[1:]) for t in stripes(side[a:b], a)):
                 few_x, few_y, n_x, n_y = [few[k] for k in x], [few[k] for k in y], n[x][:, None], n[y][None, :]
                 common, whole = overlap(few_x, few_y), (n_x <= FEW) & (n_y <= FEW)
                 # of larger sets both are cut where the smallest values of one of them end
@@ -246,17 +258,16 @@ def compare_sets(members: DataFrame, percent: int, top: int | None) -> DataFrame
                 union = seen - common
                 slack = np.where(whole, 1.0, 4.2 * np.sqrt(union * percent / 100 * (1 - percent / 100)))
                 fits = (100 * (common + slack) >= percent * union) & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y))
-                fits &= (comp[x][:, None] != comp[y][None, :]) & (x[:, None] != y[None, :])
+                fits &= (comp[x][:, None] != comp[y][None, :]) & (x[:, None] < y[None, :] if once else True)
                 i, j = np.nonzero(fits)
-                once = i < j if x is y else np.ones(len(i), dtype=bool)
-                i, j = i[once], j[once]
                 left.append(x[i])
                 right.append(y[j])
                 same.append((1000 * common[i, j] / union[i, j]).astype(np.int64))
-            if not left or not sum(map(len, left)):
-                continue
-            i, j, s, hub = nearest(node, np.concatenate(left), np.concatenate(right), np.concatenate(same), top)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s.astype(np.int32)), pa.array(hub)], ["a", "b", "same", "hub"])
+                if sum(map(len, left)) > 1 << 20:
+                    yield told()
+                    left, right, same = [], [], []
+            if sum(map(len, left)):
+                yield told()
 
     return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, same int, hub boolean")
 
@@ -472,7 +483,8 @@ def near_duplicates(
         crowded.append(few_against_one(shaped.where(few), part))
         heavy = shaped.where(~few)
         further = heavy.where(F.col("count") > most) if at < deepest else heavy.limit(0)
-        crowded.append(blocks(heavy.where(F.col("count") <= most) if at < deepest else heavy, part))
+        # no row of a node of up to ``most`` members has copies; larger ones, at the last depth, are dealt in blocks of that size
+        crowded.append(blocks(heavy.where(F.col("count") <= most) if at < deepest else heavy, most))
         read(shaped.select("id") if at >= deepest else shaped.where(few | (F.col("count") <= most)).select("id"))
         if further.isEmpty():
             break

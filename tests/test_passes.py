@@ -60,6 +60,19 @@ def test_asked_tokens_are_met_where_rows_are_read(spark):
     assert {r["id"] for r in scored.collect()} == {1, 2}
 
 
+def test_rows_of_a_crowded_node_have_no_copies(spark):
+    import numpy as np
+
+    from corpusflow.llm import near_dup as nd
+
+    sizes = {1: 70, 2: 700, 3: 5000}
+    rows = spark.createDataFrame([(k, i, n) for k, n in sizes.items() for i in range(n)], "node long, id long, count long")
+    assert nd.blocks(rows.where("node < 3"), 4096).count() == 770 and nd.blocks(rows.where("node = 3"), 4096).count() == 10_000
+    met = [(x, y) for xs, ys, once in nd.stripes(np.zeros(700, int), 5) for x in xs for y in ys if x < y or not once]
+    assert len(met) == len(set(met)) == 700 * 699 // 2
+    assert sum(len(x) * len(y) for x, y, _ in nd.stripes(np.repeat([1, 2], [300, 20]), 0)) == 6000
+
+
 def test_state_is_called_once_for_all_events_of_a_batch():
     from datetime import datetime
 
