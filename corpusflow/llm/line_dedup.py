@@ -24,12 +24,14 @@ from pyspark.sql import types as T
 from .common import drop_table, materialize
 
 NO_ID = -(1 << 62)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+ROWS = 500  # of how many a batch of new texts is
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 BYTES = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: The last bytes of the white space that ``str.rstrip`` takes beside tab to carriage return and the blank.
+LAST = np.isin(np.arange(256), [*range(0x1C, 0x20), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,7 +45,7 @@ def powers(base: np.uint64, count: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-UP, DOWN = powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
+UP, DOWN = powers(BASE, 1 << 10), powers(INVERSE, 1 << 10)
 
 
 def grown(count: int) -> tuple:
@@ -64,10 +66,9 @@ def codes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = max(k + 1, int(np.searchsorted(b, a[k] + BLOCK, side="right")))
         low, high = int(a[k]), int(b[n - 1])
         up, down = grown(high - low)
-        value = BYTES[data[low:high]] * up[: high - low]
-        at = np.empty(2 * (n - k), dtype=np.int64)
-        at[::2], at[1::2] = a[k:n] - low, b[k:n] - low
-        out[k:n] = np.add.reduceat(value, at[:-1])[::2] * down[at[::2]]
+        total = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(BYTES[data[low:high]] * up[: high - low], out=total[1:])
+        out[k:n] = (total[b[k:n] - low] - total[a[k:n] - low]) * down[a[k:n] - low]
         k = n
     return mixed(out)
 
@@ -101,22 +102,25 @@ def inner_cuts(sentence: np.ndarray, at: np.ndarray, words: np.ndarray, window:
     low = np.uint64(0xFFFFFFFF)
     left, right = (least_of(x, window) & low for x in (pair | place, pair | (low - place)))
     ok = (left == low - right) & (own[: len(left)] == own[window:])
-    cut = np.unique(left[ok].astype(np.int64))
+    cut = left[ok].astype(np.int64)  # in order, as the smallest of a later window is no earlier one
+    cut = cut[np.concatenate((cut[:1] >= 0, cut[1:] != cut[:-1]))]
     return at[cut[(cut > 0) & (own[cut] == own[cut - 1])]]
 
 
 class Lines:
-    """The lines of several texts: where each starts and ends, how many words it has, its hash if asked for, and each text's first line."""
+    """The lines of several texts in UTF-8: where each starts and ends, how many words it has, its hash if asked for, and each text's first line."""
 
     def __init__(self, texts: list, hashed: bool = True, most: int = 24, window: int = 12):
-        self.raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b"\n".join([*self.raw, b""]), dtype=np.uint8)
+        self.raw = texts
+        self.data = data = np.frombuffer(b"\n".join([*self.raw, b""]), dtype=np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in self.raw])))
-        space = SPACE[data]
+        blank = data == 32
+        space = (data - np.uint8(9) < 5) | blank
         edges = np.flatnonzero(np.concatenate(([~space[0]], space[1:] != space[:-1])))
         begin, end = edges[::2], edges[1::2]
-        stops = np.flatnonzero((data[:-1] == 46) & (data[1:] == 32)) + 2
-        starts = np.sort(np.concatenate(([0], np.flatnonzero(data == 10)[:-1] + 1, stops)))
+        opens = np.concatenate(([True], data[:-1] == 10))
+        opens[2:] |= (data[:-2] == 46) & blank[1:-1]
+        starts = np.flatnonzero(opens)
         counts = np.diff(np.searchsorted(begin, np.concatenate((starts, [len(data)]))))
         sentence = np.repeat(np.arange(len(starts)), counts)
         at = np.flatnonzero(np.repeat(counts > most, counts))
@@ -131,7 +135,8 @@ class Lines:
         self.firsts = np.searchsorted(self.starts, self.offsets)
         self.text = text[real]
 
-        word_at = np.searchsorted(begin, np.concatenate((self.starts, [len(data)])))
+        self.word_ends = end
+        self.word_at = word_at = np.searchsorted(begin, np.concatenate((self.starts, [len(data)])))
         self.words = np.diff(word_at)
         self.before = np.concatenate(([0], np.cumsum(self.words)))
         if not hashed:
@@ -151,8 +156,7 @@ class Lines:
         stays = np.concatenate(([False], np.cumsum(depth[:-1]) == 0, [False]))
         turns = np.flatnonzero(stays[1:] != stays[:-1])
         spans = zip((self.starts[low + turns[::2]] - self.offsets[n]).tolist(), (self.ends[low + turns[1::2] - 1] - self.offsets[n]).tolist())
-        text = b"".join([self.raw[n][x:y] for x, y in spans])
-        return text.decode("utf-8", "surrogatepass"), int(high - low - stays.sum())
+        return b"".join([self.raw[n][x:y] for x, y in spans]), int(high - low - stays.sum())
 
     def of(self, n: int) -> list:
         """The lines of the text ``n``, each with what ends it."""
@@ -160,6 +164,25 @@ class Lines:
         spans = zip((self.starts[low:high] - self.offsets[n]).tolist(), (self.ends[low:high] - self.offsets[n]).tolist())
         return [self.raw[n][a:b].decode("utf-8", "surrogatepass") for a, b in spans]
 
+    def stripped(self) -> tuple:
+        """All lines in one text, each without the white space that ends it and with a line feed, which no line holds elsewhere; and where each starts.
+
+        White space stands before every line and a line feed behind every text, so
+        there is a byte for the line feed.
+        """
+        ends = self.starts.copy()
+        full = np.flatnonzero(self.words)
+        ends[full] = self.word_ends[self.word_at[full + 1] - 1]
+        for n in full[LAST[self.data[ends[full] - 1]]].tolist():
+            a = self.starts[n]
+            ends[n] = a + len(self.data[a : ends[n]].tobytes().decode("utf-8", "surrogatepass").rstrip().encode("utf-8", "surrogatepass"))
+        data, turns = self.data.copy(), np.zeros(len(self.data) + 1, dtype=np.int8)
+        data[ends] = 10
+        turns[self.starts] = 1
+        turns[ends + 1] -= 1
+        text = data[np.cumsum(turns[:-1], dtype=np.int8).view(bool)].tobytes()
+        return text, np.concatenate(([0], np.cumsum(ends + 1 - self.starts)))
+
     def runs(self, least: int, alone: int) -> tuple:
         """Ranges [first line, end line) of the shortest run at each line: two lines with ``least`` words, or one with ``alone``."""
         a = np.arange(len(self.starts))
@@ -185,18 +208,26 @@ class Lines:
                 table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
             at = np.flatnonzero(level == k)
             best[at] = np.minimum(table[at], table[q[at] - (1 << k)])
-        return np.unique(len(a) - (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+        held = np.zeros(len(a), dtype=bool)
+        held[len(a) - (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
+        return np.flatnonzero(held)
+
 
+def in_blocks(texts: pa.Array, hashed: bool = True):
+    """(number of the first text, ``Lines`` of the texts) for texts of about ``BLOCK`` bytes together; null is empty."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        n = int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BLOCK)) + 1
+        yield first, Lines([t or b"" for t in texts[first:n].cast(pa.binary()).to_pylist()], hashed)
+        first = n
 
-def in_blocks(texts: list, hashed: bool = True):
-    """(number of the first text, ``Lines`` of the texts) for texts of about ``BLOCK`` characters together; null is empty."""
-    held, size, first = [], 0, 0
-    for n, t in enumerate(texts):
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= BLOCK or n == len(texts) - 1:
-            yield first, Lines(held, hashed)
-            held, size, first = [], 0, n + 1
+
+def strings(text: bytes, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The ranges [a, b) of a text in UTF-8."""
+    offsets = np.concatenate(([0], np.cumsum(b - a))).astype(np.int32)
+    parts = b"".join([text[x:y] for x, y in zip(a.tolist(), b.tolist())])
+    return pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(parts))
 
 
 def flat(marks: pa.Array) -> tuple:
@@ -209,7 +240,7 @@ def flat(marks: pa.Array) -> tuple:
 
 def units(text: str) -> list:
     """Lines, each with what ends it; a line ends at a line feed, after a sentence, or within one of many words."""
-    return Lines([text]).of(0)
+    return Lines([text.encode("utf-8", "surrogatepass")]).of(0)
 
 
 def agree(x: list, y: list) -> int:
@@ -256,7 +287,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     def cut(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, lines in in_blocks(batch.column(2).to_pylist()):
+            for at, lines in in_blocks(batch.column(2)):
                 a, b = lines.runs(chunk_words, least_words)
                 h = sums(lines.hash, a, b)
                 held = lines.sifted(a, b, h, span)
@@ -301,7 +332,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         spot = F.xxhash64("i_", "k_", "first")
         repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
         repeated = materialize(repeated, "repeated")  # a table, so that the join can split a hot hash
-        seen = materialize(found.join(repeated, "h", "left_semi"), "repeats")
+        seen = materialize(found.join(repeated.hint("shuffle_hash"), "h", "left_semi"), "repeats")
         drop_table(repeated)
         parts = F.ceil(F.count("*") / copies).cast("int").alias("parts")
         return seen, materialize(seen.groupBy("h").agg(F.min(place).alias("least"), parts), "least")
@@ -311,103 +342,96 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     seen, least = repeats(found)
     drop_table(found)
     origin = (F.col("least.i_").alias("i_0"), F.col("least.k_").alias("k_0"), F.col("least.first").alias("f_0"))
-    again = seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", "parts", *origin).alias("at"))
+    again = seen.join(least.hint("shuffle_hash"), "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", "parts", *origin).alias("at"))
     texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
     picked = materialize(texts_again.mapInArrow(pick, SPOT + ", parts int"), "picked")
 
-    def side(counts: list, at: int, step: int) -> int:
-        """How many lines to compare from the line ``at`` on, downwards (``step`` 1) or upwards (-1)."""
-        n = words = 0
-        while 0 <= at < len(counts) and (n < reach or words < least_words):
-            words += counts[at]
-            at += step
-            n += 1
-        return n
-
-    def laid_out(values: list):
-        """Of each text its lines and their words."""
-        for _, lines in in_blocks(values, False):
-            for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
-                yield lines.of(n), lines.words[low:high].tolist()
+    def marks_of(lines: Lines, at: int, bounds: np.ndarray, marks: dict) -> tuple:
+        """Of the texts from the row ``at`` on: their marks, each mark's row, and the lines [a, b) that it marks and [low, high) of its text."""
+        own = bounds[at : at + len(lines.raw) + 1]
+        n, row = np.arange(own[0], own[-1]), np.repeat(np.arange(len(lines.raw)), np.diff(own))
+        low, high = lines.firsts[row], lines.firsts[row + 1]
+        a, b = (low + marks[c].to_numpy()[own[0] : own[-1]] for c in ("first", "end_"))
+        return n, at + row, a, b, low, high
 
     def windows(batches):
         """The shortest windows of ``least_words`` words around each marked run, one for each line where they may end."""
         for batch in batches:
             ids, keys = batch.column("i_").to_numpy(), batch.column("k_").to_numpy()
             bounds, marks = flat(batch.column("marks"))
-            m_first, m_end = (marks[c].to_pylist() for c in ("first", "end_"))
-            for first, lines in in_blocks(batch.column("t_").to_pylist()):
-                begin, end, row = [], [], []
-                for n, (low, high) in enumerate(zip(lines.firsts[:-1].tolist(), lines.firsts[1:].tolist())):
-                    for m in range(bounds[first + n], bounds[first + n + 1]):
-                        a, b = low + m_first[m], low + m_end[m]
-                        far = min(high, max(b, int(np.searchsorted(lines.before, lines.before[a] + least_words))))
-                        ends = np.arange(b, far + 1)
-                        starts = np.minimum(a, np.searchsorted(lines.before, lines.before[ends] - least_words, side="right") - 1)
-                        begin.append(starts[starts >= low])
-                        end.append(ends[starts >= low])
-                        row.append(np.full(len(end[-1]), first + n))
-                if not begin:
-                    continue
-                a, b, n = (np.concatenate(x) for x in (begin, end, row))
-                once = np.unique(a * (len(lines.starts) + 1) + b, return_index=True)[1]  # marks near each other share windows
-                a, b, n = a[once], b[once], n[once]
-                low = lines.firsts[n - first]
+            for at, lines in in_blocks(batch.column("t_")):
+                _, _, a, b, low, high = marks_of(lines, at, bounds, marks)
+                far = np.minimum(high, np.maximum(b, np.searchsorted(lines.before, lines.before[a] + least_words)))
+                count = far + 1 - b
+                end = np.repeat(b - np.cumsum(count) + count, count) + np.arange(count.sum())
+                begin = np.minimum(np.repeat(a, count), np.searchsorted(lines.before, lines.before[end] - least_words, side="right") - 1)
+                ok = begin >= np.repeat(low, count)
+                a, b = np.divmod(np.unique(begin[ok] * (len(lines.starts) + 1) + end[ok]), len(lines.starts) + 1)  # marks near each other share windows
+                n, low = at + lines.text[a], lines.firsts[lines.text[a]]
                 columns = (ids[n], keys[n], (a - low).astype(np.int32), (b - low).astype(np.int32), sums(lines.hash, a, b).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i_", "k_", "first", "end_", "h"])
 
     def read(batches):
-        """The lines at and around each mark, each line without the white space that ends it and with a line feed, which no line holds elsewhere."""
+        """The lines at and around each mark: ``reach`` on either side, and more until they have ``least_words`` words."""
         for batch in batches:
             bounds, marks = flat(batch.column("marks"))
-            firsts, ends = (marks[c].to_pylist() for c in ("first", "end_"))
-            chunks, befores, afters = [], [], []
-            for n, (lines, words) in enumerate(laid_out(batch.column("t_").to_pylist())):
-                lines = [x.rstrip() + "\n" for x in lines]
-                for m in range(bounds[n], bounds[n + 1]):
-                    a, b = firsts[m], ends[m]
-                    up, down = side(words, a - 1, -1), side(words, b, 1)
-                    chunks.append("".join(lines[a:b]))
-                    befores.append("".join(lines[a - up : a][::-1]))
-                    afters.append("".join(lines[b : b + down]))
-            row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
-            spots = (*(marks[c] for c in ("h", "low", "high", "lead")), *(batch.column(c).take(row) for c in ("i_", "k_")), marks["first"], marks["end_"])
-            heads = ["h", "low", "high", "lead", "i_", "k_", "a", "b", "chunk", "before", "after"]
-            yield pa.RecordBatch.from_arrays([*spots, *(pa.array(c, pa.string()) for c in (chunks, befores, afters))], heads)
+            for at, lines in in_blocks(batch.column("t_"), False):
+                n, row, a, b, low, high = marks_of(lines, at, bounds, marks)
+                top = np.maximum(low, np.minimum(a - reach, np.searchsorted(lines.before, lines.before[a] - least_words, side="right") - 1))
+                bottom = np.minimum(high, np.maximum(b + reach, np.searchsorted(lines.before, lines.before[b] + least_words)))
+                text, starts = lines.stripped()
+                n, row, places = pa.array(n), pa.array(row), [starts[x] for x in (top, a, b, bottom)]
+                spots = (*(marks[c].take(n) for c in ("h", "low", "high", "lead")), *(batch.column(c).take(row) for c in ("i_", "k_")), *(marks[c].take(n) for c in ("first", "end_")))
+                heads = ["h", "low", "high", "lead", "i_", "k_", "a", "b", "before", "chunk", "after"]
+                yield pa.RecordBatch.from_arrays([*spots, *(strings(text, x, y) for x, y in itertools.pairwise(places))], heads)
 
     def marked(spots: DataFrame, *more: str) -> DataFrame:
         """The texts at ``spots`` with a list of these."""
         marks = spots.groupBy("i_", "k_").agg(F.collect_set(F.struct("first", "end_", "h", *more)).alias("marks"))
-        return texts.withColumnRenamed(names[at_text], "t_").join(marks, ["i_", "k_"])
+        return texts.withColumnRenamed(names[at_text], "t_").join(marks.hint("shuffle_hash"), ["i_", "k_"])  # texts are not sorted
 
     def compare(batches):
-        """Copies against the first occurrence that leads them: rows come by hash and part, the lead before its copies."""
-        names_in = ("lead", "h", "part", "i_", "k_", "a", "b", "chunk", "before", "after")
-        led, held = None, ()
+        """Copies against the first occurrence that leads them: rows come by hash and part, the lead before its copies.
+
+        Copies that are equal with all that is around them are told by columns.
+        """
+        tail = []  # the lead of the last rows, which may lead more
 
-        def counted(text: str) -> tuple:
-            """Lines, and how many words the first so many of them have."""
-            lines = text.split("\n")[:-1]
-            return lines, list(itertools.accumulate((len(x.split()) for x in lines), initial=0))
+        def listed(text: str, step: int) -> list:
+            """Lines, those before a run upwards."""
+            return text.split("\n")[:-1][::step]
 
         for batch in batches:
-            rows = ([], [], [], [], [], [])
-            for lead, h, part, i, k, a, b, own, before, after in zip(*(batch.column(c).to_pylist() for c in names_in)):
-                if lead:
-                    led, held = (h, part), (own, len(own.split()), before, *counted(before), after, *counted(after))
-                    continue
-                if led != (h, part) or own != held[0]:
-                    continue
-                _, words, before_0, x_0, of_x, after_0, y_0, of_y = held
-                x, y = (x_0 if before == before_0 else before.split("\n")[:-1]), (y_0 if after == after_0 else after.split("\n")[:-1])
-                up, down = agree(x, x_0), agree(y, y_0)
-                words += of_x[up] + of_y[down]
-                if words < least_words:
-                    words += shared_words(x, x_0, up, -1) + shared_words(y, y_0, down, 1)
-                for column, v in zip(rows, (h, i, k, a - up, b + down, words >= least_words)):
-                    column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["h", "i_", "k_", "a", "b", "enough"])
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([*tail, batch]).combine_chunks().to_batches()[0]
+            column = {c: batch.column(c) for c in batch.schema.names}
+            lead, h, part, a, b = (column[c].to_numpy(zero_copy_only=False) for c in ("lead", "h", "part", "a", "b"))
+            led = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), -1))
+            tail = [batch.take(pa.array(led[-1:]))] if led[-1] >= 0 else []
+            copy = np.flatnonzero(~lead & (led >= 0))
+            copy = copy[(h[copy] == h[led[copy]]) & (part[copy] == part[led[copy]])]
+            equal = lambda c: pc.equal(column[c].take(pa.array(copy)), column[c].take(pa.array(led[copy]))).to_numpy(zero_copy_only=False)
+            copy = copy[equal("chunk")]
+            whole = equal("before") & equal("after")
+            leads, own = np.unique(led[copy], return_inverse=True)
+            around = [column[c].take(pa.array(leads)).to_pylist() for c in ("chunk", "before", "after")]
+            words = np.array([sum(len(x.split()) for x in texts) for texts in zip(*around)], dtype=np.int64)[own]
+            up, down = (np.array([x.count("\n") for x in around[k]], dtype=np.int32)[own] for k in (1, 2))
+            differ, last = np.flatnonzero(~whole), -1
+            for n, m, before, after in zip(differ.tolist(), own[differ].tolist(), *(column[c].take(pa.array(copy[differ])).to_pylist() for c in ("before", "after"))):
+                if m != last:
+                    last, x_0, y_0 = m, listed(around[1][m], -1), listed(around[2][m], 1)
+                    of_x, of_y = (list(itertools.accumulate((len(t.split()) for t in lines), initial=0)) for lines in (x_0, y_0))
+                    of_own = len(around[0][m].split())
+                x, y = listed(before, -1), listed(after, 1)
+                up[n], down[n] = agree(x, x_0), agree(y, y_0)
+                words[n] = of_own + of_x[up[n]] + of_y[down[n]]
+                if words[n] < least_words:
+                    words[n] += shared_words(x, x_0, up[n], -1) + shared_words(y, y_0, down[n], 1)
+            at = pa.array(copy)
+            columns = [*(column[c].take(at) for c in ("h", "i_", "k_")), pa.array(a[copy] - up), pa.array(b[copy] + down), pa.array(words >= least_words)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "i_", "k_", "a", "b", "enough"])
 
     def compared(spots: DataFrame, least: DataFrame, name: str) -> DataFrame:
         """How far the lines at and around ``spots`` agree with the first occurrence of each hash, of whose copies a part goes to each task.
@@ -417,7 +441,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         part = F.pmod(F.xxhash64("i_", "k_"), F.col("parts")).cast("int")
         dealt = spots.select("i_", "k_", "first", "end_", "h", part.alias("low"), (part + 1).alias("high"), F.lit(False).alias("lead"))
         needed = least.select("least.i_", "least.k_", "least.first", "least.end_", "h", F.lit(0).alias("low"), F.col("parts").alias("high"), F.lit(True).alias("lead"))
-        schema = "h long, low int, high int, lead boolean, i_ long, k_ long, a int, b int, chunk string, before string, after string"
+        schema = "h long, low int, high int, lead boolean, i_ long, k_ long, a int, b int, before string, chunk string, after string"
         lines = marked(dealt.unionByName(needed), "low", "high", "lead").mapInArrow(read, schema)
         lines = lines.withColumn("part", F.explode(F.sequence("low", F.col("high") - 1))).drop("low", "high")
         met = lines.repartition("h", "part").sortWithinPartitions("h", "part", F.desc("lead"))
@@ -428,11 +452,11 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         drop_table(done)
     # a run that agrees with too little around its first occurrence may belong to a passage that first occurs elsewhere
     short = materialize(near.where("not enough").select("h").distinct(), "short")
-    around = materialize(marked(seen.join(short, "h", "left_semi")).mapInArrow(windows, SPOT), "windows")
+    around = materialize(marked(seen.join(short.hint("shuffle_hash"), "h", "left_semi")).mapInArrow(windows, SPOT), "windows")
     for done in (seen, short):
         drop_table(done)
     seen, least = repeats(around)
-    later = materialize(seen.join(least, "h").where(place != F.col("least")).select("i_", "k_", "first", "end_", "h", "parts"), "later")
+    later = materialize(seen.join(least.hint("shuffle_hash"), "h").where(place != F.col("least")).select("i_", "k_", "first", "end_", "h", "parts"), "later")
     far = compared(later, least, "far")
     for done in (around, seen, least, later):
         drop_table(done)
@@ -440,21 +464,20 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     ranges = gone.groupBy("i_", "k_").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             columns = [pc.struct_field(batch.column("row_"), [n]) for n in range(len(names))]
             counts = [0] * batch.num_rows
             bounds, ranges = flat(batch.column("ranges"))
             if bounds[-1]:
-                values = columns[at_text].to_pylist()
+                values = columns[at_text].cast(pa.binary()).to_pylist()
                 a, b = (ranges[c].to_numpy() for c in ("a", "b"))
-                changed = np.flatnonzero(np.diff(bounds)).tolist()
-                for first, lines in in_blocks([values[n] for n in changed], False):
-                    for k in range(len(lines.raw)):
-                        n = changed[first + k]
+                changed = np.flatnonzero(np.diff(bounds))
+                for first, lines in in_blocks(columns[at_text].take(pa.array(changed)), False):
+                    for k, n in enumerate(changed[first : first + len(lines.raw)].tolist()):
                         values[n], counts[n] = lines.without(k, a[bounds[n] : bounds[n + 1]], b[bounds[n] : bounds[n + 1]])
-                columns[at_text] = pa.array(values, columns[at_text].type)
+                columns[at_text] = pa.array(values, pa.binary()).cast(columns[at_text].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, out])
 
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(kept, names)] + [T.StructField(out, T.LongType())])
-    result = keyed.join(ranges, ["i_", "k_"], "left").select("row_", "ranges").mapInArrow(rewrite, schema)
+    result = keyed.join(ranges.hint("shuffle_hash"), ["i_", "k_"], "left").select("row_", "ranges").mapInArrow(rewrite, schema)
     return result.select(*(F.col(n).alias(c) for c, n in zip(kept, names)), F.col(out))
