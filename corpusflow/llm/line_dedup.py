@@ -26,6 +26,7 @@ from .common import drop_table, materialize
 NO_ID = -(1 << 62)
 BLOCK = 1 << 18
 ROWS = 500  # of how many a batch of new texts is
+STRETCH = 32  # how many lines of a passage are compared at once, those around them beside
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -275,8 +276,8 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     stay as they are, and ``out`` is 0.  Runs are first counted by a 64-bit hash
     (of a million million different runs some 30000 share theirs with another one, and
     a repeat of the later one of two that do stays);
-    of those that repeat side by side at the same distance from their first
-    occurrences only as many are compared as cover the passage with what is around
+    those that touch and repeat at the same distance from their first occurrences
+    are one passage, of which every ``STRETCH`` lines are compared once, with what is around
     them.  A run that agrees with its first occurrence in too few words is looked up
     again with the windows of ``least_words`` words around it, each of which has a first
     occurrence of its own: so a passage is found whose runs all occur elsewhere
@@ -297,25 +298,30 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i_", "k_", "first", "end_", "h"])
 
     def pick(batches):
-        """Of repeats that touch, at one distance from their first occurrences: the ends, and between them at most ``reach`` + 2 lines apart."""
+        """Of the repeats of a text that touch, at one distance from their first occurrences: for each ``STRETCH`` lines the one of the smallest hash.
+
+        ``up`` and ``down`` are how many lines the others reach beyond it, ``hashes`` those of all of them.
+        """
         for batch in batches:
             bounds, marks = flat(batch.column("marks"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            order = np.lexsort((marks["first"].to_numpy(), row))
-            row = row[order]
-            first, end, i_0, k_0, f_0 = (marks[c].to_numpy()[order] for c in ("first", "end_", "i_0", "k_0", "f_0"))
-            touch = (row[1:] == row[:-1]) & (first[1:] <= end[:-1]) & (np.diff(first) == np.diff(f_0))
-            touch &= (i_0[1:] == i_0[:-1]) & (k_0[1:] == k_0[:-1])
-            inner = np.concatenate((touch, [False])) & np.concatenate(([False], touch))
-            held, last, at = [], 0, first.tolist()
-            for n, within in enumerate(inner[: len(at)].tolist()):
-                if not (within and at[n + 1] - last <= reach + 2):
-                    last = at[n]
-                    held.append(n)
-            spots = pa.array(order[held] if held else order[:0])
-            own = [batch.column(c).take(pa.array(row[held] if held else row[:0])) for c in ("i_", "k_")]
-            columns = [*own, *(marks[c].take(spots) for c in ("first", "end_", "h", "parts"))]
-            yield pa.RecordBatch.from_arrays(columns, ["i_", "k_", "first", "end_", "h", "parts"])
+            if not len(row):
+                continue
+            first, end, h, i_0, k_0, f_0 = (marks[c].to_numpy() for c in ("first", "end_", "h", "i_0", "k_0", "f_0"))
+            order = np.lexsort((end, first, first - f_0, k_0, i_0, row))
+            row, first, end, h, i_0, k_0, f_0 = (x[order] for x in (row, first, end, h, i_0, k_0, f_0))
+            parted = np.concatenate(([True], first[1:] > end[:-1]))
+            for x in (row, i_0, k_0, first - f_0):
+                parted[1:] |= x[1:] != x[:-1]
+            stretch = (first - first[np.flatnonzero(parted)][np.cumsum(parted) - 1]) // STRETCH
+            parted[1:] |= stretch[1:] != stretch[:-1]
+            at = np.flatnonzero(parted)
+            one = np.lexsort((h, np.cumsum(parted)))[at]
+            up, down = first[one] - first[at], np.maximum.reduceat(end, at) - end[one]
+            hashes = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)), pa.int32()), pa.array(h))
+            own = [batch.column(c).take(pa.array(row[one])) for c in ("i_", "k_")]
+            columns = [*own, *(marks[c].take(pa.array(order[one])) for c in ("first", "end_", "h", "parts")), pa.array(up), pa.array(down), hashes]
+            yield pa.RecordBatch.from_arrays(columns, ["i_", "k_", "first", "end_", "h", "parts", "up", "down", "hashes"])
 
     kept = [c for c in docs.columns if c != out]
     names = [f"c{n}" for n in range(len(kept))]
@@ -328,23 +334,26 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     place = F.struct(F.col("i_") == NO_ID, "i_", "k_", "first", "end_")
 
     def repeats(found: DataFrame) -> tuple:
-        """Of runs at ``SPOT``s those whose hash occurs at two spots or more; and for each hash the first spot and into how many parts its copies are dealt."""
-        spot = F.xxhash64("i_", "k_", "first")
-        repeated = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
+        """Of runs at ``SPOT``s those whose hash occurs in two rows or more; and for each hash the first spot and into how many parts its copies are dealt."""
+        repeated = found.groupBy("h").count().where("count > 1").select("h")
         repeated = materialize(repeated, "repeated")  # a table, so that the join can split a hot hash
         seen = materialize(found.join(repeated.hint("shuffle_hash"), "h", "left_semi"), "repeats")
         drop_table(repeated)
         parts = F.ceil(F.count("*") / copies).cast("int").alias("parts")
         return seen, materialize(seen.groupBy("h").agg(F.min(place).alias("least"), parts), "least")
 
+    def passages(seen: DataFrame, least: DataFrame, name: str) -> DataFrame:
+        """Of the runs ``seen`` those that are no first occurrence, one for each passage that they make up."""
+        origin = (F.col("least.i_").alias("i_0"), F.col("least.k_").alias("k_0"), F.col("least.first").alias("f_0"))
+        again = seen.join(least.hint("shuffle_hash"), "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", "parts", *origin).alias("at"))
+        texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
+        return materialize(texts_again.mapInArrow(pick, SPOT + ", parts int, up int, down int, hashes array<long>"), name)
+
     texts = keyed.select("i_", "k_", f"row_.{names[at_text]}")
     found = materialize(texts.mapInArrow(cut, SPOT), "chunks")
     seen, least = repeats(found)
     drop_table(found)
-    origin = (F.col("least.i_").alias("i_0"), F.col("least.k_").alias("k_0"), F.col("least.first").alias("f_0"))
-    again = seen.join(least.hint("shuffle_hash"), "h").where(place != F.col("least")).select("i_", "k_", F.struct("first", "end_", "h", "parts", *origin).alias("at"))
-    texts_again = again.groupBy("i_", "k_").agg(F.collect_set("at").alias("marks"))  # as many as the text has lines
-    picked = materialize(texts_again.mapInArrow(pick, SPOT + ", parts int"), "picked")
+    picked = passages(seen, least, "picked")
 
     def marks_of(lines: Lines, at: int, bounds: np.ndarray, marks: dict) -> tuple:
         """Of the texts from the row ``at`` on: their marks, each mark's row, and the lines [a, b) that it marks and [low, high) of its text."""
@@ -372,17 +381,22 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i_", "k_", "first", "end_", "h"])
 
     def read(batches):
-        """The lines at and around each mark: ``reach`` on either side, and more until they have ``least_words`` words."""
+        """The lines at and around each mark: ``reach`` on either side of its passage, and more until they have ``least_words`` words.
+
+        Hashes go on only with a passage that may turn out to be short.
+        """
         for batch in batches:
             bounds, marks = flat(batch.column("marks"))
             for at, lines in in_blocks(batch.column("t_"), False):
                 n, row, a, b, low, high = marks_of(lines, at, bounds, marks)
-                top = np.maximum(low, np.minimum(a - reach, np.searchsorted(lines.before, lines.before[a] - least_words, side="right") - 1))
-                bottom = np.minimum(high, np.maximum(b + reach, np.searchsorted(lines.before, lines.before[b] + least_words)))
+                begin, end = (np.clip(x, low, high) for x in (a - marks["up"].to_numpy()[n], b + marks["down"].to_numpy()[n]))
+                top = np.maximum(low, np.minimum(begin - reach, np.searchsorted(lines.before, lines.before[begin] - least_words, side="right") - 1))
+                bottom = np.minimum(high, np.maximum(end + reach, np.searchsorted(lines.before, lines.before[end] + least_words)))
+                hashes = marks["hashes"].take(pa.array(n, mask=lines.before[end] - lines.before[begin] >= least_words))
                 text, starts = lines.stripped()
                 n, row, places = pa.array(n), pa.array(row), [starts[x] for x in (top, a, b, bottom)]
-                spots = (*(marks[c].take(n) for c in ("h", "low", "high", "lead")), *(batch.column(c).take(row) for c in ("i_", "k_")), *(marks[c].take(n) for c in ("first", "end_")))
-                heads = ["h", "low", "high", "lead", "i_", "k_", "a", "b", "before", "chunk", "after"]
+                spots = (*(marks[c].take(n) for c in ("h", "low", "high", "lead")), *(batch.column(c).take(row) for c in ("i_", "k_")), *(marks[c].take(n) for c in ("first", "end_")), hashes)
+                heads = ["h", "low", "high", "lead", "i_", "k_", "a", "b", "hashes", "before", "chunk", "after"]
                 yield pa.RecordBatch.from_arrays([*spots, *(strings(text, x, y) for x, y in itertools.pairwise(places))], heads)
 
     def marked(spots: DataFrame, *more: str) -> DataFrame:
@@ -393,7 +407,7 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
     def compare(batches):
         """Copies against the first occurrence that leads them: rows come by hash and part, the lead before its copies.
 
-        Copies that are equal with all that is around them are told by columns.
+        Copies are told by columns where they are equal with all that is before or after them.
         """
         tail = []  # the lead of the last rows, which may lead more
 
@@ -413,25 +427,25 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
             copy = copy[(h[copy] == h[led[copy]]) & (part[copy] == part[led[copy]])]
             equal = lambda c: pc.equal(column[c].take(pa.array(copy)), column[c].take(pa.array(led[copy]))).to_numpy(zero_copy_only=False)
             copy = copy[equal("chunk")]
-            whole = equal("before") & equal("after")
             leads, own = np.unique(led[copy], return_inverse=True)
             around = [column[c].take(pa.array(leads)).to_pylist() for c in ("chunk", "before", "after")]
             words = np.array([sum(len(x.split()) for x in texts) for texts in zip(*around)], dtype=np.int64)[own]
             up, down = (np.array([x.count("\n") for x in around[k]], dtype=np.int32)[own] for k in (1, 2))
-            differ, last = np.flatnonzero(~whole), -1
-            for n, m, before, after in zip(differ.tolist(), own[differ].tolist(), *(column[c].take(pa.array(copy[differ])).to_pylist() for c in ("before", "after"))):
-                if m != last:
-                    last, x_0, y_0 = m, listed(around[1][m], -1), listed(around[2][m], 1)
-                    of_x, of_y = (list(itertools.accumulate((len(t.split()) for t in lines), initial=0)) for lines in (x_0, y_0))
-                    of_own = len(around[0][m].split())
-                x, y = listed(before, -1), listed(after, 1)
-                up[n], down[n] = agree(x, x_0), agree(y, y_0)
-                words[n] = of_own + of_x[up[n]] + of_y[down[n]]
-                if words[n] < least_words:
-                    words[n] += shared_words(x, x_0, up[n], -1) + shared_words(y, y_0, down[n], 1)
-            at = pa.array(copy)
-            columns = [*(column[c].take(at) for c in ("h", "i_", "k_")), pa.array(a[copy] - up), pa.array(b[copy] + down), pa.array(words >= least_words)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "i_", "k_", "a", "b", "enough"])
+            for c, step, of_lead, lines in (("before", -1, around[1], up), ("after", 1, around[2], down)):
+                differ, last = np.flatnonzero(~equal(c)), -1
+                for n, m, text in zip(differ.tolist(), own[differ].tolist(), column[c].take(pa.array(copy[differ])).to_pylist()):
+                    if m != last:
+                        last, x_0 = m, listed(of_lead[m], step)
+                        of_x = list(itertools.accumulate((len(t.split()) for t in x_0), initial=0))
+                    lines[n] = agree(listed(text, step), x_0)
+                    words[n] -= of_x[-1] - of_x[lines[n]]
+            for n in np.flatnonzero(words < least_words).tolist():  # lines that agree in part
+                for c, step, of_lead, lines in (("before", -1, around[1], up), ("after", 1, around[2], down)):
+                    words[n] += shared_words(listed(column[c][int(copy[n])].as_py(), step), listed(of_lead[own[n]], step), lines[n], step)
+            enough = words >= least_words
+            hashes = column["hashes"].take(pa.array(copy, mask=enough))
+            columns = [*(column[c].take(pa.array(copy)) for c in ("i_", "k_")), pa.array(a[copy] - up), pa.array(b[copy] + down), pa.array(enough), hashes]
+            yield pa.RecordBatch.from_arrays(columns, ["i_", "k_", "a", "b", "enough", "hashes"])
 
     def compared(spots: DataFrame, least: DataFrame, name: str) -> DataFrame:
         """How far the lines at and around ``spots`` agree with the first occurrence of each hash, of whose copies a part goes to each task.
@@ -439,24 +453,25 @@ def dedup_lines(docs: DataFrame, chunk_words: int = 10, least_words: int = 30, s
         Copies and first occurrences are read from the texts in one pass and meet in one shuffle.
         """
         part = F.pmod(F.xxhash64("i_", "k_"), F.col("parts")).cast("int")
-        dealt = spots.select("i_", "k_", "first", "end_", "h", part.alias("low"), (part + 1).alias("high"), F.lit(False).alias("lead"))
-        needed = least.select("least.i_", "least.k_", "least.first", "least.end_", "h", F.lit(0).alias("low"), F.col("parts").alias("high"), F.lit(True).alias("lead"))
-        schema = "h long, low int, high int, lead boolean, i_ long, k_ long, a int, b int, before string, chunk string, after string"
-        lines = marked(dealt.unionByName(needed), "low", "high", "lead").mapInArrow(read, schema)
+        dealt = spots.select("i_", "k_", "first", "end_", "h", part.alias("low"), (part + 1).alias("high"), F.lit(False).alias("lead"), "up", "down", "hashes")
+        led = least.join(spots.groupBy("h").agg(F.max("up").alias("up"), F.max("down").alias("down")), "h")  # a lead reaches as far as any of its copies
+        needed = led.select("least.i_", "least.k_", "least.first", "least.end_", "h", F.lit(0).alias("low"), F.col("parts").alias("high"), F.lit(True).alias("lead"), "up", "down", F.lit(None).cast("array<long>").alias("hashes"))
+        schema = "h long, low int, high int, lead boolean, i_ long, k_ long, a int, b int, hashes array<long>, before string, chunk string, after string"
+        lines = marked(dealt.unionByName(needed), "low", "high", "lead", "up", "down", "hashes").mapInArrow(read, schema)
         lines = lines.withColumn("part", F.explode(F.sequence("low", F.col("high") - 1))).drop("low", "high")
         met = lines.repartition("h", "part").sortWithinPartitions("h", "part", F.desc("lead"))
-        return materialize(met.mapInArrow(compare, "h long, i_ long, k_ long, a int, b int, enough boolean"), name)
+        return materialize(met.mapInArrow(compare, "i_ long, k_ long, a int, b int, enough boolean, hashes array<long>"), name)
 
-    near = compared(picked, least.join(picked.select("h").distinct(), "h", "left_semi"), "near")
+    near = compared(picked, least, "near")
     for done in (picked, least):
         drop_table(done)
     # a run that agrees with too little around its first occurrence may belong to a passage that first occurs elsewhere
-    short = materialize(near.where("not enough").select("h").distinct(), "short")
+    short = materialize(near.where("not enough").select(F.explode("hashes").alias("h")).distinct(), "short")
     around = materialize(marked(seen.join(short.hint("shuffle_hash"), "h", "left_semi")).mapInArrow(windows, SPOT), "windows")
     for done in (seen, short):
         drop_table(done)
     seen, least = repeats(around)
-    later = materialize(seen.join(least.hint("shuffle_hash"), "h").where(place != F.col("least")).select("i_", "k_", "first", "end_", "h", "parts"), "later")
+    later = passages(seen, least, "later")
     far = compared(later, least, "far")
     for done in (around, seen, least, later):
         drop_table(done)

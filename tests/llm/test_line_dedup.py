@@ -50,3 +50,26 @@ def test_copies_and_near_copies_of_a_lead_over_several_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [k for k, t in got.items() if "p2x3" in t] == [0]
     assert all(got[k] == f"own{k} line\n" for k in range(4, 400, 4)) and len(got) == 400
+
+
+def test_a_passage_is_compared_once(spark, monkeypatch):
+    """A copy of 30 lines is one comparison, one of 80 lines three, also where it is found at the second look; all lines around that agree go."""
+    counts, plain = {}, line_dedup.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    rng = random.Random(8)
+    line = lambda n=9: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    short, long_, later = ([line() for _ in range(n)] for n in (30, 80, 8))
+    rows = [(k, "\n".join([line(), *passage, line()])) for k, passage in enumerate([short] * 6 + [long_] * 4)]
+    rows += [(100 + k, "\n".join([line(), *later[k : k + 2], line()])) for k in range(7)]  # each two lines of the passage occur before
+    rows += [(200 + k, "\n".join([line(), *later, line()])) for k in range(3)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r["n_removed"] for k, r in got.items() if r["n_removed"]} == {**dict.fromkeys(range(1, 6), 30), **dict.fromkeys(range(7, 10), 80), 201: 8, 202: 8}
+    assert all(got[k]["text"].splitlines() == [text.splitlines()[0], text.splitlines()[-1]] for k, text in rows if got[k]["n_removed"])
+    firsts = 7 * 3 + 6  # no passage: what the eight lines share with the documents before, one or more runs in each
+    assert 5 + 3 * 3 + 3 <= counts["picked"] <= 5 + 3 * 3 + firsts and counts["later"] == 2
