@@ -33,3 +33,12 @@ def test_terms_apart_in_each_field(spark, tmp_path):
     assert counted(apart=True) == {(1, "a"): 23.0, (1, "a a"): 12.0, (2, "b c"): 11.0, (2, "c b c"): 1.0, (3, "a"): 10.0, (3, "b c"): 1.0}
     assert counted() == {(1, "a"): 36.0, (1, "a a"): 25.0, (2, "b c"): 12.0, (2, "c b c"): 2.0, (3, "a"): 10.0, (3, "b c"): 1.0}
     assert index.counted(asked, {"text": 1.0}, apart=True).where(F.col("term") == "a a").first()["f"] == 2.0
+
+
+def test_phrases_of_all_items_are_asked(spark, tmp_path):
+    texts = ["a graph of the net, a graph", "of the graph", None, "the net of the net"]
+    spark.createDataFrame([(k, t, "en", "src0", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(0, "a graph"), (7, "Of the net: of the net"), (20, "net"), (21, None), (33, "the graph"), (33, "the graph of")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got, want = both(spark, tmp_path, "fts_phrase_terms", ("query_id", "doc_id", "n_held"))
+    assert got == want and got == [(0, 0, 2.0), (7, 0, 2.0), (7, 1, 1.0), (7, 3, 4.0), (33, 0, 1.0), (33, 1, 1.0)]
