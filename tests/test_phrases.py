@@ -42,3 +42,23 @@ def test_phrases_of_all_items_are_asked(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got, want = both(spark, tmp_path, "fts_phrase_terms", ("query_id", "doc_id", "n_held"))
     assert got == want and got == [(0, 0, 2.0), (7, 0, 2.0), (7, 1, 1.0), (7, 3, 4.0), (33, 0, 1.0), (33, 1, 1.0)]
+
+
+def test_all_items_are_traced(spark, tmp_path):
+    docs = [(k, f"graph net w{k}\nof the net", "en", "src0", 5) for k in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, "w2 of" if k == 33 else "w1") for k in (0, 7, 33)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, [1.0, float(k)], 0) for k in (0, 1, 7)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["stage"]: r["result_count"] for r in queries()["hybrid_trace"](spark, str(tmp_path)).collect()}
+    # two items have a vector and meet three; the texts of two hold w1, and all documents meet the third
+    assert got == {"vector_recall": 6, "keyword_recall": 6, "hybrid_rrf": 10, "local_retrieval": 8}
+
+
+def test_scores_are_summed_where_rows_lie(spark):
+    from corpusflow.operators.bm25 import bm25, top
+
+    docs = spark.createDataFrame([(k, f"the gpt {k % 3}") for k in range(9)], "id long, body string")
+    asked = spark.createDataFrame([(1, "the"), (1, "gpt 1"), (2, "gpt")], "query_id long, term string")
+    plan = top(bm25(docs, {"body": 1.0}, asked, phrases=True), 2, F.col("score"), F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line]
+    assert len(dealt) == 1 and "hashpartitioning(query_id#" in dealt[0] and ", id#" not in dealt[0]
